@@ -37,7 +37,9 @@ def parse_zoned(text: Column) -> Column:
     """
     zoned = text.rlike(
         r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})\z")
-    return F.when(zoned, F.timestamp_millis(F.unix_millis(text.try_cast("timestamp"))))
+    # Spark wants seconds before a zone, the format does not.
+    full = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    return F.when(zoned, F.timestamp_millis(F.unix_millis(full.try_cast("timestamp"))))
 
 
 def _whole(ms: Column, unit: int) -> Column:
