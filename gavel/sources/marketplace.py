@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gavel.schemas import BIDS, TRANSACTIONS, empty
 from gavel.sources.tables import Tables
+from gavel.streaming.runtime import read_stream
 
 AS_OF = "2024-01-20T00:00:00+00:00"
 SELLERS = 15
@@ -83,9 +84,15 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
-def _events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream."""
+    return read_stream(spark, f"{sf_dir}/events.parquet*", _read(spark, sf_dir, "events").schema)
+
+
+def _events(spark: SparkSession, sf_dir: str, events: DataFrame | None, *types: str) -> DataFrame:
     """Events of the given types with millisecond timestamps."""
-    return (_read(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
+    events = _read(spark, sf_dir, "events") if events is None else events
+    return (events.where(F.col("event_type").isin(*types))
             .withColumn("created_at", F.date_trunc("millisecond", F.col("ts").cast("timestamp"))))
 
 
@@ -96,24 +103,27 @@ def _target_auction(spark: SparkSession, sf_dir: str) -> Column:
         event % (n + n // 10)).cast("long") + 1
 
 
-def bid_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, "click", "view", "purchase").select(
+def bid_attempts(spark: SparkSession, sf_dir: str,
+                 events: DataFrame | None = None) -> DataFrame:
+    return _events(spark, sf_dir, events, "click", "view", "purchase").select(
         (F.col("event_id") + 1).alias("id"),
         _target_auction(spark, sf_dir).alias("auction_id"),
         (F.col("user_id") + 1).alias("bidder_id"),
         F.floor("value").cast("long").alias("amount"), "created_at")
 
 
-def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def login_attempts(spark: SparkSession, sf_dir: str,
+                   events: DataFrame | None = None) -> DataFrame:
     user = F.col("user_id")
-    return _events(spark, sf_dir, "error", "signup").select(
+    return _events(spark, sf_dir, events, "error", "signup").select(
         (F.col("event_id") + 1).alias("id"),
         F.concat(F.lit("10.0.0."), (user % 250).cast("string")).alias("ip"),
         F.concat(F.lit("user"), user.cast("string"), F.lit("@example.com")).alias("email"),
         (F.col("event_type") == "signup").alias("success"), "created_at")
 
 
-def subscribe_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscribe_feed(spark: SparkSession, sf_dir: str,
+                   events: DataFrame | None = None) -> DataFrame:
     """Socket messages: views watch one auction, clicks the whole market, and
     the rest is text, numbers in text and other messages."""
     target = _target_auction(spark, sf_dir).cast("string")
@@ -126,7 +136,7 @@ def subscribe_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == "purchase", message('{"type": "subscribe", "auctionId": "', target, '"}'))
            .when(kind == "click", '{"type": "subscribe", "auctionId": "all"}')
            .when(kind == "signup", '{"type": "ping"}').otherwise("not json"))
-    return _events(spark, sf_dir, "view", "purchase", "click", "signup", "error").select(
+    return _events(spark, sf_dir, events, "view", "purchase", "click", "signup", "error").select(
         (F.col("event_id") + 1).alias("id"), (F.col("user_id") + 1).alias("client_id"),
         raw.alias("raw"), F.col("created_at").alias("ts"))
 

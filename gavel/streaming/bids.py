@@ -1,24 +1,26 @@
 """Live bid acceptance and closing as one stateful stream per auction.
 
 The state of an auction is its price, end and leader. A micro-batch brings the
-new attempts of an auction together, which are judged in (time, id) order with
-whole-array operations; the size of a micro-batch is set at the source
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger``) and bounds what one auction can
-bring at once. An event-time timer at the end closes the auction once the
-watermark has passed it.
+new attempts of an auction together, which are judged in (time, id) order; the
+size of a micro-batch is set at the source (``maxFilesPerTrigger``,
+``maxBytesPerTrigger``) and bounds what one auction can bring at once. An
+event-time timer at the end closes the auction once the watermark has passed it.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from dataclasses import replace
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gavel.operators.replay import ANTI_SNIPE_MS
+from gavel.operators.settle import settle_auctions
+from gavel.plans.views import auction_detail, auction_page
+from gavel.sources.tables import Tables, scan_tables
 
 LATENESS = "10 minutes"
 
@@ -27,62 +29,19 @@ UPDATE_SCHEMA = """kind string, auction_id long, id long, bidder_id long, amount
     created_at timestamp, outcome string, price_after long, end_after timestamp,
     extended boolean, bid_count long"""
 _STATE = """price long, end_ms long, leader long, bid_count long, last_t long, last_id long,
-    open boolean"""
-_NONE = -1
+    is_open boolean"""
 
 
-def judge_batch(rows: pd.DataFrame, state: tuple, window_ms: int) -> tuple[pd.DataFrame, tuple]:
-    """Outcomes of one auction's new attempts and the state after them.
+def _timestamp(ms: int) -> dt.datetime:
+    return dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(milliseconds=ms)
+
+
+class AuctionProcessor(StatefulProcessor):
+    """Judges attempts per auction and closes the auction at its end.
 
     An attempt at or before the last one judged is OUT_OF_ORDER: taking it would
     change results already published.
     """
-    price, end_ms, leader, bid_count, last_t, last_id, is_open = state
-    rows = rows.sort_values(["t", "id"], kind="stable")
-    t, ids = rows["t"].to_numpy("int64"), rows["id"].to_numpy("int64")
-    amount = rows["amount"].fillna(_NONE).to_numpy("int64")
-    bidder = rows["bidder_id"].fillna(_NONE).to_numpy("int64")
-    found = rows["found"].to_numpy(bool)
-    own = found & (bidder == rows["seller_id"].fillna(_NONE).to_numpy("int64"))
-    start = rows["starting_price"].fillna(0).to_numpy("int64")
-
-    late = (t < last_t) | ((t == last_t) & (ids <= last_id))
-    floor = start if bid_count == 0 else np.full(len(rows), price + 1)
-    eligible = found & ~late & ~own & (amount > 0) & (amount >= floor)
-    opening = price if bid_count else _NONE
-    best = np.maximum.accumulate(np.concatenate([[opening], np.where(eligible, amount, _NONE)]))
-    raises = eligible & (amount > best[:-1])
-    ends = np.maximum.accumulate(np.concatenate([[end_ms], np.where(raises, t + window_ms, end_ms)]))
-    closed = np.logical_or.accumulate((t >= ends[:-1]) & ~late) | (not is_open)
-    accepted = raises & ~closed
-
-    had_bid = best[:-1] > _NONE
-    outcome = np.select(
-        [amount <= 0, ~found, late, closed, own, ~had_bid & (amount < floor), ~accepted],
-        ["INVALID_AMOUNT", "NOT_FOUND", "OUT_OF_ORDER", "CLOSED", "OWN_ITEM", "BELOW_START",
-         "TOO_LOW"], "ACCEPTED")
-    end_after = np.maximum(ends[:-1], t + window_ms)
-    judged = pd.DataFrame({
-        "kind": "bid", "auction_id": rows["auction_id"].to_numpy(), "id": ids,
-        "bidder_id": rows["bidder_id"].to_numpy(), "amount": rows["amount"].to_numpy(),
-        "created_at": rows["created_at"].to_numpy(), "outcome": outcome,
-        "price_after": pd.array(np.where(accepted, amount, 0), "Int64"),
-        "end_after": pd.Series(pd.to_datetime(end_after, unit="ms")).where(accepted).to_numpy(),
-        "extended": accepted & (ends[:-1] - t <= window_ms),
-        "bid_count": bid_count + np.cumsum(accepted)})
-    judged.loc[~accepted, "price_after"] = pd.NA
-    if accepted.any():
-        final = np.flatnonzero(accepted)[-1]
-        price, leader, end_ms = int(amount[final]), int(bidder[final]), int(end_after[final])
-        bid_count += int(accepted.sum())
-    if not late.all():
-        newest = np.flatnonzero(~late)[-1]
-        last_t, last_id = int(t[newest]), int(ids[newest])
-    return judged, (price, end_ms, leader, bid_count, last_t, last_id, is_open)
-
-
-class AuctionProcessor(StatefulProcessor):
-    """Judges attempts per auction and closes the auction at its end."""
 
     def __init__(self, window_ms: int):
         self.window_ms = window_ms
@@ -91,44 +50,61 @@ class AuctionProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("auction", _STATE)
 
-    def _open(self, row: pd.Series) -> tuple:
-        return (0, int(row["end_ms"]), _NONE, 0, -1, -1, bool(row["is_open"]))
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        state = self._open(initialState.iloc[0])
-        self.state.update(state)
-        if state[6]:
-            self.handle.registerTimer(state[1])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        known = bool(batch["found"].iloc[0])
-        if self.state.exists():
-            before = self.state.get()
-        else:
-            before = (0, 0, _NONE, 0, -1, -1, True)
-        judged, after = judge_batch(batch, before, self.window_ms)
-        if known:
-            self.state.update(after)
-            if after[1] != before[1]:
-                self.handle.deleteTimer(before[1])
-                self.handle.registerTimer(after[1])
-        yield judged
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        price, end_ms, leader, bid_count, last_t, last_id, _ = self.state.get()
-        self.state.update((price, end_ms, leader, bid_count, last_t, last_id, False))
-        sold = bid_count > 0
-        yield pd.DataFrame({
-            "kind": ["closed"], "auction_id": [key[0]], "id": pd.array([pd.NA], "Int64"),
-            "bidder_id": pd.array([leader if sold else pd.NA], "Int64"),
-            "amount": pd.array([price if sold else pd.NA], "Int64"),
-            "created_at": [pd.Timestamp(end_ms, unit="ms")],
-            "outcome": ["SOLD" if sold else "UNSOLD"],
-            "price_after": pd.array([price if sold else pd.NA], "Int64"),
-            "end_after": [pd.Timestamp(end_ms, unit="ms")], "extended": [False],
-            "bid_count": [bid_count]})
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update((None, initialState.end_ms, None, 0, -1, -1, initialState.is_open))
+        if initialState.is_open:
+            self.handle.registerTimer(initialState.end_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(rows, key=lambda r: (r.t, r.id))
+        if not batch[0].found:
+            for row in batch:
+                bad = row.auction_id is not None and (row.amount is None or row.amount <= 0)
+                yield self._update(row, "INVALID_AMOUNT" if bad else "NOT_FOUND", 0)
+            return
+        if not self.state.exists():  # listed after the stream began
+            self.handleInitialState(key, batch[0], timerValues)
+        price, end, leader, bids, last_t, last_id, is_open = self.state.get()
+        timer = end
+        for row in batch:
+            outcome, extended = "ACCEPTED", False
+            if row.amount is None or row.amount <= 0:
+                outcome = "INVALID_AMOUNT"
+            elif (row.t, row.id) <= (last_t, last_id):
+                outcome = "OUT_OF_ORDER"
+            elif not is_open or row.t >= end:
+                outcome = "CLOSED"
+            elif row.bidder_id == row.seller_id:
+                outcome = "OWN_ITEM"
+            elif price is None and row.amount < row.starting_price:
+                outcome = "BELOW_START"
+            elif price is not None and row.amount <= price:
+                outcome = "TOO_LOW"
+            if outcome == "ACCEPTED":
+                extended = end - row.t <= self.window_ms
+                price, leader, bids = row.amount, row.bidder_id, bids + 1
+                end = max(end, row.t + self.window_ms)
+            last_t, last_id = max((last_t, last_id), (row.t, row.id))
+            yield self._update(row, outcome, bids, end if outcome == "ACCEPTED" else None, extended)
+        self.state.update((price, end, leader, bids, last_t, last_id, is_open))
+        if is_open and end != timer:
+            self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+
+    def _update(self, row: Row, outcome: str, bids: int, end: int | None = None,
+                extended: bool = False) -> Row:
+        taken = end is not None
+        return Row(kind="bid", auction_id=row.auction_id, id=row.id, bidder_id=row.bidder_id,
+                   amount=row.amount, created_at=row.created_at, outcome=outcome,
+                   price_after=row.amount if taken else None,
+                   end_after=_timestamp(end) if taken else None, extended=extended, bid_count=bids)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        price, end, leader, bids, last_t, last_id, _ = self.state.get()
+        self.state.update((price, end, leader, bids, last_t, last_id, False))
+        yield Row(kind="closed", auction_id=key[0], id=None, bidder_id=leader, amount=price,
+                  created_at=_timestamp(end), outcome="SOLD" if bids else "UNSOLD",
+                  price_after=price, end_after=_timestamp(end), extended=False, bid_count=bids)
 
     def close(self) -> None:
         pass
@@ -140,20 +116,20 @@ def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
 
     Every auction starts in the state, so those without a bid are closed too.
     """
-    reference = auctions.select(
-        F.col("id").alias("auction_id"), F.col("item_id"), "starting_price").join(
-        items.select(F.col("id").alias("item_id"), "seller_id"), "item_id").select(
-        "auction_id", "seller_id", "starting_price", F.lit(True).alias("found"))
+    listed = auctions.select(F.col("id").alias("auction_id"), "item_id", "starting_price",
+                             F.unix_millis("end_time").alias("end_ms"),
+                             (F.col("status") == "open").alias("is_open"))
+    reference = listed.join(items.select(F.col("id").alias("item_id"), "seller_id"),
+                            "item_id").drop("item_id").withColumn("found", F.lit(True))
     rows = (attempts.withWatermark("created_at", lateness)
             .join(reference, "auction_id", "left")
             # Attempts without an auction are spread over keys of their own.
             .select(F.coalesce("auction_id", -F.col("id")).alias("key"), "auction_id", "id",
                     "bidder_id", F.col("amount").cast("long").alias("amount"), "created_at",
                     F.unix_millis("created_at").alias("t"), "seller_id", "starting_price",
-                    F.coalesce("found", F.lit(False)).alias("found")))
-    initial = auctions.select(F.col("id").alias("key"), F.unix_millis("end_time").alias("end_ms"),
-                              (F.col("status") == "open").alias("is_open"))
-    return rows.groupBy("key").transformWithStateInPandas(
+                    "end_ms", "is_open", F.coalesce("found", F.lit(False)).alias("found")))
+    initial = listed.select(F.col("auction_id").alias("key"), "end_ms", "is_open")
+    return rows.groupBy("key").transformWithState(
         AuctionProcessor(window_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))
 
@@ -176,3 +152,32 @@ def price_ticks(accepted: DataFrame) -> DataFrame:
     """Price and bid count per auction, in update mode one row per changed auction."""
     return accepted.groupBy(F.col("auction_id").alias("auctionId")).agg(
         F.max("amount").alias("currentPrice"), F.count(F.lit(1)).alias("bidCount"))
+
+
+def close_due(spark: SparkSession, home: str, as_of: Column | str) -> Tables:
+    """One tick of the settlement as a job of its own, for markets without a bid
+    stream: reads the snapshot in ``home`` and returns the next one."""
+    t = scan_tables(spark, home)
+    auctions, invoices = settle_auctions(t.auctions, t.items, t.bids, t.transactions, as_of)
+    return replace(t, auctions=auctions, transactions=t.transactions.unionByName(invoices))
+
+
+def bid_documents(accepted: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
+    """What the watchers of each auction with new bids are sent: the auction, its
+    highest bids and whether the end moved. ``t`` holds the bids already."""
+    touched = accepted.groupBy(F.col("auction_id").alias("auctionId")).agg(
+        F.max("extended").alias("extended"))
+    bids = t.bids.join(touched.select(F.col("auctionId").alias("auction_id")), "auction_id",
+                       "left_semi")
+    auctions = t.auctions.join(touched.select(F.col("auctionId").alias("id")), "id", "left_semi")
+    page = auction_page(replace(t, bids=bids, auctions=auctions), as_of)
+    return page.join(touched, "auctionId").select(
+        F.lit("bid").alias("type"), "auctionId", "auction", "bids", "extended")
+
+
+def closed_documents(closed: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
+    """What the watchers of each closed auction are sent."""
+    ids = closed.select(F.col("auction_id").alias("id"))
+    detail = auction_detail(replace(t, auctions=t.auctions.join(ids, "id", "left_semi")), as_of)
+    return detail.select(F.lit("closed").alias("type"), "auctionId",
+                         F.struct(*detail.columns).alias("auction"))

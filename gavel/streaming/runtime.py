@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.session import shared_dir
@@ -26,16 +27,44 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str,
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available and return what the stream wrote.
+def _home(spark: SparkSession, name: str) -> str:
+    prepare_state_store(spark)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_to_folder(stream: DataFrame, name: str) -> str:
+    """Process everything available and return the folder the stream wrote to.
 
     Output and checkpoint go to a new place in the shared folder.
     """
-    spark = stream.sparkSession
-    prepare_state_store(spark)
-    home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = (stream.writeStream.format("parquet").outputMode(mode)
+    home = _home(stream.sparkSession, name)
+    query = (stream.writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True)
              .start(f"{home}/rows"))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/rows")
+    return f"{home}/rows"
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    return stream.sparkSession.read.schema(stream.schema).parquet(run_to_folder(stream, name))
+
+
+def run_updates(stream: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Process everything available in update mode and return each key's last row.
+
+    A batch that is run again replaces its own folder.
+    """
+    spark = stream.sparkSession
+    home = _home(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch_id={batch_id}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema, T.StructField("batch_id", T.LongType())])
+    values = [c for c in stream.columns if c not in keys]
+    return (spark.read.schema(schema).parquet(f"{home}/rows").groupBy(*keys)
+            .agg(F.max(F.struct("batch_id", *values)).alias("last"))
+            .select(*keys, *[F.col(f"last.{c}") for c in values]))
