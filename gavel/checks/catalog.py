@@ -18,7 +18,7 @@ from gavel.functions import clock, labels, money, text
 from gavel.operators import (checkout, erase, ingest, integrity, ladder, replay, rooms, settle,
                              throttle, validate)
 from gavel.plans import dashboard, views
-from gavel.plans.snapshot import market_snapshot
+from gavel.plans.snapshot import market_snapshot, replay_market
 from gavel.session import prepare, shared_dir
 from gavel.sources import marketplace as source
 from gavel.sources.sinks import json_documents
@@ -58,6 +58,12 @@ def _replayed(spark: SparkSession, sf_dir: str, window_ms: int = replay.ANTI_SNI
                               source.bid_attempts(spark, sf_dir), window_ms)
 
 
+def _replayed_market(spark: SparkSession, sf_dir: str) -> Tables:
+    heard = source.bid_attempts(spark, sf_dir).where(
+        F.col("created_at") <= clock.as_of_column(AS_OF))
+    return replay_market(source.base_tables(spark, sf_dir), heard)
+
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> Tables:
     return market_snapshot(source.base_tables(spark, sf_dir), source.bid_attempts(spark, sf_dir),
                            AS_OF)
@@ -143,7 +149,7 @@ def ingest_listings_auctions(spark, sf_dir):
 
 @query
 def ingest_bids(spark, sf_dir):
-    return _iso(replay.accepted_bids(_replayed(spark, sf_dir)), "created_at")
+    return _iso(replay.accepted(_replayed(spark, sf_dir)).drop("end_after"), "created_at")
 
 
 @query
@@ -158,7 +164,8 @@ def insert_or_ignore_txn(spark, sf_dir):
 
 @query
 def apply_bid_to_auction(spark, sf_dir):
-    updated = replay.apply_bids(source.auctions(spark, sf_dir), _replayed(spark, sf_dir, SIX_HOURS))
+    updated = replay.apply_bids(source.auctions(spark, sf_dir),
+                                replay.accepted(_replayed(spark, sf_dir, SIX_HOURS)))
     return _iso(updated, "end_time").select("id", "starting_price", "current_price", "end_time",
                                             "status")
 
@@ -178,8 +185,7 @@ def sink_json_feed(spark, sf_dir):
 @query
 def erase_cascade(spark, sf_dir):
     t = market(spark, sf_dir)
-    gone = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select(
-        (F.col("c_custkey") + 1).alias("id"))
+    gone = source.users_in_debt(spark, sf_dir)
     kept = erase.erase_cascade(t, gone).items_by_name()
     rows = [df.select(F.lit(name).alias("table_name"), "id",
                       F.col("winner_id") if name == "auctions"
@@ -198,12 +204,8 @@ def auction_card(spark, sf_dir):
 
 @query
 def filter_due(spark, sf_dir):
-    heard = source.bid_attempts(spark, sf_dir).where(
-        F.col("created_at") <= clock.as_of_column(AS_OF))
-    auctions = source.auctions(spark, sf_dir)
-    updated = replay.apply_bids(auctions, replay.replay_bids(
-        auctions, source.items(spark, sf_dir), heard))
-    return _iso(settle.due_auctions(updated, AS_OF), "end_time").select("id", "end_time")
+    t = _replayed_market(spark, sf_dir)
+    return _iso(settle.due_auctions(t.auctions, AS_OF), "end_time").select("id", "end_time")
 
 
 @query
@@ -422,12 +424,8 @@ def transaction_by_auction(spark, sf_dir):
 
 
 def _settled(spark, sf_dir):
-    t = source.base_tables(spark, sf_dir)
-    heard = source.bid_attempts(spark, sf_dir).where(
-        F.col("created_at") <= clock.as_of_column(AS_OF))
-    replayed = replay.replay_bids(t.auctions, t.items, heard)
-    return settle.settle_auctions(replay.apply_bids(t.auctions, replayed), t.items,
-                                  replay.accepted_bids(replayed), t.transactions, AS_OF)
+    t = _replayed_market(spark, sf_dir)
+    return settle.settle_auctions(t.auctions, t.items, t.bids, t.transactions, AS_OF)
 
 
 @query
@@ -618,13 +616,13 @@ def stream_price_ticks(spark, sf_dir):
 def _live_market(spark, sf_dir) -> Tables:
     t = source.base_tables(spark, sf_dir)
     updates = live_updates(spark, sf_dir)
-    replayed = live_bids.bid_outcomes(updates)
+    taken = replay.accepted(live_bids.bid_outcomes(updates))
     closed = live_bids.closings(updates).select(
         F.col("auction_id").alias("id"), F.lit("closed").alias("_status"),
         F.col("winner_id").alias("_winner"))
-    auctions = replay.apply_bids(t.auctions, replayed).join(closed, "id", "left").withColumns({
+    auctions = replay.apply_bids(t.auctions, taken).join(closed, "id", "left").withColumns({
         "status": F.coalesce("_status", "status"), "winner_id": F.coalesce("_winner", "winner_id")})
-    return replace(t, bids=replay.accepted_bids(replayed),
+    return replace(t, bids=taken.drop("end_after"),
                    auctions=auctions.select(*t.auctions.columns))
 
 

@@ -7,7 +7,7 @@ numeric string follows ECMAScript ``Number()``: empty is 0, exponents and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters ECMAScript treats as white space or line ends.
@@ -18,8 +18,19 @@ WHITE_SPACE = (
 )
 
 EMAIL_PATTERN = rf"^[^@{WHITE_SPACE}]+@[^@{WHITE_SPACE}]+\.[^@{WHITE_SPACE}]+\z"
-_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
-_RADIX = {16: r"^0[xX][0-9a-fA-F]+\z", 8: r"^0[oO][0-7]+\z", 2: r"^0[bB][01]+\z"}
+# The number literals of ECMAScript strings.
+_DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+_RADIX = {16: r"^0[xX]([0-9a-fA-F]+)\z", 8: r"^0[oO]([0-7]+)\z", 2: r"^0[bB]([01]+)\z"}
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that many later expressions read.
+
+    A projection would be merged into its readers and computed again for every
+    use; a generator is evaluated once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(
+        *[value.alias(name) for name, value in columns.items()]))))
 
 
 def norm_text(value: Column) -> Column:
@@ -38,17 +49,15 @@ def utf16_length(value: Column) -> Column:
 def to_number(value: Column) -> Column:
     """Numeric value of a form field as a double, null when it is not a number."""
     text = norm_text(value)
-    number = F.when(text == "", F.lit(0.0)).when(text.rlike(_DECIMAL), text.try_cast("double"))
-    for radix, pattern in _RADIX.items():
-        number = number.when(
-            text.rlike(pattern), F.conv(F.substring(text, 3, 64), radix, 10).try_cast("double"))
-    return number
+    others = [F.conv(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), radix, 10)
+              .try_cast("double") for radix, pattern in _RADIX.items()]
+    return F.coalesce(F.when(text == "", F.lit(0.0)),
+                      F.regexp_extract(text, _DECIMAL, 0).try_cast("double"), *others)
 
 
 def is_whole(number: Column) -> Column:
     """True for finite values without a fraction; null input gives false."""
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
-    return F.coalesce(finite & (number == F.floor(number)), F.lit(False))
+    return F.coalesce(number % 1 == 0, F.lit(False))
 
 
 def coerce_id(value: Column) -> Column:

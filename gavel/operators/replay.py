@@ -73,7 +73,7 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
     over = ~F.col("is_open") | (F.col("t") >= F.col("end_now"))
     hist = running(hist, {"closed": ("max", over)}, inclusive=True)
 
-    accepted = F.col("outcome") == "ACCEPTED"
+    taken = F.col("outcome") == "ACCEPTED"
     judged = hist.df.withColumn(
         "outcome",
         F.when(F.col("found").isNull(), "NOT_FOUND")
@@ -85,27 +85,28 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
         .otherwise("ACCEPTED"),
     ).select(
         "id", "auction_id", "bidder_id", "amount", "created_at", "outcome",
-        F.when(accepted, F.col("rupees")).alias("price_after"),
-        F.when(accepted, F.timestamp_millis(
+        F.when(taken, F.col("rupees")).alias("price_after"),
+        F.when(taken, F.timestamp_millis(
             F.greatest(F.col("end_now"), F.col("t") + window_ms))).alias("end_after"),
-        (accepted & (F.col("end_now") - F.col("t") <= window_ms)).alias("extended"))
+        (taken & (F.col("end_now") - F.col("t") <= window_ms)).alias("extended"))
     return judged.unionByName(stateless)
 
 
-def accepted_bids(replayed: DataFrame) -> DataFrame:
-    """Rows to append to ``bids``."""
+def accepted(replayed: DataFrame) -> DataFrame:
+    """Accepted attempts as ``bids`` rows, with the auction end each one left."""
     return replayed.where(F.col("outcome") == "ACCEPTED").select(
-        "id", "auction_id", "bidder_id", F.col("price_after").alias("amount"), "created_at")
+        "id", "auction_id", "bidder_id", F.col("price_after").alias("amount"), "created_at",
+        "end_after")
 
 
-def apply_bids(auctions: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Auctions with the price and end that the accepted bids leave behind.
+def apply_bids(auctions: DataFrame, taken: DataFrame) -> DataFrame:
+    """Auctions with the price and end that accepted bids leave behind.
 
     Bids only raise the price and never bring the end forward, so plain maxima,
     combined before the shuffle, give the last state of each auction.
     """
-    latest = (replayed.where(F.col("outcome") == "ACCEPTED").groupBy("auction_id")
-              .agg(F.max("price_after").alias("_price"), F.max("end_after").alias("_end")))
+    latest = taken.groupBy("auction_id").agg(
+        F.max("amount").alias("_price"), F.max("end_after").alias("_end"))
     return (auctions.join(latest, auctions["id"] == latest["auction_id"], "left")
             .withColumn("current_price", F.coalesce("_price", "current_price"))
             .withColumn("end_time", F.coalesce("_end", "end_time"))

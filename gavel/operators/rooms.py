@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.functions.text import is_whole, to_number
+from gavel.functions.text import computed_once, is_whole, to_number
 from gavel.operators.ordered import history, running
 
 ALL_ROOM = "all"
@@ -21,17 +21,17 @@ def parse_subscribe(messages: DataFrame) -> DataFrame:
     Anything that is not JSON, not a subscription, or names neither ``all`` nor a
     whole number is dropped.
     """
-    message = F.from_json("raw", "type string, auctionId string", {"allowSingleQuotes": "false"})
-    target = F.col("message.auctionId")
     # Bare literals convert to numbers, the same words in quotes do not.
     literal = F.regexp_extract("raw", r'"auctionId"\s*:\s*(true|false|null)\b', 1)
+    read = (messages.select("id", "client_id", "ts", "raw",
+                            F.json_tuple("raw", "type", "auctionId").alias("type", "target"))
+            .where(F.col("type") == "subscribe"))
     number = (F.when(literal == "true", F.lit(1.0)).when(literal != "", F.lit(0.0))
-              .when(target.isNotNull(), to_number(target)))
-    room = F.when(target == ALL_ROOM, ALL_ROOM).when(
-        is_whole(number), number.cast("long").cast("string"))
-    return (messages.withColumn("message", message)
-            .where(F.col("message.type") == "subscribe")
-            .select("id", "client_id", "ts", room.alias("room"))
+              .when(F.col("target").isNotNull(), to_number(F.col("target"))))
+    read = computed_once(read, number=number)
+    room = F.when(F.col("target") == ALL_ROOM, ALL_ROOM).when(
+        is_whole(F.col("number")), F.col("number").cast("long").cast("string"))
+    return (read.select("id", "client_id", "ts", room.alias("room"))
             .where(F.col("room").isNotNull()))
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gavel.functions.clock import DAY, MINUTE, as_of_column, parse_zoned
 from gavel.functions.money import money_inr
-from gavel.functions.text import (EMAIL_PATTERN, is_whole, norm_email, norm_text, safe_image_url,
-                                  to_number, utf16_length)
+from gavel.functions.text import (EMAIL_PATTERN, computed_once, is_whole, norm_email, norm_text,
+                                  safe_image_url, to_number, utf16_length)
 
 # The limits of the forms.
 CATEGORIES = ("Women's Jewelry", "Luxury Watches", "Diamonds")
@@ -24,7 +24,7 @@ MAX_NAME, MIN_PASSWORD = 100, 8
 
 
 def _judge(feed: DataFrame, checks: list[Column]) -> DataFrame:
-    return feed.withColumn("errors", F.array_compact(F.array(*checks)))
+    return computed_once(feed, errors=F.array_compact(F.array(*checks)))
 
 
 def _split(judged: DataFrame, submitted: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -37,14 +37,14 @@ def _split(judged: DataFrame, submitted: list[str]) -> tuple[DataFrame, DataFram
 def judge_listings(feed: DataFrame, as_of: Column | str) -> DataFrame:
     """Listing forms with normalised ``n_*`` columns and ``errors``."""
     price, end_text = to_number(F.col("startingPrice")), norm_text(F.col("endTime"))
-    rows = feed.withColumns({
-        "n_title": norm_text(F.col("title")),
-        "n_description": norm_text(F.col("description")),
-        "n_category": norm_text(F.col("category")),
-        "n_image_url": norm_text(F.col("imageUrl")),
-        "n_price": price,
-        "n_end": parse_zoned(end_text),
-    })
+    rows = computed_once(
+        feed,
+        n_title=norm_text(F.col("title")),
+        n_description=norm_text(F.col("description")),
+        n_category=norm_text(F.col("category")),
+        n_image_url=norm_text(F.col("imageUrl")),
+        n_price=price,
+        n_end=parse_zoned(end_text))
 
     def text_check(name: str, label: str, required: str, limit: int) -> Column:
         return F.when(F.col(name) == "", required).when(
@@ -83,13 +83,13 @@ def validate_listings(feed: DataFrame, as_of: Column | str) -> tuple[DataFrame,
 def judge_registrations(feed: DataFrame) -> DataFrame:
     """Registration forms with normalised ``n_*`` columns and ``errors``."""
     password = F.coalesce("password", F.lit(""))
-    rows = feed.withColumns({
-        "n_first": norm_text(F.col("firstName")),
-        "n_last": norm_text(F.col("lastName")),
-        "n_email": norm_email(F.col("email")),
-        "n_phone": norm_text(F.col("phone")),
-        "n_role": F.when(F.coalesce("seller", F.lit("")) != "", "seller").otherwise("buyer"),
-    })
+    rows = computed_once(
+        feed,
+        n_first=norm_text(F.col("firstName")),
+        n_last=norm_text(F.col("lastName")),
+        n_email=norm_email(F.col("email")),
+        n_phone=norm_text(F.col("phone")),
+        n_role=F.when(F.coalesce("seller", F.lit("")) != "", "seller").otherwise("buyer"))
     too_long = (utf16_length(F.col("n_first")) > MAX_NAME) | (
         utf16_length(F.col("n_last")) > MAX_NAME)
     return _judge(rows, [

@@ -8,6 +8,8 @@ expressions, so the feeds grow with the tables they come from.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,27 @@ def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
+# The source columns used here; nothing is inferred from the files.
+SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_acctbal double, c_mktsegment string",
+    "part": """p_partkey long, p_name string, p_brand string, p_type string, p_size int,
+        p_retailprice double""",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+@functools.cache
+def _rows(app: str, spark: SparkSession, sf_dir: str, name: str) -> int:
+    return _read(spark, sf_dir, name).count()
 
 
 def part_count(spark: SparkSession, sf_dir: str) -> int:
-    """Number of items; answered from the file footers."""
-    return _read(spark, sf_dir, "part").count()
+    """Number of items; answered from the file footers, once per session."""
+    return _rows(spark.sparkContext.applicationId, spark, sf_dir, "part")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +62,12 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ts("2023-12-01 00:00:00").alias("created_at"))
 
 
+def users_in_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the users to erase in the erasure check."""
+    return _read(spark, sf_dir, "customer").where("c_acctbal < 0").select(
+        (F.col("c_custkey") + 1).alias("id"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return _read(spark, sf_dir, "part").select(
@@ -86,7 +108,7 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream."""
-    return read_stream(spark, f"{sf_dir}/events.parquet*", _read(spark, sf_dir, "events").schema)
+    return read_stream(spark, f"{sf_dir}/events.parquet*", SCHEMAS["events"])
 
 
 def _events(spark: SparkSession, sf_dir: str, events: DataFrame | None, *types: str) -> DataFrame:
