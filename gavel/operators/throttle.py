@@ -43,13 +43,12 @@ def _successors(hist: History, max_failures: int, window_ms: int) -> DataFrame:
         *key, "run", F.col("t").alias("clear_t"), F.col("n").alias("clear_n"))
     # The number of failures before the end of the window: count them on a
     # history of the failures and the window ends, ends first among equals.
-    ends = failures.select(*key, F.lit(0).alias("kind"), (F.col("t") + window_ms).alias("t"),
-                           "id", F.col("n").alias("anchor"))
-    marks = failures.select(*key, F.lit(1).alias("kind"), "t", "id",
-                            F.lit(None).cast("long").alias("anchor"))
-    expiry = running(history(ends.unionByName(marks), key, ["t", "kind", "id"]),
+    marks = failures.select(*key, "id", "n", F.inline(F.array(
+        F.struct(F.lit(0).alias("kind"), (F.col("t") + window_ms).alias("t")),
+        F.struct(F.lit(1).alias("kind"), F.col("t").alias("t")))))
+    expiry = running(history(marks, key, ["t", "kind", "id"]),
                      {"expiry_n": ("sum", F.col("kind"))}).df.where("kind = 0").select(
-        *key, F.col("anchor").alias("n"), F.col("expiry_n").cast("long"))
+        *key, "n", F.col("expiry_n").cast("long"))
 
     locks = F.col("full_t") < F.col("t") + window_ms
     clears = F.col("clear_t") < F.col("t") + window_ms
