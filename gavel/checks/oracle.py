@@ -435,7 +435,7 @@ signals AS (
   SELECT user_id + 1 AS client_id, ts, id,
          lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id) AS previous FROM requests),
 numbered AS (
-  SELECT *, sum(CASE WHEN previous IS NULL OR epoch_ms(ts) - epoch_ms(previous) >= {SIX_HOURS}
+  SELECT *, sum(CASE WHEN previous IS NULL OR epoch_ms(ts) - epoch_ms(previous) > {SIX_HOURS}
                      THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY ts, id) AS session
   FROM signals),
 sessions AS (

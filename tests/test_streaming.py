@@ -1,0 +1,87 @@
+import pytest
+from tests.conftest import at, millis
+from tests.test_replay import ATTEMPT, AUCTION, W, random_market, sequential
+from tests.test_throttle_checkout import LOGIN, attack
+from tests.test_throttle_checkout import sequential as throttled
+
+from gavel.operators.rooms import viewer_sessions
+from gavel.streaming import bids as live
+from gavel.streaming import rooms, throttle
+from gavel.streaming.runtime import prepare_state_store, read_stream, run_to_table, run_updates
+
+SIGNAL = "id long, client_id long, ts timestamp"
+
+
+def write_batches(spark, rows, schema, path, time_column, n=4):
+    """Rows in time order as ``n`` files, each one micro-batch."""
+    order = schema.replace(",", " ").split()[::2].index(time_column)
+    rows = sorted(rows, key=lambda r: (r[order], r[0]))
+    step = -(-len(rows) // n)
+    for i in range(n):
+        spark.createDataFrame(rows[i * step:(i + 1) * step], schema).coalesce(1).write.mode(
+            "append").parquet(path)
+    return read_stream(spark, path, schema, files_per_trigger=1)
+
+
+def test_stream_equals_the_rules_over_several_batches(spark, tmp_path):
+    auctions, sellers, attempts = random_market(11, n_attempts=600)
+    attempts = [a for a in attempts if a[3] is None or a[3] == int(a[3])]
+    stream = write_batches(spark, attempts, ATTEMPT, f"{tmp_path}/in", "created_at")
+    adf = spark.createDataFrame([(*a[:6], 0) for a in auctions], AUCTION)
+    items = spark.createDataFrame(list(sellers.items()), "id long, seller_id long")
+    updates = run_to_table(live.stream_updates(stream, adf, items, W, "0 seconds"), "bids")
+    expected, state = sequential([(*a[:6], 0) for a in auctions], sellers, attempts, W)
+    got = live.bid_outcomes(updates).collect()
+    assert {r.id: (r.outcome, r.price_after, None if r.end_after is None else millis(r.end_after),
+                   r.extended) for r in got} == expected
+    last = max(millis(a[4]) for a in attempts)
+    closed = {r.auction_id: (millis(r.end_time), r.amount, r.bid_count)
+              for r in live.closings(updates).collect()}
+    assert closed == {a: (s["end"], s["price"] if s["bids"] else None, s["bids"])
+                      for a, s in state.items() if s["open"] and s["end"] <= last}
+
+
+def test_a_restarted_stream_continues_from_its_checkpoint(spark, tmp_path):
+    prepare_state_store(spark)
+    adf = spark.createDataFrame([(1, 1, 10, 10, at(600_000), "open", 0)], AUCTION)
+    items = spark.createDataFrame([(1, 9)], "id long, seller_id long")
+
+    def run(rows):
+        spark.createDataFrame(rows, ATTEMPT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = read_stream(spark, f"{tmp_path}/in", ATTEMPT)
+        (live.stream_updates(stream, adf, items, W).writeStream.format("parquet")
+         .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+         .start(f"{tmp_path}/out").awaitTermination())
+        got = spark.read.schema(live.UPDATE_SCHEMA).parquet(f"{tmp_path}/out")
+        return {r.id: r.outcome for r in live.bid_outcomes(got).collect()}
+
+    assert run([(1, 1, 2, 10.0, at(1_000)), (5, 1, 3, 20.0, at(5_000))]) == {
+        1: "ACCEPTED", 5: "ACCEPTED"}
+    assert run([(3, 1, 2, 30.0, at(3_000)), (6, 1, 2, 20.0, at(6_000)), (7, 1, 2, 21.0, at(7_000))]) == {
+        1: "ACCEPTED", 5: "ACCEPTED", 3: "OUT_OF_ORDER", 6: "TOO_LOW", 7: "ACCEPTED"}
+
+
+@pytest.mark.parametrize("limit,window", [(3, 1_000), (10, 4_000)])
+def test_throttle_stream_equals_the_counter(spark, tmp_path, limit, window):
+    rows = attack(limit, 500)
+    stream = write_batches(spark, rows, LOGIN, f"{tmp_path}/in", "created_at")
+    got = run_to_table(throttle.stream_throttle(stream, limit, window, "0 seconds"), "logins").collect()
+    assert {r.id: r.outcome for r in got} == throttled(rows, limit, window)
+
+
+def test_price_ticks_keep_the_last_price(spark, tmp_path):
+    rows = [(i, 1 + i % 3, 2, float(10 + i), at(i)) for i in range(40)]
+    stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at")
+    got = run_updates(live.price_ticks(stream), "ticks", "auctionId").collect()
+    assert {r.auctionId: (r.currentPrice, r.bidCount) for r in got} == {1: (49.0, 14), 2: (47.0, 13),
+                                                                       3: (48.0, 13)}
+
+
+def test_session_stream_equals_the_batch_for_finished_sessions(spark, tmp_path):
+    rows = [(i, i % 3, at(t)) for i, t in enumerate(
+        [0, 0, 5_000, 29_999, 30_000, 64_000, 60_000, 61_000, 65_000, 200_000, 201_000, 400_000])]
+    stream = write_batches(spark, rows, SIGNAL, f"{tmp_path}/in", "ts", n=2)
+    got = run_to_table(rooms.stream_sessions(stream, "30 seconds", "0 seconds"), "sessions").collect()
+    batch = viewer_sessions(spark.createDataFrame(rows, SIGNAL), 30_000).collect()
+    ended = {tuple(r) for r in batch if millis(r.session_end) + 30_000 <= 400_000}
+    assert {tuple(r) for r in got} == ended
