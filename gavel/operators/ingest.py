@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.clock import as_of_column
 from gavel.functions.text import norm_email
-
-# Feed ids are unique, so no id bucket can hold more rows than this.
-ID_BUCKET = 1_000_000
-
+from gavel.operators.ordered import position
 
 def max_id(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
 def with_next_ids(rows: DataFrame, feed_key: str, after: int, name: str = "id") -> DataFrame:
-    """Number rows ``after`` + 1, 2, … in ``feed_key`` order without one global sort.
+    """Number rows ``after`` + 1, 2, … in the order of the unique ``feed_key``.
 
-    Rows are ranked within buckets of the key, and each bucket starts where the
-    counts of the buckets before it end.
+    The whole feed is one history, so a feed too large for one task is cut into
+    ranges of the key and numbered range by range.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col(feed_key) / ID_BUCKET))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per bucket, a millionth of the feed or less for dense keys.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(feed_key))
-    return (bucketed.withColumn("_rank", rank).join(starts, "_bucket")
-            .withColumn(name, (F.col("_start") + F.col("_rank") + after).cast("long"))
-            .drop("_bucket", "_rank", "_start"))
+    numbered = position(rows.withColumn("_feed", F.lit(0)), ["_feed"], [feed_key], "_nth")
+    return numbered.withColumn(name, F.col("_nth") + after).drop("_feed", "_nth")
 
 
 def users_by_email(users: DataFrame, emails: DataFrame) -> DataFrame:
@@ -72,12 +62,12 @@ def ingest_listings(items: DataFrame, auctions: DataFrame, valid: DataFrame,
     """
     now = as_of_column(as_of)
     first_item, first_auction = max_id(items), max_id(auctions)
-    rows = with_next_ids(valid, "feed_id", 0, "_nth").withColumn("created_at", now)
-    item_id = F.col("_nth") + first_item
+    rows = with_next_ids(valid, "feed_id", 0, "nth").withColumn("created_at", now)
+    item_id = F.col("nth") + first_item
     new_items = rows.select(item_id.alias("id"), "seller_id", "title", "description", "category",
                             "image_url", "created_at")
     new_auctions = rows.select(
-        (F.col("_nth") + first_auction).alias("id"), item_id.alias("item_id"), "starting_price",
+        (F.col("nth") + first_auction).alias("id"), item_id.alias("item_id"), "starting_price",
         F.col("starting_price").alias("current_price"), F.col("created_at").alias("start_time"),
         "end_time", F.lit("open").alias("status"), F.lit(None).cast("long").alias("winner_id"),
         "created_at")

@@ -142,13 +142,11 @@ def replay_login_throttle(attempts: DataFrame, max_failures: int = MAX_FAILURES,
                            F.unix_millis("created_at").alias("t"))
     fold_rows = int(attempts.sparkSession.conf.get(FOLD_ROWS_CONF, str(FOLD_ROWS)))
     shared_dir(attempts.sparkSession)
-    # At most rows / fold_rows keys.
     large = (rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
              .where(F.col("_rows") > fold_rows).select(*key).checkpoint())
     if large.isEmpty():
         judged = _fold(rows, max_failures, window_ms)
     else:
-        large = F.broadcast(large)
         judged = _fold(rows.join(large, key, "left_anti"), max_failures, window_ms).unionByName(
             _jump(rows.join(large, key, "left_semi"), max_failures, window_ms))
     return judged.select(

@@ -67,16 +67,18 @@ def auction_cards(t: Tables) -> DataFrame:
 def open_auctions_feed(t: Tables, limit: int = FEED_ROWS) -> DataFrame:
     """The open auctions that end first, with their seller.
 
-    Only the feed's own auctions have their bids counted: the few ids go to the
-    scan of the bids, not the bids to a shuffle.
+    Every auction has its item and seller, so the first ``limit`` auctions are
+    taken before any join. They are few enough to broadcast to the scans of the
+    other tables, and nothing large is shuffled.
     """
-    feed = (_auction_columns(t.auctions.where(is_open(F.col("status"))))
-            .join(_item_columns(t.items), "itemId")
-            .join(_people(t.users, "sellerId", "sellerName"), "sellerId")
-            .orderBy("endTime", "auctionId").limit(limit))
-    shown = F.broadcast(feed.select(F.col("auctionId").alias("auction_id")))
-    counted = with_bid_count(feed, t.bids.join(shown, "auction_id", "left_semi"))
-    return _iso(counted, "endTime").select(*CARD, "sellerId", "sellerName")
+    shown = F.broadcast(_auction_columns(t.auctions.where(is_open(F.col("status"))))
+                        .orderBy("endTime", "auctionId").limit(limit))
+    items = F.broadcast(_item_columns(t.items).join(shown, "itemId"))
+    sold_by = _people(t.users, "sellerId", "sellerName").join(items, "sellerId")
+    ids = F.broadcast(shown.select(F.col("auctionId").alias("auction_id")))
+    counted = with_bid_count(sold_by, t.bids.join(ids, "auction_id", "left_semi"))
+    return _iso(counted.orderBy("endTime", "auctionId"), "endTime").select(
+        *CARD, "sellerId", "sellerName")
 
 
 def category_feed(t: Tables, category: str, limit: int = HOME_FEED_ROWS) -> DataFrame:

@@ -53,6 +53,12 @@ def test_ladder_matches_the_demo_market(seeded):
         "auctions_with_bids": 4, "violations": 0}
 
 
+def test_feed_shuffles_only_its_own_rows(spark, seeded, tmp_path):
+    stored = scan_tables(spark, write_tables(seeded, f"{tmp_path}/four"))
+    plan = views.open_auctions_feed(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "SortMergeJoin" not in plan
+
+
 def test_feed_puts_the_soonest_end_first(seeded):
     rows = views.open_auctions_feed(seeded, 3).collect()
     assert [r.auctionId for r in rows] == [2, 1, 3]
@@ -80,8 +86,9 @@ def test_history_and_received_take_the_top_rows(seeded):
     assert {r.auctionId for r in by_seller[2]} == {1, 3}
 
 
-def test_rank_limit_runs_before_the_shuffle(seeded):
-    plan = views.bid_history_topk(seeded)._jdf.queryExecution().executedPlan().toString()
+def test_rank_limit_runs_before_the_shuffle(spark, seeded, tmp_path):
+    stored = scan_tables(spark, write_tables(seeded, f"{tmp_path}/three"))
+    plan = views.bid_history_topk(stored)._jdf.queryExecution().executedPlan().toString()
     limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
     assert any("Partial" in line for line in limits) and any("Final" in line for line in limits)
 

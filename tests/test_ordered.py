@@ -72,8 +72,8 @@ def test_small_inputs_need_no_counting(spark):
     assert may_be_hot(df, 100)
 
 
-def test_next_ids_are_dense_across_buckets(spark):
-    keys = [3, 999_999, 1_000_000, 5_500_000, 5_500_001, 12]
+def test_next_ids_are_dense_in_key_order(spark, hot):
+    keys = [3, 999_999, 1_000_000, 5_500_000, 5_500_001, 12] + list(range(100, 200))
     df = spark.createDataFrame([(k,) for k in keys], "feed_id long")
     got = {r.feed_id: r.id for r in with_next_ids(df, "feed_id", 40).collect()}
     assert got == {k: 41 + i for i, k in enumerate(sorted(keys))}
