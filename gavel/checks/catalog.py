@@ -22,11 +22,11 @@ from gavel.plans.snapshot import market_snapshot, replay_market
 from gavel.session import prepare, shared_dir
 from gavel.sources import marketplace as source
 from gavel.sources.sinks import json_documents
-from gavel.sources.tables import Tables, scan_tables, write_tables
+from gavel.sources.tables import Tables, append_rows, scan_table, scan_tables, write_tables
 from gavel.streaming import bids as live_bids
 from gavel.streaming import rooms as live_rooms
 from gavel.streaming import throttle as live_throttle
-from gavel.streaming.runtime import read_stream, run_to_folder, run_to_table, run_updates
+from gavel.streaming.runtime import read_stream, run_batches, run_to_folder, run_to_table, run_updates
 
 AS_OF = source.AS_OF
 SIX_HOURS = 6 * clock.HOUR
@@ -81,8 +81,14 @@ def market(spark: SparkSession, sf_dir: str) -> Tables:
 def market_with_payments(spark: SparkSession, sf_dir: str) -> Tables:
     """The stored market after its payment attempts."""
     t = market(spark, sf_dir)
-    paid = checkout.replay_checkout(t.transactions, source.payment_attempts(t.auctions))
-    return replace(t, transactions=checkout.apply_payments(t.transactions, paid))
+
+    def build() -> Tables:
+        paid = checkout.replay_checkout(t.transactions, source.payment_attempts(t.auctions))
+        path = f"{shared_dir(spark)}/paid-{uuid.uuid4().hex}"
+        append_rows(checkout.apply_payments(t.transactions, paid), path, "transactions")
+        return replace(t, transactions=scan_table(spark, path, "transactions"))
+
+    return _once(spark, "paid market", sf_dir, build)
 
 
 def _iso(df: DataFrame, *columns: str) -> DataFrame:
@@ -602,14 +608,14 @@ def stream_close(spark, sf_dir):
     return _iso(live_bids.closings(live_updates(spark, sf_dir)), "end_time")
 
 
-def _live_accepted(spark, sf_dir):
-    return live_updates(spark, sf_dir).where("outcome = 'ACCEPTED'")
+def _update_stream(spark, sf_dir) -> DataFrame:
+    return read_stream(spark, live_folder(spark, sf_dir), live_bids.UPDATE_SCHEMA)
 
 
 @query
 def stream_price_ticks(spark, sf_dir):
-    stream = read_stream(spark, live_folder(spark, sf_dir), live_bids.UPDATE_SCHEMA)
-    ticks = live_bids.price_ticks(stream.where("outcome = 'ACCEPTED'"))
+    stream = _update_stream(spark, sf_dir)
+    ticks = live_bids.price_ticks(live_bids.accepted_updates(stream))
     return run_updates(ticks, "ticks", "auctionId")
 
 
@@ -628,8 +634,9 @@ def _live_market(spark, sf_dir) -> Tables:
 
 @query
 def stream_bid_updates(spark, sf_dir):
-    documents = live_bids.bid_documents(_live_accepted(spark, sf_dir), _live_market(spark, sf_dir),
-                                        AS_OF)
+    t = _live_market(spark, sf_dir)
+    documents = run_batches(_update_stream(spark, sf_dir), "documents", lambda batch:
+                            live_bids.bid_documents(live_bids.accepted_updates(batch), t, AS_OF))
     return documents.select("type", "auctionId", "extended",
                             F.col("auction.currentPrice").alias("currentPrice"),
                             F.size("bids").cast("long").alias("bids"),
@@ -638,8 +645,9 @@ def stream_bid_updates(spark, sf_dir):
 
 @query
 def stream_closed(spark, sf_dir):
-    documents = live_bids.closed_documents(live_bids.closings(live_updates(spark, sf_dir)),
-                                           _live_market(spark, sf_dir), AS_OF)
+    t = _live_market(spark, sf_dir)
+    documents = run_batches(_update_stream(spark, sf_dir), "closed", lambda batch:
+                            live_bids.closed_documents(live_bids.closings(batch), t, AS_OF))
     return documents.select("type", "auctionId", F.col("auction.status").alias("status"),
                             F.col("auction.winnerName").alias("winnerName"),
                             F.col("auction.currentPrice").alias("currentPrice"),

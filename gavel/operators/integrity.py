@@ -43,39 +43,57 @@ def _row_rules(table: str, df: DataFrame, rules: list[tuple[str, Column, Column]
         "v.rule", "table_name", "row_key", "v.detail")
 
 
-def check_domains(t: Tables) -> DataFrame:
-    """Enumerated columns outside their value set."""
-    def rule(column: str, allowed: tuple[str, ...]) -> tuple[str, Column, Column]:
-        return f"domain:{column}", ~F.col(column).isin(*allowed), F.col(column)
+Rule = tuple[str, Column, Column]
 
-    return _union([
-        _row_rules("users", t.users, [rule("role", schemas.ROLES)]),
-        _row_rules("auctions", t.auctions, [rule("status", schemas.AUCTION_STATUSES)]),
-        _row_rules("transactions", t.transactions, [rule("status", schemas.PAYMENT_STATUSES)]),
-    ])
 
+def _domain(column: str, allowed: tuple[str, ...]) -> Rule:
+    return f"domain:{column}", ~F.col(column).isin(*allowed), F.col(column)
 
-def check_ranges(t: Tables) -> DataFrame:
-    """Negative prices, amounts that are not positive, ends before starts."""
-    def below(column: str, least: int) -> tuple[str, Column, Column]:
-        return f"range:{column}", F.col(column) < least, F.col(column)
 
+def _at_least(column: str, least: int) -> Rule:
+    return f"range:{column}", F.col(column) < least, F.col(column)
+
+
+def _domain_rules() -> dict[str, list[Rule]]:
+    return {"users": [_domain("role", schemas.ROLES)],
+            "auctions": [_domain("status", schemas.AUCTION_STATUSES)],
+            "transactions": [_domain("status", schemas.PAYMENT_STATUSES)]}
+
+
+def _range_rules() -> dict[str, list[Rule]]:
     order = ("range:end_time", F.col("end_time") <= F.col("start_time"),
              F.unix_millis("end_time") - F.unix_millis("start_time"))
-    return _union([
-        _row_rules("auctions", t.auctions,
-                   [below("starting_price", 0), below("current_price", 0), order]),
-        _row_rules("bids", t.bids, [below("amount", 1)]),
-        _row_rules("transactions", t.transactions, [below("amount", 1)]),
-    ])
+    return {"auctions": [_at_least("starting_price", 0), _at_least("current_price", 0), order],
+            "bids": [_at_least("amount", 1)], "transactions": [_at_least("amount", 1)]}
+
+
+def _not_null_rules() -> dict[str, list[Rule]]:
+    return {name: [(f"not_null:{f.name}", F.col(f.name).isNull(), F.lit(None))
+                   for f in schema if not f.nullable]
+            for name, schema in schemas.TABLES.items()}
+
+
+def _check_rows(t: Tables, *rules: dict[str, list[Rule]]) -> DataFrame:
+    """All given rules, with one scan of each table they concern."""
+    combined = {name: [rule for group in rules for rule in group.get(name, [])]
+                for name in schemas.TABLES}
+    return _union([_row_rules(name, df, combined[name])
+                   for name, df in t.items_by_name().items() if combined[name]])
+
+
+def check_domains(t: Tables) -> DataFrame:
+    """Enumerated columns outside their value set."""
+    return _check_rows(t, _domain_rules())
+
+
+def check_ranges(t: Tables) -> DataFrame:
+    """Negative prices, amounts that are not positive, ends before starts."""
+    return _check_rows(t, _range_rules())
 
 
 def check_not_null(t: Tables) -> DataFrame:
     """Nulls in columns declared NOT NULL."""
-    return _union([
-        _row_rules(name, df, [(f"not_null:{f.name}", F.col(f.name).isNull(), F.lit(None))
-                              for f in schemas.TABLES[name] if not f.nullable])
-        for name, df in t.items_by_name().items()])
+    return _check_rows(t, _not_null_rules())
 
 
 def check_unique(t: Tables) -> DataFrame:
@@ -136,5 +154,5 @@ def check_integrity(t: Tables) -> DataFrame:
         F.lit("invariant:current_price").alias("rule"), F.lit("auctions").alias("table_name"),
         F.col("auction_id").cast("string").alias("row_key"),
         F.col("top_bid").cast("string").alias("detail"))
-    return _union([check_domains(t), check_ranges(t), check_not_null(t), check_unique(t),
-                   check_foreign_keys(t), price])
+    rows = _check_rows(t, _domain_rules(), _range_rules(), _not_null_rules())
+    return _union([rows, check_unique(t), check_foreign_keys(t), price])

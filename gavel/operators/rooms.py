@@ -56,23 +56,21 @@ def update_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
     an audience is a running sum per room; no update is paired with clients.
     Of things at the same instant, subscriptions come first.
     """
-    moves = running(
-        history(subscriptions.withColumn("t", F.unix_millis("ts")), ["client_id"], ["t", "id"]),
-        {"left": ("max", F.struct("t", "id", "room"))}).df
-    change = F.explode(F.array(
+    hist = running(
+        history(subscriptions.select("id", "client_id", "room", F.unix_millis("ts").alias("t")),
+                ["client_id"], ["t", "id"]),
+        {"last": ("max", F.struct("t", "id", "room"))})
+    # Subscribing again to the same room changes nothing.
+    moves = hist.df.where(~F.col("room").eqNullSafe(F.col("last.room")))
+    steps = moves.select("id", "t", F.lit(0).alias("kind"), F.inline(F.array(
         F.struct(F.col("room").alias("room"), F.lit(1).alias("step")),
-        F.struct(F.col("left.room").alias("room"), F.lit(-1).alias("step"))))
-    steps = moves.select("t", "id", change.alias("c")).where(
-        F.col("c.room").isNotNull()).select(
-        F.col("c.room").alias("room"), "t", F.lit(0).alias("kind"), "id", F.col("c.step").alias("step"))
-    # One mark per (room, instant) keeps the order total although a client that
-    # re-enters its room yields two steps of the same id.
-    steps = steps.groupBy("room", "t", "kind", "id").agg(F.sum("step").alias("step"))
+        F.struct(F.col("last.room").alias("room"), F.lit(-1).alias("step"))))).where(
+        F.col("room").isNotNull())
 
     asked = updates.select(
         F.col("id"), F.unix_millis("ts").alias("t"),
         F.explode(F.array(F.col("auction_id").cast("string"), F.lit(ALL_ROOM))).alias("room"))
-    marks = asked.select("room", "t", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("step"))
+    marks = asked.select("room", "t", F.lit(1).alias("kind"), "id", F.lit(0).alias("step"))
     counted = running(history(steps.unionByName(marks), ["room"], ["t", "kind", "id"]),
                       {"clients": ("sum", F.col("step"))}).df.where("kind = 1")
     in_all = F.col("room") == ALL_ROOM

@@ -21,13 +21,16 @@ class Tables:
         return {name: getattr(self, name) for name in TABLES}
 
 
+def scan_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.schema(TABLES[table]).format(fmt).load(f"{path}/{table}")
+
+
 def scan_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     """Read the tables below ``path`` with their declared schema, nothing inferred.
 
     Columns the schema does not name, such as a password hash, are never read.
     """
-    return Tables(**{name: spark.read.schema(schema).format(fmt).load(f"{path}/{name}")
-                     for name, schema in TABLES.items()})
+    return Tables(**{name: scan_table(spark, path, name, fmt) for name in TABLES})
 
 
 # Row order within the stored tables, by which lookups and the due scan skip row

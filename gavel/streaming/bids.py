@@ -141,6 +141,10 @@ def bid_outcomes(updates: DataFrame) -> DataFrame:
         "end_after", "extended")
 
 
+def accepted_updates(updates: DataFrame) -> DataFrame:
+    return updates.where((F.col("kind") == "bid") & (F.col("outcome") == "ACCEPTED"))
+
+
 def closings(updates: DataFrame) -> DataFrame:
     """The closing side: (auction_id, end_time, winner_id, amount, bid_count)."""
     return updates.where(F.col("kind") == "closed").select(

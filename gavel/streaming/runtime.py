@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,22 +58,28 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(run_to_folder(stream, name))
 
 
-def run_updates(stream: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Process everything available in update mode and return each key's last row.
+def run_batches(stream: DataFrame, name: str, build: Callable[[DataFrame], DataFrame],
+                mode: str = "append") -> DataFrame:
+    """Process everything available, writing ``build(batch)`` for each micro-batch.
 
-    A batch that is run again replaces its own folder.
+    Returns the rows of all batches with their ``batch_id``. A batch that is run
+    again replaces its own folder.
     """
     spark = stream.sparkSession
     home = _home(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/rows/batch_id={batch_id}")
+        build(batch).write.mode("overwrite").parquet(f"{home}/rows/batch_id={batch_id}")
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(write)
+    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
-    schema = T.StructType([*stream.schema, T.StructField("batch_id", T.LongType())])
+    return spark.read.parquet(f"{home}/rows").withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def run_updates(stream: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Process everything available in update mode and return each key's last row."""
     values = [c for c in stream.columns if c not in keys]
-    return (spark.read.schema(schema).parquet(f"{home}/rows").groupBy(*keys)
-            .agg(F.max(F.struct("batch_id", *values)).alias("last"))
+    rows = run_batches(stream, name, lambda batch: batch, "update")
+    return (rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *values)).alias("last"))
             .select(*keys, *[F.col(f"last.{c}") for c in values]))
