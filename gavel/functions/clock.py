@@ -31,15 +31,18 @@ def iso_utc(ts: Column) -> Column:
 
 
 def parse_zoned(text: Column) -> Column:
-    """Timestamp of an ISO-8601 text that names its zone; null for all others.
+    """Timestamp of an ISO-8601 text that names its zone, or of a date alone, which
+    is midnight UTC; null for all others.
 
-    Text without a zone would mean the reader's own zone, so it is refused.
+    A time without a zone would mean the reader's own zone, so it is refused.
     """
     zoned = text.rlike(
         r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})\z")
     # Spark wants seconds before a zone, the format does not.
     full = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
-    return F.when(zoned, F.timestamp_millis(F.unix_millis(full.try_cast("timestamp"))))
+    full = F.when(zoned, full).when(
+        text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.concat(text, F.lit("T00:00:00Z")))
+    return F.timestamp_millis(F.unix_millis(full.try_cast("timestamp")))
 
 
 def _whole(ms: Column, unit: int) -> Column:

@@ -21,6 +21,8 @@ EMAIL_PATTERN = rf"^[^@{WHITE_SPACE}]+@[^@{WHITE_SPACE}]+\.[^@{WHITE_SPACE}]+\z"
 # The number literals of ECMAScript strings.
 _DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 _RADIX = {16: r"^0[xX]([0-9a-fA-F]+)\z", 8: r"^0[oO]([0-7]+)\z", 2: r"^0[bB]([01]+)\z"}
+# A bracketed address or a name without forbidden characters.
+_HOST = r"^(?:\[[0-9a-fA-F:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?\z"
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -76,9 +78,9 @@ def masked_name(first: Column, last: Column) -> Column:
 
 
 def safe_image_url(value: Column) -> Column:
-    """True when the value is an absolute http(s) address with a host."""
-    web = value.rlike(r"(?i)^https?:[/\\]*[^/\\?#\s]")
-    host = F.regexp_extract(value, r"(?i)^https?:[/\\]*([^/\\?#]*)", 1)
-    # A host may not hold these characters once credentials and port are cut off.
-    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*\z", "")
-    return F.coalesce(web & (bare != "") & ~bare.rlike(r"[\s<>^|%:]"), F.lit(False))
+    """True when the value is an absolute http(s) address with a host and a port
+    that exists."""
+    authority = F.regexp_extract(value, r"(?i)^https?:[/\\]*([^/\\?#]*)", 1)
+    place = F.regexp_replace(authority, r"^.*@", "")
+    port = F.regexp_extract(place, r":([0-9]+)\z", 1).try_cast("decimal(38,0)")
+    return F.coalesce(place.rlike(_HOST) & (F.coalesce(port, F.lit(0)) <= 65535), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavel.operators.ordered import lookup
+
 # Messages of the refusals.
 CHECKOUT_ERRORS = {
     "NOT_FOUND": "No payment is due for that auction.",
@@ -17,8 +19,8 @@ def first_payments(transactions: DataFrame, attempts: DataFrame) -> DataFrame:
     """(auction_id, paid_at, paid_by): the attempt that settles each pending invoice."""
     payable = transactions.where(F.col("status") == "pending").select(
         "auction_id", "buyer_id", F.col("created_at").alias("_due_from"))
-    return (attempts.select("id", "auction_id", "buyer_id", "created_at")
-            .join(payable, ["auction_id", "buyer_id"])
+    tried = attempts.select("id", "auction_id", "buyer_id", "created_at")
+    return (lookup(tried, payable, ["auction_id", "buyer_id"], "inner")
             .where(F.col("created_at") >= F.col("_due_from"))
             .groupBy("auction_id")
             .agg(F.min(F.struct("created_at", "id")).alias("first"))
@@ -30,22 +32,23 @@ def replay_checkout(transactions: DataFrame, attempts: DataFrame) -> DataFrame:
     """Attempts with ``outcome``; an invoice exists from its ``created_at`` on.
 
     Only the winner's first attempt pays, so the state of an invoice is one
-    minimum per auction, combined before the shuffle. It is joined back like any
-    reference row, which AQE can split for a hot auction.
+    minimum per auction, combined before the shuffle and looked up by the attempts.
     """
-    first = first_payments(transactions, attempts)
+    attempts = attempts.select("id", "auction_id", "buyer_id", "created_at")
+    named = attempts.where(F.col("auction_id").isNotNull())
     invoices = transactions.select(
         "auction_id", F.col("buyer_id").alias("_winner"), F.col("created_at").alias("_due_from"),
         (F.col("status") == "paid").alias("_was_paid")).join(
-        first.select("auction_id", "paid_by"), "auction_id", "left")
+        first_payments(transactions, named).select("auction_id", "paid_by"), "auction_id", "left")
     missing = F.col("_winner").isNull() | (F.col("created_at") < F.col("_due_from"))
-    return attempts.select("id", "auction_id", "buyer_id", "created_at").join(
-        invoices, "auction_id", "left").select(
-        "id", "auction_id", "buyer_id", "created_at",
+    judged = lookup(named, invoices, ["auction_id"]).select(
+        *attempts.columns,
         F.when(missing, "NOT_FOUND")
-        .when(F.col("buyer_id") != F.col("_winner"), "NOT_WINNER")
+        .when(~F.col("buyer_id").eqNullSafe(F.col("_winner")), "NOT_WINNER")
         .when(F.col("_was_paid") | (F.col("id") != F.col("paid_by")), "ALREADY_PAID")
         .otherwise("PAID").alias("outcome"))
+    return judged.unionByName(attempts.where(F.col("auction_id").isNull()).withColumn(
+        "outcome", F.lit("NOT_FOUND")))
 
 
 def apply_payments(transactions: DataFrame, replayed: DataFrame) -> DataFrame:

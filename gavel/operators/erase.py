@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gavel.operators.ordered import lookup
 from gavel.sources.tables import Tables
 
 
@@ -25,12 +26,14 @@ def erase_cascade(t: Tables, user_ids: DataFrame) -> Tables:
     these auctions or of these users. An auction they won elsewhere stays, without
     a winner.
     """
-    users = user_ids.select("id").distinct()
+    users = user_ids.select("id")
     items = _only(t.items, "seller_id", users).select("id")
     auctions = _only(t.auctions, "item_id", items).select("id")
     kept = _without(t.auctions, "id", auctions)
-    winners = users.select(F.col("id").alias("winner_id"), F.lit(True).alias("_gone"))
-    kept = kept.join(winners, "winner_id", "left").withColumn(
+    winners = users.distinct().select(F.col("id").alias("_key"), F.lit(True).alias("_gone"))
+    # Auctions without a winner would all meet at the null key.
+    kept = kept.withColumn("_key", F.coalesce("winner_id", -F.col("id") - 1))
+    kept = lookup(kept, winners, ["_key"]).withColumn(
         "winner_id", F.when(F.col("_gone").isNull(), F.col("winner_id")))
     return replace(
         t,

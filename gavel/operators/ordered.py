@@ -66,29 +66,56 @@ def may_be_hot(df: DataFrame, hot_rows: int) -> bool:
     return ROW_FACTOR * stored >= hot_rows
 
 
-def history(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> History:
-    """Prepare rows for ``running``; ``order`` must be total within a key.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and their ``_rows``, None if there are none.
 
-    The number of hot keys is at most rows / hot_rows, so their list is small
-    enough to broadcast. Range partitioning by (key, order) cuts their rows at
-    sampled quantiles, and the checkpoint fixes the cut: a task that is run
-    again, or a second reader of the rows, sees the same pieces.
+    There are at most rows / hot_rows of them, so the list may be broadcast. It is
+    checkpointed: every reader sees the same keys.
     """
-    whole = History(df, tuple(keys), tuple(order))
     hot_rows = _hot_rows(df)
     if not may_be_hot(df, hot_rows):
-        return whole
-
+        return None
     shared_dir(df.sparkSession)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > hot_rows).checkpoint())
-    total = hot.agg(F.sum("_rows")).first()[0]
-    if not total:
-        return whole
+    return None if hot.isEmpty() else hot
+
 
+def lookup(fact: DataFrame, reference: DataFrame, keys: Sequence[str], how: str = "left",
+           counted: DataFrame | None = None) -> DataFrame:
+    """Join a fact side with one reference row per key, whatever the skew.
+
+    Rows of hot keys meet the reference rows of just these keys as a broadcast, so
+    they are not shuffled; all others join as usual. AQE alone does not split a join
+    whose other side is already partitioned by the key. ``counted`` may name a
+    cheaper input with at least as many rows per key to look for hot keys in.
+    """
+    keys = list(keys)
+    hot = hot_keys(fact if counted is None else counted, keys)
+    if hot is None:
+        return fact.join(reference, keys, how)
+    few = F.broadcast(hot.select(*keys))
+    hot_reference = F.broadcast(reference.join(few, keys, "left_semi"))
+    rest = fact.join(few, keys, "left_anti").join(reference, keys, how)
+    return rest.unionByName(
+        fact.join(few, keys, "left_semi").join(hot_reference, keys, how))
+
+
+def history(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> History:
+    """Prepare rows for ``running``; ``order`` must be total within a key.
+
+    Range partitioning by (key, order) cuts the rows of hot keys at sampled
+    quantiles, and the checkpoint fixes the cut: a task that is run again, or a
+    second reader of the rows, sees the same pieces.
+    """
+    whole = History(df, tuple(keys), tuple(order))
+    hot = hot_keys(df, keys)
+    if hot is None:
+        return whole
+    total = hot.agg(F.sum("_rows")).first()[0]
     keys_only = F.broadcast(hot.select(*keys))
     cut = (df.join(keys_only, list(keys), "left_semi")
-           .repartitionByRange(math.ceil(total / hot_rows) + 1, *keys, *order)
+           .repartitionByRange(math.ceil(total / _hot_rows(df)) + 1, *keys, *order)
            .withColumn(PIECE, F.spark_partition_id() + 1)
            .checkpoint())
     rest = df.join(keys_only, list(keys), "left_anti").withColumn(PIECE, F.lit(0))

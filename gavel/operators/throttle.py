@@ -65,11 +65,11 @@ def _successors(hist: History, max_failures: int, window_ms: int) -> DataFrame:
 
 def _anchors(successors: DataFrame, key: list[str]) -> DataFrame:
     """(key, n) of the failures that anchor a window, by pointer jumping."""
-    last = successors.groupBy(*key).agg(F.max("n").alias("last_n"))
-    jump = (successors.select(*key, "n", "next_n").join(last, key)
-            .where(F.col("next_n") <= F.col("last_n")).select(*key, "n", "next_n").checkpoint())
+    # The last jump of a key leads past its last failure, where nothing joins.
+    jump = successors.select(*key, "n", "next_n")
     reached = successors.where("n = 0").select(*key, "n").checkpoint()
     while not jump.isEmpty():
+        # Both joins are on (key, failure number), which no two rows share.
         onward = jump.select(*key, F.col("n").alias("next_n"), F.col("next_n").alias("far_n"))
         reached = reached.unionByName(
             reached.join(jump, [*key, "n"]).select(*key, F.col("next_n").alias("n"))).checkpoint()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gavel.functions.clock import as_of_column, iso_utc
 from gavel.functions.labels import is_biddable, is_open
 from gavel.functions.text import full_name, masked_name
-from gavel.operators.ordered import position
+from gavel.operators.ordered import lookup, position
 from gavel.operators.settle import bid_counts
 from gavel.sources.tables import Tables
 
@@ -94,7 +94,9 @@ def auction_detail(t: Tables, as_of: Column | str, auction_id: int | None = None
         bids = bids.where(F.col("auction_id") == auction_id)
     rows = (_auction_columns(auctions).join(_item_columns(t.items), "itemId")
             .join(_people(t.users, "sellerId", "sellerName"), "sellerId")
-            .join(_people(t.users, "winnerId", "winnerName", masked=True), "winnerId", "left"))
+            # Auctions without a winner would all meet at the null key.
+            .withColumn("_key", F.coalesce("winnerId", -F.col("auctionId") - 1))
+            .join(_people(t.users, "_key", "winnerName", masked=True), "_key", "left"))
     rows = with_bid_count(rows, bids).withColumn(
         "isBiddable", is_biddable(F.col("status"), F.col("endTime"), as_of_column(as_of)))
     return _iso(rows, "startTime", "endTime").select(
@@ -115,7 +117,8 @@ def bids_by_user(t: Tables, user_id: int | None = None) -> DataFrame:
         counted = t.bids.join(mine.select("auction_id").distinct(), "auction_id", "left_semi")
     cards = with_bid_count(
         _auction_columns(t.auctions).join(_item_columns(t.items), "itemId"), counted)
-    rows = best.join(cards, "auctionId").withColumn(
+    bid_on = mine.select(F.col("auction_id").alias("auctionId"))
+    rows = lookup(best, cards, ["auctionId"], "inner", counted=bid_on).withColumn(
         "isWinning", (F.col("myBid") == F.col("currentPrice")).cast("int"))
     rows = _iso(rows, "endTime", "lastBidAt").select(
         "userId", *CARD, "myBid", "myBidCount", "lastBidAt", "isWinning")
@@ -126,11 +129,15 @@ def bids_by_user(t: Tables, user_id: int | None = None) -> DataFrame:
 def listings_by_seller(t: Tables, seller_id: int | None = None) -> DataFrame:
     """Every item of a seller with each of its auctions and the payment state."""
     items = t.items if seller_id is None else t.items.where(F.col("seller_id") == seller_id)
+    items, auctions = _item_columns(items), _auction_columns(t.auctions)
     payments = t.transactions.select(F.col("auction_id").alias("auctionId"),
                                      F.col("status").alias("paymentStatus"))
-    rows = (_item_columns(items).join(_auction_columns(t.auctions), "itemId", "left")
-            .join(payments, "auctionId", "left"))
-    rows = _iso(with_bid_count(rows, t.bids), "endTime").select(
+    listed = lookup(auctions, items, ["itemId"], "inner")
+    unlisted = items.join(auctions.select("itemId"), "itemId", "left_anti")
+    paid = with_bid_count(listed.join(payments, "auctionId", "left"), t.bids)
+    rows = paid.unionByName(unlisted.withColumn("bidCount", F.lit(0).cast("long")),
+                            allowMissingColumns=True)
+    rows = _iso(rows, "endTime").select(
         "sellerId", *CARD, "itemId", "paymentStatus", "winnerId")
     return rows if seller_id is None else rows.orderBy(
         F.asc_nulls_first("endTime"), "itemId", "auctionId")
@@ -228,7 +235,7 @@ def auction_page(t: Tables, as_of: Column | str, viewers: DataFrame | None = Non
         asked = viewers.select(F.col("viewer_id").alias("_viewer"),
                                F.col("auction_id").alias("auctionId"))
         names = t.users.select(F.col("id").alias("_viewer"), F.col("first_name").alias("_first"))
-        page = page.join(asked.join(names, "_viewer"), "auctionId")
+        page = lookup(asked.join(names, "_viewer"), page, ["auctionId"], "inner")
         who = F.struct(F.col("_viewer").alias("id"), F.col("_first").alias("firstName"),
                        (F.col("_viewer") == F.col("auction.sellerId")).alias("isSeller")).alias("viewer")
     return page.select("auctionId", "auction", "bids", "payment", who)

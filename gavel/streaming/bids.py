@@ -62,9 +62,11 @@ class AuctionProcessor(StatefulProcessor):
                 bad = row.auction_id is not None and (row.amount is None or row.amount <= 0)
                 yield self._update(row, "INVALID_AMOUNT" if bad else "NOT_FOUND", 0)
             return
-        if not self.state.exists():  # listed after the stream began
+        state = self.state.get()
+        if state is None:  # listed after the stream began
             self.handleInitialState(key, batch[0], timerValues)
-        price, end, leader, bids, last_t, last_id, is_open = self.state.get()
+            state = self.state.get()
+        price, end, leader, bids, last_t, last_id, is_open = state
         timer = end
         for row in batch:
             outcome, extended = "ACCEPTED", False

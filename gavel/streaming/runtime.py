@@ -17,8 +17,9 @@ MICRO_BATCH = 64 * 1024 * 1024
 
 
 def prepare_state_store(spark: SparkSession) -> None:
-    """Stateful processors keep their state in RocksDB."""
+    """Stateful processors keep their state in RocksDB and upload its changes only."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | str,

@@ -31,7 +31,7 @@ class ThrottleProcessor(StatefulProcessor):
         self.state = handle.getValueState("window", "failures long, until long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = failures, until = self.state.get() if self.state.exists() else (0, 0)
+        before = failures, until = self.state.get() or (0, 0)
         for row in sorted(rows, key=lambda r: (r.t, r.id)):
             alive = until > row.t
             if alive and failures >= self.max_failures:

@@ -41,7 +41,7 @@ def test_iso_keeps_milliseconds(spark):
 
 def test_only_zoned_times_parse(spark):
     cases = {"2024-01-01T00:00:00Z": 0, "2024-01-01T05:30+05:30": 0, "2024-01-01T00:00:00.123456Z": 123,
-             "2024-01-01T00:00Z": 0, "2024-01-01T00:00:00": None, "2024-01-01": None,
+             "2024-01-01T00:00Z": 0, "2024-01-01T00:00:00": None, "2024-01-01": 0, "2024-02-31": None,
              "2024-13-01T00:00:00Z": None, "tomorrow": None, "": None}
     got = column(spark, list(cases), "string", lambda c: clock.iso_utc(clock.parse_zoned(c)))
     expected = [None if v is None else f"2024-01-01T00:00:00.{v:03d}Z" for v in cases.values()]
@@ -80,7 +80,8 @@ def test_image_urls(spark):
     cases = {"https://a.example/x.jpg": True, "HTTP://A.EXAMPLE": True, "http:a.example": True,
              "https://user:pw@host:8080/p": True, "javascript:alert(1)": False,
              "data:image/png;base64,AA": False, "/images/x.jpg": False, "https://": False,
-             "ftp://a.example": False, "https://a b.example/": False, "": False, None: False}
+             "https://[::1]:443/x": True, "https://a:65536/": False, "https://a:/x": True,
+             "https://a:b/": False, "https://a%2/": False, "ftp://a.example": False, "https://a b.example/": False, "": False, None: False}
     assert column(spark, list(cases), "string", text.safe_image_url) == list(cases.values())
 
 

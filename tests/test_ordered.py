@@ -3,7 +3,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gavel.operators.ingest import with_next_ids
-from gavel.operators.ordered import HOT_ROWS_CONF, PIECE, attach, history, may_be_hot, position, running
+from gavel.operators.ordered import (HOT_ROWS_CONF, PIECE, attach, history, lookup, may_be_hot,
+                                     position, running)
 
 
 def _rows(n=400, seed=1):
@@ -57,6 +58,15 @@ def test_attach_gives_each_row_its_reference(spark, hot):
     assert all(r.ref == (r.k * 10 if r.k < 25 else None) for r in got)
 
 
+def test_lookup_joins_hot_and_other_keys_alike(spark, hot):
+    df = spark.createDataFrame(_rows()).select("k", "id")
+    reference = spark.range(25).select(F.col("id").alias("k"), (F.col("id") * 10).alias("ref"))
+    for how in ("left", "inner"):
+        got = {r.id: r.ref for r in lookup(df, reference, ["k"], how).collect()}
+        assert got == {r.id: r.k * 10 if r.k < 25 else None for r in df.collect()
+                       if how == "left" or r.k < 25}
+
+
 def test_position_counts_within_the_key(spark, hot):
     rows = _rows()
     got = {r.id: r.position for r in

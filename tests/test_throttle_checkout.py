@@ -3,6 +3,7 @@ import pytest
 from tests.conftest import at, millis
 
 from gavel.operators.checkout import apply_payments, replay_checkout
+from gavel.operators.ordered import HOT_ROWS_CONF
 from gavel.operators.throttle import replay_login_throttle
 
 LOGIN = "id long, ip string, email string, success boolean, created_at timestamp"
@@ -81,7 +82,7 @@ def test_checkout_outcomes_in_order(spark):
         1: "paid", 2: "paid", 3: "paid"}
 
 
-def test_checkout_matches_payments_taken_one_by_one(spark):
+def test_checkout_matches_payments_taken_one_by_one(spark, hot):
     rng = np.random.default_rng(4)
     invoices = {a: (int(rng.integers(1, 4)), int(rng.integers(0, 50))) for a in range(1, 8)}
     rows = [(i, int(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, 7, 8])), int(rng.integers(1, 4)),
@@ -102,3 +103,26 @@ def test_checkout_matches_payments_taken_one_by_one(spark):
                                   for a, (b, s) in invoices.items()], TXN)
     got = replay_checkout(txns, spark.createDataFrame(rows, PAY)).collect()
     assert {r.id: r.outcome for r in got} == expected
+
+
+def test_rows_of_a_hot_auction_are_not_shuffled(spark):
+    """They meet their one invoice as a broadcast, with the same outcomes."""
+    txns = spark.createDataFrame([(a, a, 1, 0, 10, "pending", at(0)) for a in range(50)], TXN)
+    rows = [(i, 7 if i % 2 else i % 50, 1 + i % 3, at(i)) for i in range(5_000)]
+    rows += [(i, None, 1, at(i)) for i in range(5_000, 5_100)]
+    attempts = spark.createDataFrame(rows, PAY)
+    plain = {r.id: r.outcome for r in replay_checkout(txns, attempts).collect()}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", HOT_ROWS_CONF: "1000"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        replayed = replay_checkout(txns, attempts)
+        plan = replayed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [auction_id" in plan and "LeftAnti" in plan
+        assert {r.id: r.outcome for r in replayed.collect()} == plain
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert sorted(plain) == list(range(5_100))
+    assert sum(o == "PAID" for o in plain.values()) == 26
+    assert all(plain[i] == "NOT_FOUND" for i in range(5_000, 5_100))
