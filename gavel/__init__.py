@@ -1,0 +1 @@
+"""Auction analytics on Spark: replay, settlement, views, checks and live streams."""

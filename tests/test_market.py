@@ -12,6 +12,7 @@ from gavel.operators.settle import insert_or_ignore, settle_auctions, winning_bi
 from gavel.plans import dashboard, views
 from gavel.plans.snapshot import market_snapshot
 from gavel.sources.sinks import write_json_feed
+from gavel.streaming.bids import close_due
 from gavel.sources.tables import Tables, append_rows, scan_tables, write_tables
 
 HOUR = 3_600_000
@@ -242,6 +243,22 @@ def test_snapshots_round_trip_and_append(spark, seeded, tmp_path):
     assert first.sellerName == "F1 L1" and first.bidCount == 15
 
 
+def test_a_closing_tick_reads_the_stored_market(spark, seeded, tmp_path):
+    path = write_tables(seeded, f"{tmp_path}/five")
+    closed = close_due(spark, path, at(200 * HOUR))
+    assert {r.status for r in closed.auctions.collect()} == {"closed"}
+    assert closed.transactions.count() == 4
+    again = close_due(spark, write_tables(closed, f"{tmp_path}/six"), at(300 * HOUR))
+    assert again.transactions.count() == 4
+
+
+def test_tables_read_from_json_lines(spark, seeded, tmp_path):
+    path = write_tables(seeded, f"{tmp_path}/json", fmt="json")
+    stored = scan_tables(spark, path, fmt="json")
+    assert stored.bids.exceptAll(seeded.bids).count() == 0 and stored.bids.count() == 88
+    assert stored.auctions.exceptAll(seeded.auctions).count() == 0
+
+
 def test_key_filters_reach_the_scan(spark, seeded, tmp_path):
     stored = scan_tables(spark, write_tables(seeded, f"{tmp_path}/two"))
     plan = views.wins_by_buyer(stored, 5)._jdf.queryExecution().executedPlan().toString()
