@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from gavel.functions.text import is_whole
 from gavel.operators.replay import ANTI_SNIPE_MS
-from gavel.operators.settle import settle_auctions
+from gavel.operators.settle import bid_counts, settle_auctions, winning_bids
 from gavel.plans.views import auction_detail, auction_page
 from gavel.sources.tables import Tables, scan_tables
 
@@ -51,7 +52,8 @@ class AuctionProcessor(StatefulProcessor):
         self.state = handle.getValueState("auction", _STATE)
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.state.update((None, initialState.end_ms, None, 0, -1, -1, initialState.is_open))
+        self.state.update((initialState.price, initialState.end_ms, initialState.leader,
+                           initialState.bid_count, -1, -1, initialState.is_open))
         if initialState.is_open:
             self.handle.registerTimer(initialState.end_ms)
 
@@ -112,25 +114,45 @@ class AuctionProcessor(StatefulProcessor):
         pass
 
 
+def _starting_state(auctions: DataFrame, bids: DataFrame | None) -> DataFrame:
+    """Per auction: end, whether it is open, and price, leader and number of its bids."""
+    start = auctions.select(
+        F.col("id").alias("auction_id"), F.unix_millis("end_time").alias("end_ms"),
+        (F.col("status") == "open").alias("is_open"))
+    if bids is None:
+        return start.select("*", F.lit(None).cast("long").alias("price"),
+                            F.lit(None).cast("long").alias("leader"),
+                            F.lit(0).cast("long").alias("bid_count"))
+    top = winning_bids(bids).select("auction_id", F.col("amount").alias("price"),
+                                    F.col("bidder_id").alias("leader"))
+    return (start.join(top, "auction_id", "left").join(bid_counts(bids), "auction_id", "left")
+            .fillna(0, ["bid_count"]))
+
+
 def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
-                   window_ms: int = ANTI_SNIPE_MS, lateness: str = LATENESS) -> DataFrame:
+                   window_ms: int = ANTI_SNIPE_MS, lateness: str = LATENESS,
+                   bids: DataFrame | None = None) -> DataFrame:
     """Bid outcomes and closings for a stream of attempts; see ``UPDATE_SCHEMA``.
 
     Every auction starts in the state, so those without a bid are closed too.
+    ``bids`` are those accepted before the stream, from which it continues.
     """
-    listed = auctions.select(F.col("id").alias("auction_id"), "item_id", "starting_price",
-                             F.unix_millis("end_time").alias("end_ms"),
-                             (F.col("status") == "open").alias("is_open"))
-    reference = listed.join(items.select(F.col("id").alias("item_id"), "seller_id"),
-                            "item_id").drop("item_id").withColumn("found", F.lit(True))
+    initial = _starting_state(auctions, bids)
+    sellers = auctions.select(F.col("id").alias("auction_id"), "item_id", "starting_price").join(
+        items.select(F.col("id").alias("item_id"), "seller_id"), "item_id").drop("item_id")
+    # Listed after the stream began, an auction has no state yet and no earlier bids.
+    reference = sellers.join(_starting_state(auctions, None), "auction_id").withColumn(
+        "found", F.lit(True))
+    whole = F.when(is_whole(F.col("amount").cast("double")), F.col("amount").cast("long"))
     rows = (attempts.withWatermark("created_at", lateness)
             .join(reference, "auction_id", "left")
             # Attempts without an auction are spread over keys of their own.
             .select(F.coalesce("auction_id", -F.col("id")).alias("key"), "auction_id", "id",
-                    "bidder_id", F.col("amount").cast("long").alias("amount"), "created_at",
+                    "bidder_id", whole.alias("amount"), "created_at",
                     F.unix_millis("created_at").alias("t"), "seller_id", "starting_price",
-                    "end_ms", "is_open", F.coalesce("found", F.lit(False)).alias("found")))
-    initial = listed.select(F.col("auction_id").alias("key"), "end_ms", "is_open")
+                    "end_ms", "is_open", "price", "leader", "bid_count",
+                    F.coalesce("found", F.lit(False)).alias("found")))
+    initial = initial.withColumnRenamed("auction_id", "key")
     return rows.groupBy("key").transformWithState(
         AuctionProcessor(window_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))

@@ -4,6 +4,7 @@ from tests.test_replay import ATTEMPT, AUCTION, W, random_market, sequential
 from tests.test_throttle_checkout import LOGIN, attack
 from tests.test_throttle_checkout import sequential as throttled
 
+from gavel.operators.replay import accepted, apply_bids, replay_bids
 from gavel.operators.rooms import viewer_sessions
 from gavel.streaming import bids as live
 from gavel.streaming import rooms, throttle
@@ -25,7 +26,6 @@ def write_batches(spark, rows, schema, path, time_column, n=4):
 
 def test_stream_equals_the_rules_over_several_batches(spark, tmp_path):
     auctions, sellers, attempts = random_market(11, n_attempts=600)
-    attempts = [a for a in attempts if a[3] is None or a[3] == int(a[3])]
     stream = write_batches(spark, attempts, ATTEMPT, f"{tmp_path}/in", "created_at")
     adf = spark.createDataFrame([(*a[:6], 0) for a in auctions], AUCTION)
     items = spark.createDataFrame(list(sellers.items()), "id long, seller_id long")
@@ -61,6 +61,25 @@ def test_a_restarted_stream_continues_from_its_checkpoint(spark, tmp_path):
         1: "ACCEPTED", 5: "ACCEPTED", 3: "OUT_OF_ORDER", 6: "TOO_LOW", 7: "ACCEPTED"}
 
 
+def test_a_stream_continues_from_the_batch_replay(spark, tmp_path):
+    """The first half replayed as a batch, the second as a stream, as if in one go."""
+    auctions, sellers, attempts = random_market(12, n_attempts=600)
+    auctions = [(*a[:6], 0) for a in auctions]
+    attempts = sorted(attempts, key=lambda a: (a[4], a[0]))
+    half = next(i for i in range(300, 600) if attempts[i][4] > attempts[i - 1][4])
+    adf = spark.createDataFrame(auctions, AUCTION)
+    items = spark.createDataFrame(list(sellers.items()), "id long, seller_id long")
+    first = replay_bids(adf, items, spark.createDataFrame(attempts[:half], ATTEMPT), W)
+    taken = accepted(first).checkpoint()
+    stream = write_batches(spark, attempts[half:], ATTEMPT, f"{tmp_path}/in", "created_at", n=2)
+    updates = run_to_table(live.stream_updates(stream, apply_bids(adf, taken), items, W, "0 seconds",
+                                               taken.drop("end_after")), "bids")
+    expected, _ = sequential(auctions, sellers, attempts, W)
+    got = first.unionByName(live.bid_outcomes(updates).drop("amount"), allowMissingColumns=True)
+    assert {r.id: (r.outcome, r.price_after, r.extended) for r in got.collect()} == {
+        i: (o, p, x) for i, (o, p, _, x) in expected.items()}
+
+
 @pytest.mark.parametrize("limit,window", [(3, 1_000), (10, 4_000)])
 def test_throttle_stream_equals_the_counter(spark, tmp_path, limit, window):
     rows = attack(limit, 500)
