@@ -214,6 +214,11 @@ def filter_due(spark, sf_dir):
     return _iso(settle.due_auctions(t.auctions, AS_OF), "end_time").select("id", "end_time")
 
 
+@query
+def due_sort(spark, sf_dir):
+    return _iso(settle.due_in_order(_replayed_market(spark, sf_dir).auctions, AS_OF), "end_time")
+
+
 @query
 def category_filter(spark, sf_dir):
     return views.category_feed(market(spark, sf_dir), "PROMO")
@@ -668,8 +673,19 @@ def stream_sessions(spark, sf_dir):
     return _iso(run_to_table(sessions, "sessions"), "session_start", "session_end")
 
 
+def _live_rooms(spark, sf_dir) -> DataFrame:
+    feed = source.subscribe_feed(spark, sf_dir, source.stream_events(spark, sf_dir))
+    return run_updates(live_rooms.stream_rooms(rooms.parse_subscribe(feed)), "rooms", "client_id")
+
+
 @query
 def stream_rooms(spark, sf_dir):
-    feed = source.subscribe_feed(spark, sf_dir, source.stream_events(spark, sf_dir))
-    moved = live_rooms.stream_rooms(rooms.parse_subscribe(feed))
-    return _iso(run_updates(moved, "rooms", "client_id"), "ts")
+    return _iso(_live_rooms(spark, sf_dir), "ts")
+
+
+@query
+def stream_audience(spark, sf_dir):
+    viewers = _live_rooms(spark, sf_dir).groupBy("room").agg(F.count(F.lit(1)).alias("viewers"))
+    sent = run_batches(_update_stream(spark, sf_dir), "audience", lambda batch:
+                       live_rooms.audience(live_bids.accepted_updates(batch), viewers))
+    return sent.drop("batch_id")

@@ -533,6 +533,9 @@ def oracle_sql() -> dict[str, str]:
     q["auction_card"] = _sql(MARKET, f"SELECT {CARD} {CARD_FROM}")
     q["filter_due"] = _sql(MARKET, f"""SELECT id, {iso('end_time')} AS end_time FROM bid_auctions
         WHERE status = 'open' AND end_time <= {AS_OF}""")
+    q["due_sort"] = _sql(MARKET, f"""SELECT id, {iso('end_time')} AS end_time,
+        row_number() OVER (ORDER BY end_time, id) AS position FROM bid_auctions
+        WHERE status = 'open' AND end_time <= {AS_OF}""")
     q["category_filter"] = _sql([*MARKET, f"feed AS ({_feed(24)})"],
                                 "SELECT * FROM feed WHERE category = 'PROMO'")
     q["scalars_text"] = _sql([BASE, FEEDS], f"""SELECT feed_id, title AS norm_title,
@@ -719,4 +722,9 @@ def oracle_sql() -> dict[str, str]:
               <= (SELECT epoch_ms(max(ts)) - 600000 FROM requests)""")
     q["stream_rooms"] = _sql([BASE, ROOMS], f"""SELECT client_id, room, {iso('from_ts')} AS ts
         FROM stays WHERE to_ts IS NULL""")
+    q["stream_audience"] = _sql([BASE, REPLAY_6H, ROOMS, """viewers AS (
+        SELECT room, count(*) AS n FROM stays WHERE to_ts IS NULL GROUP BY room)"""], """
+        SELECT b.id, b.auction_id, coalesce(v.n, 0) AS room_clients,
+               coalesce((SELECT n FROM viewers WHERE room = 'all'), 0) AS all_clients
+        FROM bids b LEFT JOIN viewers v ON v.room = CAST(b.auction_id AS VARCHAR)""")
     return q

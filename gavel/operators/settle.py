@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.clock import as_of_column
 from gavel.functions.labels import is_due
+from gavel.operators.ordered import position
 
 
 def bid_counts(bids: DataFrame) -> DataFrame:
@@ -36,6 +37,12 @@ def due_auctions(auctions: DataFrame, as_of: Column | str) -> DataFrame:
     return auctions.where(is_due(F.col("status"), F.col("end_time"), as_of_column(as_of)))
 
 
+def due_in_order(auctions: DataFrame, as_of: Column | str) -> DataFrame:
+    """(id, end_time, position) of the due auctions, the first to end first."""
+    due = due_auctions(auctions, as_of).select("id", "end_time").withColumn("_all", F.lit(0))
+    return position(due, ["_all"], ["end_time", "id"]).drop("_all")
+
+
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Invoices to append: an auction that already has one keeps it.
 
