@@ -229,7 +229,8 @@ def scalars_text(spark, sf_dir):
     return source.listing_feed(spark, sf_dir).select(
         "feed_id", text.norm_text(F.col("title")).alias("norm_title"),
         text.utf16_length(text.norm_text(F.col("title"))).cast("long").alias("title_units"),
-        text.norm_email(F.concat(F.lit("\t "), text.norm_text(F.col("category")), F.lit("@Example.COM "))).alias("email"),
+        text.norm_email(F.concat(F.lit("\t "), text.norm_text(F.col("category")),
+                                 F.lit("@Example.COM "))).alias("email"),
         text.safe_image_url(text.norm_text(F.col("imageUrl"))).alias("safe_url"),
         text.to_number(F.col("startingPrice")).alias("number"),
         text.coerce_id(F.col("startingPrice")).alias("id"),

@@ -143,14 +143,15 @@ def listings_by_seller(t: Tables, seller_id: int | None = None) -> DataFrame:
         F.asc_nulls_first("endTime"), "itemId", "auctionId")
 
 
-def bid_history_topk(t: Tables, k: int = HISTORY_ROWS) -> DataFrame:
+def bid_history_topk(t: Tables, k: int = HISTORY_ROWS, auction_id: int | None = None) -> DataFrame:
     """The ``k`` highest bids per auction, the newest first among equals.
 
     The rank limit is applied per map task before the shuffle, so an auction with
     very many bids sends at most ``k`` of them from each task.
     """
     latest = Window.partitionBy("auction_id").orderBy(F.desc("amount"), F.desc("id"))
-    top = t.bids.withColumn("position", F.row_number().over(latest)).where(F.col("position") <= k)
+    bids = t.bids if auction_id is None else t.bids.where(F.col("auction_id") == auction_id)
+    top = bids.withColumn("position", F.row_number().over(latest)).where(F.col("position") <= k)
     rows = top.select(
         F.col("auction_id").alias("auctionId"), F.col("position").cast("long"), "id", "amount",
         F.col("created_at").alias("placedAt"), F.col("bidder_id").alias("bidderId"),
@@ -160,7 +161,7 @@ def bid_history_topk(t: Tables, k: int = HISTORY_ROWS) -> DataFrame:
         "auctionId", "position", "id", "amount", "placedAt", "bidderId", "bidderName", "isHighest")
 
 
-def bids_received_topk(t: Tables, k: int = RECEIVED_ROWS) -> DataFrame:
+def bids_received_topk(t: Tables, k: int = RECEIVED_ROWS, seller_id: int | None = None) -> DataFrame:
     """The ``k`` latest bids on each seller's items.
 
     A seller's latest bids are among the latest of each auction, so the bids are
@@ -169,16 +170,22 @@ def bids_received_topk(t: Tables, k: int = RECEIVED_ROWS) -> DataFrame:
     def newest(column: str):
         return Window.partitionBy(column).orderBy(F.desc("created_at"), F.desc("id"))
 
-    top = (t.bids.withColumn("_n", F.row_number().over(newest("auction_id")))
-           .where(F.col("_n") <= k).drop("_n"))
-    auctions = t.auctions.select(F.col("id").alias("auction_id"), F.col("item_id"))
+    auctions = t.auctions.select(F.col("id").alias("auction_id"), "item_id")
     items = t.items.select(F.col("id").alias("item_id"), F.col("seller_id").alias("sellerId"), "title")
+    bids = t.bids
+    if seller_id is not None:
+        items = items.where(F.col("sellerId") == seller_id)
+        auctions = auctions.join(items.select("item_id"), "item_id", "left_semi")
+        bids = bids.join(auctions.select("auction_id"), "auction_id", "left_semi")
+    top = (bids.withColumn("_n", F.row_number().over(newest("auction_id")))
+           .where(F.col("_n") <= k).drop("_n"))
     ranked = (top.join(auctions, "auction_id").join(items, "item_id")
               .withColumn("position", F.row_number().over(newest("sellerId")))
               .where(F.col("position") <= k))
     rows = ranked.select(
         "sellerId", F.col("position").cast("long"), "amount",
-        F.col("created_at").alias("placedAt"), "title", F.col("auction_id").alias("auctionId"), F.col("bidder_id").alias("bidderId")).join(
+        F.col("created_at").alias("placedAt"), "title",
+        F.col("auction_id").alias("auctionId"), F.col("bidder_id").alias("bidderId")).join(
         _people(t.users, "bidderId", "bidderName"), "bidderId")
     return _iso(rows, "placedAt").select(
         "sellerId", "position", "amount", "placedAt", "title", "auctionId", "bidderName")

@@ -81,7 +81,8 @@ def test_image_urls(spark):
              "https://user:pw@host:8080/p": True, "javascript:alert(1)": False,
              "data:image/png;base64,AA": False, "/images/x.jpg": False, "https://": False,
              "https://[::1]:443/x": True, "https://a:65536/": False, "https://a:/x": True,
-             "https://a:b/": False, "https://a%2/": False, "ftp://a.example": False, "https://a b.example/": False, "": False, None: False}
+             "https://a:b/": False, "https://a%2/": False, "ftp://a.example": False,
+             "https://a b.example/": False, "": False, None: False}
     assert column(spark, list(cases), "string", text.safe_image_url) == list(cases.values())
 
 

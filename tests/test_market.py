@@ -83,6 +83,10 @@ def test_history_and_received_take_the_top_rows(seeded):
     received = views.bids_received_topk(seeded).collect()
     by_seller = {s: [r for r in received if r.sellerId == s] for s in (1, 2, 3)}
     assert {s: len(r) for s, r in by_seller.items()} == {1: 10, 2: 10, 3: 8}
+    one = views.bids_received_topk(seeded, seller_id=2).collect()
+    assert {tuple(r) for r in one} == {tuple(r) for r in by_seller[2]}
+    single = views.bid_history_topk(seeded, 5, auction_id=3).collect()
+    assert {tuple(r) for r in single} == {tuple(r) for r in history}
     # Seller 2 has two auctions whose bids interleave.
     assert {r.auctionId for r in by_seller[2]} == {1, 3}
 
