@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gavel.checks import catalog, oracle
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["customer", "part", "events", "orders", "lineitem"]
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
