@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import line_dedup, mixing, packing, quality, simhash_dedup, url_filter
+from gavel.llm import (language_id, line_dedup, mixing, packing, quality, simhash_dedup,
+                       substring_dedup, url_filter)
 from gavel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +31,28 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = language_id.held_out()
+    dictionaries = language_id.fit_dictionaries(documents.where(~held_out))
+    found = language_id.identify_language(documents.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "lost_chars", "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES))
@@ -48,4 +65,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op6_quality_rules, op9_url_filter, op10_mix_sources)}
+    op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
+    op6_quality_rules, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
