@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import (language_id, line_dedup, mixing, packing, quality, simhash_dedup,
+from gavel.llm import (ann, language_id, line_dedup, mixing, packing, quality, simhash_dedup,
                        substring_dedup, url_filter)
 from gavel.llm.common import table
 
@@ -39,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -66,4 +70,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
-    op6_quality_rules, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
+    op5_nearest_vectors, op6_quality_rules, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
