@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import (ann, language_id, line_dedup, mixing, packing, quality, simhash_dedup,
+from gavel.llm import (ann, html_extract, language_id, line_dedup, mixing, packing, quality, simhash_dedup,
                        substring_dedup, url_filter)
 from gavel.llm.common import table
 
@@ -49,6 +49,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "lost_chars", "kept")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_text(pages, html_extract.fit_extractor(pages))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
@@ -70,4 +75,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
-    op5_nearest_vectors, op6_quality_rules, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
+    op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
