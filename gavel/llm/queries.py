@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gavel.llm import (ann, html_extract, language_id, line_dedup, mixing, packing, quality, simhash_dedup,
                        substring_dedup, url_filter)
 from gavel.llm.common import table
@@ -76,3 +77,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
     op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
+QUERIES["pipeline"] = corpus_pipeline.run

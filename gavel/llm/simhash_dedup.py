@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.llm.common import once, staged
@@ -203,3 +203,24 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return prints.join(lookup, "fp").select(
         F.col("doc_id").alias(id_column),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id",
+                     text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each component of ``near_copies``.
+
+    The row with the smallest id stays, of rows with one id that with the smallest text
+    hash, and of repeated rows one. Rows with a null id come after all others. All
+    columns are kept.
+    """
+    text_hash = F.xxhash64(text_column)
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                   text_hash.alias("hash"))
+    groups = near_copies(docs.select(key.alias("key"), F.col(text_column).alias("text")),
+                         "key", "text")
+    stays = groups.select("component_id.*").distinct()
+    marked = docs.withColumn("_hash", text_hash)
+    same = marked[id_column].eqNullSafe(stays["id"]) & (marked["_hash"] == stays["hash"])
+    one = Window.partitionBy(id_column, "_hash").orderBy(F.lit(0))
+    return (marked.join(stays, same, "left_semi").withColumn("_nth", F.row_number().over(one))
+            .where("_nth = 1").drop("_hash", "_nth"))
