@@ -26,12 +26,15 @@ from gavel.sources.tables import Tables, append_rows, scan_table, scan_tables, w
 from gavel.streaming import bids as live_bids
 from gavel.streaming import rooms as live_rooms
 from gavel.streaming import throttle as live_throttle
-from gavel.streaming.runtime import read_stream, run_batches, run_to_folder, run_to_table, run_updates
+from gavel.streaming.runtime import (read_stream, run_batches, run_so_far, run_to_folder, run_to_table,
+                                     run_updates)
 
 AS_OF = source.AS_OF
 SIX_HOURS = 6 * clock.HOUR
 THREE_DAYS = 3 * clock.DAY
 SESSION_GAP_MS = 6 * clock.HOUR
+#: Whom the views for one request are asked for.
+ONE_AUCTION, ONE_SELLER, ONE_BUYER = 2, 11, 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,7 +183,8 @@ def apply_bid_to_auction(spark, sf_dir):
 def seed_bid_ladder(spark, sf_dir):
     t = market(spark, sf_dir)
     counted = t.auctions.join(settle.bid_counts(t.bids).withColumnRenamed("auction_id", "id"), "id")
-    return _iso(ladder.seed_bid_ladder(counted, [2, 3, 4], AS_OF), "created_at")
+    buyers = t.users.where(F.col("role") == "buyer")
+    return _iso(ladder.seed_bid_ladder(counted, buyers, AS_OF), "created_at")
 
 
 @query
@@ -625,24 +629,12 @@ def stream_price_ticks(spark, sf_dir):
     return run_updates(ticks, "ticks", "auctionId")
 
 
-def _live_market(spark, sf_dir) -> Tables:
-    t = source.base_tables(spark, sf_dir)
-    updates = live_updates(spark, sf_dir)
-    taken = replay.accepted(live_bids.bid_outcomes(updates))
-    closed = live_bids.closings(updates).select(
-        F.col("auction_id").alias("id"), F.lit("closed").alias("_status"),
-        F.col("winner_id").alias("_winner"))
-    auctions = replay.apply_bids(t.auctions, taken).join(closed, "id", "left").withColumns({
-        "status": F.coalesce("_status", "status"), "winner_id": F.coalesce("_winner", "winner_id")})
-    return replace(t, bids=taken.drop("end_after"),
-                   auctions=auctions.select(*t.auctions.columns))
-
-
 @query
 def stream_bid_updates(spark, sf_dir):
-    t = _live_market(spark, sf_dir)
-    documents = run_batches(_update_stream(spark, sf_dir), "documents", lambda batch:
-                            live_bids.bid_documents(live_bids.accepted_updates(batch), t, AS_OF))
+    t = source.base_tables(spark, sf_dir)
+    documents = run_so_far(
+        _update_stream(spark, sf_dir), "documents", lambda batch, heard: live_bids.bid_documents(
+            live_bids.accepted_updates(batch), live_bids.market_after(t, heard), AS_OF))
     return documents.select("type", "auctionId", "extended",
                             F.col("auction.currentPrice").alias("currentPrice"),
                             F.size("bids").cast("long").alias("bids"),
@@ -651,9 +643,10 @@ def stream_bid_updates(spark, sf_dir):
 
 @query
 def stream_closed(spark, sf_dir):
-    t = _live_market(spark, sf_dir)
-    documents = run_batches(_update_stream(spark, sf_dir), "closed", lambda batch:
-                            live_bids.closed_documents(live_bids.closings(batch), t, AS_OF))
+    t = source.base_tables(spark, sf_dir)
+    documents = run_so_far(
+        _update_stream(spark, sf_dir), "closed", lambda batch, heard: live_bids.closed_documents(
+            live_bids.closings(batch), live_bids.market_after(t, heard), AS_OF))
     return documents.select("type", "auctionId", F.col("auction.status").alias("status"),
                             F.col("auction.winnerName").alias("winnerName"),
                             F.col("auction.currentPrice").alias("currentPrice"),
@@ -686,7 +679,75 @@ def stream_rooms(spark, sf_dir):
 
 @query
 def stream_audience(spark, sf_dir):
-    viewers = _live_rooms(spark, sf_dir).groupBy("room").agg(F.count(F.lit(1)).alias("viewers"))
+    heard = rooms.parse_subscribe(source.subscribe_feed(spark, sf_dir))
     sent = run_batches(_update_stream(spark, sf_dir), "audience", lambda batch:
-                       live_rooms.audience(live_bids.accepted_updates(batch), viewers))
+                       live_rooms.audience(live_bids.accepted_updates(batch), heard))
     return sent.drop("batch_id")
+
+
+@query
+def stream_closed_ticks(spark, sf_dir):
+    return live_bids.closed_ticks(live_bids.closings(live_updates(spark, sf_dir)))
+
+
+@query
+def stream_invoices(spark, sf_dir):
+    invoices = live_bids.closing_invoices(
+        live_bids.closings(live_updates(spark, sf_dir)), source.auctions(spark, sf_dir),
+        source.items(spark, sf_dir))
+    return _iso(invoices, "created_at")
+
+
+# Views for one request
+
+
+@query
+def auction_detail_one(spark, sf_dir):
+    return views.auction_detail(market(spark, sf_dir), AS_OF, auction_id=ONE_AUCTION)
+
+
+@query
+def bid_history_one(spark, sf_dir):
+    return views.bid_history_topk(market(spark, sf_dir), auction_id=ONE_AUCTION)
+
+
+@query
+def bids_by_user_one(spark, sf_dir):
+    return views.bids_by_user(market(spark, sf_dir), user_id=ONE_BUYER)
+
+
+@query
+def listings_by_seller_one(spark, sf_dir):
+    return views.listings_by_seller(market_with_payments(spark, sf_dir), seller_id=ONE_SELLER)
+
+
+@query
+def bids_received_one(spark, sf_dir):
+    return views.bids_received_topk(market(spark, sf_dir), seller_id=ONE_SELLER)
+
+
+@query
+def wins_by_buyer_one(spark, sf_dir):
+    return views.wins_by_buyer(market_with_payments(spark, sf_dir), buyer_id=ONE_BUYER)
+
+
+@query
+def transaction_one(spark, sf_dir):
+    return views.transaction_by_auction(market_with_payments(spark, sf_dir), auction_id=ONE_AUCTION)
+
+
+@query
+def public_user_one(spark, sf_dir):
+    return views.public_users(source.base_tables(spark, sf_dir), user_id=ONE_BUYER)
+
+
+@query
+def bid_messages(spark, sf_dir):
+    return replay.with_message(_replayed(spark, sf_dir)).select("id", "outcome", "message")
+
+
+@query
+def checkout_messages(spark, sf_dir):
+    t = market(spark, sf_dir)
+    judged = checkout.replay_checkout(t.transactions, source.payment_attempts(t.auctions))
+    return replay.with_message(judged, checkout.CHECKOUT_ERRORS).select("id", "outcome", "message")

@@ -503,7 +503,8 @@ def oracle_sql() -> dict[str, str]:
     q["apply_bid_to_auction"] = _sql([BASE, REPLAY_6H], f"""SELECT id, starting_price, current_price,
         {iso('end_time')} AS end_time, status FROM bid_auctions""")
     q["seed_bid_ladder"] = _sql(MARKET, f"""SELECT id AS auction_id, step,
-        CASE step % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END::BIGINT AS bidder_id,
+        (SELECT list(id ORDER BY id) FROM users WHERE role = 'buyer')[
+          step % (SELECT count(*) FROM users WHERE role = 'buyer') + 1] AS bidder_id,
         starting_price + CAST(floor((current_price - starting_price) * (step + 1) / bid_count + 0.5)
                               AS BIGINT) AS amount,
         {iso(f"make_timestamp(({AS_MS} - (bid_count - step) * 420000) * 1000)")} AS created_at
@@ -722,9 +723,48 @@ def oracle_sql() -> dict[str, str]:
               <= (SELECT epoch_ms(max(ts)) - 600000 FROM requests)""")
     q["stream_rooms"] = _sql([BASE, ROOMS], f"""SELECT client_id, room, {iso('from_ts')} AS ts
         FROM stays WHERE to_ts IS NULL""")
-    q["stream_audience"] = _sql([BASE, REPLAY_6H, ROOMS, """viewers AS (
-        SELECT room, count(*) AS n FROM stays WHERE to_ts IS NULL GROUP BY room)"""], """
-        SELECT b.id, b.auction_id, coalesce(v.n, 0) AS room_clients,
-               coalesce((SELECT n FROM viewers WHERE room = 'all'), 0) AS all_clients
-        FROM bids b LEFT JOIN viewers v ON v.room = CAST(b.auction_id AS VARCHAR)""")
+    audience = q["update_audience"].removeprefix("WITH " + BASE)
+    q["stream_audience"] = (_sql([BASE, REPLAY_6H], "").rstrip() + audience
+                            + " WHERE x.id IN (SELECT id FROM bids)")
+    q["stream_closed_ticks"] = _sql(
+        live, """SELECT 'closed' AS type, auction_id AS "auctionId" FROM live_closed""")
+    q["stream_invoices"] = _sql(live, f"""SELECT l.auction_id AS id, l.auction_id,
+        l.winner_id AS buyer_id, i.seller_id, l.amount, 'pending' AS status,
+        {iso('l.end_time')} AS created_at
+        FROM live_closed l JOIN auctions a ON a.id = l.auction_id JOIN items i ON i.id = a.item_id
+        WHERE l.winner_id IS NOT NULL""")
+    for name, base, key, value in (
+            ("auction_detail_one", "auction_detail", "auctionId", 2),
+            ("bid_history_one", "bid_history_topk", "auctionId", 2),
+            ("bids_by_user_one", "bids_by_user", "userId", 3),
+            ("listings_by_seller_one", "listings_by_seller", "sellerId", 11),
+            ("bids_received_one", "bids_received_topk", "sellerId", 11),
+            ("wins_by_buyer_one", "wins_by_buyer", "userId", 3),
+            ("transaction_one", "transaction_by_auction", "auctionId", 2),
+            ("public_user_one", "public_users", "id", 3)):
+        q[name] = f'SELECT * FROM ({q[base]}) WHERE "{key}" = {value}'
+    q["bid_messages"] = _messages(f"SELECT id, outcome FROM ({q['replay_bids']})", BID_MESSAGES)
+    q["checkout_messages"] = _messages(
+        f"SELECT id, outcome FROM ({q['replay_checkout']})", CHECKOUT_MESSAGES)
     return q
+
+
+# Messages of the refusals.
+BID_MESSAGES = {
+    "NOT_FOUND": "That auction does not exist.",
+    "CLOSED": "This auction has already ended.",
+    "OWN_ITEM": "You cannot bid on your own item.",
+    "INVALID_AMOUNT": "Enter a valid bid amount in rupees.",
+    "TOO_LOW": "Your bid must be higher than the current bid.",
+    "BELOW_START": "Your bid must be at least the starting price.",
+}
+CHECKOUT_MESSAGES = {
+    "NOT_FOUND": "No payment is due for that auction.",
+    "NOT_WINNER": "Only the winning bidder can complete this payment.",
+    "ALREADY_PAID": "This payment has already been completed.",
+}
+
+
+def _messages(judged: str, messages: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in messages.items())
+    return f"SELECT id, outcome, CASE outcome {cases} END AS message FROM ({judged})"

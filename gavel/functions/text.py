@@ -20,7 +20,9 @@ WHITE_SPACE = (
 EMAIL_PATTERN = rf"^[^@{WHITE_SPACE}]+@[^@{WHITE_SPACE}]+\.[^@{WHITE_SPACE}]+\z"
 # The number literals of ECMAScript strings.
 _DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-_RADIX = {16: r"^0[xX]([0-9a-fA-F]+)\z", 8: r"^0[oO]([0-7]+)\z", 2: r"^0[bB]([01]+)\z"}
+_RADIX = {16: r"^0[xX]0*([0-9a-fA-F]+)\z", 8: r"^0[oO]0*([0-7]+)\z", 2: r"^0[bB]0*([01]+)\z"}
+# Digits of each that fit into a long.
+_FITTING = {16: 15, 8: 20, 2: 60}
 # A bracketed address or a name without forbidden characters.
 _HOST = r"^(?:\[[0-9a-fA-F:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?\z"
 
@@ -48,11 +50,19 @@ def utf16_length(value: Column) -> Column:
     return (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
 
 
+def _radix_number(digits: Column, radix: int) -> Column:
+    """Value of digits of any number; those beyond a long only count by their place."""
+    fitting = _FITTING[radix]
+    beyond = F.greatest(F.length(digits) - fitting, F.lit(0))
+    head = F.conv(F.substring(digits, 1, fitting), radix, 10).try_cast("double")
+    return head * F.pow(F.lit(float(radix)), beyond)
+
+
 def to_number(value: Column) -> Column:
     """Numeric value of a form field as a double, null when it is not a number."""
     text = norm_text(value)
-    others = [F.conv(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), radix, 10)
-              .try_cast("double") for radix, pattern in _RADIX.items()]
+    others = [_radix_number(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), radix)
+              for radix, pattern in _RADIX.items()]
     return F.coalesce(F.when(text == "", F.lit(0.0)),
                       F.regexp_extract(text, _DECIMAL, 0).try_cast("double"), *others)
 
@@ -62,10 +72,15 @@ def is_whole(number: Column) -> Column:
     return F.coalesce(number % 1 == 0, F.lit(False))
 
 
+def is_long(number: Column) -> Column:
+    """True for whole values that a long can hold."""
+    return is_whole(number) & (F.abs(number) < 2.0**63)
+
+
 def coerce_id(value: Column) -> Column:
     """A positive whole number as a long; anything else is null ("not found")."""
     number = to_number(value)
-    return F.when(is_whole(number) & (number > 0) & (number < 2.0**63), number.cast("long"))
+    return F.when(is_long(number) & (number > 0), number.try_cast("long"))
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -82,5 +97,6 @@ def safe_image_url(value: Column) -> Column:
     that exists."""
     authority = F.regexp_extract(value, r"(?i)^https?:[/\\]*([^/\\?#]*)", 1)
     place = F.regexp_replace(authority, r"^.*@", "")
-    port = F.regexp_extract(place, r":([0-9]+)\z", 1).try_cast("decimal(38,0)")
-    return F.coalesce(place.rlike(_HOST) & (F.coalesce(port, F.lit(0)) <= 65535), F.lit(False))
+    port = F.regexp_extract(place, r":0*([0-9]+)\z", 1)
+    exists = (F.length(port) <= 5) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
+    return F.coalesce(place.rlike(_HOST) & exists, F.lit(False))

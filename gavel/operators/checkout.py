@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.operators.ordered import lookup
+from gavel.operators.ordered import lookup, packed
 
 # Messages of the refusals.
 CHECKOUT_ERRORS = {
@@ -22,10 +22,9 @@ def first_payments(transactions: DataFrame, attempts: DataFrame) -> DataFrame:
     tried = attempts.select("id", "auction_id", "buyer_id", "created_at")
     return (lookup(tried, payable, ["auction_id", "buyer_id"], "inner")
             .where(F.col("created_at") >= F.col("_due_from"))
+            .withColumn("_rank", packed(F.unix_micros("created_at"), "id"))
             .groupBy("auction_id")
-            .agg(F.min(F.struct("created_at", "id")).alias("first"))
-            .select("auction_id", F.col("first.created_at").alias("paid_at"),
-                    F.col("first.id").alias("paid_by")))
+            .agg(F.min("created_at").alias("paid_at"), F.min_by("id", "_rank").alias("paid_by")))
 
 
 def replay_checkout(transactions: DataFrame, attempts: DataFrame) -> DataFrame:

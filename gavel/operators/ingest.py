@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from gavel.functions.clock import as_of_column
 from gavel.functions.text import norm_email
-from gavel.operators.ordered import position
+from gavel.operators.ordered import place
 
 def max_id(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
 def with_next_ids(rows: DataFrame, feed_key: str, after: int, name: str = "id") -> DataFrame:
-    """Number rows ``after`` + 1, 2, … in the order of the unique ``feed_key``.
-
-    The whole feed is one history, so a feed too large for one task is cut into
-    ranges of the key and numbered range by range.
-    """
-    numbered = position(rows.withColumn("_feed", F.lit(0)), ["_feed"], [feed_key], "_nth")
-    return numbered.withColumn(name, F.col("_nth") + after).drop("_feed", "_nth")
+    """Number rows ``after`` + 1, 2, … in the order of the unique ``feed_key``."""
+    return place(rows, [feed_key], "_nth").withColumn(name, F.col("_nth") + after).drop("_nth")
 
 
 def users_by_email(users: DataFrame, emails: DataFrame) -> DataFrame:
@@ -46,8 +41,9 @@ def free_emails(users: DataFrame, feed: DataFrame) -> DataFrame:
 def ingest_users(users: DataFrame, valid: DataFrame, as_of: Column | str) -> DataFrame:
     """New user rows: the first feed row of each email that is still free."""
     columns = ["first_name", "last_name", "phone", "role"]
-    first = (valid.groupBy("email").agg(F.min(F.struct("feed_id", *columns)).alias("row"))
-             .select("email", "row.*"))
+    # The least feed id takes a hash aggregate; its row is then looked up.
+    least = valid.groupBy("email").agg(F.min("feed_id").alias("feed_id"))
+    first = valid.select("feed_id", "email", *columns).join(least, ["feed_id", "email"], "left_semi")
     numbered = with_next_ids(free_emails(users, first), "feed_id", max_id(users))
     return numbered.select("id", "first_name", "last_name", "email", "phone", "role",
                            as_of_column(as_of).alias("created_at"))

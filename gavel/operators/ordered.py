@@ -14,6 +14,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
+from functools import reduce
+from itertools import accumulate
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +25,7 @@ from pyspark.sql import functions as F
 from gavel.session import shared_dir
 
 HOT_ROWS_CONF = "spark.gavel.hotRows"
-DEFAULT_HOT_ROWS = 10_000_000
-# No plan here makes more than two rows of a stored one.
-ROW_FACTOR = 2
+DEFAULT_HOT_ROWS = 2_000_000
 PIECE = "_piece"
 
 
@@ -53,32 +55,33 @@ def _hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def may_be_hot(df: DataFrame, hot_rows: int) -> bool:
-    """Whether the inputs of the plan are large enough to hold ``hot_rows`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and their ``_rows``, None if there are none.
 
-    A stored row with an id and a timestamp takes more than a byte, so a smaller
-    input cannot hold a hot key and needs no counting job. Inputs are added up
-    instead of taking the plan's own estimate, which multiplies both sides of a
-    join, although a join here never has more rows than its fact side.
+    One counting job decides. There are at most rows / hot_rows such keys, so the list
+    is held by the driver, may be broadcast, and is the same for every reader. A null
+    key is a key like any other.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    stored = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return ROW_FACTOR * stored >= hot_rows
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(
+        F.col("_rows") > _hot_rows(df))
+    found = hot.collect()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and their ``_rows``, None if there are none.
+def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join a broadcast table on keys of which any may be null."""
+    named = other.select(*[F.col(c).alias(f"_same_{c}" if c in keys else c) for c in other.columns])
+    on = reduce(and_, [df[k].eqNullSafe(named[f"_same_{k}"]) for k in keys])
+    return df.join(F.broadcast(named), on, how).drop(*[f"_same_{k}" for k in keys])
 
-    There are at most rows / hot_rows of them, so the list may be broadcast. It is
-    checkpointed: every reader sees the same keys.
-    """
-    hot_rows = _hot_rows(df)
-    if not may_be_hot(df, hot_rows):
-        return None
-    shared_dir(df.sparkSession)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > hot_rows).checkpoint())
-    return None if hot.isEmpty() else hot
+
+def packed(high: Column | str, low: Column | str) -> Column:
+    """One number that orders like (high, low), two longs of which the low ones, such as
+    ids, have one sign. A decimal keeps all digits, and a hash aggregate can hold it."""
+    high = F.col(high) if isinstance(high, str) else high
+    low = F.col(low) if isinstance(low, str) else low
+    return (high.cast("decimal(19,0)") * F.lit(Decimal(10**19)) + low.cast("decimal(19,0)")).cast(
+        "decimal(38,0)")
 
 
 def lookup(fact: DataFrame, reference: DataFrame, keys: Sequence[str], how: str = "left",
@@ -94,31 +97,36 @@ def lookup(fact: DataFrame, reference: DataFrame, keys: Sequence[str], how: str
     hot = hot_keys(fact if counted is None else counted, keys)
     if hot is None:
         return fact.join(reference, keys, how)
-    few = F.broadcast(hot.select(*keys))
-    hot_reference = F.broadcast(reference.join(few, keys, "left_semi"))
-    rest = fact.join(few, keys, "left_anti").join(reference, keys, how)
+    few = hot.select(*keys)
+    hot_reference = F.broadcast(_same(reference, few, keys, "left_semi"))
+    rest = _same(fact, few, keys, "left_anti").join(reference, keys, how)
     return rest.unionByName(
-        fact.join(few, keys, "left_semi").join(hot_reference, keys, how))
+        _same(fact, few, keys, "left_semi").join(hot_reference, keys, how))
 
 
-def history(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> History:
+def history(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+            counted: DataFrame | None = None) -> History:
     """Prepare rows for ``running``; ``order`` must be total within a key.
 
+    ``counted`` may name a cheaper input with at least as many rows per key to look for
+    hot keys in.
+
     Range partitioning by (key, order) cuts the rows of hot keys at sampled
     quantiles, and the checkpoint fixes the cut: a task that is run again, or a
     second reader of the rows, sees the same pieces.
     """
     whole = History(df, tuple(keys), tuple(order))
-    hot = hot_keys(df, keys)
+    hot = hot_keys(df if counted is None else counted, keys)
     if hot is None:
         return whole
     total = hot.agg(F.sum("_rows")).first()[0]
-    keys_only = F.broadcast(hot.select(*keys))
-    cut = (df.join(keys_only, list(keys), "left_semi")
+    keys_only = hot.select(*keys)
+    shared_dir(df.sparkSession)
+    cut = (_same(df, keys_only, keys, "left_semi")
            .repartitionByRange(math.ceil(total / _hot_rows(df)) + 1, *keys, *order)
            .withColumn(PIECE, F.spark_partition_id() + 1)
            .checkpoint())
-    rest = df.join(keys_only, list(keys), "left_anti").withColumn(PIECE, F.lit(0))
+    rest = _same(df, keys_only, keys, "left_anti").withColumn(PIECE, F.lit(0))
     return replace(whole, df=rest.unionByName(cut), pieces=(PIECE,))
 
 
@@ -155,7 +163,7 @@ def running(hist: History, values: Mapping[str, tuple[str, Column]],
                     for name, (kind, value) in values.items()])
              .select(*hist.part, *[_AGGREGATES[kind][0](name).over(earlier).alias(f"_{name}_in")
                                    for name, (kind, _) in values.items()]))
-    joined = rows.join(F.broadcast(carry), hist.part, "left")
+    joined = _same(rows, carry, hist.part, "left")
     combined = joined.withColumns({
         name: _AGGREGATES[kind][1](F.col(f"_{name}_in"), F.col(name))
         for name, (kind, _) in values.items()})
@@ -176,8 +184,30 @@ def attach(hist: History, reference: DataFrame) -> History:
     return hist.map(lambda df: df.join(reference, hist.part, "left"))
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-             name: str = "position") -> DataFrame:
+def place(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """1-based place of each row in the order of the whole table; ``order`` must be total.
+
+    The rows are dealt out by ranges of the order and fixed there by a checkpoint, then
+    numbered within each range, after the rows of the ranges before it. Only one count
+    per range reaches the driver.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    # The id that Spark gives a row is its partition's number and its own in there.
+    ranges = ranges.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = sorted(ranges.groupBy(part.alias("_part")).count().collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before)],
+                                    "_part long, _before long")
+    nth = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return (ranges.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col("_before") + nth).drop("_part", "_before", "_at"))
+
+
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
+             counted: DataFrame | None = None) -> DataFrame:
     """1-based place of each row within its key."""
-    counted = running(history(df, keys, order), {name: ("sum", F.lit(1))}, inclusive=True)
+    counted = running(history(df, keys, order, counted), {name: ("sum", F.lit(1))}, inclusive=True)
     return counted.df.withColumn(name, F.col(name).cast("long")).drop(*counted.pieces)

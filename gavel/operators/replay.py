@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.functions.text import is_whole
+from gavel.functions.text import is_long
 from gavel.operators.ordered import attach, history, running
 
 ANTI_SNIPE_MS = 2 * 60 * 1000
@@ -21,6 +21,26 @@ BID_ERRORS = {
 }
 
 
+def with_message(judged: DataFrame, messages: dict[str, str] = BID_ERRORS) -> DataFrame:
+    """Add the ``message`` of each refusal, null for what was accepted."""
+    text = F.lit(None).cast("string")
+    for outcome, message in messages.items():
+        text = F.when(F.col("outcome") == outcome, message).otherwise(text)
+    return judged.withColumn("message", text)
+
+
+def refused_at_once() -> Column:
+    """Outcome of an attempt that no auction needs to be looked at for, else null.
+
+    An amount must be a positive whole number that a long can hold; an attempt
+    without an auction is NOT_FOUND, one without a bidder or a time INVALID_ATTEMPT.
+    """
+    amount = F.col("amount").cast("double")
+    return (F.when(F.col("auction_id").isNull(), "NOT_FOUND")
+            .when(~F.coalesce(is_long(amount) & (amount > 0), F.lit(False)), "INVALID_AMOUNT")
+            .when(F.col("bidder_id").isNull() | F.col("created_at").isNull(), "INVALID_ATTEMPT"))
+
+
 def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
                 window_ms: int = ANTI_SNIPE_MS) -> DataFrame:
     """Attempts with ``outcome``, ``price_after``, ``end_after`` and ``extended``.
@@ -34,14 +54,14 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
     above all eligible bids before it is accepted, so one running maximum of
     (amount, earliest time) gives the current price and the current end; from
     the first attempt at or after that end on, everything is CLOSED.
+    Attempts that ``refused_at_once`` refuses have no effect on others.
     """
     attempts = attempts.select("id", "auction_id", "bidder_id", "amount", "created_at")
-    amount_ok = is_whole(F.col("amount").cast("double")) & (F.col("amount") > 0)
-    named = F.col("auction_id").isNotNull()
+    refusal = refused_at_once()
 
     # Refused without looking at the auction, so these rows skip the shuffle.
-    stateless = attempts.where(~(named & amount_ok)).select(
-        "*", F.when(~named, "NOT_FOUND").otherwise("INVALID_AMOUNT").alias("outcome"),
+    stateless = attempts.where(refusal.isNotNull()).select(
+        "*", refusal.alias("outcome"),
         F.lit(None).cast("long").alias("price_after"),
         F.lit(None).cast("timestamp").alias("end_after"),
         F.lit(False).alias("extended"))
@@ -59,10 +79,11 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
             F.when(F.col("bid_count") == 0, F.col("starting_price"))
             .otherwise(F.col("current_price") + 1).alias("floor_price")))
 
-    rows = (attempts.where(named & amount_ok)
-            .withColumn("rupees", F.col("amount").cast("long"))
+    rows = (attempts.where(refusal.isNull())
+            .withColumn("rupees", F.col("amount").try_cast("long"))
             .withColumn("t", F.unix_millis("created_at")))
-    hist = attach(history(rows, ["auction_id"], ["t", "id"]), reference)
+    hist = attach(history(rows, ["auction_id"], ["t", "id"], attempts.select("auction_id")),
+                  reference)
 
     eligible = ((F.col("rupees") >= F.col("floor_price"))
                 & (F.col("bidder_id") != F.col("seller_id")))

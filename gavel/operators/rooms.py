@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.functions.text import computed_once, is_whole, to_number
-from gavel.operators.ordered import history, running
+from gavel.functions.text import computed_once, is_long, to_number
+from gavel.operators.ordered import history, packed, running
 
 ALL_ROOM = "all"
+_ALL_NUMBER = -(1 << 63)
 
 
 def parse_subscribe(messages: DataFrame) -> DataFrame:
@@ -21,25 +22,38 @@ def parse_subscribe(messages: DataFrame) -> DataFrame:
     Anything that is not JSON, not a subscription, or names neither ``all`` nor a
     whole number is dropped.
     """
+    read = computed_once(messages.select("id", "client_id", "ts", "raw"),
+                         message=F.try_parse_json("raw"))
+    read = computed_once(
+        read, type=F.try_variant_get("message", "$.type", "string"),
+        value=F.try_variant_get("message", "$.auctionId", "variant"))
+    read = computed_once(read.where(F.col("type") == "subscribe"),
+                         kind=F.schema_of_variant("value"),
+                         target=F.try_variant_get("value", "$", "string"))
     # Bare literals convert to numbers, the same words in quotes do not.
-    literal = F.regexp_extract("raw", r'"auctionId"\s*:\s*(true|false|null)\b', 1)
-    read = (messages.select("id", "client_id", "ts", "raw",
-                            F.json_tuple("raw", "type", "auctionId").alias("type", "target"))
-            .where(F.col("type") == "subscribe"))
-    number = (F.when(literal == "true", F.lit(1.0)).when(literal != "", F.lit(0.0))
-              .when(F.col("target").isNotNull(), to_number(F.col("target"))))
+    number = (F.when(F.col("kind") == "VOID", F.lit(0.0))
+              .when(F.col("kind") == "BOOLEAN", F.when(F.col("target") == "true", 1.0).otherwise(0.0))
+              .when(F.col("kind") == "STRING", to_number(F.col("target")))
+              .otherwise(F.try_variant_get("value", "$", "double")))
     read = computed_once(read, number=number)
-    room = F.when(F.col("target") == ALL_ROOM, ALL_ROOM).when(
-        is_whole(F.col("number")), F.col("number").cast("long").cast("string"))
+    room = F.when((F.col("kind") == "STRING") & (F.col("target") == ALL_ROOM), ALL_ROOM).when(
+        is_long(F.col("number")), F.col("number").try_cast("long").cast("string"))
     return (read.select("id", "client_id", "ts", room.alias("room"))
             .where(F.col("room").isNotNull()))
 
 
 def current_rooms(subscriptions: DataFrame) -> DataFrame:
-    """(client_id, room, ts): each client's latest subscription."""
-    return (subscriptions.groupBy("client_id")
-            .agg(F.max(F.struct("ts", "id", "room")).alias("last"))
-            .select("client_id", "last.room", "last.ts"))
+    """(client_id, room, ts): each client's latest subscription.
+
+    Rooms are numbers here, so that the maximum is a hash aggregate.
+    """
+    number = F.when(F.col("room") == ALL_ROOM, _ALL_NUMBER).otherwise(F.col("room").try_cast("long"))
+    last = (subscriptions.select("client_id", "ts", number.alias("number"),
+                                 packed(F.unix_micros("ts"), "id").alias("rank"))
+            .groupBy("client_id").agg(F.max_by("number", "rank").alias("number"),
+                                      F.max("ts").alias("ts")))
+    room = F.when(F.col("number") == _ALL_NUMBER, ALL_ROOM).otherwise(F.col("number").cast("string"))
+    return last.select("client_id", room.alias("room"), "ts")
 
 
 def room_viewers(subscriptions: DataFrame) -> DataFrame:
@@ -58,7 +72,7 @@ def update_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
     """
     hist = running(
         history(subscriptions.select("id", "client_id", "room", F.unix_millis("ts").alias("t")),
-                ["client_id"], ["t", "id"]),
+                ["client_id"], ["t", "id"], subscriptions.select("client_id")),
         {"last": ("max", F.struct("t", "id", "room"))})
     # Subscribing again to the same room changes nothing.
     moves = hist.df.where(~F.col("room").eqNullSafe(F.col("last.room")))
@@ -71,7 +85,10 @@ def update_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
         F.col("id"), F.unix_millis("ts").alias("t"),
         F.explode(F.array(F.col("auction_id").cast("string"), F.lit(ALL_ROOM))).alias("room"))
     marks = asked.select("room", "t", F.lit(1).alias("kind"), "id", F.lit(0).alias("step"))
-    counted = running(history(steps.unionByName(marks), ["room"], ["t", "kind", "id"]),
+    # Each room is left at most as often as it is entered.
+    entered = subscriptions.select("room")
+    heard = entered.union(entered).union(asked.select("room"))
+    counted = running(history(steps.unionByName(marks), ["room"], ["t", "kind", "id"], heard),
                       {"clients": ("sum", F.col("step"))}).df.where("kind = 1")
     in_all = F.col("room") == ALL_ROOM
     reached = counted.groupBy("id").agg(

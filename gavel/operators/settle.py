@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.clock import as_of_column
 from gavel.functions.labels import is_due
-from gavel.operators.ordered import position
+from gavel.operators.ordered import packed, place
 
 
 def bid_counts(bids: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def bid_counts(bids: DataFrame) -> DataFrame:
 
 
 def winning_bids(bids: DataFrame) -> DataFrame:
-    """Top bid per auction: highest amount, the lowest id among equals."""
-    top = F.max(F.struct("amount", (-F.col("id")).alias("minus_id"), "bidder_id", "created_at"))
-    return bids.groupBy("auction_id").agg(top.alias("top")).select(
-        "auction_id", (-F.col("top.minus_id")).alias("bid_id"), "top.bidder_id", "top.amount",
-        "top.created_at")
+    """Top bid per auction: highest amount, the lowest id among equals.
+
+    Amount and id make one number, so that the maximum is a hash aggregate.
+    """
+    rank = packed("amount", -F.col("id"))
+    return bids.withColumn("_rank", rank).groupBy("auction_id").agg(
+        F.max_by("id", "_rank").alias("bid_id"), F.max_by("bidder_id", "_rank").alias("bidder_id"),
+        F.max("amount").alias("amount"), F.max_by("created_at", "_rank").alias("created_at"))
 
 
 def _sellers(items: DataFrame) -> DataFrame:
@@ -39,8 +42,7 @@ def due_auctions(auctions: DataFrame, as_of: Column | str) -> DataFrame:
 
 def due_in_order(auctions: DataFrame, as_of: Column | str) -> DataFrame:
     """(id, end_time, position) of the due auctions, the first to end first."""
-    due = due_auctions(auctions, as_of).select("id", "end_time").withColumn("_all", F.lit(0))
-    return position(due, ["_all"], ["end_time", "id"]).drop("_all")
+    return place(due_auctions(auctions, as_of).select("id", "end_time"), ["end_time", "id"])
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -48,11 +50,10 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Several incoming rows for one auction leave the one with the lowest id.
     """
-    first = incoming.groupBy("auction_id").agg(
-        F.min(F.struct("id", *[c for c in incoming.columns if c not in ("id", "auction_id")]))
-        .alias("row"))
-    return first.select("auction_id", "row.*").select(*incoming.columns).join(
-        existing.select("auction_id"), "auction_id", "left_anti").select(*incoming.columns)
+    least = incoming.groupBy("auction_id").agg(F.min("id").alias("id"))
+    first = incoming.join(least, ["auction_id", "id"], "left_semi")
+    return first.join(existing.select("auction_id"), "auction_id", "left_anti").select(
+        *incoming.columns)
 
 
 def settle_auctions(auctions: DataFrame, items: DataFrame, bids: DataFrame,

@@ -136,10 +136,21 @@ def _jump(rows: DataFrame, max_failures: int, window_ms: int) -> DataFrame:
 
 def replay_login_throttle(attempts: DataFrame, max_failures: int = MAX_FAILURES,
                           window_ms: int = WINDOW_MS) -> DataFrame:
-    """Attempts with ``outcome`` LOCKED, FAILED or SUCCESS."""
+    """Attempts with ``outcome`` LOCKED, FAILED or SUCCESS.
+
+    A null ``success`` is a failure and comes back as false. A null ip or email is a
+    key like any other. An attempt without a time is INVALID_ATTEMPT and counts for
+    nothing.
+    """
     key = ["ip", "email"]
-    rows = attempts.select("id", "ip", "email", "success", "created_at",
-                           F.unix_millis("created_at").alias("t"))
+    every = attempts.select("id", "ip", "email",
+                            F.coalesce("success", F.lit(False)).alias("success"), "created_at")
+    untimed = every.where(F.col("created_at").isNull()).withColumn(
+        "outcome", F.lit("INVALID_ATTEMPT"))
+    # Keys without nulls, so that equi-joins find them all.
+    rows = every.where(F.col("created_at").isNotNull()).withColumns(
+        {k: F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("")) for k in key}
+        | {"t": F.unix_millis("created_at")})
     fold_rows = int(attempts.sparkSession.conf.get(FOLD_ROWS_CONF, str(FOLD_ROWS)))
     shared_dir(attempts.sparkSession)
     large = (rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
@@ -149,7 +160,8 @@ def replay_login_throttle(attempts: DataFrame, max_failures: int = MAX_FAILURES,
     else:
         judged = _fold(rows.join(large, key, "left_anti"), max_failures, window_ms).unionByName(
             _jump(rows.join(large, key, "left_semi"), max_failures, window_ms))
-    return judged.select(
+    judged = judged.withColumns({k: F.when(F.col(k) != "", F.substr(k, F.lit(2))) for k in key})
+    return untimed.unionByName(judged.select(
         "id", "ip", "email", "success", "created_at",
         F.when(F.col("locked"), "LOCKED").when(F.col("success"), "SUCCESS")
-        .otherwise("FAILED").alias("outcome"))
+        .otherwise("FAILED").alias("outcome")))

@@ -24,6 +24,8 @@ HISTORY_ROWS = 50
 RECEIVED_ROWS = 10
 FEED_ROWS = 12
 HOME_FEED_ROWS = 24
+#: Rows of a feed up to which they are broadcast.
+BROADCAST_LIMIT = 10_000
 
 
 def _auction_columns(auctions: DataFrame) -> DataFrame:
@@ -67,15 +69,21 @@ def auction_cards(t: Tables) -> DataFrame:
 def open_auctions_feed(t: Tables, limit: int = FEED_ROWS) -> DataFrame:
     """The open auctions that end first, with their seller.
 
-    Every auction has its item and seller, so the first ``limit`` auctions are
-    taken before any join. They are few enough to broadcast to the scans of the
-    other tables, and nothing large is shuffled.
+    Only the keys are joined before the limit: an auction whose item or seller is
+    missing takes no place in the feed. The rows left are broadcast to the scans of the
+    other tables if the limit allows.
     """
-    shown = F.broadcast(_auction_columns(t.auctions.where(is_open(F.col("status"))))
-                        .orderBy("endTime", "auctionId").limit(limit))
-    items = F.broadcast(_item_columns(t.items).join(shown, "itemId"))
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if limit <= BROADCAST_LIMIT else df
+
+    sold = t.items.select("id", "seller_id").join(
+        t.users.select(F.col("id").alias("seller_id")), "seller_id", "left_semi")
+    shown = few(_auction_columns(t.auctions.where(is_open(F.col("status"))))
+                .join(sold.select(F.col("id").alias("itemId")), "itemId", "left_semi")
+                .orderBy("endTime", "auctionId").limit(limit))
+    items = few(_item_columns(t.items).join(shown, "itemId"))
     sold_by = _people(t.users, "sellerId", "sellerName").join(items, "sellerId")
-    ids = F.broadcast(shown.select(F.col("auctionId").alias("auction_id")))
+    ids = few(shown.select(F.col("auctionId").alias("auction_id")))
     counted = with_bid_count(sold_by, t.bids.join(ids, "auction_id", "left_semi"))
     return _iso(counted.orderBy("endTime", "auctionId"), "endTime").select(
         *CARD, "sellerId", "sellerName")
@@ -129,12 +137,16 @@ def bids_by_user(t: Tables, user_id: int | None = None) -> DataFrame:
 def listings_by_seller(t: Tables, seller_id: int | None = None) -> DataFrame:
     """Every item of a seller with each of its auctions and the payment state."""
     items = t.items if seller_id is None else t.items.where(F.col("seller_id") == seller_id)
-    items, auctions = _item_columns(items), _auction_columns(t.auctions)
+    items, auctions, bids = _item_columns(items), _auction_columns(t.auctions), t.bids
+    if seller_id is not None:  # the large tables are cut to the seller's rows first
+        auctions = auctions.join(items.select("itemId"), "itemId", "left_semi")
+        bids = bids.join(auctions.select(F.col("auctionId").alias("auction_id")), "auction_id",
+                         "left_semi")
     payments = t.transactions.select(F.col("auction_id").alias("auctionId"),
                                      F.col("status").alias("paymentStatus"))
     listed = lookup(auctions, items, ["itemId"], "inner")
     unlisted = items.join(auctions.select("itemId"), "itemId", "left_anti")
-    paid = with_bid_count(listed.join(payments, "auctionId", "left"), t.bids)
+    paid = with_bid_count(listed.join(payments, "auctionId", "left"), bids)
     rows = paid.unionByName(unlisted.withColumn("bidCount", F.lit(0).cast("long")),
                             allowMissingColumns=True)
     rows = _iso(rows, "endTime").select(
@@ -194,14 +206,16 @@ def bids_received_topk(t: Tables, k: int = RECEIVED_ROWS, seller_id: int | None
 def wins_by_buyer(t: Tables, buyer_id: int | None = None) -> DataFrame:
     """Closed auctions with a winner, and what is still owed for them."""
     won = t.auctions.where((F.col("status") == "closed") & F.col("winner_id").isNotNull())
+    bids = t.bids
     if buyer_id is not None:
         won = won.where(F.col("winner_id") == buyer_id)
+        bids = bids.join(won.select(F.col("id").alias("auction_id")), "auction_id", "left_semi")
     payments = t.transactions.select(F.col("auction_id").alias("auctionId"),
                                      F.col("status").alias("paymentStatus"))
     rows = (_auction_columns(won).join(_item_columns(t.items), "itemId")
             .join(_people(t.users, "sellerId", "sellerName"), "sellerId")
             .join(payments, "auctionId", "left"))
-    rows = _iso(with_bid_count(rows, t.bids), "endTime").select(
+    rows = _iso(with_bid_count(rows, bids), "endTime").select(
         F.col("winnerId").alias("userId"), "auctionId", F.col("currentPrice").alias("amount"),
         "endTime", "title", "category", "imageUrl", "paymentStatus", "sellerName", "bidCount")
     return rows if buyer_id is None else rows.orderBy(F.desc("endTime"), F.desc("auctionId"))
@@ -251,7 +265,8 @@ def auction_page(t: Tables, as_of: Column | str, viewers: DataFrame | None = Non
 def my_bids_sorted(t: Tables) -> DataFrame:
     """``position`` of each auction in its user's list: leading first, then by end."""
     rows = bids_by_user(t).withColumn("_trailing", 1 - F.col("isWinning"))
-    return position(rows, ["userId"], ["_trailing", "endTime", "auctionId"]).select(
+    return position(rows, ["userId"], ["_trailing", "endTime", "auctionId"],
+                    counted=t.bids.select(F.col("bidder_id").alias("userId"))).select(
         "userId", "auctionId", "isWinning", "endTime", "position")
 
 
@@ -266,5 +281,6 @@ def wins_sorted(t: Tables) -> DataFrame:
     rows = wins_by_buyer(t).withColumns({
         "_end": -F.unix_millis(F.col("endTime").cast("timestamp")),
         "_id": -F.col("auctionId")})
-    return position(rows, ["userId"], ["_end", "_id"]).select(
+    return position(rows, ["userId"], ["_end", "_id"],
+                    counted=t.auctions.select(F.col("winner_id").alias("userId"))).select(
         "userId", "auctionId", "endTime", "position")

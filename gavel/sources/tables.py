@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from gavel.schemas import TABLES
 
@@ -38,11 +38,21 @@ def scan_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
 LAYOUT = {"users": ("id",), "items": ("seller_id", "id"), "auctions": ("status", "end_time", "id"),
           "bids": ("auction_id", "id"), "transactions": ("auction_id", "id")}
 
+# Columns that keyed views look up and that the layout doesn't serve: Parquet keeps bloom
+# filters on them.
+LOOKUPS = {"users": ("email",), "items": ("id",), "auctions": ("id", "item_id", "winner_id"),
+           "bids": ("bidder_id",), "transactions": ("buyer_id", "seller_id")}
+
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType) for f in TABLES[table]])
 
 
+def _writer(df: DataFrame, table: str, fmt: str) -> DataFrameWriter:
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUPS[table]}
+    return df.write.format(fmt).options(**blooms if fmt == "parquet" else {})
+
+
 def write_tables(tables: Tables, path: str, fmt: str = "parquet") -> str:
     """Write a complete snapshot to a new folder, each table in its layout.
 
@@ -50,11 +60,12 @@ def write_tables(tables: Tables, path: str, fmt: str = "parquet") -> str:
     overwrites another one: readers get the new path once all tables are there.
     """
     for name, df in tables.items_by_name().items():
-        (_typed(df, name).repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
-         .write.format(fmt).mode("errorifexists").save(f"{path}/{name}"))
+        laid_out = _typed(df, name).repartitionByRange(*LAYOUT[name]).sortWithinPartitions(
+            *LAYOUT[name])
+        _writer(laid_out, name, fmt).mode("errorifexists").save(f"{path}/{name}")
     return path
 
 
 def append_rows(df: DataFrame, path: str, table: str, fmt: str = "parquet") -> None:
     """Append checked rows to one stored table."""
-    _typed(df, table).write.format(fmt).mode("append").save(f"{path}/{table}")
+    _writer(_typed(df, table), table, fmt).mode("append").save(f"{path}/{table}")

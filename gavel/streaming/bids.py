@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gavel.functions.text import is_whole
-from gavel.operators.replay import ANTI_SNIPE_MS
+from gavel.functions.text import is_long
+from gavel.operators.replay import ANTI_SNIPE_MS, accepted as accepted_bids, apply_bids, refused_at_once
 from gavel.operators.settle import bid_counts, settle_auctions, winning_bids
 from gavel.plans.views import auction_detail, auction_page
 from gavel.sources.tables import Tables, scan_tables
@@ -59,11 +59,6 @@ class AuctionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         batch = sorted(rows, key=lambda r: (r.t, r.id))
-        if not batch[0].found:
-            for row in batch:
-                bad = row.auction_id is not None and (row.amount is None or row.amount <= 0)
-                yield self._update(row, "INVALID_AMOUNT" if bad else "NOT_FOUND", 0)
-            return
         state = self.state.get()
         if state is None:  # listed after the stream began
             self.handleInitialState(key, batch[0], timerValues)
@@ -72,9 +67,7 @@ class AuctionProcessor(StatefulProcessor):
         timer = end
         for row in batch:
             outcome, extended = "ACCEPTED", False
-            if row.amount is None or row.amount <= 0:
-                outcome = "INVALID_AMOUNT"
-            elif (row.t, row.id) <= (last_t, last_id):
+            if (row.t, row.id) <= (last_t, last_id):
                 outcome = "OUT_OF_ORDER"
             elif not is_open or row.t >= end:
                 outcome = "CLOSED"
@@ -143,19 +136,26 @@ def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
     # Listed after the stream began, an auction has no state yet and no earlier bids.
     reference = sellers.join(_starting_state(auctions, None), "auction_id").withColumn(
         "found", F.lit(True))
-    whole = F.when(is_whole(F.col("amount").cast("double")), F.col("amount").cast("long"))
-    rows = (attempts.withWatermark("created_at", lateness)
-            .join(reference, "auction_id", "left")
-            # Attempts without an auction are spread over keys of their own.
-            .select(F.coalesce("auction_id", -F.col("id")).alias("key"), "auction_id", "id",
-                    "bidder_id", whole.alias("amount"), "created_at",
-                    F.unix_millis("created_at").alias("t"), "seller_id", "starting_price",
-                    "end_ms", "is_open", "price", "leader", "bid_count",
-                    F.coalesce("found", F.lit(False)).alias("found")))
+    joined = (attempts.withColumn("refusal", refused_at_once())
+              .withWatermark("created_at", lateness).join(reference, "auction_id", "left"))
+    # Refused without any state, so these rows meet no Python worker.
+    refusal = F.coalesce("refusal", F.when(F.col("found").isNull(), "NOT_FOUND"))
+    refused = joined.where(refusal.isNotNull()).select(
+        F.lit("bid").alias("kind"), "auction_id", "id", "bidder_id",
+        F.when(is_long(F.col("amount").cast("double")), F.col("amount").try_cast("long")).alias("amount"),
+        "created_at", refusal.alias("outcome"), F.lit(None).cast("long").alias("price_after"),
+        F.lit(None).cast("timestamp").alias("end_after"), F.lit(False).alias("extended"),
+        F.lit(0).cast("long").alias("bid_count"))
+    rows = joined.where(refusal.isNull()).select(
+        F.col("auction_id").alias("key"), "auction_id", "id", "bidder_id",
+        F.col("amount").try_cast("long").alias("amount"), "created_at",
+        F.unix_millis("created_at").alias("t"), "seller_id", "starting_price", "end_ms", "is_open",
+        "price", "leader", "bid_count")
     initial = initial.withColumnRenamed("auction_id", "key")
-    return rows.groupBy("key").transformWithState(
+    judged = rows.groupBy("key").transformWithState(
         AuctionProcessor(window_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))
+    return judged.unionByName(refused)
 
 
 def bid_outcomes(updates: DataFrame) -> DataFrame:
@@ -177,9 +177,24 @@ def closings(updates: DataFrame) -> DataFrame:
 
 
 def price_ticks(accepted: DataFrame) -> DataFrame:
-    """Price and bid count per auction, in update mode one row per changed auction."""
-    return accepted.groupBy(F.col("auction_id").alias("auctionId")).agg(
-        F.max("amount").alias("currentPrice"), F.count(F.lit(1)).alias("bidCount"))
+    """Price and bid count of an auction after each bid it took, earlier ones included."""
+    return accepted.select(F.col("auction_id").alias("auctionId"),
+                           F.col("price_after").alias("currentPrice"),
+                           F.col("bid_count").alias("bidCount"))
+
+
+def closed_ticks(closed: DataFrame) -> DataFrame:
+    """What everybody in the market is told of a closed auction."""
+    return closed.select(F.lit("closed").alias("type"), F.col("auction_id").alias("auctionId"))
+
+
+def closing_invoices(closed: DataFrame, auctions: DataFrame, items: DataFrame) -> DataFrame:
+    """The pending transaction of each auction that closed with a winner."""
+    sellers = auctions.select(F.col("id").alias("auction_id"), "item_id").join(
+        items.select(F.col("id").alias("item_id"), "seller_id"), "item_id")
+    return closed.where(F.col("winner_id").isNotNull()).join(sellers, "auction_id").select(
+        F.col("auction_id").alias("id"), "auction_id", F.col("winner_id").alias("buyer_id"),
+        "seller_id", "amount", F.lit("pending").alias("status"), F.col("end_time").alias("created_at"))
 
 
 def close_due(spark: SparkSession, home: str, as_of: Column | str) -> Tables:
@@ -190,9 +205,21 @@ def close_due(spark: SparkSession, home: str, as_of: Column | str) -> Tables:
     return replace(t, auctions=auctions, transactions=t.transactions.unionByName(invoices))
 
 
+def market_after(t: Tables, updates: DataFrame) -> Tables:
+    """The market ``t`` after all updates of a stream so far."""
+    taken = accepted_bids(bid_outcomes(updates))
+    closed = closings(updates).select(
+        F.col("auction_id").alias("id"), F.lit("closed").alias("_status"),
+        F.col("winner_id").alias("_winner"))
+    auctions = apply_bids(t.auctions, taken).join(closed, "id", "left").withColumns({
+        "status": F.coalesce("_status", "status"), "winner_id": F.coalesce("_winner", "winner_id")})
+    bids = t.bids.unionByName(taken.drop("end_after"))
+    return replace(t, bids=bids, auctions=auctions.select(*t.auctions.columns))
+
+
 def bid_documents(accepted: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
     """What the watchers of each auction with new bids are sent: the auction, its
-    highest bids and whether the end moved. ``t`` holds the bids already."""
+    highest bids and whether the end moved. ``t`` is the market with these bids."""
     touched = accepted.groupBy(F.col("auction_id").alias("auctionId")).agg(
         F.max("extended").alias("extended"))
     bids = t.bids.join(touched.select(F.col("auctionId").alias("auction_id")), "auction_id",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.operators.ordered import lookup
-from gavel.operators.rooms import ALL_ROOM
+from gavel.operators.rooms import update_audience
 from gavel.streaming.bids import LATENESS
 
 
@@ -27,12 +26,8 @@ def stream_rooms(subscriptions: DataFrame) -> DataFrame:
             .select("client_id", "last.room", "last.ts"))
 
 
-def audience(updates: DataFrame, viewers: DataFrame) -> DataFrame:
-    """How many of the current ``viewers`` (room, viewers) each update (id, auction_id)
-    of a micro-batch is sent to: its own room, and the room of the whole market."""
-    sent = updates.select("id", "auction_id", F.explode(F.array(
-        F.col("auction_id").cast("string"), F.lit(ALL_ROOM))).alias("room"))
-    reached, everyone = F.col("viewers"), F.col("room") == ALL_ROOM
-    return lookup(sent, viewers, ["room"]).groupBy("id", "auction_id").agg(
-        F.coalesce(F.max(F.when(~everyone, reached)), F.lit(0)).alias("room_clients"),
-        F.coalesce(F.max(F.when(everyone, reached)), F.lit(0)).alias("all_clients"))
+def audience(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """How many clients each update (id, auction_id, created_at) of a micro-batch is sent
+    to, as of its time; ``subscriptions`` are those heard so far."""
+    sent = updates.select("id", "auction_id", F.col("created_at").alias("ts"))
+    return update_audience(subscriptions, sent).drop("ts")

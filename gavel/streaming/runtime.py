@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from inspect import signature
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +69,11 @@ def run_batches(stream: DataFrame, name: str, build: Callable[[DataFrame], DataF
     """
     spark = stream.sparkSession
     home = _home(spark, name)
+    takes_id = len(signature(build).parameters) == 2
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{home}/rows/batch_id={batch_id}")
+        rows = build(batch, batch_id) if takes_id else build(batch)
+        rows.write.mode("overwrite").parquet(f"{home}/rows/batch_id={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write)
              .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
@@ -78,6 +81,20 @@ def run_batches(stream: DataFrame, name: str, build: Callable[[DataFrame], DataF
     return spark.read.parquet(f"{home}/rows").withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
+def run_so_far(stream: DataFrame, name: str,
+               build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """As ``run_batches`` with ``build(batch, heard)``, the latter all rows up to the batch."""
+    spark = stream.sparkSession
+    home = _home(spark, f"{name}-heard")
+
+    def with_past(batch: DataFrame, batch_id: int) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{home}/batch_id={batch_id}")
+        heard = spark.read.parquet(home).where(F.col("batch_id") <= batch_id).drop("batch_id")
+        return build(batch, heard)
+
+    return run_batches(stream, name, with_past)
+
+
 def run_updates(stream: DataFrame, name: str, *keys: str) -> DataFrame:
     """Process everything available in update mode and return each key's last row."""
     values = [c for c in stream.columns if c not in keys]

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tests.conftest import at
 
 from gavel.functions import clock, labels, money, text
+from gavel.functions.text import coerce_id, safe_image_url, to_number
 
 
 def column(spark, values, kind, expression):
@@ -122,3 +123,20 @@ def test_outcome_notice(spark):
         "Congratulations - you won this auction at ₹1,20,000.",
         "This auction has ended. Won by A B. at ₹1,20,000.",
         "This auction ended with no bids.", "This auction has ended.", "This auction has ended."]
+
+
+def test_extreme_numbers_end_no_job(spark):
+    values = ["0x" + "F" * 22, "0b" + "1" * 70, "0x" + "0" * 40 + "7", "1e400", "0o" + "7" * 400, "0x", "0x0"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(
+        to_number(F.col("v")).alias("n"), coerce_id(F.col("v")).alias("id")).collect()
+    assert [r.n for r in rows[:4]] == [float(0xFFFFFFFFFFFFFFFFFFFFFF), float((1 << 70) - 1), 7.0, float("inf")]
+    assert [r.id for r in rows] == [None, None, 7, None, None, None, None]
+    assert rows[4].n == float("inf") and rows[5].n is None and rows[6].n == 0.0
+
+
+def test_ports_of_any_length(spark):
+    urls = {"http://a.b:0065535/": True, "http://a.b:65536/": False, "http://a.b:" + "9" * 45: False,
+            "http://a.b:" + "0" * 45 + "1": True, "http://a.b:": True}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select(
+        "u", safe_image_url(F.col("u")).alias("ok")).collect()
+    assert {r.u: r.ok for r in rows} == urls

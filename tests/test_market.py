@@ -32,7 +32,8 @@ def seeded(spark) -> Tables:
                 for a, _, start, price, _, left in DEMO]
     adf = spark.createDataFrame(auctions, schemas.AUCTIONS)
     counts = spark.createDataFrame([(a, n) for a, _, _, _, n, _ in DEMO], "id long, bid_count long")
-    rungs = seed_bid_ladder(adf.join(counts, "id"), [4, 5, 6], NOW)
+    buyers = spark.createDataFrame([(6,), (4,), (5,)], "id long")
+    rungs = seed_bid_ladder(adf.join(counts, "id"), buyers, NOW)
     bids = rungs.select((F.col("auction_id") * 100 + F.col("step")).alias("id"), "auction_id",
                         "bidder_id", "amount", "created_at")
     return Tables(spark.createDataFrame(users, schemas.USERS), spark.createDataFrame(items, schemas.ITEMS),

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gavel.operators.ingest import with_next_ids
-from gavel.operators.ordered import (HOT_ROWS_CONF, PIECE, attach, history, lookup, may_be_hot,
+from gavel.operators.ordered import (HOT_ROWS_CONF, PIECE, attach, history, lookup, packed, place,
                                      position, running)
 
 
@@ -76,10 +76,41 @@ def test_position_counts_within_the_key(spark, hot):
     assert got == dict(zip(ranked["id"], ranked["n"]))
 
 
-def test_small_inputs_need_no_counting(spark):
-    df = spark.range(1000)
-    assert not may_be_hot(df, 10_000_000)
-    assert may_be_hot(df, 100)
+def test_a_hot_key_of_generated_rows_is_cut(spark):
+    spark.conf.set(HOT_ROWS_CONF, "50")
+    one = spark.createDataFrame([(1,)], "k long")
+    df = one.select("k", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("id"))
+    assert history(df, ["k"], ["id"]).pieces
+    spark.conf.unset(HOT_ROWS_CONF)
+
+
+def test_a_null_key_is_cut_like_any_other(spark, hot):
+    rows = [(None if i % 3 else i % 5, i, i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, id long, v long")
+    hist = history(df, ["k"], ["id"])
+    if hot == "cut":
+        sizes = {r[PIECE]: r["count"] for r in
+                 hist.df.where("k IS NULL").groupBy(PIECE).count().collect()}
+        assert 0 not in sizes and max(sizes.values()) < 100
+    got = {r.id: r.s for r in running(hist, {"s": ("sum", F.col("v"))}).df.collect()}
+    assert got == {i: sum(v for k2, j, v in rows if k2 == k and j < i) for k, i, _ in rows}
+
+
+def test_places_in_the_whole_table(spark):
+    df = spark.createDataFrame([(i * 7 % 101, str(i)) for i in range(101)], "a long, b string")
+    numbered = place(df.repartition(5), ["a"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert sorted((r.a, r.position) for r in numbered.collect()) == [(i, i + 1) for i in range(101)]
+    assert place(df.where("false"), ["a"]).collect() == []
+
+
+def test_packed_numbers_order_like_pairs(spark):
+    longs = [-(1 << 63), -5, -1, 0, 1, 7, (1 << 63) - 1]
+    for lows in ([b for b in longs if b >= 0], [b for b in longs if b <= 0]):
+        df = spark.createDataFrame([(a, b) for a in longs for b in lows], "a long, b long")
+        got = [tuple(r) for r in df.orderBy(packed("a", "b")).collect()]
+        assert got == sorted(got)
 
 
 def test_next_ids_are_dense_in_key_order(spark, hot):

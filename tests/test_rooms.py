@@ -78,3 +78,16 @@ def test_sessions_end_after_the_gap(spark, hot):
     assert sorted((r.client_id, millis(r.session_start), millis(r.session_end), r.signals)
                   for r in got) == [
         (1, 0, 40_000, 3), (1, 70_001, 70_001, 1), (1, 100_002, 100_002, 1), (2, 0, 59_000, 60)]
+
+
+def test_subscriptions_are_read_as_json(spark):
+    raw = {1: '{"type":"subscribe","x":{"auctionId":true},"auctionId":7}', 2: '{"type":"subscribe","auctionId":1e300}',
+           3: '{"x":{"type":"subscribe"},"auctionId":7}', 4: '{"type":"subscribe","auctionId":"all"}',
+           5: '{"type":"subscribe","auctionId":true}', 6: '{"type":"subscribe","auctionId":"0x1F"}',
+           7: '{"type":"subscribe","auctionId":null}', 8: '{"type":"subscribe"}', 9: "[1", 10: None,
+           11: '{"type":"subscribe","auctionId":{"a":1}}', 12: '{"type":"subscribe","auctionId":2.5}',
+           13: '{"type":"subscribe","auctionId":"0x' + "F" * 40 + '"}'}
+    feed = spark.createDataFrame([(i, 1, r, at(i)) for i, r in raw.items()],
+                                 "id long, client_id long, raw string, ts timestamp")
+    got = {r.id: r.room for r in parse_subscribe(feed).collect()}
+    assert got == {1: "7", 4: "all", 5: "1", 6: "31", 7: "0"}

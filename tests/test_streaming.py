@@ -8,7 +8,8 @@ from gavel.operators.replay import accepted, apply_bids, replay_bids
 from gavel.operators.rooms import viewer_sessions
 from gavel.streaming import bids as live
 from gavel.streaming import rooms, throttle
-from gavel.streaming.runtime import prepare_state_store, read_stream, run_to_table, run_updates
+from gavel.streaming.runtime import (prepare_state_store, read_stream, run_so_far, run_to_folder,
+                                     run_to_table, run_updates)
 
 SIGNAL = "id long, client_id long, ts timestamp"
 
@@ -89,11 +90,63 @@ def test_throttle_stream_equals_the_counter(spark, tmp_path, limit, window):
 
 
 def test_price_ticks_keep_the_last_price(spark, tmp_path):
-    rows = [(i, 1 + i % 3, 2, float(10 + i), at(i)) for i in range(40)]
+    """Ticks count the bids taken before the stream began, over several micro-batches."""
+    auctions = spark.createDataFrame([(a, a, 1, 9, at(10 ** 9), "open", 0) for a in (1, 2, 3)], AUCTION)
+    items = spark.createDataFrame([(a, 99) for a in (1, 2, 3)], "id long, seller_id long")
+    earlier = spark.createDataFrame([(-2, 1, 5, 3, at(0)), (-1, 1, 6, 9, at(0))],
+                                    "id long, auction_id long, bidder_id long, amount long, created_at timestamp")
+    rows = [(i, 1 + i % 3, 2, float(10 + i), at(i + 1)) for i in range(40)]
     stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at")
-    got = run_updates(live.price_ticks(stream), "ticks", "auctionId").collect()
-    assert {r.auctionId: (r.currentPrice, r.bidCount) for r in got} == {1: (49.0, 14), 2: (47.0, 13),
-                                                                       3: (48.0, 13)}
+    folder = run_to_folder(live.stream_updates(stream, auctions, items, W, "0 seconds", earlier), "u")
+    updates = read_stream(spark, folder, live.UPDATE_SCHEMA, files_per_trigger=1)
+    got = run_updates(live.price_ticks(live.accepted_updates(updates)), "ticks", "auctionId").collect()
+    assert {r.auctionId: (r.currentPrice, r.bidCount) for r in got} == {1: (49, 16), 2: (47, 13),
+                                                                       3: (48, 13)}
+
+
+def test_rows_with_gaps_get_the_outcome_of_the_batch(spark, tmp_path):
+    rows = [(1, 1, 2, 20.0, at(1)), (2, 1, None, 50.0, at(2)), (3, 1, 2, 30.0, at(3)),
+            (4, 1, 3, 1e300, at(4)), (5, 1, 3, float("nan"), at(5)), (6, None, 3, 5.0, at(6)),
+            (7, 77, 3, 5.0, at(7)), (8, 77, 3, 0.5, at(8))]
+    schema = ATTEMPT
+    stream = write_batches(spark, rows, schema, f"{tmp_path}/in", "created_at", n=2)
+    spark.createDataFrame([(9, 1, 2, 90.0, None)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = [*rows, (9, 1, 2, 90.0, None)]
+    auctions = spark.createDataFrame([(1, 1, 10, 10, at(600_000), "open", 0)], AUCTION)
+    items = spark.createDataFrame([(1, 9)], "id long, seller_id long")
+    expected = {1: "ACCEPTED", 2: "INVALID_ATTEMPT", 3: "ACCEPTED", 4: "INVALID_AMOUNT",
+                5: "INVALID_AMOUNT", 6: "NOT_FOUND", 7: "NOT_FOUND", 8: "INVALID_AMOUNT",
+                9: "INVALID_ATTEMPT"}
+    batch = replay_bids(auctions, items, spark.createDataFrame(rows, schema), W)
+    assert {r.id: r.outcome for r in batch.collect()} == expected
+    live_ = live.bid_outcomes(run_to_table(live.stream_updates(stream, auctions, items, W), "bids"))
+    assert {r.id: r.outcome for r in live_.collect()} == expected
+
+
+def test_documents_show_their_own_moment(spark, tmp_path):
+    """An auction touched in two micro-batches shows two prices."""
+    rows = [(i, 1, 2, float(10 + i), at(i + 1)) for i in range(8)]
+    stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at", n=4)
+    auctions = spark.createDataFrame([(1, 1, 10, 10, at(600_000), "open", 0)], AUCTION)
+    items = spark.createDataFrame([(1, 9)], "id long, seller_id long")
+    seen = run_so_far(
+        live.stream_updates(stream, auctions, items, W, "0 seconds"), "seen",
+        lambda batch, heard: live.accepted_updates(batch).groupBy("auction_id").count().crossJoin(
+            live.accepted_updates(heard).selectExpr("max(price_after) price", "count(*) n")))
+    got = sorted((r.batch_id, r.price, r.n) for r in seen.collect())
+    assert [x[1:] for x in got] == [(11, 2), (13, 4), (15, 6), (17, 8)]
+
+
+def test_a_late_login_is_told_apart(spark, tmp_path):
+    prepare_state_store(spark)
+    first = [(1, "a", "x", False, at(5_000)), (2, None, "x", None, at(5_000))]
+    late = [(3, "a", "x", False, at(1_000)), (4, "a", "x", None, at(6_000)), (5, "a", "x", True, None)]
+    for n, rows in enumerate((first, late)):
+        spark.createDataFrame(rows, LOGIN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = read_stream(spark, f"{tmp_path}/in", LOGIN, files_per_trigger=1)
+    got = run_to_table(throttle.stream_throttle(stream, 3, 1_000_000), "logins").collect()
+    assert {r.id: r.outcome for r in got} == {1: "FAILED", 2: "FAILED", 3: "OUT_OF_ORDER", 4: "FAILED",
+                                              5: "INVALID_ATTEMPT"}
 
 
 def test_session_stream_equals_the_batch_for_finished_sessions(spark, tmp_path):

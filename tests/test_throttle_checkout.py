@@ -126,3 +126,15 @@ def test_rows_of_a_hot_auction_are_not_shuffled(spark):
     assert sorted(plain) == list(range(5_100))
     assert sum(o == "PAID" for o in plain.values()) == 26
     assert all(plain[i] == "NOT_FOUND" for i in range(5_000, 5_100))
+
+
+def test_nulls_count_alike_on_both_paths(spark, throttle_path, hot):
+    rows = [(i, None if k == 0 else "ip", None if k == 1 else "m", None if i % 2 else False, at(i))
+            for k in range(3) for i in range(k * 100, k * 100 + 20)]
+    rows.append((999, "ip", "m", True, None))
+    got = replay_login_throttle(spark.createDataFrame(rows, LOGIN), 3, 1_000_000).collect()
+    outcomes = {r.id: r.outcome for r in got}
+    assert outcomes.pop(999) == "INVALID_ATTEMPT"
+    assert outcomes == {i: "FAILED" if i % 100 < 3 else "LOCKED" for i, *_ in rows[:-1]}
+    assert {(r.ip, r.email, r.success) for r in got if r.id != 999} == {
+        (None, "m", False), ("ip", None, False), ("ip", "m", False)}
