@@ -731,7 +731,7 @@ def oracle_sql() -> dict[str, str]:
     q["stream_invoices"] = _sql(live, f"""SELECT l.auction_id AS id, l.auction_id,
         l.winner_id AS buyer_id, i.seller_id, l.amount, 'pending' AS status,
         {iso('l.end_time')} AS created_at
-        FROM live_closed l JOIN auctions a ON a.id = l.auction_id JOIN items i ON i.id = a.item_id
+        FROM live_closed l JOIN base_auctions a ON a.id = l.auction_id JOIN items i ON i.id = a.item_id
         WHERE l.winner_id IS NOT NULL""")
     for name, base, key, value in (
             ("auction_detail_one", "auction_detail", "auctionId", 2),

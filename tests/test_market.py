@@ -11,7 +11,7 @@ from gavel.operators.ladder import seed_bid_ladder
 from gavel.operators.settle import insert_or_ignore, settle_auctions, winning_bids
 from gavel.plans import dashboard, views
 from gavel.plans.snapshot import market_snapshot
-from gavel.sources.sinks import write_json_feed
+from gavel.sources.sinks import read_listing_batches, write_json_feed, write_listing_batch
 from gavel.streaming.bids import close_due
 from gavel.sources.tables import Tables, append_rows, scan_tables, write_tables
 
@@ -272,3 +272,37 @@ def test_key_filters_reach_the_scan(spark, seeded, tmp_path):
     assert "EqualTo(id,3)" in plan and "EqualTo(auction_id,3)" in plan
     bids = [line for line in plan.splitlines() if "EqualTo(auction_id,3)" in line]
     assert bids and all("amount" not in line for line in bids)  # counting reads one column
+
+
+def test_feed_is_full_despite_orphans(spark, seeded):
+    lost = seeded.items.where("id <> 1")  # the auction that would come first or later
+    t = Tables(seeded.users, lost, seeded.auctions, seeded.bids, seeded.transactions)
+    feed = views.open_auctions_feed(t, 3).collect()
+    assert len(feed) == 3 and 1 not in {r.auctionId for r in feed}
+
+
+def test_keyed_lists_cut_the_bids_before_they_are_counted(spark, seeded):
+    for rows in (views.listings_by_seller(seeded, seller_id=2), views.wins_by_buyer(seeded, buyer_id=5)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+    mine = views.listings_by_seller(seeded, seller_id=2).collect()
+    every = [r for r in views.listings_by_seller(seeded).collect() if r.sellerId == 2]
+    assert sorted(mine, key=repr) == sorted(every, key=repr) and mine
+
+
+def test_top_rows_are_hash_aggregates(spark, seeded):
+    plan = winning_bids(seeded.bids)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_a_listing_batch_written_twice_counts_once(spark, tmp_path):
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, title string")
+    auctions = spark.createDataFrame([(7, 1), (8, 2)], "id long, item_id long")
+    for _ in range(2):
+        write_listing_batch(items, auctions, str(tmp_path), 0)
+    write_listing_batch(items.selectExpr("id + 2 id", "title"), auctions, str(tmp_path), 1)
+    # A batch of which only one half was written.
+    items.write.parquet(f"{tmp_path}/items/batch_id=2")
+    got_items, got_auctions = read_listing_batches(spark, str(tmp_path))
+    assert sorted(r.id for r in got_items.collect()) == [1, 2, 3, 4]
+    assert got_auctions.count() == 4
