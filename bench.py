@@ -34,6 +34,7 @@ def main() -> None:
                     .config("spark.sql.shuffle.partitions", cpus)
                     .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
                     .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+                    .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                     .config("spark.ui.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().collect()

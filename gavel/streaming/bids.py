@@ -30,7 +30,7 @@ UPDATE_SCHEMA = """kind string, auction_id long, id long, bidder_id long, amount
     created_at timestamp, outcome string, price_after long, end_after timestamp,
     extended boolean, bid_count long"""
 _STATE = """price long, end_ms long, leader long, bid_count long, last_t long, last_id long,
-    is_open boolean"""
+    is_open boolean, seller_id long, starting_price long"""
 
 
 def _timestamp(ms: int) -> dt.datetime:
@@ -52,28 +52,36 @@ class AuctionProcessor(StatefulProcessor):
         self.state = handle.getValueState("auction", _STATE)
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.state.update((initialState.price, initialState.end_ms, initialState.leader,
-                           initialState.bid_count, -1, -1, initialState.is_open))
-        if initialState.is_open:
-            self.handle.registerTimer(initialState.end_ms)
+        start = initialState
+        self.state.update((start.price, start.end_ms, start.leader, start.bid_count, -1, -1,
+                           start.is_open, start.seller_id, start.starting_price))
+        if start.is_open:
+            self.handle.registerTimer(start.end_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        batch = sorted(rows, key=lambda r: (r.t, r.id))
-        state = self.state.get()
-        if state is None:  # listed after the stream began
-            self.handleInitialState(key, batch[0], timerValues)
-            state = self.state.get()
-        price, end, leader, bids, last_t, last_id, is_open = state
-        timer = end
-        for row in batch:
+        state, timer = self.state.get(), None
+        if state is not None:
+            price, end, leader, bids, last_t, last_id, is_open, seller, start = state
+            timer = end
+        # A listing counts from its own time on; the auction's first row is its listing.
+        for row in sorted(rows, key=lambda r: (r.t, not r.listed, r.id)):
+            if row.listed:
+                if state is None:
+                    price, end, leader, bids, last_t, last_id = None, row.end_ms, None, 0, -1, -1
+                    is_open, seller, start = True, row.seller_id, row.starting_price
+                    state = ()
+                continue
+            if state is None:
+                yield self._update(row, "NOT_FOUND", 0)
+                continue
             outcome, extended = "ACCEPTED", False
             if (row.t, row.id) <= (last_t, last_id):
                 outcome = "OUT_OF_ORDER"
             elif not is_open or row.t >= end:
                 outcome = "CLOSED"
-            elif row.bidder_id == row.seller_id:
+            elif row.bidder_id == seller:
                 outcome = "OWN_ITEM"
-            elif price is None and row.amount < row.starting_price:
+            elif price is None and row.amount < start:
                 outcome = "BELOW_START"
             elif price is not None and row.amount <= price:
                 outcome = "TOO_LOW"
@@ -83,9 +91,12 @@ class AuctionProcessor(StatefulProcessor):
                 end = max(end, row.t + self.window_ms)
             last_t, last_id = max((last_t, last_id), (row.t, row.id))
             yield self._update(row, outcome, bids, end if outcome == "ACCEPTED" else None, extended)
-        self.state.update((price, end, leader, bids, last_t, last_id, is_open))
+        if state is None:
+            return
+        self.state.update((price, end, leader, bids, last_t, last_id, is_open, seller, start))
         if is_open and end != timer:
-            self.handle.deleteTimer(timer)
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(end)
 
     def _update(self, row: Row, outcome: str, bids: int, end: int | None = None,
@@ -97,8 +108,8 @@ class AuctionProcessor(StatefulProcessor):
                    end_after=_timestamp(end) if taken else None, extended=extended, bid_count=bids)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        price, end, leader, bids, last_t, last_id, _ = self.state.get()
-        self.state.update((price, end, leader, bids, last_t, last_id, False))
+        price, end, leader, bids, last_t, last_id, _, *listing = self.state.get()
+        self.state.update((price, end, leader, bids, last_t, last_id, False, *listing))
         yield Row(kind="closed", auction_id=key[0], id=None, bidder_id=leader, amount=price,
                   created_at=_timestamp(end), outcome="SOLD" if bids else "UNSOLD",
                   price_after=price, end_after=_timestamp(end), extended=False, bid_count=bids)
@@ -107,11 +118,12 @@ class AuctionProcessor(StatefulProcessor):
         pass
 
 
-def _starting_state(auctions: DataFrame, bids: DataFrame | None) -> DataFrame:
-    """Per auction: end, whether it is open, and price, leader and number of its bids."""
-    start = auctions.select(
+def _starting_state(auctions: DataFrame, items: DataFrame, bids: DataFrame | None) -> DataFrame:
+    """Per auction: end, whether it is open, its seller and starting price, and price, leader
+    and number of its bids."""
+    start = auctions.join(items.select(F.col("id").alias("item_id"), "seller_id"), "item_id").select(
         F.col("id").alias("auction_id"), F.unix_millis("end_time").alias("end_ms"),
-        (F.col("status") == "open").alias("is_open"))
+        (F.col("status") == "open").alias("is_open"), "seller_id", "starting_price")
     if bids is None:
         return start.select("*", F.lit(None).cast("long").alias("price"),
                             F.lit(None).cast("long").alias("leader"),
@@ -124,34 +136,38 @@ def _starting_state(auctions: DataFrame, bids: DataFrame | None) -> DataFrame:
 
 def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
                    window_ms: int = ANTI_SNIPE_MS, lateness: str = LATENESS,
-                   bids: DataFrame | None = None) -> DataFrame:
+                   bids: DataFrame | None = None, listings: DataFrame | None = None) -> DataFrame:
     """Bid outcomes and closings for a stream of attempts; see ``UPDATE_SCHEMA``.
 
-    Every auction starts in the state, so those without a bid are closed too.
-    ``bids`` are those accepted before the stream, from which it continues.
+    Every auction starts in the state, so those without a bid are closed too, and no
+    table is joined in again for each micro-batch. ``bids`` are those accepted before
+    the stream, from which it continues. ``listings`` is a second stream (id, seller_id,
+    starting_price, end_time, created_at) of auctions that open while this one runs; one
+    is found by attempts from its ``created_at`` on. The watermark is that of both
+    streams together, so a quiet one doesn't hold it back.
     """
-    initial = _starting_state(auctions, bids)
-    sellers = auctions.select(F.col("id").alias("auction_id"), "item_id", "starting_price").join(
-        items.select(F.col("id").alias("item_id"), "seller_id"), "item_id").drop("item_id")
-    # Listed after the stream began, an auction has no state yet and no earlier bids.
-    reference = sellers.join(_starting_state(auctions, None), "auction_id").withColumn(
-        "found", F.lit(True))
-    joined = (attempts.withColumn("refusal", refused_at_once())
-              .withWatermark("created_at", lateness).join(reference, "auction_id", "left"))
+    refusal = refused_at_once()
     # Refused without any state, so these rows meet no Python worker.
-    refusal = F.coalesce("refusal", F.when(F.col("found").isNull(), "NOT_FOUND"))
-    refused = joined.where(refusal.isNotNull()).select(
+    refused = attempts.where(refusal.isNotNull()).select(
         F.lit("bid").alias("kind"), "auction_id", "id", "bidder_id",
         F.when(is_long(F.col("amount").cast("double")), F.col("amount").try_cast("long")).alias("amount"),
         "created_at", refusal.alias("outcome"), F.lit(None).cast("long").alias("price_after"),
         F.lit(None).cast("timestamp").alias("end_after"), F.lit(False).alias("extended"),
         F.lit(0).cast("long").alias("bid_count"))
-    rows = joined.where(refusal.isNull()).select(
+    nothing = F.lit(None).cast("long")
+    rows = attempts.where(refusal.isNull()).select(
         F.col("auction_id").alias("key"), "auction_id", "id", "bidder_id",
         F.col("amount").try_cast("long").alias("amount"), "created_at",
-        F.unix_millis("created_at").alias("t"), "seller_id", "starting_price", "end_ms", "is_open",
-        "price", "leader", "bid_count")
-    initial = initial.withColumnRenamed("auction_id", "key")
+        F.lit(False).alias("listed"), nothing.alias("end_ms"), nothing.alias("seller_id"),
+        nothing.alias("starting_price"))
+    if listings is not None:
+        rows = rows.unionByName(listings.where("id is not null and created_at is not null").select(
+            F.col("id").alias("key"), F.col("id").alias("auction_id"), "id",
+            nothing.alias("bidder_id"), nothing.alias("amount"), "created_at",
+            F.lit(True).alias("listed"), F.unix_millis("end_time").alias("end_ms"), "seller_id",
+            "starting_price"))
+    rows = rows.withWatermark("created_at", lateness).withColumn("t", F.unix_millis("created_at"))
+    initial = _starting_state(auctions, items, bids).withColumnRenamed("auction_id", "key")
     judged = rows.groupBy("key").transformWithState(
         AuctionProcessor(window_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))

@@ -123,6 +123,36 @@ def test_rows_with_gaps_get_the_outcome_of_the_batch(spark, tmp_path):
     assert {r.id: r.outcome for r in live_.collect()} == expected
 
 
+def test_auctions_listed_while_the_stream_runs(spark, tmp_path):
+    """One of them gets bids, the other none; both are found, judged and closed."""
+    prepare_state_store(spark)
+    listing = "id long, seller_id long, starting_price long, end_time timestamp, created_at timestamp"
+    auctions = spark.createDataFrame([(1, 1, 10, 10, at(600_000), "open", 0)], AUCTION)
+    items = spark.createDataFrame([(1, 9)], "id long, seller_id long")
+
+    def run(attempts, listings):
+        for name, rows, schema in (("bids", attempts, ATTEMPT), ("listings", listings, listing)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
+                f"{tmp_path}/{name}")
+        updates = live.stream_updates(
+            read_stream(spark, f"{tmp_path}/bids", ATTEMPT), auctions, items, W, "0 seconds",
+            listings=read_stream(spark, f"{tmp_path}/listings", listing))
+        (updates.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint")
+         .trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination())
+        return spark.read.schema(live.UPDATE_SCHEMA).parquet(f"{tmp_path}/out")
+
+    run([(1, 2, 5, 20.0, at(1_000))], [])
+    got = run([(2, 2, 5, 20.0, at(1_500)), (3, 2, 5, 20.0, at(3_000)), (4, 2, 8, 30.0, at(4_000)),
+               (5, 2, 6, 5.0, at(4_500)), (6, 1, 6, 15.0, at(5_000))],
+              [(2, 8, 10, at(10_000), at(2_000)), (3, 8, 10, at(9_000), at(2_000))])
+    assert {r.id: r.outcome for r in live.bid_outcomes(got).collect()} == {
+        1: "NOT_FOUND", 2: "NOT_FOUND", 3: "ACCEPTED", 4: "OWN_ITEM", 5: "TOO_LOW", 6: "ACCEPTED"}
+    got = run([(7, 2, 5, 90.0, at(900_000))], [])
+    assert {r.auction_id: (r.winner_id, r.amount, r.bid_count) for r in live.closings(got).collect()} == {
+        1: (6, 15, 1), 2: (5, 20, 1), 3: (None, None, 0)}
+    assert {r.id: r.outcome for r in live.bid_outcomes(got).collect()}[7] == "CLOSED"
+
+
 def test_documents_show_their_own_moment(spark, tmp_path):
     """An auction touched in two micro-batches shows two prices."""
     rows = [(i, 1, 2, float(10 + i), at(i + 1)) for i in range(8)]
