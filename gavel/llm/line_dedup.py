@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import once, staged
+from gavel.llm.common import is_small, once, staged, stored
 
 MIN_TOKENS = 8
 ID = ["h1", "h2"]
@@ -49,44 +49,43 @@ def _halves(line: Column, n: Column) -> Column:
         F.call_function("xxhash64", F.lit("tail"), F.call_function("substring_index", line, F.lit(" "), -c)))))
 
 
-def _earliest(*candidates: str) -> Column:
-    return F.least(*candidates)
-
-
-def _near_firsts(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
+def _near_firsts(docs: DataFrame, seen: DataFrame, distinct: DataFrame, key: str,
+                 text: str) -> DataFrame:
     """Per line with a match within one token: the earliest place of any of its matches."""
-    keys = distinct.where("keys is not null").select(*ID, F.explode("keys").alias("half"))
-    shared = (keys.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+    # Both readers of a spread table share its shuffle.
+    halves = (seen.where("keys is not null").select(*ID, F.explode("keys").alias("half"))
+              .repartition("half"))
+    shared = (halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
               .where("a <> b").select("half"))
-    candidates = keys.join(shared, "half", "left_semi").select(*ID).distinct()
-    places = distinct.join(candidates, ID, "left_semi").select(*ID, "first")
+    candidates = halves.join(shared, "half", "left_semi").select(*ID).distinct()
+    places = stored(distinct.join(candidates, ID).select(*ID, "first"))
 
     # The text of each candidate, from the place where it occurs first.
     wanted = (places.groupBy(F.col("first.doc").alias("doc"))
               .agg(F.collect_set("first.no").alias("numbers")))
+    wanted = F.broadcast(wanted) if is_small(wanted) else wanted
     body = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("doc"), F.col(text).alias("body"))
     found = (body.join(wanted, "doc").select(
-        F.col("doc"), "numbers", F.posexplode(F.split("body", "\n")).alias("no", "raw"))
+        "numbers", F.posexplode(F.split("body", "\n")).alias("no", "raw"))
         .where(F.array_contains("numbers", F.col("no")))
         .select(F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")))
     found = found.select(*_identity(F.col("line")), "line").dropDuplicates(ID)
-    texts = staged(found.join(places, ID).select(*ID, "first", F.split("line", " ").alias("tokens")))
+    texts = stored(found.join(places, ID).select(*ID, "first", F.split("line", " ").alias("tokens")))
 
     hashed = once(texts, _hashes=F.transform("tokens", lambda t: F.xxhash64(t)))
     summed = once(hashed, _all=F.aggregate(
         "_hashes", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h)))
+    n = F.size("tokens")
     variants = F.concat(
-        F.array(F.struct(F.lit(-1).alias("at"), F.size("tokens").alias("left"),
-                         F.col("_all").alias("key"))),
+        F.array(F.struct(F.lit(-1).alias("at"), F.xxhash64(n, F.col("_all")).alias("key"))),
         F.transform("_hashes", lambda h, i: F.struct(
-            i.alias("at"), (F.size("tokens") - 1).alias("left"),
-            F.col("_all").bitwiseXOR(h).alias("key"))))
-    rows = summed.select(*ID, F.inline(variants).alias("at", "left", "key"))
-    again = (rows.groupBy("left", "key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
-             .where("a <> b").select("left", "key"))
-    meeting = (rows.join(again, ["left", "key"], "left_semi")
-               .groupBy(*ID).agg(F.collect_set("at").alias("places")))
+            i.alias("at"), F.xxhash64(n - 1, F.col("_all").bitwiseXOR(h)).alias("key"))))
+    rows = summed.select("h1", F.inline(variants).alias("at", "key")).repartition("key")
+    again = (rows.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
+             .where("a <> b").select("key"))
+    meeting = (rows.join(again, "key", "left_semi")
+               .groupBy("h1").agg(F.collect_set("at").alias("places")))
 
     # Verification by the variant's whole text: equal variants that lack a token at the
     # same place are one replacement apart, and a whole line equal to one is a deletion.
@@ -94,7 +93,7 @@ def _near_firsts(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> D
     rest = F.when(at < 0, F.array_join("tokens", " ")).otherwise(F.array_join(F.concat(
         F.slice("tokens", F.lit(1), F.greatest(at, F.lit(0))),
         F.slice("tokens", at + 2, F.size("tokens"))), " "))
-    left = texts.join(meeting, ID).select(
+    left = texts.join(meeting, "h1").select(
         *ID, "first", F.explode("places").alias("at"), "tokens")
     left = staged(once(left, _rest=rest).select(
         *ID, "first", "at", F.xxhash64("_rest").alias("r1"),
@@ -127,13 +126,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     n = F.size(F.split("line", " "))
     # The hashes of the halves are made before the shuffle, which so carries no text.
     place = F.struct("doc", "no")
-    seen = lines.select("doc", "text_hash", "no", *_identity(F.col("line")),
-                        F.when(n >= min_tokens, _halves(F.col("line"), n)).alias("keys"))
-    seen = staged(seen)
-    distinct = seen.groupBy(*ID).agg(F.min(place).alias("first"), F.first("keys").alias("keys"),
-                                     F.count(F.lit(1)).alias("times"))
-    distinct = staged(distinct)
-    near = _near_firsts(docs, distinct, id_column, text_column)
+    seen = stored(lines.select("doc", "text_hash", "no", *_identity(F.col("line")),
+                               F.when(n >= min_tokens, _halves(F.col("line"), n)).alias("keys")))
+    distinct = stored(seen.groupBy(*ID).agg(F.min(place).alias("first"),
+                                            F.count(F.lit(1)).alias("times")))
+    near = _near_firsts(docs, seen, distinct, id_column, text_column)
     decided = (distinct.join(near, ID, "left")
                .select(*ID, F.coalesce(F.least("first", "near"), "first").alias("earliest"),
                        ((F.col("times") > 1) | F.col("near").isNotNull()).alias("matched"))
