@@ -192,6 +192,16 @@ def sink_json_feed(spark, sf_dir):
     return json_documents(views.open_auctions_feed(market(spark, sf_dir), views.HOME_FEED_ROWS))
 
 
+@query
+def sink_json_page(spark, sf_dir):
+    return json_documents(views.auction_page(market_with_payments(spark, sf_dir), AS_OF))
+
+
+@query
+def sink_json_wins(spark, sf_dir):
+    return json_documents(views.wins_by_buyer(market_with_payments(spark, sf_dir)))
+
+
 @query
 def erase_cascade(spark, sf_dir):
     t = market(spark, sf_dir)

@@ -648,6 +648,23 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN paid_invoices v ON v.auction_id = d."auctionId"
         LEFT JOIN (SELECT "auctionId", string_agg(id || ':' || "bidderName", ',' ORDER BY position)
                    AS bids FROM history GROUP BY "auctionId") h ON h."auctionId" = d."auctionId" """)
+    q["sink_json_page"] = _sql([*PAID_MARKET, DETAIL, f"history AS ({_history(50)})", """
+        pages AS (SELECT d."auctionId", d AS auction, coalesce(h.bids, []) AS bids,
+          CASE WHEN v.id IS NOT NULL THEN struct_pack(id := v.id, "auctionId" := v.auction_id,
+            "buyerId" := v.buyer_id, "sellerId" := v.seller_id, amount := v.amount,
+            status := v.status, "createdAt" := """ + iso("v.created_at") + """) END AS payment,
+          CAST(NULL AS VARCHAR) AS viewer
+        FROM detail d LEFT JOIN paid_invoices v ON v.auction_id = d."auctionId"
+        LEFT JOIN (SELECT "auctionId", list(struct_pack(id := id, amount := amount,
+            "placedAt" := "placedAt", "bidderId" := "bidderId", "bidderName" := "bidderName")
+            ORDER BY position) AS bids FROM history GROUP BY "auctionId") h
+          ON h."auctionId" = d."auctionId")"""],
+        "SELECT CAST(to_json(p) AS VARCHAR) AS document FROM pages p")
+    q["sink_json_wins"] = _sql(
+        [*PAID_MARKET, _wins("paid_invoices")],
+        """SELECT CAST(to_json(w) AS VARCHAR) AS document FROM (
+           SELECT "userId", "auctionId", amount, "endTime", title, category, "imageUrl",
+                  "paymentStatus", "sellerName", "bidCount" FROM wins) w""")
     q["listings_by_seller"] = _sql([*PAID_MARKET, _listings("paid_invoices")],
                                    "SELECT * FROM listings")
     q["wins_by_buyer"] = _sql([*PAID_MARKET, _wins("paid_invoices")], "SELECT * FROM wins")
