@@ -17,7 +17,9 @@ the waste so far leaves it no chance to use fewer sequences than the incumbent.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import insort
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -39,16 +41,24 @@ END_ID = 1
 FILL_STEPS = 500
 BRANCHES = 8
 #: Words kept with their ids in a worker, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 600_000, 48
 
-_SPACES = str.maketrans("\n\t\r", "   ")
+#: Words of these characters need no normalisation but lower case, and split alike.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# The tokenizer's pieces of a word, here of plain characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level BPE writes bytes as letters: printable Latin-1 as itself, others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 class WordTokenizer:
     """A tokenizer whose words end at spaces, with the ids of words kept as bytes.
 
     Its splitting drops white space and joins nothing across it, so a text's ids are
-    those of its space-separated parts in turn.
+    those of its space-separated parts in turn. Parts of plain characters are lowered
+    and split here and only merged by the tokenizer's model, piece by piece; any other
+    part, and any that may hold a special token, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -56,24 +66,41 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merge = self._tokenizer.model.tokenize
         self._ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        made = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, made)}
+        self._of_piece: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self._merge(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            ids = self._tokenizer.encode(word, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
+        parts = []
+        for piece in _PIECES.findall(word.lower()):
+            ids = self._of_piece.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                if len(piece) <= CACHED_CHARS:
+                    self._of_piece[piece] = ids
+            parts.append(ids)
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers."""
-        words = text.translate(_SPACES).split(" ")
-        if len(self._ids) > CACHED_WORDS:
-            self._ids.clear()
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self._ids
-        missing = list({w for w in words if w not in known})
-        if missing:
-            learned = self._learn(missing)
-            known.update((w, ids) for w, ids in learned.items() if len(w) <= CACHED_CHARS)
-            return b"".join([known[w] if w in known else learned[w] for w in words])
-        return b"".join([known[w] for w in words])
+        if len(known) + len(self._of_piece) > CACHED_WORDS:
+            known.clear()
+            self._of_piece.clear()
+        missing = set(words).difference(known)
+        if not missing:
+            return b"".join(map(known.__getitem__, words))
+        learned = {w: self._word(w) for w in missing}
+        known.update((w, ids) for w, ids in learned.items() if len(w) <= CACHED_CHARS)
+        return b"".join([learned[w] if w in learned else known[w] for w in words])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
