@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start in here remove their shuffle files when they end.
+
+    Their result lies in the shared folder, so nothing reads these files again, and they
+    need not wait for the driver's garbage collection.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder so that later readers agree on them."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_dropped(ready(df.sparkSession)):
+        return df.select("*").checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -34,7 +52,8 @@ def stored(df: DataFrame) -> DataFrame:
     rows, and each reader takes only its columns. The folder's owner clears it."""
     spark = ready(df.sparkSession)
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm.common import staged
+from gavel.llm.common import stored
 
 LENGTH = 50
 GRAM = 24
@@ -223,7 +223,7 @@ def _opened(marks: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of opened phrases as (two hashes, document, start)."""
+    """Strings of opened phrases as (hash, 32 bits of another and the start, document)."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         marks = batch.column("marks")
@@ -237,9 +237,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s1, s2 = _string_hashes(data, at)
             row = pa.array(np.full(len(at), i))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1), pa.array(s2), batch.column("doc").take(row),
-                 batch.column("text_hash").take(row), pa.array(at)],
-                names=["s1", "s2", "doc", "text_hash", "at"])
+                [pa.array(s1), pa.array((s2 >> 32 << 32) | at), batch.column("doc").take(row),
+                 batch.column("text_hash").take(row)],
+                names=["s1", "s2_at", "doc", "text_hash"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,21 +336,26 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
     """
     rows = docs.select(F.col(id_column).alias("doc"),
                        F.coalesce(text_column, F.lit("")).alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    # Tells rows apart that repeat an id; mostly none do, and nothing is carried.
+    repeated = not rows.groupBy("doc").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("text_hash", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     kind = rows.schema["doc"].dataType.simpleString()
     parse = rows.where("doc is not null").mapInArrow(
         _parse, f"doc {kind}, text_hash long, trigger long, phrase long, place long")
-    marks = staged(_marks(parse).groupBy("doc", "text_hash")
+    marks = stored(_marks(parse).groupBy("doc", "text_hash")
                    .agg(F.collect_list("mark").alias("marks")))
+    # The parse's shuffle is gone by now.
     packed = rows.mapInArrow(_pack, f"doc {kind}, packed binary, text_hash long")
     # Both readers of this join read one shuffle of the packed texts.
     marked = packed.join(marks, ["doc", "text_hash"], "left").select(
         "doc", "text_hash", "packed", "marks")
     suffixes = marked.mapInArrow(
-        _suffixes, f"s1 long, s2 long, doc {kind}, text_hash long, at long").repartition("s1", "s2")
-    string = Window.partitionBy("s1", "s2").orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
+        _suffixes, f"s1 long, s2_at long, doc {kind}, text_hash long").repartition("s1")
+    string = Window.partitionBy("s1", F.shiftright("s2_at", 32)).orderBy("doc").rowsBetween(
+        Window.unboundedPreceding, 0)
+    at = F.col("s2_at").bitwiseAND(F.lit((1 << 32) - 1))
     later = (suffixes.withColumn("first", F.first("doc").over(string)).where("doc > first")
-             .groupBy("doc", "text_hash").agg(F.collect_list("at").alias("later")))
+             .groupBy("doc", "text_hash").agg(F.collect_list(at).alias("later")))
     schema = f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     done = marked.join(later, ["doc", "text_hash"], "left").select(
         "doc", "packed", "marks", "later").mapInArrow(_remove, schema)
