@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavel.llm.common import ready, staged
+from gavel.llm.common import ready, staged, thinned
 
 NEIGHBOURS = 20
 #: Rows the tree is fitted on, chosen by hash, and queries the visits are calibrated on.
@@ -241,7 +241,9 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def calibrated_visits(indexed: DataFrame, queries: DataFrame, tree: Tree, sizes: dict[int, int],
                       k: int, recall: float) -> int:
     """Fewest leaves to visit that reach ``recall`` over the calibration queries."""
-    asked = _collected(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION_QUERIES))
+    order = F.xxhash64("vec_id")
+    asked = _collected(thinned(queries, order, CALIBRATION_QUERIES).orderBy(order, "vec_id")
+                       .limit(CALIBRATION_QUERIES))
     truth = brute_force(indexed, asked, k).join(
         indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
     if not truth:
@@ -271,11 +273,9 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     bounds = vectors.agg(F.sqrt(F.max(squares)), F.count(F.lit(1))).first()
     if not bounds[1]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # Thin out by hash, so that what is sorted for the sample doesn't grow with the table.
-    share = min(1.0, 2 * SAMPLE_ROWS / bounds[1])
-    thin = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30))
-                         <= int(share * (1 << 30)))
-    sample = _collected(thin.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(SAMPLE_ROWS))
+    # Thinned out first, so that what the tasks send doesn't grow with their number.
+    order = F.xxhash64("vec_id", F.lit("fit"))
+    sample = _collected(thinned(vectors, order, SAMPLE_ROWS).orderBy(order, "vec_id").limit(SAMPLE_ROWS))
     tree = fit_tree(sample[1], bounds[0])
 
     indexed = staged(vectors.mapInArrow(

@@ -62,6 +62,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def thinned(df: DataFrame, hashed: Column, rows: int) -> DataFrame:
+    """About four times ``rows`` rows by their hash, or all of a table with fewer."""
+    share = min(1.0, 4 * rows / max(df.count(), 1))
+    return df.where(F.pmod(hashed, F.lit(1 << 30)) <= int(share * (1 << 30)))
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row, however often they are read.
 

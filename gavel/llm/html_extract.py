@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.llm.common import ready
+from gavel.llm.common import ready, thinned
 
 #: Pages the trees are fitted on, chosen by hash, and the longest that is chosen.
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 100_000
@@ -392,13 +392,16 @@ def _disguised(root: Node, nodes: list[Node], texts: list[str], random: np.rando
         host.children.insert(at, _filler(tag, token, host, texts, random))
 
 
-def fit_extractor(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> Trees | None:
+def fit_extractor(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
+                  html_column: str = "html") -> Trees | None:
     """Trees learned from a bounded sample of the pages; None if no page has landmarks."""
     ready(pages.sparkSession)
     html = F.col(html_column)
-    order = F.xxhash64(F.col(id_column).cast("string"), html)
-    sample = (pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS))
-              .select(order.alias("h"), html.alias("html")).orderBy("h", "html").limit(SAMPLE_PAGES))
+    order = F.xxhash64(F.col(id_column).cast("string"), F.col(url_column))
+    # Thinned out first, so that what the tasks send doesn't grow with their number.
+    thin = thinned(pages.select(order.alias("h"), html.alias("html")), F.col("h"), SAMPLE_PAGES)
+    sample = (thin.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+              .orderBy("h", "html").limit(SAMPLE_PAGES))
     random = np.random.default_rng(7)
     roots = [parse(r["html"]) for r in sample.collect()]
     texts = [n.parts[0] for root in roots for n in _ordered(root) if n.tag == TEXT and n.parts[0].split()]
