@@ -36,23 +36,31 @@ LIST_ROWS = 64
 LONG_LIST_ROWS = 1024
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a text's word shingles as a signed 64-bit number.
+def shingle_hashes(text: str | None, n_words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of a text's word shingles in their order.
 
     A-Z are lower-cased; words are runs without ASCII white space. A text of fewer words
-    than a shingle is one shingle; without words, or null, the fingerprint is 0.
+    than a shingle is one shingle; without words, or null, there is none.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - WORDS + 1)
+        return np.zeros(0, dtype="<u8")
+    n = max(1, len(words) - n_words + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = [0, *(ends[:n - 1] + 1).tolist()]
-    stops = ends[WORDS - 1:].tolist() if len(words) >= WORDS else [len(joined)]
+    stops = ends[n_words - 1:].tolist() if len(words) >= n_words else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)),
-                         dtype="<u8", count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)),
+                       dtype="<u8", count=n)
+
+
+def fingerprint(text: str | None) -> int:
+    """SimHash of a text's word shingles as a signed 64-bit number, 0 without shingles."""
+    hashes = shingle_hashes(text)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for part in range(0, n, 4096):
         bits = np.unpackbits(hashes[part:part + 4096].view(np.uint8).reshape(-1, 8), axis=1,
@@ -205,6 +213,21 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def place_key(id_column: str, text_column: str) -> Column:
+    """Orders rows by id, null ids last, then by text hash; repeated rows are equal."""
+    return F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                    F.xxhash64(text_column).alias("hash"))
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are in ``keys``, repeated rows once."""
+    marked = docs.withColumn("_hash", F.xxhash64(text_column))
+    same = marked[id_column].eqNullSafe(keys["id"]) & (marked["_hash"] == keys["hash"])
+    one = Window.partitionBy(id_column, "_hash").orderBy(F.lit(0))
+    return (marked.join(keys, same, "left_semi").withColumn("_nth", F.row_number().over(one))
+            .where("_nth = 1").drop("_hash", "_nth"))
+
+
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` less all but one of each component of ``near_copies``.
@@ -213,14 +236,8 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id",
     hash, and of repeated rows one. Rows with a null id come after all others. All
     columns are kept.
     """
-    text_hash = F.xxhash64(text_column)
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
-                   text_hash.alias("hash"))
+    key = place_key(id_column, text_column)
     groups = near_copies(docs.select(key.alias("key"), F.col(text_column).alias("text")),
                          "key", "text")
     stays = groups.select("component_id.*").distinct()
-    marked = docs.withColumn("_hash", text_hash)
-    same = marked[id_column].eqNullSafe(stays["id"]) & (marked["_hash"] == stays["hash"])
-    one = Window.partitionBy(id_column, "_hash").orderBy(F.lit(0))
-    return (marked.join(stays, same, "left_semi").withColumn("_nth", F.row_number().over(one))
-            .where("_nth = 1").drop("_hash", "_nth"))
+    return one_of_each(docs, stays, id_column, text_column)

@@ -1,0 +1,98 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from gavel.llm import minhash_dedup as minhash
+from gavel.llm import simhash_dedup as simhash
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain_set(text, n=5):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i:i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def plain_kept(docs, n=5, similarity=0.8):
+    """Least id of each group, by comparing all texts."""
+    sets = {d: plain_set(t, n) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, x in sets.items():
+        for e, y in sets.items():
+            if d < e and (x == y or len(x & y) / len(x | y) >= similarity):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return sorted({find(d) for d in sets})
+
+
+def kept(spark, docs, *args):
+    rows = minhash.drop_near_copies(spark.createDataFrame(docs, SCHEMA), "doc_id", "text", *args)
+    return sorted(r["doc_id"] for r in rows.collect())
+
+
+def edited(pick, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[pick.randrange(len(words))] = f"n{pick.randrange(10_000)}"
+    return words
+
+
+@pytest.mark.parametrize("args", [(5, 0.8), (3, 0.6)])
+def test_agrees_with_brute_force(spark, args):
+    pick = random.Random(3)
+    bases = [[f"w{pick.randrange(900)}" for _ in range(pick.choice([3, 5, 9, 60, 200]))] for _ in range(12)]
+    docs = []
+    for i in range(150):
+        base = pick.choice(bases)
+        docs.append((i * 7 % 150, " ".join(edited(pick, base, pick.randrange(len(base) // 20 + 2)))))
+    expected = plain_kept(docs, *args)
+    assert kept(spark, docs, *args) == expected and 12 < len(expected) < 150
+
+
+def test_stage_finds_what_simhash_does_not(spark):
+    pick = random.Random(8)
+    docs = []
+    for i in range(20):  # four changed words of 200: similarity 0.8 to 0.83
+        base = [f"w{pick.randrange(5000)}" for _ in range(200)]
+        near = list(base)
+        for at in (20, 70, 120, 170):
+            near[at] = "changed"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    prints = {d: simhash.fingerprint(t) for d, t in docs}
+    assert any(((prints[2 * i] ^ prints[2 * i + 1]) % (1 << 64)).bit_count() > 3 for i in range(20))
+    frame = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_kept(docs) == list(range(0, 40, 2))
+
+
+def test_groups_apart_from_the_pivot(spark):
+    """A chain, whose ends only links in between connect, beside copies of its middle."""
+    pick = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    docs = [(k, " ".join(words[6 * k:] + [f"x{j}" for j in range(6 * k)])) for k in range(40)]
+    docs += [(100 + k, " ".join(edited(pick, words[120:] + [f"x{j}" for j in range(120)], 2))) for k in range(60)]
+    assert kept(spark, docs) == plain_kept(docs) == [0]
+
+
+def test_bands_for_a_threshold():
+    bands = minhash.n_bands(0.8)
+    assert (1 - 0.8 ** minhash.BAND_ROWS) ** bands <= minhash.MISSED and minhash.n_bands(1.0) == 1
+
+
+def test_defined_cases(spark):
+    docs = [(3, "a b c d", "x"), (1, "A b  c d", "y"), (1, "A b  c d", "y"), (None, "a b c d", "z"),
+            (None, "p q r s", "z"), (None, "p q r s", "z"), (9, None, "n"), (8, " \n", "n"), (2, "a b c", "k")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, id string")
+    out = minhash.drop_near_copies(frame)
+    assert out.columns == ["doc_id", "text", "id"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [
+        (1, "A b  c d", "y"), (2, "a b c", "k"), (8, " \n", "n"), (None, "p q r s", "z")]
+    assert minhash.drop_near_copies(frame.where("false")).collect() == []
