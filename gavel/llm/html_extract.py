@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -41,9 +42,11 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show no text of the page, or only labels of controls.
 HIDDEN = frozenset(
-    "audio button canvas datalist embed head iframe map math noscript object script select style "
+    "audio button canvas datalist embed iframe map math noscript object script select style "
     "svg template textarea title video".split())
 RAW = frozenset("script style textarea title".split())
+#: What can stand in a head; any other start tag ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript template".split()) | RAW
 #: Start tags that end an open element of the named kinds.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -133,47 +136,80 @@ class _Builder:
                 return
 
 
+def _tags(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag.
+
+    Comments, and raw elements with their text, have an empty name. Without an end tag,
+    scripts and styles go to the end of the page, of others only the start tag is left out.
+    """
+    tags, at, lower = [], 0, None
+    while m := _TAG.search(html, at):
+        start, at = m.span()
+        tag, closing, attributes = (m.group(2) or "").lower(), bool(m.group(1)), m.group(3) or ""
+        if tag in RAW:
+            if not closing and not attributes.endswith("/"):
+                lower = lower or html.lower()
+                stop = lower.find(f"</{tag}", at)
+                if stop >= 0:
+                    at = html.find(">", stop) + 1 or len(html)
+                elif tag in ("script", "style"):
+                    at = len(html)
+            tag = ""
+        tags.append((start, at, tag, closing, attributes))
+    return tags
+
+
+def _hidden_ends(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """Index of the end tag of each hidden element that ends before its parent does."""
+    ends: dict[int, int] = {}
+    waiting: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    for i, (_, _, tag, closing, attributes) in enumerate(tags):
+        if not tag or tag in VOID or tag in INLINE:
+            continue
+        if not closing:
+            if tag not in HIDDEN or not attributes.endswith("/"):
+                waiting.append((tag, i))
+                count[tag] += 1
+        elif count[tag]:
+            name = ""
+            while name != tag:
+                name, first = waiting.pop()
+                count[name] -= 1
+            if tag in HIDDEN:
+                ends[first] = i
+    return ends
+
+
 def parse(html: str) -> Node:
-    """Block elements and text runs of a page; hidden elements and comments are left out."""
-    builder, at, lower = _Builder(), 0, None
-    hidden = None  # (tag, depth) of a hidden element that is open
-    depth = 0
-    for m in _TAG.finditer(html):
-        start = m.start()
-        if start < at:
+    """Block elements and text runs of a page; hidden elements and comments are left out.
+
+    A hidden element without an end of its own hides nothing: its text stays and is
+    judged like any other. A head ends where something stands that can't be in it.
+    """
+    builder, at, i, in_head = _Builder(), 0, 0, False
+    tags = _tags(html)
+    ends = _hidden_ends(tags)
+    while i < len(tags):
+        start, end, tag, closing, attributes = tags[i]
+        if start > at:
+            in_head = in_head and not html[at:start].strip()
+            if not in_head:
+                builder.text(html[at:start])
+        at = end
+        i += 1
+        if not tag:
             continue
-        if start > at and hidden is None:
-            builder.text(html[at:start])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+        if tag == "head":
+            in_head = not closing
             continue
-        tag, closing = name.lower(), bool(m.group(1))
-        if hidden is not None:
-            if tag == hidden:
-                depth += -1 if closing else 1
-            # What ends the head or starts the body can't be within a hidden head.
-            if not depth or hidden == "head" and tag == "body":
-                hidden = None
-                if tag != "body":
-                    continue
-            elif not closing and tag in RAW:
-                lower = lower or html.lower()
-                stop = lower.find(f"</{tag}", at)
-                at = len(html) if stop < 0 else stop
-                continue
-            else:
+        if in_head:
+            if closing or tag in HEAD and tag not in HIDDEN:
                 continue
+            in_head = tag in HEAD
         if tag in HIDDEN:
-            if closing or tag in VOID or m.group(3).endswith("/"):
-                continue
-            if tag in RAW:
-                lower = lower or html.lower()
-                stop = lower.find(f"</{tag}", at)
-                stop = len(html) if stop < 0 else html.find(">", stop) + 1
-                at = stop or len(html)
-            else:
-                hidden, depth = tag, 1
+            if not closing and i - 1 in ends:
+                at, i = tags[ends[i - 1]][1], ends[i - 1] + 1
         elif tag == "br":
             builder.text(" ")
         elif tag in INLINE:
@@ -182,8 +218,8 @@ def parse(html: str) -> Node:
         elif closing:
             builder.end(tag)
         else:
-            builder.start(tag, m.group(3))
-    if hidden is None and at < len(html):
+            builder.start(tag, attributes)
+    if at < len(html):
         builder.text(html[at:])
     return builder.root
 

@@ -62,6 +62,34 @@ def test_parsing():
     assert runs(deep) == ["x"]
 
 
+def shown(html):
+    return [n.text for n in ext._ordered(ext.parse(html)) if n.tag == ext.TEXT]
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><title>T</title><meta charset=u><p>article</p>", "<head><title>T</title>article",
+    "<head><link rel=x><noscript>on</noscript><div>article</div></head>",
+    "<head><script>a</script><a href=x>article</a>", "<head></head><body>article"])
+def test_a_head_without_an_end(html):
+    assert shown(html) == ["article"]
+
+
+@pytest.mark.parametrize("tag", ["button", "iframe", "noscript", "select", "object", "svg", "canvas", "map"])
+def test_hidden_elements_without_an_end(tag):
+    assert shown(f"<div><{tag}></div><p>article</p>") == ["article"]
+    assert shown(f"<body><{tag}><p>article</p></body>") == ["article"]
+    assert shown(f"<div><{tag}></div><p>article</p><div><{tag}>x</{tag}></div><p>more") == ["article", "more"]
+    assert shown(f"<{tag}>x<{tag}/>y</{tag}><p>article") == ["article"]
+    assert shown(f"<{tag}>x<{tag}>y</{tag}>z</{tag}><p>article") == ["article"]
+    assert shown(f"<{tag}>" * 20_000 + "<p>article") == ["article"]
+
+
+def test_raw_text_looks_like_markup():
+    assert shown("<script>a <!-- b</script><p>article</p>") == ["article"]
+    assert shown("<script>if (a <b && c == 'x</script><p>it's an article</p>") == ["it's an article"]
+    assert shown("<title>T<p>article</p>") == ["T", "article"]
+
+
 def test_dropped_nodes_keep_nothing(trees):
     for html in LAYOUTS.values():
         nodes = ext._ordered(ext.parse(html))
