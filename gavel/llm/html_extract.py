@@ -66,6 +66,8 @@ DROPPED_LANDMARKS = frozenset("nav header footer aside form".split())
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)>?""",
     re.S)
+#: End tags of raw elements; upper and lower case agree in ASCII only, as in HTML.
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/<>]|\Z)[^<>]*>?", re.I | re.A) for tag in RAW}
 _TOKENS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…]")
@@ -142,18 +144,20 @@ def _tags(html: str) -> list[tuple[int, int, str, bool, str]]:
     Comments, and raw elements with their text, have an empty name. Without an end tag,
     scripts and styles go to the end of the page, of others only the start tag is left out.
     """
-    tags, at, lower = [], 0, None
+    tags, at = [], 0
+    endless: set[str] = set()
     while m := _TAG.search(html, at):
         start, at = m.span()
         tag, closing, attributes = (m.group(2) or "").lower(), bool(m.group(1)), m.group(3) or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                lower = lower or html.lower()
-                stop = lower.find(f"</{tag}", at)
-                if stop >= 0:
-                    at = html.find(">", stop) + 1 or len(html)
-                elif tag in ("script", "style"):
-                    at = len(html)
+                stop = None if tag in endless else _RAW_ENDS[tag].search(html, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    endless.add(tag)
+                    if tag in ("script", "style"):
+                        at = len(html)
             tag = ""
         tags.append((start, at, tag, closing, attributes))
     return tags

@@ -90,6 +90,14 @@ def test_raw_text_looks_like_markup():
     assert shown("<title>T<p>article</p>") == ["T", "article"]
 
 
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea"])
+def test_raw_text_after_letters_that_grow_in_lower_case(tag):
+    before = "\u0130stanbul " * 30
+    page = f"<article><p>{before}</p><{tag}>var a = '<p>x';</{tag.upper()} ><p>the rest</p></article>"
+    assert shown(page) == [before.strip(), "the rest"]
+    assert shown(f"<{tag}>a</{tag}x></{tag}\n<p>the rest") == ["the rest"]
+
+
 def test_dropped_nodes_keep_nothing(trees):
     for html in LAYOUTS.values():
         nodes = ext._ordered(ext.parse(html))
