@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from heapq import nlargest
 from html import unescape
 
 import numpy as np
@@ -269,6 +270,9 @@ def features(nodes: list[Node]) -> np.ndarray:
                     dtype=np.float32)
     depth: dict[int, int] = {}
     bad_above: dict[int, int] = {}
+    largest: dict[int, list[int]] = {}  # sizes of a parent's two largest children
+    for n in nodes:
+        largest[id(n)] = nlargest(2, [c.chars for c in n.children]) + [0, 0]
     seen = 0
     for i, n in enumerate(nodes):
         up = n.parent
@@ -286,7 +290,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             sum(t in _GOOD for t in n.tokens), above, len(n.tokens),
             up.links / (up.chars or 1) if up else 0, math.log1p(up.chars) if up else 0,
             up.marks / (up.chars or 1) if up else 0,
-            max((c.chars for c in up.children if c is not n), default=0) / chars if up and siblings < 200 else 0,
+            largest[id(up)][n.chars == largest[id(up)][0]] / chars if up else 0,
             n.marks / (n.words or 1))
         at = 24
         if n.tag in _GROUP:

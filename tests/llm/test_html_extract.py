@@ -106,6 +106,14 @@ def test_dropped_nodes_keep_nothing(trees):
         assert all(n.parent is None or id(n.parent) in kept for n in nodes if id(n) in kept)
 
 
+@pytest.mark.parametrize("sizes", [[5], [5, 9], [9, 9, 2], [*range(1, 200)], [*range(1, 301)], [7] * 500])
+def test_largest_sibling_whatever_their_number(sizes):
+    nodes = ext._ordered(ext.parse("".join(f"<p>{'x' * k}</p>" for k in sizes)))
+    found = [row[22] for n, row in zip(nodes, ext.features(nodes)) if n.tag == "p"]
+    others = [max(sizes[:i] + sizes[i + 1:], default=0) / k for i, k in enumerate(sizes)]
+    assert found == pytest.approx(others)
+
+
 def test_trees_learn():
     random = np.random.default_rng(0)
     x = random.normal(size=(4000, 6))
