@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gavel.llm import (ann, html_extract, language_id, line_dedup, mixing, packing, quality, simhash_dedup,
-                       substring_dedup, url_filter)
-from gavel.llm.common import table
+from gavel.llm import (ann, html_extract, language_id, line_dedup, manifest, mixing, packing, quality,
+                       simhash_dedup, substring_dedup, url_filter)
+from gavel.llm.common import is_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +75,29 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "block", "order_key")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(text: Column) -> Column:
+        return manifest.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+
+    # Where five divides a document's number, what is checked has its capitals changed.
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", digest(F.col("text")).alias("leaf"),
+        F.when(changed, digest(lower)).alias("claimed"))
+    built = manifest.build_manifest(docs, F.col("source"), F.col("doc_id"), F.col("leaf"))
+    proven = manifest.prove(built).join(
+        F.broadcast(built.groups.select("group", "subroot"))
+        if is_small(built.groups) else built.groups.select("group", "subroot"), "group")
+    root = manifest.folded(F.coalesce("row.claimed", "leaf"), F.col("proof"))
+    return proven.select(
+        "row.doc_id", "leaf", "subroot", F.lit(built.root).alias("root"),
+        F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
-    op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources)}
+    op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources,
+    op12_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -153,9 +153,88 @@ SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, block, order_ke
 FROM run WHERE epoch < epochs OR before < budget
 """
 
+def _levels(name: str, key: str, levels: int) -> str:
+    """Nodes of the levels 1 to ``levels`` above those of level 0; a last node just stays."""
+    made = []
+    for i in range(levels):
+        made.append(f"""
+{name}{i + 1} AS (
+  SELECT *, CASE WHEN was = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS d FROM (
+    SELECT {key}, nth // 16 AS nth, n AS was, (n + 15) // 16 AS n, list(d ORDER BY nth) AS kids
+    FROM {name}{i} GROUP BY {key}, nth // 16, n))""")
+    return ",".join(made)
+
+
+def _ways(name: str, key: str, levels: int, nth: str) -> tuple[list[str], list[str], list[str]]:
+    """Joins with the runs that hold a row, its siblings there, and the steps of folding."""
+    joins, rest, steps = [], [], []
+    for i in range(1, levels + 1):
+        run, digit = f"{name}{i}", f"({nth} // {16 ** (i - 1)} % 16)"
+        joins.append(f"JOIN {run} ON {run}.{key} = r.{key} AND {run}.nth = {nth} // {16 ** i}")
+        before, after = (f"array_to_string({run}.kids[:{digit}], '')",
+                         f"array_to_string({run}.kids[{digit} + 2:], '')")
+        rest.append(f"CASE WHEN {run}.was = 1 THEN '' ELSE {before} || {after} END")
+        steps.append(f"CASE WHEN {run}.was = 1 THEN h ELSE sha256({before} || h || {after}) END")
+    return joins, rest, steps
+
+
+def _merkle(levels: int = 6, upper: int = 4) -> str:
+    """The manifest with levels for 16^6 rows a source and 16^4 sources."""
+    joins, rest, steps = _ways("g", "grp", levels, "r.rank")
+    more, rest2, steps2 = _ways("t", "one", upper, "r.pos")
+    fields = "\n || ".join(
+        f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+        for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def field(text: str) -> str:
+        return f"sha256({fields} || coalesce(strlen({text}) || ':' || {text}, '-'))"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    folds, h = [], "claimed"
+    for i, step in enumerate([*steps, *steps2]):
+        folds.append(f"f{i + 1} AS (SELECT r.*, {step.replace(' h ', f' {h} ')} AS h{i + 1} FROM f{i} r "
+                     f"{([*joins, *more])[i]})")
+        h = f"h{i + 1}"
+    return f"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+      CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+docs AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS grp, {field('text')} AS leaf, {field(lower)} AS changed,
+         xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                        lambda c: CAST(ascii(c) AS BIGINT)),
+                         lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS crc
+  FROM documents, crc_table),
+ranked AS (
+  SELECT *, 1 AS one, CASE WHEN crc % 5 = 0 THEN changed ELSE leaf END AS claimed,
+         row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+         dense_rank() OVER (ORDER BY grp) - 1 AS pos
+  FROM docs),
+g0 AS (SELECT grp, rank AS nth, count(*) OVER (PARTITION BY grp) AS n, leaf AS d FROM ranked),
+{_levels("g", "grp", levels).lstrip()},
+subroots AS (SELECT DISTINCT grp, d FROM g{levels}),
+t0 AS (SELECT 1 AS one, row_number() OVER (ORDER BY grp) - 1 AS nth, count(*) OVER () AS n, d
+       FROM subroots),
+{_levels("t", "one", upper).lstrip()},
+proofs AS (
+  SELECT r.*, sha256({' || '.join([*rest, *rest2])}) AS proof_sha256
+  FROM ranked r {' '.join([*joins, *more])}),
+f0 AS (SELECT * FROM proofs),
+{', '.join(folds)}
+SELECT f.doc_id, f.leaf, s.d AS subroot, t{upper}.d AS root, f.proof_sha256, f.{h} AS folded_root,
+       f.{h} = t{upper}.d AS verified
+FROM f{len(folds)} f JOIN subroots s USING (grp), t{upper}
+"""
+
+
+MERKLE = _merkle()
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": LINE_DEDUP,
     "op6_quality_rules": QUALITY,
     "op9_url_filter": URL_FILTER,
     "op10_mix_sources": MIX_SOURCES,
+    "op12_merkle_manifest": MERKLE,
 }
