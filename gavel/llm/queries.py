@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gavel.llm import (ann, html_extract, language_id, line_dedup, manifest, mixing, packing, quality,
-                       simhash_dedup, substring_dedup, url_filter)
+                       simhash_dedup, substring_dedup, url_filter, whitening)
 from gavel.llm.common import is_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
     op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources,
-    op12_merkle_manifest)}
+    op12_merkle_manifest, op13_embedding_whitening)}
 QUERIES["pipeline"] = corpus_pipeline.run
