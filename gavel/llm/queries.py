@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gavel.llm import (ann, html_extract, language_id, line_dedup, manifest, mixing, packing, quality,
-                       simhash_dedup, substring_dedup, url_filter, whitening)
+                       simhash_dedup, substring_dedup, url_filter, vector_dedup, whitening)
 from gavel.llm.common import is_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "block", "order_key")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(text: Column) -> Column:
         return manifest.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
@@ -103,5 +107,5 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_simhash_dedup, op2_line_dedup, op3_best_fit_packing, op4_language_id,
     op5_nearest_vectors, op6_quality_rules, op7_html_extraction, op8_suffix_dedup, op9_url_filter, op10_mix_sources,
-    op12_merkle_manifest, op13_embedding_whitening)}
+    op11_embedding_dedup, op12_merkle_manifest, op13_embedding_whitening)}
 QUERIES["pipeline"] = corpus_pipeline.run

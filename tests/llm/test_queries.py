@@ -35,7 +35,7 @@ def test_query_matches(spark, engine, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names}
     assert "pipeline" in names and set(sql.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
