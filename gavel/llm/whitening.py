@@ -32,7 +32,8 @@ LARGEST = 2.0 ** 40
 SLICE = 8
 #: Nodes of the quadrature on the upper half of the circle around a slice.
 NODES = 8
-MAX_ROUNDS = 40
+#: Rounds after which a slice that doesn't settle is cut in two.
+MAX_ROUNDS = 20
 #: Eigenvalues nearer than this share of the largest aren't parted between slices.
 SAME = 1e-9
 
@@ -112,8 +113,11 @@ def _slices(matrix: np.ndarray, wanted: int, floor: float, top: float) -> list[t
 
 
 def _feast(matrix: np.ndarray, low: float, high: float, count: int,
-           random: np.random.Generator) -> np.ndarray:
-    """Orthonormal basis of the eigenvectors whose eigenvalues lie between low and high."""
+           random: np.random.Generator) -> np.ndarray | None:
+    """The ``count`` eigenvectors whose eigenvalues lie between low and high.
+
+    None if the quadrature doesn't part them well enough from those outside.
+    """
     size = len(matrix)
     norm = np.abs(matrix).sum(axis=1).max()
     nodes, weights = np.polynomial.legendre.leggauss(NODES)
@@ -143,9 +147,31 @@ def _feast(matrix: np.ndarray, low: float, high: float, count: int,
         if best < 1e-16:
             return found
         basis = vectors
-    if found is None or best > 1e-9:
-        raise ArithmeticError(f"{count} eigenvalues lie between {low} and {high}, but not all were found")
-    return found
+    return found if best < 1e-11 else None
+
+
+def _eigenvectors(matrix: np.ndarray, low: float, high: float, above: int, count: int, same: float,
+                  random: np.random.Generator) -> list[np.ndarray]:
+    """Eigenvectors of a slice with ``above`` eigenvalues beyond it, in one or more parts.
+
+    A circle that reaches far compared with the distance of the next eigenvalue outside
+    parts them badly. Such a slice is cut at its widest gap, and one that can't be cut
+    gets a smaller circle.
+    """
+    found = _feast(matrix, low, high, count, random)
+    if found is not None:
+        return [found]
+    values = [_nth_largest(matrix, above + n, low, high) for n in range(1, count + 1)]
+    gaps = [a - b for a, b in zip(values, values[1:])]
+    if not gaps or max(gaps) <= same:
+        reach = min(values[-1] - low, high - values[0]) / 2
+        if reach <= same:
+            raise ArithmeticError(f"{count} eigenvalues lie between {low} and {high}, but not all were found")
+        return _eigenvectors(matrix, values[-1] - reach, values[0] + reach, above, count, same, random)
+    n = int(np.argmax(gaps)) + 1
+    cut = (values[n - 1] + values[n]) / 2
+    return [*_eigenvectors(matrix, cut, high, above, n, same, random),
+            *_eigenvectors(matrix, low, cut, above + n, count - n, same, random)]
 
 
 def principal_components(matrix: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +184,10 @@ def principal_components(matrix: np.ndarray, wanted: int) -> tuple[np.ndarray, n
     size = float(np.abs(matrix).sum(axis=1).max())
     floor, top = 1e-13 * len(matrix) * size, size * (1 + 1e-9)
     random = np.random.default_rng(13)
-    parts = [_feast(matrix, low, high, count, random)
-             for low, high, count in _slices(matrix, wanted, floor, top)]
+    parts, above = [], 0
+    for low, high, count in _slices(matrix, wanted, floor, top):
+        parts += _eigenvectors(matrix, low, high, above, count, SAME * top, random)
+        above += count
     # One more Rayleigh-Ritz step over all slices makes their vectors orthogonal.
     space = np.linalg.qr(np.hstack(parts))[0]
     values, inner = np.linalg.eigh(space.T @ matrix @ space)

@@ -84,14 +84,16 @@ def test_deviation_beyond_a_long_is_null(spark):
     assert {r["vec_id"]: r["deviation"] for r in out}[1] is None and len(out) == 6
 
 
-@pytest.mark.parametrize("values", [[5, 5, 5, 3, 3, 1, 1, 1, 1], [1] * 30, [4, 2, 1, 0, 0], list(range(1, 50))])
+@pytest.mark.parametrize("values", [[5, 5, 5, 3, 3, 1, 1, 1, 1], [1] * 30, [4, 2, 1, 0, 0], list(range(1, 50)),
+                                    [4000, 700, *np.linspace(69, 48, 62)], [1e6, 1e6, 1e3, *np.linspace(1.001, 1, 40)],
+                                    list(np.logspace(8, 0, 60))])
 def test_clustered_spectra(values):
     random = np.random.default_rng(len(values))
     basis = np.linalg.qr(random.standard_normal((len(values), len(values))))[0]
     matrix = basis @ np.diag(values) @ basis.T
     found, columns = whitening.principal_components((matrix + matrix.T) / 2, 32)
     expected = sorted((v for v in values if v), reverse=True)[:32]
-    assert found == pytest.approx(expected, rel=1e-12)
+    assert found == pytest.approx(expected, rel=1e-12, abs=1e-14 * max(values))
     assert np.abs(columns.T @ columns - np.eye(len(found))).max() < 1e-12
     assert np.abs(matrix @ columns - columns * found).max() < 1e-11 * max(values)
 
