@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import language_id, line_dedup, minhash_dedup, mixing, packing
+from gavel.llm import language_id, line_dedup, mixing, packing, simhash_dedup
 from gavel.llm.common import ready, table
 from gavel.session import shared_dir
 
@@ -40,9 +40,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, similarity 0.8."""
+    """One document of each group whose SimHash fingerprints link: three words a shingle,
+    three differing bits at most."""
     ready(spark)
-    return minhash_dedup.drop_near_copies(docs.select(*COLUMNS))
+    return simhash_dedup.drop_near_copies(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("line_dedup", dedup_lines),
-    ("near_copies", drop_near_copies),
+    ("simhash_dedup", drop_near_copies),
     ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
