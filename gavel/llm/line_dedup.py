@@ -139,16 +139,15 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                .where(place > F.col("earliest"))
                .groupBy("doc", "text_hash").agg(F.collect_set("no").alias("gone")))
 
-    body = F.col(text_column)
-    keyed = docs.withColumn("_text_hash", F.xxhash64(body))
-    joined = keyed.join(removed, (keyed[id_column] == removed["doc"])
-                        & (keyed["_text_hash"] == removed["text_hash"]), "left")
-    gone = F.col("gone")
+    # The input is carried as one struct, so its names can't clash with those used here.
+    rows = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text_column).alias("text_hash"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = rows.join(removed, ["doc", "text_hash"], "left")
+    body, gone = F.col("row").getField(text_column), F.col("gone")
     pieces = F.split(body, "\n")
-    lost = F.array_sort(gone)
     kept = F.when(gone.isNull(), body).otherwise(F.array_join(F.filter(
         pieces, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    columns = [kept.alias(c) if c == text_column else keyed[c] for c in docs.columns]
+    columns = [(kept if c == text_column else F.col("row").getField(c)).alias(c) for c in docs.columns]
     return joined.select(
         *columns, F.coalesce(F.size(pieces), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))

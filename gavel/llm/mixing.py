@@ -155,14 +155,18 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rule = plan.join(cuts, "source", "left").select(
         F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), "last_block", "last_doc")
     rule = F.broadcast(rule) if is_small(rule, BROADCAST_ROWS) else rule
-    rows = docs.withColumns({"_mix_source": _source_key(F.col(source_column)), "_mix_key": key})
-    rows = rows.join(rule, rows["_mix_source"] == rule["_source"], "left").withColumn(
+    # The input is carried as one struct, so its names can't clash with those used here.
+    rows = docs.select(_source_key(F.col(source_column)).alias("mix_source"), key.alias("mix_key"),
+                       F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(rule, rows["mix_source"] == rule["_source"], "left").withColumn(
         "_epochs", F.coalesce("_epochs", F.lit(1)))
     # Whole epochs, and one more that only rows up to the cut are part of.
     rows = keys(rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs")))),
-                "_mix_key", F.col("epoch"))
+                "mix_key", F.col("epoch"))
     taken = ((F.col("epoch") < F.col("_epochs")) | (F.col("block_key") < F.col("last_block"))
              | ((F.col("block_key") == F.col("last_block")) & (F.col("doc_key") <= F.col("last_doc"))))
+    row = F.col("row")
     return rows.where(F.coalesce(taken, F.lit(False))).select(
-        *[docs[c] for c in docs.columns], tokens_of(F.col(text_column)).alias("n_tokens"),
+        *[row.getField(c).alias(c) for c in docs.columns],
+        tokens_of(row.getField(text_column)).alias("n_tokens"),
         "epoch", "block", F.concat("block_key", "doc_key").alias("order_key"))

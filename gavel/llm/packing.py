@@ -41,7 +41,9 @@ END_ID = 1
 FILL_STEPS = 500
 BRANCHES = 8
 #: Words kept with their ids in a worker, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 600_000, 48
+CACHED_WORDS, CACHED_CHARS = 100_000, 48
+#: Pieces that a worker holds before it sends them on.
+SENT_PIECES = 2048
 
 #: Words of these characters need no normalisation but lower case, and split alike.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -108,6 +110,16 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
     tokenizer = WordTokenizer(path)
     for batch in batches:
         source, piece, start, length, crc, ids = [], [], [], [], [], []
+
+        def made() -> pa.RecordBatch:
+            columns = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()),
+                       pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for row, text in enumerate(batch.column(1)):
             data = tokenizer.encode(text.as_py() or "") + END_ID.to_bytes(4, "little")
             for k, at in enumerate(range(0, len(data), 4 * capacity)):
@@ -119,13 +131,12 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
                 crc.append(zlib.crc32(part))
                 if with_ids:
                     ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-        made = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()),
-                pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        if with_ids:
-            made.append(pa.array(ids, pa.list_(pa.int32())))
-            names.append("ids")
-        yield pa.RecordBatch.from_arrays(made, names=names)
+                if len(source) >= SENT_PIECES:
+                    yield made()
+                    for column in (source, piece, start, length, crc, ids):
+                        column.clear()
+        if source:
+            yield made()
 
 
 def cut_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

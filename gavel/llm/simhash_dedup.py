@@ -221,11 +221,12 @@ def place_key(id_column: str, text_column: str) -> Column:
 
 def one_of_each(docs: DataFrame, keys: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The rows of ``docs`` whose id and text hash are in ``keys``, repeated rows once."""
-    marked = docs.withColumn("_hash", F.xxhash64(text_column))
-    same = marked[id_column].eqNullSafe(keys["id"]) & (marked["_hash"] == keys["hash"])
-    one = Window.partitionBy(id_column, "_hash").orderBy(F.lit(0))
-    return (marked.join(keys, same, "left_semi").withColumn("_nth", F.row_number().over(one))
-            .where("_nth = 1").drop("_hash", "_nth"))
+    marked = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"),
+                         F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    same = marked["id"].eqNullSafe(keys["id"]) & (marked["hash"] == keys["hash"])
+    one = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+    chosen = marked.join(keys, same, "left_semi").withColumn("nth", F.row_number().over(one))
+    return chosen.where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id",

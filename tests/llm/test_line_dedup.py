@@ -8,27 +8,41 @@ from gavel.llm.line_dedup import MIN_TOKENS, dedup_lines
 SCHEMA = "doc_id long, text string"
 
 
-def tokens_apart(a: str, b: str) -> int:
-    """Edit distance over the tokens between single spaces."""
-    x, y = a.split(" "), b.split(" ")
-    row = list(range(len(y) + 1))
-    for i, s in enumerate(x, 1):
-        last, row[0] = row[0], i
-        for j, t in enumerate(y, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (s != t))
-    return row[-1]
+def one_token_apart(x: list[str], y: list[str]) -> bool:
+    """Whether one insertion, deletion or replacement makes two lists equal, or none is needed."""
+    if abs(len(x) - len(y)) > 1:
+        return False
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:
+        start += 1
+    end = 0
+    while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    return max(len(x), len(y)) - start - end <= 1
 
 
 def brute(docs):
     """Texts with the lines removed that match a line at an earlier place."""
-    places = [(d, n, line.strip(" \t\r\x0b\x0c")) for d, text in docs if d is not None and text is not None
-              for n, line in enumerate(text.split("\n"))]
-    places = [p for p in places if p[2]]
-
-    def match(a, b):
-        long = min(len(a.split(" ")), len(b.split(" "))) >= MIN_TOKENS
-        return a == b or long and tokens_apart(a, b) <= 1
-
+    first = {}
+    for d, text in docs:
+        if d is not None and text is not None:
+            for n, line in enumerate(text.split("\n")):
+                trimmed = line.strip(" \t\r\x0b\x0c")
+                if trimmed:
+                    first[trimmed] = min((d, n), first.get(trimmed, (d, n)))
+    long = [(line.split(" "), place) for line, place in first.items()
+            if len(line.split(" ")) >= MIN_TOKENS]
+    by_size = {}
+    for tokens, place in long:
+        by_size.setdefault(len(tokens), []).append((tokens, place))
+    # Each distinct line against all others of about its length.
+    earliest = dict(first)
+    for tokens, _ in long:
+        line = " ".join(tokens)
+        for size in (len(tokens) - 1, len(tokens), len(tokens) + 1):
+            for other, place in by_size.get(size, []):
+                if place < earliest[line] and one_token_apart(tokens, other):
+                    earliest[line] = place
     out = []
     for d, text in docs:
         if d is None or text is None:
@@ -37,7 +51,7 @@ def brute(docs):
         kept, gone = [], 0
         for n, line in enumerate(text.split("\n")):
             trimmed = line.strip(" \t\r\x0b\x0c")
-            if trimmed and any((e, m) < (d, n) and match(trimmed, other) for e, m, other in places):
+            if trimmed and earliest[trimmed] < (d, n):
                 gone += 1
             else:
                 kept.append(line)
@@ -96,10 +110,11 @@ def test_defined_cases(spark):
 
 
 def test_extra_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "x y", 5, "a", "b")], SCHEMA + ", n_lines int, doc string, h1 string")
+    docs = spark.createDataFrame([(1, "x y", 5, "a", "b", "c", "d", "e")], SCHEMA + (
+        ", n_lines int, doc string, h1 string, gone string, text_hash string, row string"))
     out = dedup_lines(docs)
-    assert out.columns == ["doc_id", "text", "doc", "h1", "n_lines", "n_removed"]
-    assert [tuple(r) for r in out.collect()] == [(1, "x y", "a", "b", 1, 0)]
+    assert out.columns == ["doc_id", "text", "doc", "h1", "gone", "text_hash", "row", "n_lines", "n_removed"]
+    assert [tuple(r) for r in out.collect()] == [(1, "x y", "a", "b", "c", "d", "e", 1, 0)]
     assert dedup_lines(docs.where("false")).collect() == []
 
 

@@ -162,3 +162,13 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_sources(empty).collect() == []
     none = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert len(mixing.mix_sources(none).collect()) == 1
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["last_block", "last_doc", "_epochs", "_source", "block_key", "doc_key", "mix_key", "row"]
+    frame = spark.createDataFrame(
+        [(i, "a b c " * (1 + i % 3), "x" if i % 4 else "y", *range(8)) for i in range(30)],
+        "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix_sources(frame)
+    assert out.columns == [*frame.columns, "n_tokens", "epoch", "block", "order_key"]
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(8))}
