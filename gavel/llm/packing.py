@@ -41,7 +41,7 @@ END_ID = 1
 FILL_STEPS = 500
 BRANCHES = 8
 #: Words kept with their ids in a worker, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 100_000, 48
+CACHED_WORDS, CACHED_CHARS = 450_000, 48
 #: Pieces that a worker holds before it sends them on.
 SENT_PIECES = 2048
 
