@@ -347,6 +347,21 @@ def replay_bids_6h(spark, sf_dir):
     return _outcomes(_replayed(spark, sf_dir, SIX_HOURS))
 
 
+def _extended_by(spark, sf_dir, extension_ms: int) -> DataFrame:
+    return replay.replay_bids(source.auctions(spark, sf_dir), source.items(spark, sf_dir),
+                              source.bid_attempts(spark, sf_dir), SIX_HOURS, extension_ms)
+
+
+@query
+def replay_bids_short_extension(spark, sf_dir):
+    return _outcomes(_extended_by(spark, sf_dir, SIX_HOURS // 3))
+
+
+@query
+def replay_bids_long_extension(spark, sf_dir):
+    return _outcomes(_extended_by(spark, sf_dir, SIX_HOURS * 2))
+
+
 @query
 def winning_bid(spark, sf_dir):
     return _iso(settle.winning_bids(market(spark, sf_dir).bids), "created_at")

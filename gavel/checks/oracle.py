@@ -125,6 +125,34 @@ leaders AS (
   WHERE rn = 1)"""
 
 
+def extended_by(window_ms: int, extension_ms: int) -> str:
+    """The same where late bids move the end by a time of its own: bids that rise above all
+    before are followed one by one."""
+    whole = replayed(window_ms)
+    head, tail = whole[:whole.index("r4 AS")], whole[whole.index("r8 AS"):]
+    before = ("OVER (PARTITION BY auction_id ORDER BY t, id "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    so_far = ("OVER (PARTITION BY auction_id ORDER BY t, id "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    late = "c.t < {0} AND {0} - c.t <= " + str(window_ms)
+    return f"""{head}
+rising AS (SELECT auction_id, id, t, end_ms,
+                  row_number() OVER (PARTITION BY auction_id ORDER BY t, id) AS k FROM r3 WHERE cand),
+chain AS (
+  SELECT c.auction_id, c.id, c.k,
+         CASE WHEN {late.format('c.end_ms')} THEN c.t + {extension_ms} ELSE c.end_ms END AS ends
+  FROM rising c WHERE c.k = 1
+  UNION ALL
+  SELECT c.auction_id, c.id, c.k,
+         CASE WHEN {late.format('h.ends')} THEN c.t + {extension_ms} ELSE h.ends END
+  FROM chain h JOIN rising c ON c.auction_id = h.auction_id AND c.k = h.k + 1),
+r4 AS (SELECT r3.*, h.ends FROM r3 LEFT JOIN chain h USING (auction_id, id)),
+r5 AS (SELECT *, coalesce(last_value(ends IGNORE NULLS) {before}, end_ms) AS cur_end FROM r4),
+r6 AS (SELECT *, cand AND NOT bool_or(coalesce(t >= cur_end, FALSE)) {so_far} AS acc FROM r5),
+r7 AS (SELECT *, max(CASE WHEN acc THEN amount END) {before} AS price FROM r6),
+{tail.replace(f"greatest(cur_end, t + {window_ms})", f"CASE WHEN cur_end - t <= {window_ms} THEN t + {extension_ms} ELSE cur_end END")}"""
+
+
 SETTLED = f"""
 auctions AS (
   SELECT a.id, a.item_id, a.starting_price, a.current_price, a.start_time, a.end_time,
@@ -612,6 +640,9 @@ def oracle_sql() -> dict[str, str]:
 
     q["replay_bids"] = _sql([BASE, REPLAY_2M], OUTCOME_COLUMNS)
     q["replay_bids_6h"] = _sql([BASE, REPLAY_6H], OUTCOME_COLUMNS)
+    for name, extension in (("short", 7_200_000), ("long", 43_200_000)):
+        q[f"replay_bids_{name}_extension"] = _sql(
+            [BASE, extended_by(21_600_000, extension)], OUTCOME_COLUMNS).replace("WITH ", "WITH RECURSIVE ", 1)
     q["winning_bid"] = _sql(MARKET, f"""SELECT auction_id, id AS bid_id, bidder_id, amount,
         {iso('created_at')} AS created_at FROM leaders""")
     q["bid_history_topk"] = _sql(MARKET, _history(50))

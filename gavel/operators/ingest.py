@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gavel.functions.clock import as_of_column
 from gavel.functions.text import norm_email
 from gavel.operators.ordered import place
+from gavel.session import shared_dir
 
 def max_id(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -39,12 +40,19 @@ def free_emails(users: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def ingest_users(users: DataFrame, valid: DataFrame, as_of: Column | str) -> DataFrame:
-    """New user rows: the first feed row of each email that is still free."""
+    """New user rows: the first feed row of each email that is still free.
+
+    A feed row that comes twice registers once; of different rows with one feed id and
+    email any one does. The valid rows are stored before they are numbered, so that
+    validation runs once.
+    """
     columns = ["first_name", "last_name", "phone", "role"]
+    shared_dir(users.sparkSession)
+    rows = valid.select("feed_id", "email", *columns).checkpoint()
     # The least feed id takes a hash aggregate; its row is then looked up.
-    least = valid.groupBy("email").agg(F.min("feed_id").alias("feed_id"))
-    first = valid.select("feed_id", "email", *columns).join(least, ["feed_id", "email"], "left_semi")
-    numbered = with_next_ids(free_emails(users, first), "feed_id", max_id(users))
+    least = rows.groupBy("email").agg(F.min("feed_id").alias("feed_id"))
+    first = rows.join(least, ["feed_id", "email"], "left_semi").dropDuplicates(["email"])
+    numbered = with_next_ids(free_emails(users, first).checkpoint(), "feed_id", max_id(users))
     return numbered.select("id", "first_name", "last_name", "email", "phone", "role",
                            as_of_column(as_of).alias("created_at"))
 

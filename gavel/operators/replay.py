@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.text import is_long
+from gavel.operators.antisnipe import late_bids
 from gavel.operators.ordered import attach, history, running
+from gavel.session import shared_dir
 
 ANTI_SNIPE_MS = 2 * 60 * 1000
 
@@ -42,18 +44,20 @@ def refused_at_once() -> Column:
 
 
 def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
-                window_ms: int = ANTI_SNIPE_MS) -> DataFrame:
+                window_ms: int = ANTI_SNIPE_MS, extension_ms: int | None = None) -> DataFrame:
     """Attempts with ``outcome``, ``price_after``, ``end_after`` and ``extended``.
 
     ``auctions`` may carry a ``bid_count`` of bids accepted earlier; the current
     price then has to be beaten. A late bid moves the end to bid time +
-    ``window_ms`` when no more than ``window_ms`` is left.
-
-    Because extension and window are equal, the end after an accepted bid at t
-    is greatest(end, t + window). Until the auction closes, every eligible bid
-    above all eligible bids before it is accepted, so one running maximum of
-    (amount, earliest time) gives the current price and the current end; from
-    the first attempt at or after that end on, everything is CLOSED.
+    ``extension_ms`` (as long as the window if not given) when no more than
+    ``window_ms`` is left.
+
+    Until the auction closes, every eligible bid above all eligible bids before
+    it is accepted, so one running maximum of (amount, earliest time) gives the
+    current price; from the first attempt at or after the current end on,
+    everything is CLOSED. If extension and window are equal, the end after an
+    accepted bid at t is greatest(end, t + window) and follows from the same
+    maximum. If not, ``antisnipe.late_bids`` says which bids move it.
     Attempts that ``refused_at_once`` refuses have no effect on others.
     """
     attempts = attempts.select("id", "auction_id", "bidder_id", "amount", "created_at")
@@ -89,12 +93,26 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
                 & (F.col("bidder_id") != F.col("seller_id")))
     hist = running(hist, {"top": ("max", F.when(
         eligible, F.struct(F.col("rupees").alias("price"), (-F.col("t")).alias("minus_t"))))})
-    hist = hist.map(lambda df: df.withColumn(
-        "end_now", F.greatest("end_ms", F.lit(window_ms) - F.col("top.minus_t"))))
+    if extension_ms in (None, window_ms):
+        extension_ms = window_ms
+        hist = hist.map(lambda df: df.withColumn(
+            "end_now", F.greatest("end_ms", F.lit(window_ms) - F.col("top.minus_t"))))
+    else:
+        shared_dir(attempts.sparkSession)
+        hist = hist.map(lambda df: df.checkpoint())
+        rising = eligible & F.col("is_open") & (F.col("top").isNull() | (F.col("rupees") > F.col("top.price")))
+        late = late_bids(hist.df.where(rising).select("auction_id", "t", "id", "end_ms"),
+                         window_ms, extension_ms)
+        late = late.select("auction_id", "id", (F.col("t") + extension_ms).alias("moved_to"))
+        hist = hist.map(lambda df: df.join(late, ["auction_id", "id"], "left"))
+        hist = running(hist, {"moved": ("max", F.when(
+            F.col("moved_to").isNotNull(), F.struct("t", "id", "moved_to")))})
+        hist = hist.map(lambda df: df.withColumn("end_now", F.coalesce("moved.moved_to", "end_ms")))
     over = ~F.col("is_open") | (F.col("t") >= F.col("end_now"))
     hist = running(hist, {"closed": ("max", over)}, inclusive=True)
 
     taken = F.col("outcome") == "ACCEPTED"
+    late_bid = F.col("end_now") - F.col("t") <= window_ms
     judged = hist.df.withColumn(
         "outcome",
         F.when(F.col("found").isNull(), "NOT_FOUND")
@@ -107,9 +125,9 @@ def replay_bids(auctions: DataFrame, items: DataFrame, attempts: DataFrame,
     ).select(
         "id", "auction_id", "bidder_id", "amount", "created_at", "outcome",
         F.when(taken, F.col("rupees")).alias("price_after"),
-        F.when(taken, F.timestamp_millis(
-            F.greatest(F.col("end_now"), F.col("t") + window_ms))).alias("end_after"),
-        (taken & (F.col("end_now") - F.col("t") <= window_ms)).alias("extended"))
+        F.when(taken, F.timestamp_millis(F.when(late_bid, F.col("t") + extension_ms).otherwise(
+            F.col("end_now")))).alias("end_after"),
+        (taken & late_bid).alias("extended"))
     return judged.unionByName(stateless)
 
 
@@ -123,11 +141,11 @@ def accepted(replayed: DataFrame) -> DataFrame:
 def apply_bids(auctions: DataFrame, taken: DataFrame) -> DataFrame:
     """Auctions with the price and end that accepted bids leave behind.
 
-    Bids only raise the price and never bring the end forward, so plain maxima,
-    combined before the shuffle, give the last state of each auction.
+    Bids only raise the price, so the highest one is the last and left the end; both are
+    maxima, combined before the shuffle.
     """
     latest = taken.groupBy("auction_id").agg(
-        F.max("amount").alias("_price"), F.max("end_after").alias("_end"))
+        F.max("amount").alias("_price"), F.max_by("end_after", "amount").alias("_end"))
     return (auctions.join(latest, auctions["id"] == latest["auction_id"], "left")
             .withColumn("current_price", F.coalesce("_price", "current_price"))
             .withColumn("end_time", F.coalesce("_end", "end_time"))

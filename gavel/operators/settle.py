@@ -48,10 +48,13 @@ def due_in_order(auctions: DataFrame, as_of: Column | str) -> DataFrame:
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Invoices to append: an auction that already has one keeps it.
 
-    Several incoming rows for one auction leave the one with the lowest id.
+    Several incoming rows for one auction leave one of those with the lowest id, nulls
+    last. Rows without an auction are left out.
     """
-    least = incoming.groupBy("auction_id").agg(F.min("id").alias("id"))
-    first = incoming.join(least, ["auction_id", "id"], "left_semi")
+    incoming = incoming.where(F.col("auction_id").isNotNull())
+    least = incoming.groupBy("auction_id").agg(F.min("id").alias("_least"))
+    first = (incoming.join(least, "auction_id").where(F.col("id").eqNullSafe(F.col("_least")))
+             .dropDuplicates(["auction_id"]))
     return first.join(existing.select("auction_id"), "auction_id", "left_anti").select(
         *incoming.columns)
 

@@ -63,13 +63,14 @@ def _successors(hist: History, max_failures: int, window_ms: int) -> DataFrame:
                     .alias("next_n")))
 
 
-def _anchors(successors: DataFrame, key: list[str]) -> DataFrame:
-    """(key, n) of the failures that anchor a window, by pointer jumping."""
-    # The last jump of a key leads past its last failure, where nothing joins.
+def reachable(successors: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n) of the rows that ``successors`` (key, n, next_n) lead to from the ``first``
+    ones, these included, by pointer jumping."""
+    # The last jump of a key leads past its last row, where nothing joins.
     jump = successors.select(*key, "n", "next_n")
-    reached = successors.where("n = 0").select(*key, "n").checkpoint()
+    reached = first.select(*key, "n").checkpoint()
     while not jump.isEmpty():
-        # Both joins are on (key, failure number), which no two rows share.
+        # Both joins are on (key, row number), which no two rows share.
         onward = jump.select(*key, F.col("n").alias("next_n"), F.col("next_n").alias("far_n"))
         reached = reached.unionByName(
             reached.join(jump, [*key, "n"]).select(*key, F.col("next_n").alias("n"))).checkpoint()
@@ -125,7 +126,7 @@ def _jump(rows: DataFrame, max_failures: int, window_ms: int) -> DataFrame:
     # Locked: after the filling failure and before the end of its window. The
     # windows used do not overlap, so the latest one that filled decides.
     filled = (successors.where(F.col("locks_t").isNotNull())
-              .join(_anchors(successors, key), [*key, "n"])
+              .join(reachable(successors, successors.where("n = 0"), key), [*key, "n"])
               .select(*key, F.col("locks_id").alias("id"),
                       (F.col("t") + window_ms).alias("until")))
     latest = running(hist.map(lambda df: df.join(filled, [*key, "id"], "left")),

@@ -181,6 +181,23 @@ def test_page_is_one_document(spark, seeded):
     assert {r.viewer for r in views.auction_page(seeded, NOW).collect()} == {None}
 
 
+def test_one_invoice_for_each_auction_whatever_comes(spark, seeded):
+    rows = [(1, 7, 10), (1, 7, 11), (None, 8, 12), (None, 8, 12), (3, 9, 13), (2, 9, 14), (None, 9, 15), (4, None, 16)]
+    incoming = spark.createDataFrame(rows, "id long, auction_id long, buyer_id long")
+    existing = spark.createDataFrame([(1, 5)], "id long, auction_id long")
+    got = insert_or_ignore(existing, incoming).collect()
+    assert sorted((r.auction_id, r.id) for r in got if r.id) == [(7, 1), (9, 2)]
+    assert [r.buyer_id for r in got if r.id is None] == [12] and len(got) == 3
+
+
+def test_a_repeated_registration_counts_once(spark, seeded):
+    row = (1, "new@x.test", "A", "B", None, "buyer")
+    valid = spark.createDataFrame([row, row, (2, *row[1:]), (3, "other@x.test", *row[2:])],
+                                  "feed_id long, email string, first_name string, last_name string, phone string, role string")
+    got = ingest.ingest_users(seeded.users, valid, NOW).collect()
+    assert sorted((r.id, r.email) for r in got) == [(7, "new@x.test"), (8, "other@x.test")]
+
+
 def test_ingest_users_takes_the_first_free_email(spark, seeded):
     valid = spark.createDataFrame(
         [(3, "a", "b", "new@x.test", "1", "buyer"), (1, "c", "d", "user1@x.test", "1", "buyer"),

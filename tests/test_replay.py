@@ -10,7 +10,7 @@ AUCTION = "id long, item_id long, starting_price long, current_price long, end_t
 ATTEMPT = "id long, auction_id long, bidder_id long, amount double, created_at timestamp"
 
 
-def sequential(auctions, sellers, attempts, window):
+def sequential(auctions, sellers, attempts, window, extension=None):
     """The rules one attempt at a time: outcome, price, end and extension by id."""
     state = {a[0]: {"start": a[2], "price": a[3], "end": millis(a[4]), "open": a[5] == "open",
                     "bids": a[6], "seller": sellers[a[1]]} for a in auctions}
@@ -36,7 +36,7 @@ def sequential(auctions, sellers, attempts, window):
             outcome = "ACCEPTED"
             extended = s["end"] - t <= window
             if extended:
-                s["end"] = t + window
+                s["end"] = t + (window if extension is None else extension)
             s["price"], s["bids"] = int(amount), s["bids"] + 1
         taken = outcome == "ACCEPTED"
         out[id_] = (outcome, s["price"] if taken else None, s["end"] if taken else None, extended)
@@ -121,3 +121,18 @@ def test_one_shuffle_of_the_attempts(spark):
     assert plan.count("Window [") == 2
     assert window_side.count("hashpartitioning(auction_id") <= 2  # attempts and auctions, once each
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("seed,window,extension", [
+    (4, W, W // 4), (5, W, 3 * W), (6, 4 * W, W), (7, 30_000, 90_000), (8, W, W - 1), (9, W, 1), (10, 0, W)])
+def test_an_extension_of_its_own(spark, hot, throttle_path, seed, window, extension):
+    """Shorter and longer than the window; hot auctions cut, and their bids followed by jumps."""
+    auctions, sellers, attempts = random_market(seed, n_auctions=25, n_attempts=700)
+    items = spark.createDataFrame(list(sellers.items()), "id long, seller_id long")
+    adf = spark.createDataFrame(auctions, AUCTION)
+    got = replay_bids(adf, items, spark.createDataFrame(attempts, ATTEMPT), window, extension)
+    expected, state = sequential(auctions, sellers, attempts, window, extension)
+    assert {r.id: (r.outcome, r.price_after, None if r.end_after is None else millis(r.end_after),
+                   r.extended) for r in got.collect()} == expected
+    ends = {r.id: millis(r.end_time) for r in apply_bids(adf, accepted(got)).collect()}
+    assert ends == {a: s["end"] for a, s in state.items()}
