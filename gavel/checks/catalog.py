@@ -26,8 +26,7 @@ from gavel.sources.tables import Tables, append_rows, scan_table, scan_tables, w
 from gavel.streaming import bids as live_bids
 from gavel.streaming import rooms as live_rooms
 from gavel.streaming import throttle as live_throttle
-from gavel.streaming.runtime import (read_stream, run_batches, run_so_far, run_to_folder, run_to_table,
-                                     run_updates)
+from gavel.streaming.runtime import read_stream, run_batches, run_to_folder, run_to_table, run_updates
 
 AS_OF = source.AS_OF
 SIX_HOURS = 6 * clock.HOUR
@@ -657,9 +656,8 @@ def stream_price_ticks(spark, sf_dir):
 @query
 def stream_bid_updates(spark, sf_dir):
     t = source.base_tables(spark, sf_dir)
-    documents = run_so_far(
-        _update_stream(spark, sf_dir), "documents", lambda batch, heard: live_bids.bid_documents(
-            live_bids.accepted_updates(batch), live_bids.market_after(t, heard), AS_OF))
+    documents = run_batches(_update_stream(spark, sf_dir), "documents", lambda batch:
+                            live_bids.bid_documents(batch, t, AS_OF))
     return documents.select("type", "auctionId", "extended",
                             F.col("auction.currentPrice").alias("currentPrice"),
                             F.size("bids").cast("long").alias("bids"),
@@ -669,9 +667,8 @@ def stream_bid_updates(spark, sf_dir):
 @query
 def stream_closed(spark, sf_dir):
     t = source.base_tables(spark, sf_dir)
-    documents = run_so_far(
-        _update_stream(spark, sf_dir), "closed", lambda batch, heard: live_bids.closed_documents(
-            live_bids.closings(batch), live_bids.market_after(t, heard), AS_OF))
+    documents = run_batches(_update_stream(spark, sf_dir), "closed", lambda batch:
+                            live_bids.closed_documents(batch, t, AS_OF))
     return documents.select("type", "auctionId", F.col("auction.status").alias("status"),
                             F.col("auction.winnerName").alias("winnerName"),
                             F.col("auction.currentPrice").alias("currentPrice"),
@@ -704,10 +701,11 @@ def stream_rooms(spark, sf_dir):
 
 @query
 def stream_audience(spark, sf_dir):
-    heard = rooms.parse_subscribe(source.subscribe_feed(spark, sf_dir))
-    sent = run_batches(_update_stream(spark, sf_dir), "audience", lambda batch:
-                       live_rooms.audience(live_bids.accepted_updates(batch), heard))
-    return sent.drop("batch_id")
+    feed = source.subscribe_feed(spark, sf_dir, source.stream_events(spark, sf_dir))
+    sent = live_bids.accepted_updates(_update_stream(spark, sf_dir)).select(
+        "id", "auction_id", F.col("created_at").alias("ts"))
+    reached = live_rooms.stream_audience(rooms.parse_subscribe(feed), sent)
+    return run_batches(reached, "audience", live_rooms.audience).drop("batch_id")
 
 
 @query
@@ -717,10 +715,7 @@ def stream_closed_ticks(spark, sf_dir):
 
 @query
 def stream_invoices(spark, sf_dir):
-    invoices = live_bids.closing_invoices(
-        live_bids.closings(live_updates(spark, sf_dir)), source.auctions(spark, sf_dir),
-        source.items(spark, sf_dir))
-    return _iso(invoices, "created_at")
+    return _iso(live_bids.closing_invoices(live_updates(spark, sf_dir)), "created_at")
 
 
 # Views for one request

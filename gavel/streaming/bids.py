@@ -1,10 +1,14 @@
 """Live bid acceptance and closing as one stateful stream per auction.
 
-The state of an auction is its price, end and leader. A micro-batch brings the
-new attempts of an auction together, which are judged in (time, id) order; the
-size of a micro-batch is set at the source (``maxFilesPerTrigger``,
-``maxBytesPerTrigger``) and bounds what one auction can bring at once. An
-event-time timer at the end closes the auction once the watermark has passed it.
+The state of an auction is its price, end, leader and listing, and apart from that its
+highest bids, of which a bounded number is kept. A micro-batch brings the new attempts
+of an auction together, which are judged in (time, id) order; the size of a micro-batch
+is set at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) and bounds what one
+auction can bring at once. What its watchers are told follows from the state alone, so no
+micro-batch reads an earlier one again. An event-time timer at the end closes the auction
+once the watermark has passed it; all that then stays is a tombstone of one number, by
+which late bids are still CLOSED. (Spark's own state TTL goes by the clock of the cluster
+and isn't to be had with event-time timers.)
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import datetime as dt
 from collections.abc import Iterator
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,18 +29,35 @@ from gavel.sources.tables import Tables, scan_tables
 
 LATENESS = "10 minutes"
 
-# kind 'bid': one row per attempt. kind 'closed': one row per auction that ended.
+#: Highest bids that an auction's state keeps.
+HISTORY_BIDS = 50
+
+_LISTING = ["item_id", "seller_id", "starting_price", "start_ms"]
+# kind 'bid': one row per attempt. kind 'closed': one row per auction that ended. kind
+# 'state': one row per auction and micro-batch that brought it bids, with the highest of
+# all its bids, the best first.
 UPDATE_SCHEMA = """kind string, auction_id long, id long, bidder_id long, amount long,
     created_at timestamp, outcome string, price_after long, end_after timestamp,
-    extended boolean, bid_count long"""
+    extended boolean, bid_count long, item_id long, seller_id long, starting_price long,
+    start_time timestamp,
+    history array<struct<id:bigint,amount:bigint,created_at:timestamp,bidder_id:bigint>>"""
+_BID = "id long, amount long, t long, bidder_id long"
+_BID_FIELDS = ["id", "amount", "t", "bidder_id"]
+_BIDS = "array<struct<id:bigint,amount:bigint,t:bigint,bidder_id:bigint>>"
 _STATE = """price long, end_ms long, leader long, bid_count long, last_t long, last_id long,
-    is_open boolean, seller_id long, starting_price long"""
+    item_id long, seller_id long, starting_price long, start_ms long"""
 
 
 def _timestamp(ms: int) -> dt.datetime:
     return dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(milliseconds=ms)
 
 
+def _update(kind: str, auction_id: int, **values) -> Row:
+    names = ["id", "bidder_id", "amount", "created_at", "outcome", "price_after", "end_after", "extended",
+             "bid_count", "item_id", "seller_id", "starting_price", "start_time", "history"]
+    return Row(kind=kind, auction_id=auction_id, **{n: values.get(n) for n in names})
+
+
 class AuctionProcessor(StatefulProcessor):
     """Judges attempts per auction and closes the auction at its end.
 
@@ -44,134 +65,170 @@ class AuctionProcessor(StatefulProcessor):
     change results already published.
     """
 
-    def __init__(self, window_ms: int):
-        self.window_ms = window_ms
+    def __init__(self, window_ms: int, extension_ms: int):
+        self.window_ms, self.extension_ms = window_ms, extension_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("auction", _STATE)
+        self.history = handle.getListState("history", _BID)
+        self.ended = handle.getValueState("ended", "end_ms long")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         start = initialState
+        if not start.is_open:
+            self.ended.update((start.end_ms,))
+            return
         self.state.update((start.price, start.end_ms, start.leader, start.bid_count, -1, -1,
-                           start.is_open, start.seller_id, start.starting_price))
-        if start.is_open:
-            self.handle.registerTimer(start.end_ms)
+                           *[start[c] for c in _LISTING]))
+        if start.history:
+            # Accepted bids rise, so the last ones are the highest.
+            self.history.put([tuple(b[c] for c in _BID_FIELDS) for b in reversed(start.history)])
+        self.handle.registerTimer(start.end_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, timer = self.state.get(), None
+        state, timer, taken, moved = self.state.get(), None, [], False
+        closed = state is None and self.ended.exists()
         if state is not None:
-            price, end, leader, bids, last_t, last_id, is_open, seller, start = state
+            price, end, leader, bids, last_t, last_id, *listing = state
             timer = end
         # A listing counts from its own time on; the auction's first row is its listing.
         for row in sorted(rows, key=lambda r: (r.t, not r.listed, r.id)):
             if row.listed:
-                if state is None:
+                if state is None and not closed:
                     price, end, leader, bids, last_t, last_id = None, row.end_ms, None, 0, -1, -1
-                    is_open, seller, start = True, row.seller_id, row.starting_price
+                    listing = [row[c] for c in _LISTING]
                     state = ()
                 continue
             if state is None:
-                yield self._update(row, "NOT_FOUND", 0)
+                yield self._judged(row, "CLOSED" if closed else "NOT_FOUND", 0)
                 continue
             outcome, extended = "ACCEPTED", False
             if (row.t, row.id) <= (last_t, last_id):
                 outcome = "OUT_OF_ORDER"
-            elif not is_open or row.t >= end:
+            elif row.t >= end:
                 outcome = "CLOSED"
-            elif row.bidder_id == seller:
+            elif row.bidder_id == listing[1]:
                 outcome = "OWN_ITEM"
-            elif price is None and row.amount < start:
+            elif price is None and row.amount < listing[2]:
                 outcome = "BELOW_START"
             elif price is not None and row.amount <= price:
                 outcome = "TOO_LOW"
             if outcome == "ACCEPTED":
                 extended = end - row.t <= self.window_ms
                 price, leader, bids = row.amount, row.bidder_id, bids + 1
-                end = max(end, row.t + self.window_ms)
+                end = row.t + self.extension_ms if extended else end
+                moved = moved or extended
+                taken.append((row.id, row.amount, row.t, row.bidder_id))
             last_t, last_id = max((last_t, last_id), (row.t, row.id))
-            yield self._update(row, outcome, bids, end if outcome == "ACCEPTED" else None, extended)
+            yield self._judged(row, outcome, bids, end if outcome == "ACCEPTED" else None, extended)
         if state is None:
             return
-        self.state.update((price, end, leader, bids, last_t, last_id, is_open, seller, start))
-        if is_open and end != timer:
+        self.state.update((price, end, leader, bids, last_t, last_id, *listing))
+        if taken:
+            kept = [*[tuple(b) for b in self.history.get()], *taken][-HISTORY_BIDS:]
+            self.history.put(kept)
+            yield self._seen("state", key[0], price, end, leader, bids, listing, extended=moved, history=[
+                (i, amount, _timestamp(t), bidder) for i, amount, t, bidder in reversed(kept)])
+        if end != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(end)
 
-    def _update(self, row: Row, outcome: str, bids: int, end: int | None = None,
+    def _judged(self, row: Row, outcome: str, bids: int, end: int | None = None,
                 extended: bool = False) -> Row:
         taken = end is not None
-        return Row(kind="bid", auction_id=row.auction_id, id=row.id, bidder_id=row.bidder_id,
-                   amount=row.amount, created_at=row.created_at, outcome=outcome,
-                   price_after=row.amount if taken else None,
-                   end_after=_timestamp(end) if taken else None, extended=extended, bid_count=bids)
+        return _update("bid", row.auction_id, id=row.id, bidder_id=row.bidder_id, amount=row.amount,
+                       created_at=row.created_at, outcome=outcome,
+                       price_after=row.amount if taken else None,
+                       end_after=_timestamp(end) if taken else None, extended=extended, bid_count=bids)
+
+    def _seen(self, kind: str, auction_id: int, price, end, leader, bids, listing, **values) -> Row:
+        item, seller, start, start_ms = listing
+        return _update(kind, auction_id, bidder_id=leader, amount=price, created_at=_timestamp(end),
+                       price_after=price, end_after=_timestamp(end), bid_count=bids, item_id=item,
+                       seller_id=seller, starting_price=start,
+                       start_time=None if start_ms is None else _timestamp(start_ms), **values)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        price, end, leader, bids, last_t, last_id, _, *listing = self.state.get()
-        self.state.update((price, end, leader, bids, last_t, last_id, False, *listing))
-        yield Row(kind="closed", auction_id=key[0], id=None, bidder_id=leader, amount=price,
-                  created_at=_timestamp(end), outcome="SOLD" if bids else "UNSOLD",
-                  price_after=price, end_after=_timestamp(end), extended=False, bid_count=bids)
+        price, end, leader, bids, _, _, *listing = self.state.get()
+        self.state.clear()
+        self.history.clear()
+        self.ended.update((end,))
+        yield self._seen("closed", key[0], price, end, leader, bids, listing, extended=False,
+                         outcome="SOLD" if bids else "UNSOLD")
 
     def close(self) -> None:
         pass
 
 
+def _optional(df: DataFrame, column: str, kind: str) -> Column:
+    return F.col(column) if column in df.columns else F.lit(None).cast(kind)
+
+
 def _starting_state(auctions: DataFrame, items: DataFrame, bids: DataFrame | None) -> DataFrame:
-    """Per auction: end, whether it is open, its seller and starting price, and price, leader
-    and number of its bids."""
+    """Per auction: end, whether it is open, its listing, and price, leader, number and
+    highest of its bids."""
     start = auctions.join(items.select(F.col("id").alias("item_id"), "seller_id"), "item_id").select(
         F.col("id").alias("auction_id"), F.unix_millis("end_time").alias("end_ms"),
-        (F.col("status") == "open").alias("is_open"), "seller_id", "starting_price")
+        (F.col("status") == "open").alias("is_open"), "item_id", "seller_id", "starting_price",
+        F.unix_millis(_optional(auctions, "start_time", "timestamp")).alias("start_ms"))
     if bids is None:
         return start.select("*", F.lit(None).cast("long").alias("price"),
                             F.lit(None).cast("long").alias("leader"),
-                            F.lit(0).cast("long").alias("bid_count"))
+                            F.lit(0).cast("long").alias("bid_count"),
+                            F.lit(None).cast(_BIDS).alias("history"))
     top = winning_bids(bids).select("auction_id", F.col("amount").alias("price"),
                                     F.col("bidder_id").alias("leader"))
+    highest = Window.partitionBy("auction_id").orderBy(F.desc("amount"), F.desc("id"))
+    history = (bids.withColumn("_nth", F.row_number().over(highest)).where(F.col("_nth") <= HISTORY_BIDS)
+               .groupBy("auction_id").agg(F.sort_array(F.collect_list(F.struct(
+                   "_nth", "id", "amount", F.unix_millis("created_at").alias("t"), "bidder_id"))).alias("history"))
+               .withColumn("history", F.transform("history", lambda b: b.dropFields("_nth"))))
     return (start.join(top, "auction_id", "left").join(bid_counts(bids), "auction_id", "left")
-            .fillna(0, ["bid_count"]))
+            .join(history, "auction_id", "left").fillna(0, ["bid_count"]))
 
 
 def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
                    window_ms: int = ANTI_SNIPE_MS, lateness: str = LATENESS,
-                   bids: DataFrame | None = None, listings: DataFrame | None = None) -> DataFrame:
+                   bids: DataFrame | None = None, listings: DataFrame | None = None,
+                   extension_ms: int | None = None) -> DataFrame:
     """Bid outcomes and closings for a stream of attempts; see ``UPDATE_SCHEMA``.
 
     Every auction starts in the state, so those without a bid are closed too, and no
     table is joined in again for each micro-batch. ``bids`` are those accepted before
     the stream, from which it continues. ``listings`` is a second stream (id, seller_id,
-    starting_price, end_time, created_at) of auctions that open while this one runs; one
-    is found by attempts from its ``created_at`` on. The watermark is that of both
-    streams together, so a quiet one doesn't hold it back.
+    starting_price, end_time, created_at, and item_id if documents or invoices need it) of
+    auctions that open while this one runs; one is found by attempts from its
+    ``created_at`` on. The watermark is that of both streams together, so a quiet one
+    doesn't hold it back. A late bid leaves ``extension_ms``, the window if not given.
     """
     refusal = refused_at_once()
     # Refused without any state, so these rows meet no Python worker.
     refused = attempts.where(refusal.isNotNull()).select(
         F.lit("bid").alias("kind"), "auction_id", "id", "bidder_id",
         F.when(is_long(F.col("amount").cast("double")), F.col("amount").try_cast("long")).alias("amount"),
-        "created_at", refusal.alias("outcome"), F.lit(None).cast("long").alias("price_after"),
-        F.lit(None).cast("timestamp").alias("end_after"), F.lit(False).alias("extended"),
+        "created_at", refusal.alias("outcome"), F.lit(False).alias("extended"),
         F.lit(0).cast("long").alias("bid_count"))
     nothing = F.lit(None).cast("long")
     rows = attempts.where(refusal.isNull()).select(
         F.col("auction_id").alias("key"), "auction_id", "id", "bidder_id",
         F.col("amount").try_cast("long").alias("amount"), "created_at",
-        F.lit(False).alias("listed"), nothing.alias("end_ms"), nothing.alias("seller_id"),
-        nothing.alias("starting_price"))
+        F.lit(False).alias("listed"), nothing.alias("end_ms"),
+        *[nothing.alias(c) for c in _LISTING])
     if listings is not None:
         rows = rows.unionByName(listings.where("id is not null and created_at is not null").select(
             F.col("id").alias("key"), F.col("id").alias("auction_id"), "id",
             nothing.alias("bidder_id"), nothing.alias("amount"), "created_at",
-            F.lit(True).alias("listed"), F.unix_millis("end_time").alias("end_ms"), "seller_id",
-            "starting_price"))
+            F.lit(True).alias("listed"), F.unix_millis("end_time").alias("end_ms"),
+            _optional(listings, "item_id", "long").alias("item_id"), "seller_id", "starting_price",
+            F.unix_millis("created_at").alias("start_ms")))
     rows = rows.withWatermark("created_at", lateness).withColumn("t", F.unix_millis("created_at"))
     initial = _starting_state(auctions, items, bids).withColumnRenamed("auction_id", "key")
     judged = rows.groupBy("key").transformWithState(
-        AuctionProcessor(window_ms), UPDATE_SCHEMA, "Append", "EventTime",
+        AuctionProcessor(window_ms, window_ms if extension_ms is None else extension_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))
-    return judged.unionByName(refused)
+    return judged.unionByName(refused, allowMissingColumns=True)
 
 
 def bid_outcomes(updates: DataFrame) -> DataFrame:
@@ -187,11 +244,16 @@ def accepted_updates(updates: DataFrame) -> DataFrame:
 
 def closings(updates: DataFrame) -> DataFrame:
     """The closing side: (auction_id, end_time, winner_id, amount, bid_count)."""
-    return updates.where(F.col("kind") == "closed").select(
+    return closed_updates(updates).select(
         "auction_id", F.col("end_after").alias("end_time"), F.col("bidder_id").alias("winner_id"),
         "amount", "bid_count")
 
 
+def closed_updates(updates: DataFrame) -> DataFrame:
+    """Closings with all that the state knew of the auction."""
+    return updates.where(F.col("kind") == "closed")
+
+
 def price_ticks(accepted: DataFrame) -> DataFrame:
     """Price and bid count of an auction after each bid it took, earlier ones included."""
     return accepted.select(F.col("auction_id").alias("auctionId"),
@@ -204,13 +266,13 @@ def closed_ticks(closed: DataFrame) -> DataFrame:
     return closed.select(F.lit("closed").alias("type"), F.col("auction_id").alias("auctionId"))
 
 
-def closing_invoices(closed: DataFrame, auctions: DataFrame, items: DataFrame) -> DataFrame:
-    """The pending transaction of each auction that closed with a winner."""
-    sellers = auctions.select(F.col("id").alias("auction_id"), "item_id").join(
-        items.select(F.col("id").alias("item_id"), "seller_id"), "item_id")
-    return closed.where(F.col("winner_id").isNotNull()).join(sellers, "auction_id").select(
-        F.col("auction_id").alias("id"), "auction_id", F.col("winner_id").alias("buyer_id"),
-        "seller_id", "amount", F.lit("pending").alias("status"), F.col("end_time").alias("created_at"))
+def closing_invoices(updates: DataFrame) -> DataFrame:
+    """The pending transaction of each auction that closed with a winner, also of those
+    listed while the stream ran: the seller comes with the closing."""
+    sold = closed_updates(updates).where(F.col("bidder_id").isNotNull())
+    return sold.select(
+        F.col("auction_id").alias("id"), "auction_id", F.col("bidder_id").alias("buyer_id"),
+        "seller_id", "amount", F.lit("pending").alias("status"), F.col("end_after").alias("created_at"))
 
 
 def close_due(spark: SparkSession, home: str, as_of: Column | str) -> Tables:
@@ -233,22 +295,46 @@ def market_after(t: Tables, updates: DataFrame) -> Tables:
     return replace(t, bids=bids, auctions=auctions.select(*t.auctions.columns))
 
 
-def bid_documents(accepted: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
+def _auctions_seen(seen: DataFrame, status: str) -> DataFrame:
+    """Auctions as the updates of one micro-batch leave them."""
+    return seen.select(
+        F.col("auction_id").alias("id"), "item_id", "starting_price",
+        F.coalesce("amount", "starting_price").alias("current_price"), "start_time",
+        F.col("end_after").alias("end_time"), F.lit(status).alias("status"),
+        (F.col("bidder_id") if status == "closed" else F.lit(None).cast("long")).alias("winner_id"),
+        F.col("start_time").alias("created_at"))
+
+
+def _counted(document: DataFrame, seen: DataFrame) -> DataFrame:
+    """Documents with the number of all bids, of which the state keeps only some."""
+    counts = seen.select(F.col("auction_id").alias("auctionId"), F.col("bid_count").alias("_bids"))
+    return document.join(counts, "auctionId").withColumn(
+        "auction", F.col("auction").withField("bidCount", F.col("_bids"))).drop("_bids")
+
+
+def bid_documents(batch: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
     """What the watchers of each auction with new bids are sent: the auction, its
-    highest bids and whether the end moved. ``t`` is the market with these bids."""
-    touched = accepted.groupBy(F.col("auction_id").alias("auctionId")).agg(
-        F.max("extended").alias("extended"))
-    bids = t.bids.join(touched.select(F.col("auctionId").alias("auction_id")), "auction_id",
-                       "left_semi")
-    auctions = t.auctions.join(touched.select(F.col("auctionId").alias("id")), "id", "left_semi")
-    page = auction_page(replace(t, bids=bids, auctions=auctions), as_of)
-    return page.join(touched, "auctionId").select(
+    highest bids and whether the end moved.
+
+    All of it is in the ``state`` rows of the micro-batch; ``t`` gives the texts of items
+    and the names of users, also of those that came after the stream began.
+    """
+    rows = batch.where(F.col("kind") == "state")
+    latest = rows.groupBy("auction_id").agg(
+        F.max_by(F.struct(*[c for c in rows.columns if c not in ("auction_id", "extended")]), "bid_count").alias("s"),
+        F.max("extended").alias("extended")).select("auction_id", "extended", "s.*")
+    bids = latest.select("auction_id", F.inline("history"))
+    page = auction_page(replace(t, auctions=_auctions_seen(latest, "open"), bids=bids,
+                                transactions=t.transactions.where("false")), as_of)
+    moved = latest.select(F.col("auction_id").alias("auctionId"), "extended")
+    return _counted(page, latest).join(moved, "auctionId").select(
         F.lit("bid").alias("type"), "auctionId", "auction", "bids", "extended")
 
 
-def closed_documents(closed: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
-    """What the watchers of each closed auction are sent."""
-    ids = closed.select(F.col("auction_id").alias("id"))
-    detail = auction_detail(replace(t, auctions=t.auctions.join(ids, "id", "left_semi")), as_of)
-    return detail.select(F.lit("closed").alias("type"), "auctionId",
-                         F.struct(*detail.columns).alias("auction"))
+def closed_documents(batch: DataFrame, t: Tables, as_of: Column | str) -> DataFrame:
+    """What the watchers of each auction closed in a micro-batch are sent."""
+    closed = closed_updates(batch)
+    nothing = t.bids.where("false")  # the closings carry the number of bids
+    detail = auction_detail(replace(t, auctions=_auctions_seen(closed, "closed"), bids=nothing), as_of)
+    document = detail.select("auctionId", F.struct(*detail.columns).alias("auction"))
+    return _counted(document, closed).select(F.lit("closed").alias("type"), "auctionId", "auction")

@@ -1,13 +1,26 @@
-"""Live rooms as streams: sessions of silent clients, and audiences per batch."""
+"""Live rooms as streams: sessions of silent clients, rooms, and audiences of updates.
+
+An audience takes two stateful operators in a row. The first knows the room of each
+client and turns a subscription into a step into one room and a step out of another; the
+second knows how many clients each room has and meets the updates sent to it. Steps made
+in a micro-batch reach the counters in the same one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gavel.operators.rooms import update_audience
+from gavel.operators.rooms import ALL_ROOM
 from gavel.streaming.bids import LATENESS
 
+# kind 0: a step into or out of the room. kind 1: an update sent to it.
+_STEPS = "room string, ts timestamp, kind int, id long, auction_id long, step int"
+_REACHED = "id long, auction_id long, room string, clients long, ts timestamp"
+
 
 def stream_sessions(signals: DataFrame, gap: str = "30 seconds",
                     lateness: str = LATENESS) -> DataFrame:
@@ -26,8 +39,82 @@ def stream_rooms(subscriptions: DataFrame) -> DataFrame:
             .select("client_id", "last.room", "last.ts"))
 
 
-def audience(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """How many clients each update (id, auction_id, created_at) of a micro-batch is sent
-    to, as of its time; ``subscriptions`` are those heard so far."""
-    sent = updates.select("id", "auction_id", F.col("created_at").alias("ts"))
-    return update_audience(subscriptions, sent).drop("ts")
+class RoomMoves(StatefulProcessor):
+    """Per client: the steps that its subscriptions make between rooms.
+
+    A subscription at or before the last one heard of the client changes nothing.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("room", "room string, ts timestamp, id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        room, last, changed = None, None, False
+        if self.state.exists():
+            room, ts, id_ = self.state.get()
+            last = (ts.replace(tzinfo=None), id_)
+        for row in sorted(rows, key=lambda r: (r.ts, r.id)):
+            at = (row.ts.replace(tzinfo=None), row.id)
+            if last is not None and at <= last:
+                continue
+            last, changed = at, True
+            if row.room == room:
+                continue
+            yield Row(room=row.room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=1)
+            if room is not None:
+                yield Row(room=room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=-1)
+            room = row.room
+        if changed:
+            self.state.update((room, *last))
+
+    def close(self) -> None:
+        pass
+
+
+class RoomCounts(StatefulProcessor):
+    """Per room: how many clients each update sent to it reaches.
+
+    Of things at the same instant steps come first. A step that comes late counts from
+    then on.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("clients", "clients long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = clients = self.state.get()[0] if self.state.exists() else 0
+        for row in sorted(rows, key=lambda r: (r.ts, r.kind, r.id)):
+            if row.kind:
+                yield Row(id=row.id, auction_id=row.auction_id, room=row.room, clients=clients, ts=row.ts)
+            else:
+                clients += row.step
+        if clients != before:
+            self.state.update((clients,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_audience(subscriptions: DataFrame, updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(id, auction_id, room, clients, ts): how many clients each update finds in the room of
+    its auction and in the room of those who watch everything; see ``audience``.
+
+    ``subscriptions`` (id, client_id, ts, room) and ``updates`` (id, auction_id, ts) are
+    streams. As each micro-batch is judged with what had come until then, the result is
+    that of the batch operator for feeds that keep their order across micro-batches.
+    """
+    steps = (subscriptions.where("client_id is not null").withWatermark("ts", lateness).groupBy("client_id")
+             .transformWithState(RoomMoves(), _STEPS, "Append", "EventTime", eventTimeColumnName="ts"))
+    sent = updates.withWatermark("ts", lateness).select(
+        F.explode(F.array(F.col("auction_id").cast("string"), F.lit(ALL_ROOM))).alias("room"), "ts",
+        F.lit(1).alias("kind"), "id", "auction_id", F.lit(0).alias("step"))
+    return (steps.unionByName(sent).groupBy("room")
+            .transformWithState(RoomCounts(), _REACHED, "Append", "EventTime", eventTimeColumnName="ts"))
+
+
+def audience(reached: DataFrame) -> DataFrame:
+    """(id, auction_id, room_clients, all_clients) of the updates of one micro-batch."""
+    in_all = F.col("room") == ALL_ROOM
+    return reached.groupBy("id", "auction_id").agg(
+        F.sum(F.when(~in_all, F.col("clients"))).alias("room_clients"),
+        F.sum(F.when(in_all, F.col("clients"))).alias("all_clients"))

@@ -5,11 +5,15 @@ from tests.test_throttle_checkout import LOGIN, attack
 from tests.test_throttle_checkout import sequential as throttled
 
 from gavel.operators.replay import accepted, apply_bids, replay_bids
-from gavel.operators.rooms import viewer_sessions
+from gavel.operators.rooms import update_audience, viewer_sessions
 from gavel.streaming import bids as live
 from gavel.streaming import rooms, throttle
-from gavel.streaming.runtime import (prepare_state_store, read_stream, run_so_far, run_to_folder,
-                                     run_to_table, run_updates)
+from gavel.plans.snapshot import replay_market
+from gavel.plans.views import auction_page
+from gavel.sources.tables import Tables
+from gavel.streaming.runtime import (prepare_state_store, read_stream, run_batches, run_so_far,
+                                     run_to_folder, run_to_table, run_updates)
+from gavel import schemas
 
 SIGNAL = "id long, client_id long, ts timestamp"
 
@@ -187,3 +191,141 @@ def test_session_stream_equals_the_batch_for_finished_sessions(spark, tmp_path):
     batch = viewer_sessions(spark.createDataFrame(rows, SIGNAL), 30_000).collect()
     ended = {tuple(r) for r in batch if millis(r.session_end) + 30_000 <= 400_000}
     assert {tuple(r) for r in got} == ended
+
+
+def small_market(spark, n_auctions=3, end=600_000):
+    users = [(i, f"F{i}", f"L{i}", f"u{i}@x.test", None, "buyer", at(0)) for i in range(1, 10)]
+    items = [(a, 9, f"T{a}", "d", "c", "i", at(0)) for a in range(1, n_auctions + 1)]
+    auctions = [(a, a, 10, 10, at(0), at(end), "open", None, at(0)) for a in range(1, n_auctions + 1)]
+    return Tables(spark.createDataFrame(users, schemas.USERS), spark.createDataFrame(items, schemas.ITEMS),
+                  spark.createDataFrame(auctions, schemas.AUCTIONS), schemas.empty(spark, schemas.BIDS),
+                  schemas.empty(spark, schemas.TRANSACTIONS))
+
+
+def test_bid_documents_come_from_the_state_alone(spark, tmp_path):
+    """Over four micro-batches each document is that of the market as of its batch, and none
+    reads what an earlier batch wrote."""
+    t = small_market(spark)
+    rows = [(i, 1 if i % 4 else 2, 2 + i % 5, float(10 + i), at(i + 1)) for i in range(240)]
+    stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at", n=4)
+    updates = live.stream_updates(stream, t.auctions, t.items, W, "0 seconds")
+    read = []
+
+    def build(batch):
+        documents = live.bid_documents(batch, t, at(0).isoformat())
+        read.append([f for f in documents.inputFiles() if "/in/" not in f])
+        return documents
+
+    got = {(r.batch_id, r.auctionId): r for r in run_batches(updates, "documents", build).collect()}
+    assert len(got) == 8 and not any(read)
+    for n in range(4):
+        heard = spark.createDataFrame(rows[:60 * (n + 1)], ATTEMPT)
+        page = auction_page(replay_market(t, heard, W), at(0).isoformat()).collect()
+        for r in page:
+            if r.auctionId in (1, 2):
+                mine = got[n, r.auctionId]
+                assert mine.auction == r.auction and mine.bids == r.bids and not mine.extended
+    assert len(got[3, 1].bids) == live.HISTORY_BIDS < got[3, 1].auction.bidCount
+
+
+def test_documents_go_on_from_earlier_bids(spark, tmp_path):
+    t = small_market(spark, 1)
+    earlier = [(i, 1, 2, float(10 + i), at(i + 1)) for i in range(60)]
+    before = replay_market(t, spark.createDataFrame(earlier, ATTEMPT), W)
+    rows = [(100 + i, 1, 3, float(100 + i), at(1_000 + i)) for i in range(3)]
+    stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at", n=1)
+    updates = live.stream_updates(stream, before.auctions, t.items, W, "0 seconds", before.bids)
+    got = run_batches(updates, "documents", lambda b: live.bid_documents(b, t, at(0).isoformat())).collect()
+    page = auction_page(replay_market(t, spark.createDataFrame(earlier + rows, ATTEMPT), W),
+                        at(0).isoformat()).collect()
+    assert [(r.auction, r.bids) for r in got] == [(r.auction, r.bids) for r in page]
+
+
+def test_an_auction_listed_live_gets_documents_and_one_invoice(spark, tmp_path):
+    prepare_state_store(spark)
+    listing = ("id long, item_id long, seller_id long, starting_price long, end_time timestamp, "
+               "created_at timestamp")
+    t = small_market(spark, 3)
+    known = t.auctions.where("id = 1")
+    seen = {"state": [], "closed": []}
+
+    def run(attempts, listings):
+        for name, rows, schema in (("bids", attempts, ATTEMPT), ("listings", listings, listing)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
+                f"{tmp_path}/{name}")
+        updates = live.stream_updates(
+            read_stream(spark, f"{tmp_path}/bids", ATTEMPT), known, t.items, W, "0 seconds",
+            listings=read_stream(spark, f"{tmp_path}/listings", listing))
+
+        def write(batch, batch_id):
+            batch = batch.checkpoint()
+            seen["state"] += live.bid_documents(batch, t, at(0).isoformat()).collect()
+            seen["closed"] += live.closed_documents(batch, t, at(0).isoformat()).collect()
+            batch.write.mode("append").parquet(f"{tmp_path}/out")
+
+        (updates.writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+
+    run([(1, 1, 5, 20.0, at(1_000))], [])
+    run([(2, 2, 5, 20.0, at(3_000)), (3, 2, 6, 30.0, at(4_000))],
+        [(2, 2, 9, 10, at(10_000), at(2_000)), (3, 3, 9, 10, at(10_000), at(2_000))])
+    run([(4, 2, 7, 90.0, at(900_000))], [])
+    run([(5, 2, 7, 95.0, at(900_001)), (6, 3, 7, 95.0, at(900_001)), (7, 8, 7, 95.0, at(900_001))], [])
+    got = spark.read.schema(live.UPDATE_SCHEMA).parquet(f"{tmp_path}/out")
+    invoices = live.closing_invoices(got).collect()
+    assert {(r.auction_id, r.buyer_id, r.seller_id, r.amount) for r in invoices} == {(1, 5, 9, 20), (2, 6, 9, 30)}
+    assert len(invoices) == 2
+    live_one = next(r for r in seen["state"] if r.auctionId == 2)
+    assert (live_one.auction.title, live_one.auction.currentPrice, live_one.auction.bidCount) == ("T2", 30, 2)
+    assert [b.bidderName for b in live_one.bids] == ["F6 L.", "F5 L."]
+    closed = {r.auctionId: (r.auction.status, r.auction.winnerName, r.auction.bidCount) for r in seen["closed"]}
+    assert closed == {1: ("closed", "F5 L.", 1), 2: ("closed", "F6 L.", 2), 3: ("closed", None, 0)}
+    # A tombstone still tells closed auctions from unknown ones.
+    assert {r.id: r.outcome for r in live.bid_outcomes(got).collect() if r.id > 3} == {
+        4: "CLOSED", 5: "CLOSED", 6: "CLOSED", 7: "NOT_FOUND"}
+
+
+def test_closed_auctions_leave_one_small_row_of_state(spark, tmp_path):
+    prepare_state_store(spark)
+    t = small_market(spark, 40, end=50_000)
+    rows = [(i, 1 + i % 40, 2, float(20 + i), at(1 + i)) for i in range(120)]
+
+    def run(rows):
+        spark.createDataFrame(rows, ATTEMPT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        updates = live.stream_updates(read_stream(spark, f"{tmp_path}/in", ATTEMPT), t.auctions, t.items,
+                                      1_000, "0 seconds")
+        query = (updates.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/checkpoint")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+    full = run(rows)
+    run([(900, None, 2, 1.0, at(900_000)), (901, 1, 2, 9e3, at(900_000))])
+    assert run([(902, 1, 2, 9e3, at(900_001))]) <= full / 2
+
+
+SUBSCRIPTION, SENT = "id long, client_id long, ts timestamp, room string", "id long, auction_id long, ts timestamp"
+
+
+def test_live_audience_equals_the_batch_over_several_batches(spark, tmp_path):
+    import random
+
+    pick = random.Random(3)
+    heard = [(i, pick.randrange(8), at(1 + i * 10), pick.choice(["all", "1", "2", "3"])) for i in range(120)]
+    # Updates at the instant of a subscription, too, which then counts.
+    sent = [(1000 + i, 1 + i % 4, at(1 + i * 20 + pick.choice([0, 0, 3]))) for i in range(60)]
+    prepare_state_store(spark)
+    step = 300
+    for n in range(4):
+        lo, hi = at(n * step), at((n + 1) * step)
+        for name, rows, schema in (("heard", [r for r in heard if lo <= r[2] < hi], SUBSCRIPTION),
+                                   ("sent", [r for r in sent if lo <= r[2] < hi], SENT)):
+            assert rows
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    reached = rooms.stream_audience(read_stream(spark, f"{tmp_path}/heard", SUBSCRIPTION, files_per_trigger=1),
+                                    read_stream(spark, f"{tmp_path}/sent", SENT, files_per_trigger=1))
+    got = run_batches(reached, "audience", rooms.audience).collect()
+    assert len({r.batch_id for r in got}) == 4
+    batch = update_audience(spark.createDataFrame(heard, SUBSCRIPTION), spark.createDataFrame(sent, SENT))
+    assert ({r.id: (r.room_clients, r.all_clients) for r in got}
+            == {r.id: (r.room_clients, r.all_clients) for r in batch.collect()})
