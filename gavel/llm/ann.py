@@ -143,8 +143,10 @@ def usable_vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataF
     vector = F.col("vector")
     fine = (F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(vector, lambda x: x != 0))
-    good = (rows.select(F.col(id_column).cast("long").alias("vec_id"),
-                        F.col(vector_column).alias("vector"))
+    given = F.col(vector_column)
+    if rows.select(given).dtypes[0][1] != "array<float>":
+        given = given.cast("array<double>")
+    good = (rows.select(F.col(id_column).cast("long").alias("vec_id"), given.alias("vector"))
             .where(F.col("vec_id").isNotNull() & vector.isNotNull() & fine))
     usual = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     good = good.where(F.size("vector") == (usual["n"] if usual else 0))
@@ -269,6 +271,7 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     """
     spark = ready(rows.sparkSession)
     vectors = staged(usable_vectors(rows, id_column, vector_column))
+    kind = vectors.schema["vector"].dataType.simpleString()
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     bounds = vectors.agg(F.sqrt(F.max(squares)), F.count(F.lit(1))).first()
     if not bounds[1]:
@@ -279,13 +282,13 @@ def nearest(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "em
     tree = fit_tree(sample[1], bounds[0])
 
     indexed = staged(vectors.mapInArrow(
-        partial(_assign, tree=tree), "vec_id long, vector array<float>, leaf long"))
+        partial(_assign, tree=tree), f"vec_id long, vector {kind}, leaf long"))
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
     asked = indexed.where(F.col("vec_id") % query_step == 0).select("vec_id", "vector")
     leaves = calibrated_visits(indexed, asked, tree, sizes, k, recall)
     visits = staged(asked.mapInArrow(
         partial(_visit, tree=tree, leaves=leaves, rows=k + 1, sizes=sizes),
-        "query_id long, vector array<float>, leaves array<long>"))
+        f"query_id long, vector {kind}, leaves array<long>"))
     pairs = visits.select("query_id", "vector", F.explode("leaves").alias("leaf"))
     loads = {r["leaf"]: r["count"] for r in pairs.groupBy("leaf").count().collect()}
 

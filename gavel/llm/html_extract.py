@@ -39,11 +39,12 @@ TEXT = "#text"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark "
     "meter nobr picture progress q rp rt ruby s samp small source span strike strong sub sup "
-    "time tt u var wbr".split())
+    "time tt u var wbr math merror mfrac mi mn mo mover mpadded mroot mrow ms msqrt mstyle msub "
+    "msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show no text of the page, or only labels of controls.
 HIDDEN = frozenset(
-    "audio button canvas datalist embed iframe map math noscript object script select style "
+    "annotation audio button canvas datalist embed iframe map noscript object script select style "
     "svg template textarea title video".split())
 RAW = frozenset("script style textarea title".split())
 #: What can stand in a head; any other start tag ends it.
@@ -65,8 +66,9 @@ GOOD_TOKENS = "article main content post entry body story text page blog prose".
 DROPPED_LANDMARKS = frozenset("nav header footer aside form".split())
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)>?""",
-    re.S)
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']"""
+    # A quoted value may hold < and >, if what follows its end can follow a value.
+    r"""|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|"[^"<]*"|'[^'<]*'|["'])*)>?""", re.S)
 #: End tags of raw elements; upper and lower case agree in ASCII only, as in HTML.
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/<>]|\Z)[^<>]*>?", re.I | re.A) for tag in RAW}
 _TOKENS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

@@ -92,3 +92,13 @@ def test_tree_of_few_points(equal):
     x = np.ones((300, 4)) if equal else np.arange(20.0).reshape(5, 4)
     tree = ann.fit_tree(x, float(np.sqrt((x ** 2).sum(1).max())))
     assert tree.leaves_of(x).tolist() == [0] * len(x)
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_other_types_of_vectors(spark, kind):
+    pick = random.Random(6)
+    rows = [(i, [pick.choice([-2, -1, 0, 1, 3]) for _ in range(8)]) for i in range(200)]
+    rows = [(i, v if any(v) else [1] * 8) for i, v in rows]
+    make = float if kind == "double" else int
+    df = spark.createDataFrame([(i, [make(c) for c in v]) for i, v in rows], f"vec_id long, embedding array<{kind}>")
+    assert recall(found(ann.nearest(df)), brute(rows)) >= 0.9

@@ -58,6 +58,10 @@ def test_parsing():
     assert runs("<li>a<li>b<ul><li>c</ul>d<td>e<td>f") == ["a", "b", "c", "d", "e", "f"]
     assert runs("x < y <p class=\"a b>c</p>d") and runs("") == [] and runs(" \n\t") == []
     assert runs("<p>a\n \tb</p>\n<p> c </p>") == ["a b", "c"]
+    assert runs('<p title="a < b">hello</p>') == ["hello"]
+    assert runs("<img alt='x < y > z'><p title=\"<b>\" id=q>one</p>two") == ["one", "two"]
+    assert runs('<p title="open>one <b class="x">two</b></p>') == ["one two"]
+    assert runs("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds") == ["so x=2 holds"]
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert runs(deep) == ["x"]
 
