@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from gavel.functions import clock, labels, money, text
 from gavel.operators import (checkout, erase, ingest, integrity, ladder, replay, rooms, settle,
                              throttle, validate)
-from gavel.plans import dashboard, views
+from gavel.plans import dashboard, stored, views
 from gavel.plans.snapshot import market_snapshot, replay_market
 from gavel.session import prepare, shared_dir
 from gavel.sources import marketplace as source
+from gavel.sources import versions
 from gavel.sources.sinks import json_documents
 from gavel.sources.tables import Tables, append_rows, scan_table, scan_tables, write_tables
 from gavel.streaming import bids as live_bids
@@ -205,11 +206,14 @@ def sink_json_wins(spark, sf_dir):
 def erase_cascade(spark, sf_dir):
     t = market(spark, sf_dir)
     gone = source.users_in_debt(spark, sf_dir)
-    kept = erase.erase_cascade(t, gone).items_by_name()
+    return _ids_by_table(erase.erase_cascade(t, gone))
+
+
+def _ids_by_table(t: Tables) -> DataFrame:
     rows = [df.select(F.lit(name).alias("table_name"), "id",
                       F.col("winner_id") if name == "auctions"
                       else F.lit(None).cast("long").alias("winner_id"))
-            for name, df in kept.items()]
+            for name, df in t.items_by_name().items()]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).union(rows[4])
 
 
@@ -479,6 +483,38 @@ def settle_transactions(spark, sf_dir):
     return _iso(_settled(spark, sf_dir)[1], "created_at")
 
 
+# Changes of a stored market, version by version
+
+
+def _settled_version(spark, sf_dir):
+    def build():
+        path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+        versions.create(source.base_tables(spark, sf_dir), path)
+        stored.apply_attempts(spark, path, source.bid_attempts(spark, sf_dir).where(
+            F.col("created_at") <= clock.as_of_column(AS_OF)))
+        return stored.settle_due(spark, path, AS_OF)
+
+    return _once(spark, "settled_version", sf_dir, build)
+
+
+@query
+def stored_auctions(spark, sf_dir):
+    return _iso(_settled_version(spark, sf_dir).read(spark, "auctions"), "end_time").select(
+        "id", "current_price", "end_time", "status", "winner_id")
+
+
+@query
+def stored_transactions(spark, sf_dir):
+    return _iso(_settled_version(spark, sf_dir).read(spark, "transactions"), "created_at")
+
+
+@query
+def stored_erasure(spark, sf_dir):
+    path = _settled_version(spark, sf_dir).path
+    return _ids_by_table(stored.erase_users(
+        spark, path, source.users_in_debt(spark, sf_dir)).tables(spark))
+
+
 @query
 def sale_details(spark, sf_dir):
     t = market(spark, sf_dir)

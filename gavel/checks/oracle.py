@@ -765,6 +765,9 @@ def oracle_sql() -> dict[str, str]:
         'closed' AS status, u.first_name || ' ' || left(u.last_name, 1) || '.' AS "winnerName",
         l.current_price AS "currentPrice", l.bid_count AS "bidCount"
         FROM live_closed l LEFT JOIN users u ON u.id = l.winner_id""")
+    q["stored_auctions"] = q["settle_auctions"]
+    q["stored_transactions"] = q["settle_transactions"]
+    q["stored_erasure"] = q["erase_cascade"]
     q["stream_throttle"] = q["replay_login_throttle_3d"]
     q["stream_sessions"] = _sql([BASE, SESSIONS], f"""SELECT {SESSION_COLUMNS} FROM sessions
         WHERE epoch_ms(session_end) + {SIX_HOURS}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.text import computed_once, is_long, to_number
 from gavel.operators.ordered import history, packed, running
+from gavel.session import shared_dir
 
 ALL_ROOM = "all"
 _ALL_NUMBER = -(1 << 63)
@@ -70,9 +71,12 @@ def update_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
     an audience is a running sum per room; no update is paired with clients.
     Of things at the same instant, subscriptions come first.
     """
+    # Parsed messages are stored once; both counts of hot keys and the history read them.
+    shared_dir(subscriptions.sparkSession)
+    subscriptions = subscriptions.select(
+        "id", "client_id", "room", F.unix_millis("ts").alias("t")).checkpoint()
     hist = running(
-        history(subscriptions.select("id", "client_id", "room", F.unix_millis("ts").alias("t")),
-                ["client_id"], ["t", "id"], subscriptions.select("client_id")),
+        history(subscriptions, ["client_id"], ["t", "id"]),
         {"last": ("max", F.struct("t", "id", "room"))})
     # Subscribing again to the same room changes nothing.
     moves = hist.df.where(~F.col("room").eqNullSafe(F.col("last.room")))
