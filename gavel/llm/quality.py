@@ -15,10 +15,22 @@ MAX_LOST = 0.5
 
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: Phrases that mark a line as site boilerplate.
-BOILERPLATE = ("all rights reserved|cookie policy|privacy policy|terms of use|terms of service|"
-               "enable javascript|subscribe to our newsletter|click here to|sign in to|"
-               "share this page|back to top|skip to content")
+# Marks that end or divide sentences, in Latin, Greek, Armenian, Arabic, Urdu,
+# Indic, Tibetan, Burmese, Khmer, Ethiopic and Chinese or Japanese writing.
+MARKS = ".!?:;…‽¿¡;։՜՞؟؛۔।॥།༎၊။។៖።፧。！？：；．｡"
+# Phrases that mark a line as site boilerplate, by language.
+PHRASES = {
+    "en": ("all rights reserved", "cookie policy", "privacy policy", "terms of use",
+           "terms of service", "enable javascript", "subscribe to our newsletter",
+           "click here to", "sign in to", "share this page", "back to top", "skip to content"),
+    "de": ("alle rechte vorbehalten", "cookie-richtlinie", "datenschutzerklärung",
+           "nutzungsbedingungen", "newsletter abonnieren", "zum inhalt springen"),
+    "es": ("todos los derechos reservados", "política de privacidad", "política de cookies",
+           "términos de uso", "condiciones de uso", "haga clic aquí", "ir al contenido"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "politique de cookies",
+           "mentions légales", "cliquez ici", "haut de page", "aller au contenu"),
+}
+BOILERPLATE = "|".join(phrase for phrases in PHRASES.values() for phrase in phrases)
 
 
 def words_of(text: Column) -> Column:
@@ -35,16 +47,16 @@ def line_fails(line: Column) -> Column:
     """Whether a line breaks a punctuation, navigation or boilerplate rule.
 
     Punctuation: symbols ``#*$%&<>`` or exclamation marks for every second word or
-    more, or three words and more without any of ``. ! ? : ; …``. Navigation: four or
+    more, or three words and more without any of ``MARKS``. Navigation: four or
     more ``|`` and one for every fourth word or more. Boilerplate: a phrase of
-    ``BOILERPLATE``, in any case.
+    ``PHRASES``, in any case.
     """
     words = F.regexp_count(line, F.lit(rf"{WHITE}+")) + 1
     bars = _only(line, "|")
     symbols, shouts = _only(line, "#*$%&<>"), _only(line, "!")
     return ((symbols * 2 >= words) | (shouts * 2 >= words) | ((bars >= 4) & (bars * 4 >= words))
-            | ((words >= 3) & ~F.rlike(line, F.lit("[.!?:;…]")))
-            | F.rlike(line, F.lit(f"(?i){BOILERPLATE}")))
+            | ((words >= 3) & ~F.rlike(line, F.lit(f"[{MARKS}]")))
+            | F.rlike(line, F.lit(f"(?iu){BOILERPLATE}")))
 
 
 def _repeated(pairs: Column) -> Column:

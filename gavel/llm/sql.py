@@ -52,7 +52,7 @@ _FAILS = rf"""
  OR 2 * length(regexp_replace(line, '[^!]+', '', 'g')) >= n
  OR (length(regexp_replace(line, '[^|]+', '', 'g')) >= 4
      AND 4 * length(regexp_replace(line, '[^|]+', '', 'g')) >= n)
- OR (n >= 3 AND NOT regexp_matches(line, '[.!?:;…]'))
+ OR (n >= 3 AND NOT regexp_matches(line, '[{quality.MARKS}]'))
  OR regexp_matches(line, '(?i){quality.BOILERPLATE}'))"""
 
 QUALITY = rf"""

@@ -105,6 +105,20 @@ def test_very_long_text(spark):
     assert (r["n_words"], r["n_repeat_words"]) == (60_010, 18) and r["kept"]
 
 
+def test_scripts_and_languages(spark):
+    clean = ["यह एक साफ़ वाक्य है जो ठीक से समाप्त होता है और दस शब्दों से लंबा है।",
+             "هل هذا نص نظيف يحتوي على أكثر من عشر كلمات في سطر واحد فقط اليوم؟",
+             "这 是 一 段 干净 的 中文 文本 有 超过 十 个 词。",
+             "Սա մաքուր տեքստ է որը ունի ավելի քան տասը բառ մեկ տողում այսօր։"]
+    bad = ["Tous Droits RÉSERVÉS par nous, 2024.", "Lea la POLÍTICA de privacidad.",
+           "Unsere Datenschutzerklärung: hier.", "Cookie policy."]
+    found = cleaned(spark, [*clean, *(f"{clean[0]}\n{x}" for x in bad)])
+    for i, text in enumerate(clean):
+        assert found[i]["kept"] and found[i]["clean_text"] == text
+    for i in range(len(bad)):
+        assert found[len(clean) + i]["clean_text"] == clean[0]
+
+
 def test_quality_of_an_empty_table(spark):
     assert cleaned(spark, []) == {}
 
