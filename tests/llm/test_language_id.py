@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gavel.llm import language_id as lid
@@ -61,3 +62,37 @@ def test_little_to_learn_from(spark):
 def test_mixed_and_short_texts_are_rejected(spark, learned):
     classifier = lid.Classifier(learned)
     assert classifier.predict("q")[1] < lid.MIN_MARGIN
+
+
+def plain_language(text, learned):
+    """Best language and margin of one text, with a new compressor for every block."""
+    runs, run = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            runs.append(run)
+            run = ""
+    data = " ".join(runs).encode()
+    if not data:
+        return "und", 0.0
+    sizes = {}
+    for lang, content in learned.items():
+        given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes[lang] = 0
+        for i in range(0, len(data), 1024):
+            one = zstandard.ZstdCompressor(level=6, dict_data=given, write_content_size=False,
+                                           write_checksum=False, write_dict_id=False)
+            sizes[lang] += len(one.compress(data[i:i + 1024]))
+    best, second = sorted(sizes, key=lambda lang: (sizes[lang], lang))[:2]
+    return best, 1 - sizes[best] / sizes[second]
+
+
+def test_agrees_with_a_plain_loop(spark, learned):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lid.identify_language(docs, learned).collect()
+    assert len(rows) > 90
+    for r in rows:
+        lang, margin = plain_language(r["text"], learned)
+        assert (r["lang_pred"], r["rejected"]) == (lang, lang == "und" or margin < 0.01)
+        assert r["score"] == pytest.approx(margin, abs=1e-12)
