@@ -1,19 +1,21 @@
-"""Bytes that repeat from earlier documents, by parsing the corpus into content-defined phrases.
+"""Bytes that repeat from earlier documents, by prefix-free parsing of the corpus.
 
-Every string of ``LENGTH`` bytes has a trigger: the place in it where a rolling hash of
-``GRAM`` bytes is least. Starts that share their trigger are adjacent and make a phrase,
-the bytes from the first of these starts to the end of the last string. The corpus is so
-cut into phrases that overlap by all but one byte of a string; each string lies in one
-phrase, and equal strings have equal triggers.
+A place where a rolling hash of ``GRAM`` bytes is a multiple of ``PERIOD`` is a trigger, and
+a phrase is what belongs to one trigger: the strings of ``LENGTH`` bytes whose first trigger
+it is, from the first byte of the first of them to the end of the last. A string without a
+trigger takes the first of its least hashes for one, so every string lies in one phrase, and
+equal strings have equal triggers at equal places.
 
 Distinct phrases are the dictionary, and the documents, in order of id, are the parse.
-Equal phrases settle most of the repeats at once: what a phrase holds, it holds also in
-the first document with that phrase. Only phrases that share a trigger but differ are
-opened, and only on the side on which their bytes next to the trigger agree. Their
-suffixes, cut to ``LENGTH`` bytes, are brought together by content over the whole
-dictionary, as a suffix array does by order, and each learns the first document that
-has it. Nothing is grouped that doesn't also spread: a common passage has many triggers,
-and equal suffixes only pass on a minimum.
+Equal phrases settle most of the repeats at once: what a phrase holds, it holds also in the
+first document with that phrase. Phrases that share a trigger but differ are opened, on the
+side on which their bytes next to the trigger agree. Their suffixes, as far as ``LENGTH``
+bytes, are sorted over the whole dictionary and, where these are equal, in order of the
+parse: neighbours with a common prefix of ``LENGTH`` bytes pass on the first document.
+
+Hashes only choose what is compared. Bytes go because they equal earlier bytes: phrases and
+suffixes meet by their content. Two phrases of one trigger with equal hashes of all their
+bytes, which differ, may keep a repeat from being seen.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +32,17 @@ from pyspark.sql import functions as F
 from gavel.llm.common import stored
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
+#: One place of so many is a trigger.
+PERIOD = 20
 #: Bytes beside the trigger that phrases must share to be opened on that side.
 SIDE = (LENGTH - GRAM) // 2
-#: Starts of one phrase at most; longer ones, in periodic text, are cut.
-PHRASE_STARTS = 64
+#: Places in a string where a trigger may stand, which is also the most strings of a phrase.
+WIDTH = LENGTH - GRAM + 1
 #: Strings worked on at once.
 CHUNK = 1 << 20
-#: Trigger offset of a phrase in which the least hash stands at several places.
-MANY = 255
+#: Rows sent out at once.
+ROWS = 1 << 14
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -119,127 +124,154 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             size += len(part[2])
 
 
+def triggers_of(grams: np.ndarray) -> np.ndarray:
+    """For each string the place of its trigger, by the hashes of its grams."""
+    n, at = len(grams) - WIDTH + 1, np.arange(len(grams))
+    nearest = np.where(grams % _U(PERIOD) == 0, at, len(grams) + WIDTH)
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1][:n]
+    # Hash and place in one number: the least is the first of the least hashes.
+    places = _U(21)  # a chunk has fewer than 2^21 of them
+    least = _sliding_least((grams << places) | at.astype(np.uint64), WIDTH)
+    least = (least & _U((1 << 21) - 1)).astype(np.int64)
+    return np.where(nearest < at[:n] + WIDTH, nearest, least)
+
+
 def phrases_of(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """Phrases of the documents between ``bounds`` of a buffer.
 
-    ``trigger`` is the least hash, ``phrase`` a hash of the phrase's bytes with 12 bits
-    each of its left and right side, ``start`` its first byte, ``starts`` how many
-    strings it has, ``to_trigger`` the trigger's distance from the start or ``MANY``.
+    ``trigger`` is the trigger's hash, ``phrase`` a hash of the phrase's bytes with 12 bits
+    each of its left and right side, ``begin`` its place in the buffer and ``start`` in the
+    document, ``starts`` how many strings it has, ``to_trigger`` the trigger's distance.
     """
     rolling = Rolling(data)
     grams = rolling.fixed(GRAM)
-    width = LENGTH - GRAM + 1
-    least = _sliding_least(grams, width)
-    n = len(least)
-    first = bounds[:-1]
-    valid = np.ones(n, dtype=bool)
+    trigger = triggers_of(grams)
+    valid = np.ones(len(trigger), dtype=bool)
     for b in bounds[1:-1]:  # strings that would cross into the next document
         valid[max(b - LENGTH + 1, 0):b] = False
-    new = np.empty(n, dtype=bool)
-    new[0] = True
-    np.not_equal(least[1:], least[:-1], out=new[1:])
-    new[first[first < n]] = True
-    begin = np.flatnonzero(new & valid)
-    # Runs end where the next begins or where their document's strings do.
+    same = (trigger[1:] == trigger[:-1]) & valid[1:] & valid[:-1]
+    begin = np.flatnonzero(valid & ~np.append(False, same))
+    stop = np.flatnonzero(valid & ~np.append(same, False)) + 1
     doc = np.searchsorted(bounds, begin, side="right") - 1
-    stop = np.minimum(np.append(begin[1:], n), bounds[doc + 1] - LENGTH + 1)
-    if (stop - begin > PHRASE_STARTS).any():
-        parts = -(-(stop - begin) // PHRASE_STARTS)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin, stop, doc = (np.repeat(x, parts) for x in (begin, stop, doc))
-        begin = begin + nth * PHRASE_STARTS
-        stop = np.minimum(stop, begin + PHRASE_STARTS)
-    trigger = least[begin]
-    # The least hash stands within the first string; where, and is it there only once?
-    offset = np.full(len(begin), -1)
-    several = stop - begin > width
-    for k in range(width):
-        here = grams[begin + k] == trigger
-        several |= here & (offset >= 0)
-        offset = np.where(here & (offset < 0), k, offset)
-    last = np.minimum(stop - 1 + width - 1, n + width - 2)
-    for k in range(1, min(PHRASE_STARTS, int((stop - begin).max(initial=1)))):
-        at = begin + width - 1 + k
-        inside = at <= last
-        several |= inside & (grams[np.where(inside, at, 0)] == trigger)
-    place = begin + offset
+    place, end = trigger[begin], stop - 1 + LENGTH
     # A side counts if some string of the phrase reaches it whole.
-    left = ~several & (offset >= SIDE)
-    right = ~several & (width - 1 - (place - (stop - 1)) >= SIDE)
+    left, right = place - begin >= SIDE, end - (place + GRAM) >= SIDE
     side_left = rolling.at(np.where(left, place - SIDE, 0), np.where(left, place + GRAM, 1))
     side_right = rolling.at(np.where(right, place, 0), np.where(right, place + GRAM + SIDE, 1))
-    bits = lambda use, h: np.where(use, _U(1) + h % _U(4094), _U(0))
+    bits = lambda use, h: np.where(use, _U(1) + h % _U(4095), _U(0))
     sides = (bits(left, side_left) << _U(12)) | bits(right, side_right)
-    sides = np.where(several, _U((1 << 24) - 1), sides)
-    whole = rolling.at(begin, stop - 1 + LENGTH) & ~_U((1 << 24) - 1)
-    return {"doc": doc, "trigger": trigger.view(np.int64), "phrase": (whole | sides).view(np.int64),
-            "start": begin - bounds[doc], "starts": stop - begin,
-            "to_trigger": np.where(several, MANY, offset)}
+    whole = rolling.at(begin, end) & ~_U((1 << 24) - 1)
+    return {"doc": doc, "trigger": grams[place].view(np.int64),
+            "phrase": (whole | sides).view(np.int64), "begin": begin,
+            "start": begin - bounds[doc], "starts": stop - begin, "to_trigger": place - begin}
 
 
 def _place(start: np.ndarray, starts: np.ndarray, to_trigger: np.ndarray) -> np.ndarray:
     return (start << 16) | (starts << 8) | to_trigger
 
 
+def settled_here(data: np.ndarray, found: dict[str, np.ndarray], rank: np.ndarray) -> np.ndarray:
+    """Which phrases stand, byte by byte, also in a document of the same buffer whose
+    ``rank`` is lower."""
+    order = np.lexsort((rank, found["phrase"]))
+    phrase, size = found["phrase"][order], LENGTH + WIDTH
+    new = np.append(True, phrase[1:] != phrase[:-1])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = rank[order] > rank[first]
+    row, first = order[later], first[later]
+    settled = np.zeros(len(order), dtype=bool)
+    for i in range(0, len(row), ROWS):
+        a, b = row[i:i + ROWS], first[i:i + ROWS]
+        length, each = found["starts"][a] - 1 + LENGTH, np.arange(size)
+        x, y = (data[np.minimum(found["begin"][r][:, None] + each, len(data) - 1)] for r in (a, b))
+        equal = ((x == y) | (each >= length[:, None])).all(axis=1)
+        settled[a] = equal & (found["starts"][a] == found["starts"][b])
+    return settled
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of each document, ``place`` doubled and one more for settled ones. These need
+    not meet the others of their trigger and are spread."""
     names = ["doc", "text_hash", "trigger", "phrase", "place"]
     for batch in batches:
         texts = [x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())]
+        ranks = np.asarray(pc.rank(batch.column("doc"), tiebreaker="dense"), dtype=np.int64)
         for rows, offsets, data, bounds in _chunks(texts):
             found = phrases_of(data, bounds)
-            source = pa.array(rows[found["doc"]])
+            at = rows[found["doc"]]
+            settled = settled_here(data, found, ranks[at])
+            source = pa.array(at)
             place = _place(found["start"] + offsets[found["doc"]], found["starts"],
                            found["to_trigger"])
+            spread = _mixed(place.astype(np.uint64) + (at.astype(np.uint64) << _U(48)))
+            trigger = np.where(settled, spread.view(np.int64), found["trigger"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(source), batch.column("text_hash").take(source),
-                 pa.array(found["trigger"]), pa.array(found["phrase"]), pa.array(place)],
+                 pa.array(trigger), pa.array(found["phrase"]), pa.array(place * 2 + settled)],
                 names=names)
 
 
-def _string_hashes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of the string at each place."""
-    tables, parts = _tables(), []
-    powers = [np.cumprod(np.append(_U(1), np.full(LENGTH - 1, b))) for b in _BASES]
-    for i in range(0, len(at), 8192):
-        strings = data[at[i:i + 8192, None] + np.arange(LENGTH)]
-        parts.append([_mixed((t[strings] * p).sum(axis=1)) for t, p in zip(tables, powers)])
-    return [np.concatenate(x).view(np.int64) for x in zip(*parts)]
-
-
-def _opened(marks: np.ndarray) -> np.ndarray:
-    """Starts of the strings of phrases marked with a side."""
-    sides, places = marks & 3, marks >> 2
-    places, sides = places[sides > 0], sides[sides > 0]
-    start, offset = places >> 16, places & 255
-    low, high, trigger = start.copy(), start + ((places >> 8) & 255), start + offset
-    # Left only: strings that reach SIDE bytes or more before the trigger; right alike.
-    only = (offset != MANY) & (sides == 1)
-    high[only] = np.minimum(high, trigger - SIDE + 1)[only]
-    only = (offset != MANY) & (sides == 2)
-    low[only] = np.maximum(low, trigger + GRAM + SIDE - LENGTH)[only]
-    counts = np.maximum(high - low, 0)
-    each = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.unique(np.repeat(low, counts) + each)
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of opened phrases as (hash, 32 bits of another and the start, document)."""
+def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of marked phrases that are not settled yet."""
     unpack = zstandard.ZstdDecompressor()
+    names = ["piece", "mark", "doc", "text_hash"]
     for batch in batches:
-        marks = batch.column("marks")
-        for i in range(batch.num_rows):
-            if not marks[i].is_valid:
+        pieces, marked, rows = [], [], []
+
+        def made() -> pa.RecordBatch:
+            row = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(pieces, pa.binary()), pa.array(marked, pa.int64()),
+                 batch.column("doc").take(row), batch.column("text_hash").take(row)], names=names)
+
+        for i, marks in enumerate(batch.column("marks")):
+            if not marks.is_valid:
                 continue
-            at = _opened(np.asarray(marks[i].values, dtype=np.int64))
-            if not len(at):
+            marks = np.asarray(marks.values, dtype=np.int64)
+            marks = marks[marks & 1 == 0]
+            if not len(marks):
                 continue
-            data = np.frombuffer(unpack.decompress(batch.column("packed")[i].as_py()), np.uint8)
-            s1, s2 = _string_hashes(data, at)
-            row = pa.array(np.full(len(at), i))
+            text = unpack.decompress(batch.column("packed")[i].as_py())
+            starts = (marks >> 19).tolist()
+            ends = ((marks >> 19) + ((marks >> 11) & 255) - 1 + LENGTH).tolist()
+            for k in range(0, len(starts), ROWS):
+                part = slice(k, k + ROWS)
+                pieces += [text[a:b] for a, b in zip(starts[part], ends[part])]
+                marked += marks[part].tolist()
+                rows += [i] * len(starts[part])
+                if len(rows) >= ROWS:
+                    yield made()
+                    pieces, marked, rows = [], [], []
+        if rows:
+            yield made()
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of opened phrases, as far as ``LENGTH`` bytes, with their start and document."""
+    for batch in batches:
+        pieces, marks = batch.column("piece"), np.asarray(batch.column("mark"), dtype=np.int64)
+        begins = np.frombuffer(pieces.buffers()[1], np.int32)[
+            pieces.offset:pieces.offset + len(pieces)].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)
+        offset, side = (marks >> 3) & 255, (marks >> 1) & 3
+        # Left only: strings that reach SIDE bytes or more before the trigger; right alike.
+        low = np.where(side == 2, np.maximum(offset + GRAM + SIDE - LENGTH, 0), 0)
+        high = (marks >> 11) & 255
+        high = np.where(side == 1, np.minimum(offset - SIDE + 1, high), high)
+        counts = np.maximum(high - low, 0)
+        row = np.repeat(np.arange(len(marks)), counts)
+        each = low[row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        for i in range(0, len(row), ROWS):
+            r, k = row[i:i + ROWS], each[i:i + ROWS]
+            strings = data[(begins[r] + k)[:, None] + np.arange(LENGTH)]
+            bounds = np.arange(0, LENGTH * len(r) + 1, LENGTH, dtype=np.int32)
+            suffix = pa.Array.from_buffers(
+                pa.binary(), len(r), [None, pa.py_buffer(bounds), pa.py_buffer(strings)])
+            taken = pa.array(r)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s1), pa.array((s2 >> 32 << 32) | at), batch.column("doc").take(row),
-                 batch.column("text_hash").take(row)],
-                names=["s1", "s2_at", "doc", "text_hash"])
+                [suffix, pa.array((marks[r] >> 19) + k), batch.column("doc").take(taken),
+                 batch.column("text_hash").take(taken)],
+                names=["suffix", "at", "doc", "text_hash"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +305,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = unpack.decompress(packed.as_py())
             marks = np.asarray(marks.values if marks.is_valid else [], dtype=np.int64)
             later = np.asarray(later.values if later.is_valid else [], dtype=np.int64)
-            place = marks[marks & 3 == 0] >> 2
-            found = covered_spans(np.append(place >> 16, later),
-                                  np.append((place >> 8) & 255, np.ones_like(later)))
+            stretches = np.append(marks[marks & 1 == 1] >> 11, later)
+            found = covered_spans(stretches >> 8, stretches & 255)
             rest, at = [], 0
             for a, b in found:
                 rest.append(text[at:a])
@@ -290,38 +321,45 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(parse: DataFrame) -> DataFrame:
-    """Places of repeats, marked 0 if an earlier document has an equal phrase, else with the
-    sides to open: 1 left, 2 right, 3 both.
-
-    All steps are windows within a trigger, so the parse is shuffled once. The windows
-    that look at a whole trigger spill beyond memory; the others only look back.
+    """Phrases to look at, as ``mark``: place, two bits of the sides to open (1 left, 2 right)
+    and one that tells settled phrases.
+
+    Kept are settled phrases, those that seem to repeat from an earlier document, the first
+    of these, and those that agree on a side with another phrase of their trigger. All steps
+    are windows within a trigger, so the parse is shuffled once. Phrases that repeat within
+    a chunk of documents are settled there, so that a common passage sends one row a chunk.
+    The windows that look at a whole trigger spill beyond memory.
     """
     spread = parse.repartition("trigger")
     trigger, phrase = Window.partitionBy("trigger"), Window.partitionBy("trigger", "phrase")
     past = phrase.orderBy("doc").rowsBetween(Window.unboundedPreceding, 0)
     rows = spread.withColumns({
-        "first": F.first("doc").over(past), "nth": F.row_number().over(phrase.orderBy("doc"))})
+        "first": F.first("doc").over(past), "nth": F.row_number().over(phrase.orderBy("doc")),
+        "next": F.lead("doc").over(phrase.orderBy("doc"))})
     rows = rows.withColumns({
         "low": F.min("doc").over(trigger), "high": F.max("doc").over(trigger),
         "one": F.min("phrase").over(trigger), "other": F.max("phrase").over(trigger)})
-    equal, kinds = F.col("doc") > F.col("first"), F.col("one") != F.col("other")
-    rows = rows.where((F.col("low") < F.col("high")) & (equal | kinds))
+    settled = F.col("place").bitwiseAND(F.lit(1))
+    equal = F.col("doc") > F.col("first")
+    repeats = equal | ((F.col("nth") == 1) & F.col("next").isNotNull())
+    rows = rows.where((settled == 1) | ((F.col("low") < F.col("high"))
+                                        & (repeats | (F.col("one") != F.col("other")))))
     sides = F.col("phrase").bitwiseAND(F.lit((1 << 24) - 1))
-    rows = rows.select("trigger", "doc", "text_hash", "place", equal.alias("equal"),
+    rows = rows.select("trigger", "doc", "text_hash", F.shiftright("place", 1).alias("place"),
+                       settled.alias("settled"), equal.alias("equal"), repeats.alias("repeats"),
                        (F.col("nth") == 1).cast("int").alias("kind"),
                        F.shiftright(sides, 12).alias("left"),
-                       sides.bitwiseAND(F.lit(4095)).alias("right"),
-                       (sides == (1 << 24) - 1).alias("many"))
+                       sides.bitwiseAND(F.lit(4095)).alias("right"))
     rows = rows.withColumns({
-        "wild": F.max("many").over(trigger),
         "lefts": F.sum("kind").over(Window.partitionBy("trigger", "left")),
         "rights": F.sum("kind").over(Window.partitionBy("trigger", "right"))})
-    side = (F.when(F.col("wild"), 3)
-            .otherwise(F.when((F.col("left") > 0) & (F.col("lefts") > 1), 1).otherwise(0)
-                       + F.when((F.col("right") > 0) & (F.col("rights") > 1), 2).otherwise(0)))
-    rows = rows.withColumn("side", F.when(F.col("equal"), 0).otherwise(side))
-    return (rows.where("equal or side > 0")
-            .select("doc", "text_hash", (F.shiftleft("place", 2) + F.col("side")).alias("mark")))
+    side = (F.when((F.col("left") > 0) & (F.col("lefts") > 1), 1).otherwise(0)
+            + F.when((F.col("right") > 0) & (F.col("rights") > 1), 2).otherwise(0))
+    # What seems to repeat is opened whole if its bytes turn out to differ.
+    rows = rows.withColumn("side", F.when(F.col("equal"), 3).otherwise(side))
+    mark = F.shiftleft("place", 3) + F.shiftleft("side", 1) + F.col("settled")
+    return (rows.where("settled = 1 or repeats or side > 0")
+            .select("doc", "text_hash", mark.alias("mark")))
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
@@ -332,7 +370,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
     also starts in a document with a smaller id; strings are judged on the input and
     never cross documents. A null text is empty. Rows with a null id stay whole and
     remove nothing; rows that repeat an id don't remove from each other. Other columns
-    are left out, and an empty table gives an empty one.
+    are left out, and an empty table gives an empty one. The rows should come from files or
+    another source that keeps their order when a lost task reads them again.
     """
     rows = docs.select(F.col(id_column).alias("doc"),
                        F.coalesce(text_column, F.lit("")).alias("text"))
@@ -349,13 +388,23 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
     # Both readers of this join read one shuffle of the packed texts.
     marked = packed.join(marks, ["doc", "text_hash"], "left").select(
         "doc", "text_hash", "packed", "marks")
-    suffixes = marked.mapInArrow(
-        _suffixes, f"s1 long, s2_at long, doc {kind}, text_hash long").repartition("s1")
-    string = Window.partitionBy("s1", F.shiftright("s2_at", 32)).orderBy("doc").rowsBetween(
-        Window.unboundedPreceding, 0)
-    at = F.col("s2_at").bitwiseAND(F.lit((1 << 32) - 1))
-    later = (suffixes.withColumn("first", F.first("doc").over(string)).where("doc > first")
-             .groupBy("doc", "text_hash").agg(F.collect_list(at).alias("later")))
+    # Phrases meet by their bytes, and only their first document's are opened.
+    pieces = marked.where("marks is not null").mapInArrow(
+        _dictionary, f"piece binary, mark long, doc {kind}, text_hash long").repartition("piece")
+    past = (Window.partitionBy("piece").orderBy("doc")
+            .rowsBetween(Window.unboundedPreceding, 0))
+    pieces = pieces.withColumn("first", F.first("doc").over(past))
+    again = pieces.where("doc > first").select(
+        "doc", "text_hash", F.shiftright("mark", 11).alias("stretch"))
+    opened = pieces.where("doc = first and mark % 8 > 0").select("piece", "mark", "doc", "text_hash")
+    suffixes = opened.mapInArrow(
+        _suffixes, f"suffix binary, at long, doc {kind}, text_hash long").repartitionByRange("suffix")
+    sorted_ = (Window.partitionBy("suffix").orderBy("doc")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    later = (suffixes.withColumn("first", F.first("doc").over(sorted_)).where("doc > first")
+             .select("doc", "text_hash", (F.shiftleft("at", 8) + 1).alias("stretch")))
+    later = (again.union(later).groupBy("doc", "text_hash")
+             .agg(F.collect_list("stretch").alias("later")))
     schema = f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     done = marked.join(later, ["doc", "text_hash"], "left").select(
         "doc", "packed", "marks", "later").mapInArrow(_remove, schema)

@@ -115,3 +115,46 @@ def test_equal_strings_share_trigger_and_side():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_triggers_are_the_first_trigger_value_or_the_first_least_hash():
+    pick = random.Random(5)
+    for data in (text(pick, 3000), text(pick, 900, "ab"), "x" * 200, "abc" * 60):
+        data = np.frombuffer(data.encode(), np.uint8)
+        grams = sub.Rolling(data).fixed(sub.GRAM)
+        found = sub.triggers_of(grams)
+        assert len(found) == len(data) - N + 1
+        for i, at in enumerate(found.tolist()):
+            inside = [int(h) for h in grams[i:i + sub.WIDTH]]
+            values = [k for k, h in enumerate(inside) if h % sub.PERIOD == 0]
+            low = [h % (1 << 43) for h in inside]
+            assert at - i == (values[0] if values else low.index(min(low)))
+
+
+def test_colliding_hashes_delete_nothing(monkeypatch):
+    """Phrases that only seem equal are not settled."""
+    monkeypatch.setattr(sub.Rolling, "at", lambda self, start, stop: np.zeros(len(start), np.uint64))
+    pick = random.Random(7)
+    shared = text(pick, 300).encode()
+    parts = [shared, text(pick, 300).encode(), shared, shared[:150] + text(pick, 200).encode()]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    bounds = np.cumsum([0, *map(len, parts)])
+    found = sub.phrases_of(data, bounds)
+    settled = sub.settled_here(data, found, found["doc"])
+    assert settled.any()
+    for k in np.flatnonzero(settled).tolist():
+        a = int(found["begin"][k])
+        piece = bytes(data[a:a + int(found["starts"][k]) - 1 + N])
+        assert any(piece in p for p in parts[:int(found["doc"][k])])
+
+
+def test_repeats_across_many_batches(spark):
+    pick = random.Random(9)
+    passages = [text(pick, 120) for _ in range(6)]
+    docs = [(i, text(pick, 40) + pick.choice(passages) + text(pick, 30)) for i in range(300)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run(spark, docs) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
