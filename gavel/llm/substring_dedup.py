@@ -385,7 +385,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
                    .agg(F.collect_list("mark").alias("marks")))
     # The parse's shuffle is gone by now.
     packed = rows.mapInArrow(_pack, f"doc {kind}, packed binary, text_hash long")
-    # Both readers of this join read one shuffle of the packed texts.
     marked = packed.join(marks, ["doc", "text_hash"], "left").select(
         "doc", "text_hash", "packed", "marks")
     # Phrases meet by their bytes, and only their first document's are opened.
@@ -393,18 +392,23 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id",
         _dictionary, f"piece binary, mark long, doc {kind}, text_hash long").repartition("piece")
     past = (Window.partitionBy("piece").orderBy("doc")
             .rowsBetween(Window.unboundedPreceding, 0))
-    pieces = pieces.withColumn("first", F.first("doc").over(past))
-    again = pieces.where("doc > first").select(
+    pieces = pieces.withColumn("first", F.first("doc").over(past)).select(
+        "doc", "text_hash", "mark", (F.col("doc") > F.col("first")).alias("again"),
+        F.when((F.col("doc") == F.col("first")) & (F.col("mark") % 8 > 0), F.col("piece"))
+        .alias("piece"))
+    # Stored, so that the shuffles of whole texts and phrases are gone before suffixes come.
+    pieces = stored(pieces.where("again or piece is not null"))
+    again = pieces.where("again").select(
         "doc", "text_hash", F.shiftright("mark", 11).alias("stretch"))
-    opened = pieces.where("doc = first and mark % 8 > 0").select("piece", "mark", "doc", "text_hash")
+    opened = pieces.where("piece is not null").select("piece", "mark", "doc", "text_hash")
     suffixes = opened.mapInArrow(
         _suffixes, f"suffix binary, at long, doc {kind}, text_hash long").repartitionByRange("suffix")
-    sorted_ = (Window.partitionBy("suffix").orderBy("doc")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    later = (suffixes.withColumn("first", F.first("doc").over(sorted_)).where("doc > first")
+    in_order = (Window.partitionBy("suffix").orderBy("doc")
+                .rowsBetween(Window.unboundedPreceding, 0))
+    later = (suffixes.withColumn("first", F.first("doc").over(in_order)).where("doc > first")
              .select("doc", "text_hash", (F.shiftleft("at", 8) + 1).alias("stretch")))
-    later = (again.union(later).groupBy("doc", "text_hash")
-             .agg(F.collect_list("stretch").alias("later")))
+    later = stored(again.union(later).groupBy("doc", "text_hash")
+                   .agg(F.collect_list("stretch").alias("later")))
     schema = f"doc_id {kind}, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     done = marked.join(later, ["doc", "text_hash"], "left").select(
         "doc", "packed", "marks", "later").mapInArrow(_remove, schema)
