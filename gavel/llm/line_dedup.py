@@ -49,11 +49,11 @@ def _halves(line: Column, n: Column) -> Column:
         F.call_function("xxhash64", F.lit("tail"), F.call_function("substring_index", line, F.lit(" "), -c)))))
 
 
-def _near_firsts(docs: DataFrame, seen: DataFrame, distinct: DataFrame, key: str,
-                 text: str) -> DataFrame:
+def _near_firsts(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
     """Per line with a match within one token: the earliest place of any of its matches."""
-    # Both readers of a spread table share its shuffle.
-    halves = (seen.where("keys is not null").select(*ID, F.explode("keys").alias("half"))
+    # Each distinct line sends its halves once, however often it occurs. Both readers of a
+    # spread table share its shuffle.
+    halves = (distinct.where("keys is not null").select(*ID, F.explode("keys").alias("half"))
               .repartition("half"))
     shared = (halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
               .where("a <> b").select("half"))
@@ -129,8 +129,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     seen = stored(lines.select("doc", "text_hash", "no", *_identity(F.col("line")),
                                F.when(n >= min_tokens, _halves(F.col("line"), n)).alias("keys")))
     distinct = stored(seen.groupBy(*ID).agg(F.min(place).alias("first"),
-                                            F.count(F.lit(1)).alias("times")))
-    near = _near_firsts(docs, seen, distinct, id_column, text_column)
+                                            F.count(F.lit(1)).alias("times"),
+                                            F.first("keys").alias("keys")))
+    near = _near_firsts(docs, distinct, id_column, text_column)
     decided = (distinct.join(near, ID, "left")
                .select(*ID, F.coalesce(F.least("first", "near"), "first").alias("earliest"),
                        ((F.col("times") > 1) | F.col("near").isNotNull()).alias("matched"))
