@@ -25,6 +25,7 @@ from gavel.sources import versions
 from gavel.sources.sinks import json_documents
 from gavel.sources.tables import Tables, append_rows, scan_table, scan_tables, write_tables
 from gavel.streaming import bids as live_bids
+from gavel.streaming import registrations as live_registrations
 from gavel.streaming import rooms as live_rooms
 from gavel.streaming import throttle as live_throttle
 from gavel.streaming.runtime import read_stream, run_batches, run_to_folder, run_to_table, run_updates
@@ -508,6 +509,17 @@ def stored_transactions(spark, sf_dir):
     return _iso(_settled_version(spark, sf_dir).read(spark, "transactions"), "created_at")
 
 
+@query
+def stored_due_ticks(spark, sf_dir):
+    """Closed at the second of two ticks what the first had left."""
+    path = f"{shared_dir(spark)}/ticks-{uuid.uuid4().hex}"
+    versions.create(_replayed_market(spark, sf_dir), path)
+    half_day = F.expr("interval 12 hours")
+    stored.settle_due(spark, path, clock.as_of_column(AS_OF) - half_day)
+    return _iso(stored.settle_due(spark, path, AS_OF).read(spark, "auctions"), "end_time").select(
+        "id", "current_price", "end_time", "status", "winner_id")
+
+
 @query
 def stored_erasure(spark, sf_dir):
     path = _settled_version(spark, sf_dir).path
@@ -744,6 +756,30 @@ def stream_audience(spark, sf_dir):
     return run_batches(reached, "audience", live_rooms.audience).drop("batch_id")
 
 
+def live_registrations_folder(spark, sf_dir) -> str:
+    """Where the registration stream keeps the outcome of every form and the new users."""
+    def build() -> str:
+        home = f"{shared_dir(spark)}/registrations-{uuid.uuid4().hex}"
+        live_registrations.run_registrations(
+            source.registration_feed(spark, sf_dir, source.stream_customers(spark, sf_dir)),
+            source.users(spark, sf_dir), home, AS_OF)
+        return home
+
+    return _once(spark, "registrations", sf_dir, build)
+
+
+@query
+def stream_registrations(spark, sf_dir):
+    home = live_registrations_folder(spark, sf_dir)
+    return _iso(live_registrations.registered(spark, home), "created_at")
+
+
+@query
+def stream_registration_outcomes(spark, sf_dir):
+    home = live_registrations_folder(spark, sf_dir)
+    return live_registrations.outcomes(spark, home).select("feed_id", "outcome", "first_error")
+
+
 @query
 def stream_closed_ticks(spark, sf_dir):
     return live_bids.closed_ticks(live_bids.closings(live_updates(spark, sf_dir)))

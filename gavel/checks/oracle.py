@@ -767,7 +767,16 @@ def oracle_sql() -> dict[str, str]:
         FROM live_closed l LEFT JOIN users u ON u.id = l.winner_id""")
     q["stored_auctions"] = q["settle_auctions"]
     q["stored_transactions"] = q["settle_transactions"]
+    q["stored_due_ticks"] = q["settle_auctions"]
     q["stored_erasure"] = q["erase_cascade"]
+    q["stream_registrations"] = q["ingest_users"]
+    q["stream_registration_outcomes"] = _sql([BASE, FEEDS], """SELECT feed_id,
+        CASE WHEN errors <> '' THEN 'INVALID'
+             WHEN EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = r.email) OR feed_id >
+                  min(feed_id) FILTER (WHERE errors = '') OVER (PARTITION BY email) THEN 'TAKEN'
+             ELSE 'REGISTERED' END AS outcome,
+        CASE WHEN errors <> '' THEN split_part(errors, ' | ', 1) END AS first_error
+        FROM registration_errors r""")
     q["stream_throttle"] = q["replay_login_throttle_3d"]
     q["stream_sessions"] = _sql([BASE, SESSIONS], f"""SELECT {SESSION_COLUMNS} FROM sessions
         WHERE epoch_ms(session_end) + {SIX_HOURS}

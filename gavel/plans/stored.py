@@ -46,12 +46,14 @@ def settle_due(spark: SparkSession, path: str, as_of: Column | str,
                file_rows: int = FILE_ROWS) -> Version:
     """Close what is due at ``as_of`` and add the invoices, in one version.
 
-    Auctions are laid out by status and end, so few files hold due ones; bids and items are
-    cut to these auctions first. Nothing due makes no version.
+    Only files of open auctions whose hour has come are opened; bids and items are cut to the
+    due auctions first. Nothing due makes no version.
     """
     base = latest(spark, path)
     now = as_of_column(as_of)
-    hit = base.files_where(spark, "auctions", is_due(F.col("status"), F.col("end_time"), now))
+    at_ms = spark.range(1).select(F.unix_millis(now)).first()[0]
+    hit = base.files_where(spark, "auctions", is_due(F.col("status"), F.col("end_time"), now),
+                           base.files_ending_by(at_ms))
     if not hit:
         return base
     some = base.read(spark, "auctions", hit)

@@ -206,11 +206,18 @@ def listing_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("endTime"))
 
 
-def registration_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer table as a stream."""
+    return read_stream(spark, f"{sf_dir}/customer.parquet*", SCHEMAS["customer"])
+
+
+def registration_feed(spark: SparkSession, sf_dir: str,
+                      customers: DataFrame | None = None) -> DataFrame:
     """One registration form per customer; some addresses are taken or repeated."""
     key = F.col("c_custkey")
     text = key.cast("string")
-    return _read(spark, sf_dir, "customer").select(
+    customers = _read(spark, sf_dir, "customer") if customers is None else customers
+    return customers.select(
         (key + 1).alias("feed_id"),
         F.when(key % 11 == 0, " ").when(key % 11 == 1, F.repeat(F.lit("N"), 101))
         .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("firstName"),

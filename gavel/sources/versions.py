@@ -5,11 +5,16 @@ for each table the files that count from now on. Readers follow the newest manif
 see all of a change or nothing, and a job that is lost between two tables leaves the version
 before it in force; what it wrote is named nowhere. The manifest holds one line per file, so
 its size follows the number of files and not of rows.
+
+Open auctions lie in folders by the hour in which they end, all others in one folder. The
+manifest names folder and file, so what is due is found in the names, without opening files
+of auctions that end later or have been closed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
@@ -17,6 +22,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.functions.clock import HOUR
+from gavel.functions.labels import is_open
 from gavel.schemas import TABLES, empty
 from gavel.sources.tables import LAYOUT, Tables, _typed, _writer
 
@@ -27,6 +34,13 @@ FILE_ROWS = 2_000_000
 LITERAL_KEYS = 1_000
 
 
+#: How long the span of end times is that open auctions of one folder share. It may change
+#: between writes, since folders are named by its start.
+SHELF_MS = HOUR
+_OPEN_SHELF = re.compile(r"/shelf=open(-?\d+)/")
+_SHELF = "/shelf="
+
+
 class VersionTaken(RuntimeError):
     """Somebody else has committed since the version that a change started from."""
 
@@ -49,11 +63,19 @@ class Version:
     def tables(self, spark: SparkSession) -> Tables:
         return Tables(**{name: self.read(spark, name) for name in TABLES})
 
-    def files_where(self, spark: SparkSession, table: str, condition: Column) -> list[str]:
-        """Files with a row that meets ``condition``."""
-        if not self.files[table]:
-            return []
-        return _files_of(self.read(spark, table).where(condition))
+    def files_where(self, spark: SparkSession, table: str, condition: Column,
+                    among: Iterable[str] | None = None) -> list[str]:
+        """Files, of all or ``among`` some, with a row that meets ``condition``."""
+        among = self.files[table] if among is None else tuple(among)
+        return _files_of(self.read(spark, table, among).where(condition)) if among else []
+
+    def files_ending_by(self, at_ms: int) -> list[str]:
+        """Files that may hold an open auction which has ended by then, by their names."""
+        def may_be_due(file: str) -> bool:
+            shelf = _OPEN_SHELF.search(file)
+            return int(shelf[1]) <= at_ms if shelf else _SHELF not in file
+
+        return [f for f in self.files["auctions"] if may_be_due(f)]
 
     def files_with(self, spark: SparkSession, table: str,
                    keys: Mapping[str, DataFrame]) -> list[str]:
@@ -77,7 +99,7 @@ class Version:
 
 
 def _files_of(rows: DataFrame) -> list[str]:
-    found = rows.select(F.regexp_extract("_metadata.file_path", "data/[^/]+/[^/]+/[^/]+$", 0)
+    found = rows.select(F.regexp_extract("_metadata.file_path", "data/[^/]+/[^/]+/(shelf=[^/]+/)?[^/]+$", 0)
                         .alias("file")).distinct()
     return sorted(r["file"] for r in found.collect())
 
@@ -92,10 +114,16 @@ def write_files(df: DataFrame, path: str, table: str, file_rows: int = FILE_ROWS
     """Write rows in the table's layout to files of their own; only files with rows are named."""
     spark = df.sparkSession
     folder = f"data/{table}/{uuid.uuid4().hex}"
-    laid_out = _typed(df, table).repartitionByRange(*LAYOUT[table]).sortWithinPartitions(
-        *LAYOUT[table])
-    _writer(laid_out, table, "parquet").option("maxRecordsPerFile", file_rows).save(
-        f"{path}/{folder}")
+    rows, shelf = _typed(df, table).repartitionByRange(*LAYOUT[table]), []
+    if table == "auctions":
+        end = F.unix_millis("end_time")
+        start = (end - F.pmod(end, F.lit(SHELF_MS))).cast("string")
+        shelf = ["shelf"]
+        rows = rows.withColumn("shelf", F.when(
+            is_open(F.col("status")), F.concat(F.lit("open"), start)).otherwise("rest"))
+    laid_out = rows.sortWithinPartitions(*shelf, *LAYOUT[table])
+    (_writer(laid_out, table, "parquet").partitionBy(*shelf).option("maxRecordsPerFile", file_rows)
+     .save(f"{path}/{folder}"))
     return _files_of(spark.read.schema(TABLES[table]).parquet(f"{path}/{folder}"))
 
 

@@ -112,3 +112,50 @@ def test_many_keys_are_joined(spark, market, tmp_path, monkeypatch):
 def test_no_market_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         versions.latest(spark, str(tmp_path))
+
+
+def test_a_tick_opens_only_what_may_be_due(spark, market, tmp_path):
+    """Ticks through the whole schedule: later and closed auctions are never opened."""
+    spread = market.auctions.withColumn("end_time", F.timestamp_millis(
+        F.unix_millis("start_time") + F.col("id") * 20 * MINUTE))
+    plain = Tables(market.users, market.items, spread, market.bids, market.transactions)
+    path, one = f"{tmp_path}/ticks", f"{tmp_path}/one"
+    versions.create(plain, path, FILE_ROWS)
+    versions.create(plain, one, FILE_ROWS)
+    for hours in (-1, 0, 7, 7.5, 30, 80):
+        before = versions.latest(spark, path)
+        now = at(hours * HOUR)
+        may_be_due = before.files_ending_by(int(now.timestamp() * 1000))
+        left = before.read(spark, "auctions", set(before.files["auctions"]) - set(may_be_due))
+        assert not left.where((F.col("status") == "open") & (F.col("end_time") <= F.lit(now))).count()
+        if may_be_due:
+            shelves = before.read(spark, "auctions", may_be_due)
+            assert not shelves.where("status <> 'open'").count()
+            assert not shelves.where(F.unix_millis("end_time") > int(now.timestamp() * 1000) + HOUR).count()
+        after = stored.settle_due(spark, path, now, FILE_ROWS)
+        assert (after.number == before.number) == (hours <= 0)
+        assert set(before.files["auctions"]) - set(may_be_due) <= set(after.files["auctions"])
+    at_once = stored.settle_due(spark, one, at(80 * HOUR), FILE_ROWS)
+    assert rows_of(after.tables(spark)) == rows_of(at_once.tables(spark))
+    assert after.read(spark, "auctions").where("status = 'closed'").count() == 200
+
+
+def test_an_extended_auction_moves_to_its_new_hour(spark, market, tmp_path):
+    path = str(tmp_path)
+    versions.create(market, path, FILE_ROWS)
+    end = 5 * HOUR
+    late = spark.createDataFrame([(1, 7, 30, 500.0, at(end - 1_000))], schemas.BID_ATTEMPTS)
+    base = stored.apply_attempts(spark, path, late, window_ms=HOUR, extension_ms=2 * HOUR,
+                                 file_rows=FILE_ROWS)
+    due = base.files_ending_by(int(at(end + MINUTE).timestamp() * 1000))
+    assert 7 not in {r.id for r in base.read(spark, "auctions", due).collect()}
+    closed = stored.settle_due(spark, path, at(end + MINUTE), FILE_ROWS).read(spark, "auctions")
+    assert closed.where("status = 'closed'").count() == 49
+    assert stored.settle_due(spark, path, at(8 * HOUR), FILE_ROWS).read(spark, "transactions").count() == 1
+
+
+def test_files_without_a_folder_by_end_are_always_opened(spark):
+    old = versions.Version("", 1, {"auctions": (
+        "data/auctions/a/part-0", "data/auctions/b/shelf=open3600000/part-0",
+        "data/auctions/b/shelf=open-3600000/part-0", "data/auctions/b/shelf=rest/part-0")})
+    assert old.files_ending_by(0) == ["data/auctions/a/part-0", "data/auctions/b/shelf=open-3600000/part-0"]
