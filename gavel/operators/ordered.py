@@ -27,6 +27,9 @@ from gavel.session import shared_dir
 HOT_ROWS_CONF = "spark.gavel.hotRows"
 DEFAULT_HOT_ROWS = 2_000_000
 PIECE = "_piece"
+#: Buckets of the first count of keys, a power of two: well above rows / hot_rows, so that
+#: keys which are not hot seldom make a hot bucket together.
+BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,14 +61,25 @@ def _hot_rows(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and their ``_rows``, None if there are none.
 
-    One counting job decides. There are at most rows / hot_rows such keys, so the list
-    is held by the driver, may be broadcast, and is the same for every reader. A null
-    key is a key like any other.
+    Rows are first counted by buckets of a hash, so a task keeps and sends at most
+    ``BUCKETS`` numbers, however many keys there are and however wide. A hot key makes its
+    bucket hot, so none is missed; only keys of hot buckets are counted themselves, which
+    leaves out those that merely share a bucket. Usually no bucket is hot and that one job
+    decides. There are at most rows / hot_rows hot buckets and keys, so their lists are held
+    by the driver, may be broadcast, and are the same for every reader. A null key is a key
+    like any other.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(
-        F.col("_rows") > _hot_rows(df))
+    spark, limit = df.sparkSession, _hot_rows(df)
+    rows, buckets = F.count(F.lit(1)).alias("_rows"), df.select(*keys).withColumn(
+        "_bucket", F.xxhash64(*keys).bitwiseAND(F.lit(BUCKETS - 1)))
+    full = [(r["_bucket"],) for r in buckets.groupBy("_bucket").agg(rows).where(
+        F.col("_rows") > limit).collect()]
+    if not full:
+        return None
+    some = buckets.join(F.broadcast(spark.createDataFrame(full, "_bucket long")), "_bucket")
+    hot = some.groupBy(*keys).agg(rows).where(F.col("_rows") > limit)
     found = hot.collect()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    return spark.createDataFrame(found, hot.schema) if found else None
 
 
 def _same(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -23,7 +23,10 @@ def parse_subscribe(messages: DataFrame) -> DataFrame:
     Anything that is not JSON, not a subscription, or names neither ``all`` nor a
     whole number is dropped.
     """
-    read = computed_once(messages.select("id", "client_id", "ts", "raw"),
+    # Without an escape, the type stands in the message as it is; all else needs no parser.
+    raw = F.col("raw")
+    may_subscribe = raw.contains('"subscribe"') | raw.contains("\\")
+    read = computed_once(messages.select("id", "client_id", "ts", "raw").where(may_subscribe),
                          message=F.try_parse_json("raw"))
     read = computed_once(
         read, type=F.try_variant_get("message", "$.type", "string"),

@@ -1,7 +1,11 @@
+import random
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from gavel.operators import ordered
 from gavel.operators.ingest import with_next_ids
 from gavel.operators.ordered import (HOT_ROWS_CONF, PIECE, attach, history, lookup, packed, place,
                                      position, running)
@@ -118,3 +122,27 @@ def test_next_ids_are_dense_in_key_order(spark, hot):
     df = spark.createDataFrame([(k,) for k in keys], "feed_id long")
     got = {r.feed_id: r.id for r in with_next_ids(df, "feed_id", 40).collect()}
     assert got == {k: 41 + i for i, k in enumerate(sorted(keys))}
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 8, 1 << 20])
+def test_hot_keys_are_those_of_a_full_count(spark, monkeypatch, buckets):
+    """Whatever shares a bucket: no hot key is missed and no other named, nulls included."""
+    monkeypatch.setattr(ordered, "BUCKETS", buckets)
+    pick = random.Random(buckets)
+    sizes = {(k, f"n{k % 3}" if k % 4 else None): pick.choice([1, 7, 15, 16, 17, 40]) for k in range(30)}
+    sizes[(None, None)], sizes[(None, "n0")] = 50, 16
+    rows = spark.createDataFrame([key for key, n in sizes.items() for _ in range(n)], "k long, n string")
+    spark.conf.set(HOT_ROWS_CONF, "16")
+    try:
+        found = ordered.hot_keys(rows, ["k", "n"])
+        assert {(r.k, r.n): r["_rows"] for r in found.collect()} == {
+            key: n for key, n in sizes.items() if n > 16}
+        few = rows.where("k < 30").dropDuplicates(["k", "n"])
+        if buckets > 8:
+            assert ordered.hot_keys(few, ["k", "n"]) is None
+        assert ordered.hot_keys(few.where("false"), ["k"]) is None
+        # Hot together in one bucket, but none by itself.
+        if buckets == 1:
+            assert ordered.hot_keys(few, ["k", "n"]) is None
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)

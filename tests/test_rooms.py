@@ -24,6 +24,9 @@ def test_parse_subscribe_keeps_what_the_socket_would_join(spark):
         ('{"type": "subscribe", "auctionId": 1.5}', None),
         ('{"type": "subscribe", "auctionId": "ALL"}', None),
         ('{"type": "subscribe"}', None),
+        (r'{"type": "\u0073ubscribe", "auctionId": 5}', "5"),
+        (r'{"t\u0079pe": "subscribe", "auctionId": 6}', "6"),
+        ('{"type": "subscribed", "auctionId": 5}', None),
         ('{"type": "ping", "auctionId": 12}', None),
         ("not json", None), ("", None), (None, None),
     ]
