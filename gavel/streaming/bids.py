@@ -1,14 +1,17 @@
-"""Live bid acceptance and closing as one stateful stream per auction.
-
-The state of an auction is its price, end, leader and listing, and apart from that its
-highest bids, of which a bounded number is kept. A micro-batch brings the new attempts
-of an auction together, which are judged in (time, id) order; the size of a micro-batch
-is set at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) and bounds what one
-auction can bring at once. What its watchers are told follows from the state alone, so no
-micro-batch reads an earlier one again. An event-time timer at the end closes the auction
-once the watermark has passed it; all that then stays is a tombstone of one number, by
-which late bids are still CLOSED. (Spark's own state TTL goes by the clock of the cluster
-and isn't to be had with event-time timers.)
+"""Live bid acceptance and closing as a stateful stream.
+
+The state of an auction is its price, end, leader and listing, and its highest bids, of
+which a bounded number is kept. The auctions are dealt by a hash of their id to a fixed
+number of buckets, and a bucket is what the stream is keyed by: a key costs several calls
+between Python and the state store, and an auction of its own would pay them all. A
+micro-batch brings the new attempts of a bucket together, which are judged per auction in
+(time, id) order; the size of a micro-batch is set at the source (``maxFilesPerTrigger``,
+``maxBytesPerTrigger``) and bounds what one auction can bring at once. What its watchers
+are told follows from the state alone, so no micro-batch reads an earlier one again. An
+event-time timer at the first end of a bucket closes the auctions whose end the watermark
+has passed; all that then stays of one is its number, by which late bids are still CLOSED.
+(Spark's own state TTL goes by the clock of the cluster and isn't to be had with
+event-time timers.)
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 from dataclasses import replace
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,9 @@ LATENESS = "10 minutes"
 #: Highest bids that an auction's state keeps.
 HISTORY_BIDS = 50
 
+#: Keys of a stateful stream. A checkpoint holds for one number only.
+BUCKETS = 4096
+
 _LISTING = ["item_id", "seller_id", "starting_price", "start_ms"]
 # kind 'bid': one row per attempt. kind 'closed': one row per auction that ended. kind
 # 'state': one row per auction and micro-batch that brought it bids, with the highest of
@@ -41,11 +48,16 @@ UPDATE_SCHEMA = """kind string, auction_id long, id long, bidder_id long, amount
     extended boolean, bid_count long, item_id long, seller_id long, starting_price long,
     start_time timestamp,
     history array<struct<id:bigint,amount:bigint,created_at:timestamp,bidder_id:bigint>>"""
-_BID = "id long, amount long, t long, bidder_id long"
 _BID_FIELDS = ["id", "amount", "t", "bidder_id"]
 _BIDS = "array<struct<id:bigint,amount:bigint,t:bigint,bidder_id:bigint>>"
-_STATE = """price long, end_ms long, leader long, bid_count long, last_t long, last_id long,
-    item_id long, seller_id long, starting_price long, start_ms long"""
+_AUCTION = """auction_id:bigint,price:bigint,end_ms:bigint,leader:bigint,bid_count:bigint,
+    last_t:bigint,last_id:bigint,item_id:bigint,seller_id:bigint,starting_price:bigint,
+    start_ms:bigint"""
+
+
+def bucket(*key: str) -> Column:
+    """The bucket of a key; the same for every stream, restart and table."""
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
 
 
 def _timestamp(ms: int) -> dt.datetime:
@@ -59,7 +71,7 @@ def _update(kind: str, auction_id: int, **values) -> Row:
 
 
 class AuctionProcessor(StatefulProcessor):
-    """Judges attempts per auction and closes the auction at its end.
+    """Judges attempts per auction and closes the auctions of a bucket at their ends.
 
     An attempt at or before the last one judged is OUT_OF_ORDER: taking it would
     change results already published.
@@ -70,30 +82,94 @@ class AuctionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("auction", _STATE)
-        self.history = handle.getListState("history", _BID)
-        self.ended = handle.getValueState("ended", "end_ms long")
+        self.open = handle.getValueState("open", f"timer long, auctions array<struct<{_AUCTION}>>")
+        self.history = handle.getValueState("history", f"auctions array<struct<auction_id:bigint,bids:{_BIDS}>>")
+        self.ended = handle.getValueState("ended", "auction_ids array<long>")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        start = initialState
-        if not start.is_open:
-            self.ended.update((start.end_ms,))
-            return
-        self.state.update((start.price, start.end_ms, start.leader, start.bid_count, -1, -1,
-                           *[start[c] for c in _LISTING]))
-        if start.history:
-            # Accepted bids rise, so the last ones are the highest.
-            self.history.put([tuple(b[c] for c in _BID_FIELDS) for b in reversed(start.history)])
-        self.handle.registerTimer(start.end_ms)
+        auctions, histories, ended = {}, {}, []
+        for start in initialState.auctions:
+            if not start["is_open"]:
+                ended.append(start["auction_id"])
+                continue
+            auctions[start["auction_id"]] = (start["price"], start["end_ms"], start["leader"], start["bid_count"],
+                                             -1, -1, *[start[c] for c in _LISTING])
+            if start["history"]:
+                # Accepted bids rise, so the last ones are the highest.
+                histories[start["auction_id"]] = [
+                    tuple(b[c] for c in _BID_FIELDS) for b in reversed(start["history"])]
+        if ended:
+            self.ended.update((ended,))
+        if histories:
+            self._keep_histories(histories)
+        self._keep(auctions, None)
+
+    def _opened(self) -> tuple[dict, int | None]:
+        """The open auctions of the bucket and its timer."""
+        timer, auctions = self.open.get() or (None, [])
+        return {auction_id: tuple(state) for auction_id, *state in auctions}, timer
+
+    def _histories(self) -> dict[int, list[tuple]]:
+        """The highest bids of the open auctions that have any."""
+        return {auction_id: [tuple(b) for b in bids] for auction_id, bids in (self.history.get() or ([],))[0]}
+
+    def _keep_histories(self, histories: dict[int, list[tuple]]) -> None:
+        if histories:
+            self.history.update((list(histories.items()),))
+        else:
+            self.history.clear()
+
+    def _ended(self) -> list[int]:
+        return list((self.ended.get() or ([],))[0])
+
+    def _keep(self, auctions: dict, timer: int | None, expired: bool = False) -> None:
+        """Store the open auctions, with a timer at the first end."""
+        first = min((state[1] for state in auctions.values()), default=None)
+        if first != timer:
+            # An expired timer is gone without being deleted.
+            if timer is not None and not expired:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if auctions:
+            self.open.update((first, [(auction_id, *state) for auction_id, state in auctions.items()]))
+        elif timer is not None:
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, timer, taken, moved = self.state.get(), None, [], False
-        closed = state is None and self.ended.exists()
+        auctions, timer = self._opened()
+        histories = ended = None
+        changed = False
+        # A listing counts from its own time on; the auction's first row is its listing.
+        in_order = sorted(rows, key=lambda r: (r.auction_id, r.t, not r.listed, r.id))
+        for auction_id, mine in groupby(in_order, key=lambda r: r.auction_id):
+            state = auctions.get(auction_id)
+            if state is None and ended is None:
+                ended = set(self._ended())
+            taken = []
+            state, moved = yield from self._judge(mine, state, state is None and auction_id in ended, taken)
+            if state is None:
+                continue
+            auctions[auction_id], changed = state, True
+            if taken:
+                if histories is None:
+                    histories = self._histories()
+                kept = histories[auction_id] = [*histories.get(auction_id, []), *taken][-HISTORY_BIDS:]
+                price, end, leader, bids, _, _, *listing = state
+                yield self._seen("state", auction_id, price, end, leader, bids, listing, extended=moved, history=[
+                    (i, amount, _timestamp(t), bidder) for i, amount, t, bidder in reversed(kept)])
+        if histories is not None:
+            self._keep_histories(histories)
+        if changed:
+            self._keep(auctions, timer)
+
+    def _judge(self, rows: Iterator[Row], state, closed: bool, taken: list[tuple]):
+        """Outcomes of one auction's rows; adds the accepted bids to ``taken`` and returns the
+        state after them and whether the end moved."""
+        moved = False
         if state is not None:
             price, end, leader, bids, last_t, last_id, *listing = state
-            timer = end
-        # A listing counts from its own time on; the auction's first row is its listing.
-        for row in sorted(rows, key=lambda r: (r.t, not r.listed, r.id)):
+        for row in rows:
             if row.listed:
                 if state is None and not closed:
                     price, end, leader, bids, last_t, last_id = None, row.end_ms, None, 0, -1, -1
@@ -122,18 +198,9 @@ class AuctionProcessor(StatefulProcessor):
                 taken.append((row.id, row.amount, row.t, row.bidder_id))
             last_t, last_id = max((last_t, last_id), (row.t, row.id))
             yield self._judged(row, outcome, bids, end if outcome == "ACCEPTED" else None, extended)
-        if state is None:
-            return
-        self.state.update((price, end, leader, bids, last_t, last_id, *listing))
-        if taken:
-            kept = [*[tuple(b) for b in self.history.get()], *taken][-HISTORY_BIDS:]
-            self.history.put(kept)
-            yield self._seen("state", key[0], price, end, leader, bids, listing, extended=moved, history=[
-                (i, amount, _timestamp(t), bidder) for i, amount, t, bidder in reversed(kept)])
-        if end != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(end)
+        if state is not None:
+            state = (price, end, leader, bids, last_t, last_id, *listing)
+        return state, moved
 
     def _judged(self, row: Row, outcome: str, bids: int, end: int | None = None,
                 extended: bool = False) -> Row:
@@ -151,12 +218,18 @@ class AuctionProcessor(StatefulProcessor):
                        start_time=None if start_ms is None else _timestamp(start_ms), **values)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        price, end, leader, bids, _, _, *listing = self.state.get()
-        self.state.clear()
-        self.history.clear()
-        self.ended.update((end,))
-        yield self._seen("closed", key[0], price, end, leader, bids, listing, extended=False,
-                         outcome="SOLD" if bids else "UNSOLD")
+        auctions, timer = self._opened()
+        # All ends whose own timers would have expired by now.
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        due = [auction_id for auction_id, state in auctions.items() if state[1] <= passed]
+        for auction_id in due:
+            price, end, leader, bids, _, _, *listing = auctions.pop(auction_id)
+            yield self._seen("closed", auction_id, price, end, leader, bids, listing, extended=False,
+                             outcome="SOLD" if bids else "UNSOLD")
+        self.ended.update(([*self._ended(), *due],))
+        if self.history.exists():
+            self._keep_histories({a: bids for a, bids in self._histories().items() if a in auctions})
+        self._keep(auctions, timer, expired=True)
 
     def close(self) -> None:
         pass
@@ -212,19 +285,21 @@ def stream_updates(attempts: DataFrame, auctions: DataFrame, items: DataFrame,
         F.lit(0).cast("long").alias("bid_count"))
     nothing = F.lit(None).cast("long")
     rows = attempts.where(refusal.isNull()).select(
-        F.col("auction_id").alias("key"), "auction_id", "id", "bidder_id",
+        bucket("auction_id").alias("key"), "auction_id", "id", "bidder_id",
         F.col("amount").try_cast("long").alias("amount"), "created_at",
         F.lit(False).alias("listed"), nothing.alias("end_ms"),
         *[nothing.alias(c) for c in _LISTING])
     if listings is not None:
         rows = rows.unionByName(listings.where("id is not null and created_at is not null").select(
-            F.col("id").alias("key"), F.col("id").alias("auction_id"), "id",
+            bucket("id").alias("key"), F.col("id").alias("auction_id"), "id",
             nothing.alias("bidder_id"), nothing.alias("amount"), "created_at",
             F.lit(True).alias("listed"), F.unix_millis("end_time").alias("end_ms"),
             _optional(listings, "item_id", "long").alias("item_id"), "seller_id", "starting_price",
             F.unix_millis("created_at").alias("start_ms")))
     rows = rows.withWatermark("created_at", lateness).withColumn("t", F.unix_millis("created_at"))
-    initial = _starting_state(auctions, items, bids).withColumnRenamed("auction_id", "key")
+    start = _starting_state(auctions, items, bids)
+    initial = start.groupBy(bucket("auction_id").alias("key")).agg(
+        F.collect_list(F.struct(*start.columns)).alias("auctions"))
     judged = rows.groupBy("key").transformWithState(
         AuctionProcessor(window_ms, window_ms if extension_ms is None else extension_ms), UPDATE_SCHEMA, "Append", "EventTime",
         initialState=initial.groupBy("key"))

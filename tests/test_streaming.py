@@ -304,6 +304,31 @@ def test_closed_auctions_leave_one_small_row_of_state(spark, tmp_path):
     assert run([(902, 1, 2, 9e3, at(900_001))]) <= full / 2
 
 
+def test_auctions_share_the_keys_of_the_state(spark, tmp_path, monkeypatch):
+    """Keys don't grow with the auctions, and each auction is still closed at its own end."""
+    monkeypatch.setattr(live, "BUCKETS", 3)
+    prepare_state_store(spark)
+    auctions = [(a, a, 10, 10, at(1_000 * a), "cancelled" if a % 10 == 0 else "open", 0) for a in range(1, 61)]
+    adf = spark.createDataFrame(auctions, AUCTION)
+    items = spark.createDataFrame([(a, 999) for a in range(1, 61)], "id long, seller_id long")
+    rows = [(i, 1 + i % 70, 2, float(20 + i), at(1 + i * 400)) for i in range(120)]
+    stream = write_batches(spark, rows, ATTEMPT, f"{tmp_path}/in", "created_at")
+    query = (live.stream_updates(stream, adf, items, W, "0 seconds").writeStream.format("parquet")
+             .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+             .start(f"{tmp_path}/out"))
+    query.awaitTermination()
+    updates = spark.read.schema(live.UPDATE_SCHEMA).parquet(f"{tmp_path}/out")
+    expected, state = sequential(auctions, {a: 999 for a in range(1, 61)}, rows, W)
+    assert {r.id: (r.outcome, r.price_after, None if r.end_after is None else millis(r.end_after), r.extended)
+            for r in live.bid_outcomes(updates).collect()} == expected
+    last = max(millis(r[4]) for r in rows)
+    closed = [(r.auction_id, millis(r.end_time), r.bid_count) for r in live.closings(updates).collect()]
+    assert sorted(closed) == sorted((a, s["end"], s["bids"]) for a, s in state.items()
+                                    if s["open"] and s["end"] < last)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) <= 3 * 5
+
+
 SUBSCRIPTION, SENT = "id long, client_id long, ts timestamp, room string", "id long, auction_id long, ts timestamp"
 
 
