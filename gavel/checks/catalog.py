@@ -666,12 +666,17 @@ def viewer_sessions(spark, sf_dir):
                 "session_start", "session_end")
 
 
+def _live_bids(spark, sf_dir, events: DataFrame) -> DataFrame:
+    return live_bids.stream_updates(
+        source.bid_attempts(spark, sf_dir, events), source.auctions(spark, sf_dir),
+        source.items(spark, sf_dir), SIX_HOURS)
+
+
 def live_folder(spark, sf_dir) -> str:
     """Where the bid stream wrote its updates for all attempts of the event table."""
     def build() -> str:
-        return run_to_folder(live_bids.stream_updates(
-            source.bid_attempts(spark, sf_dir, source.stream_events(spark, sf_dir)),
-            source.auctions(spark, sf_dir), source.items(spark, sf_dir), SIX_HOURS), "bid-updates")
+        return run_to_folder(_live_bids(spark, sf_dir, source.stream_events(spark, sf_dir)),
+                             "bid-updates")
 
     return _once(spark, "updates", sf_dir, build)
 
@@ -749,8 +754,11 @@ def stream_rooms(spark, sf_dir):
 
 @query
 def stream_audience(spark, sf_dir):
-    feed = source.subscribe_feed(spark, sf_dir, source.stream_events(spark, sf_dir))
-    sent = live_bids.accepted_updates(_update_stream(spark, sf_dir)).select(
+    # Bids are judged in the stream that counts clients: its micro-batches bring subscriptions
+    # and updates of the same events, which two sources would cut at different places.
+    events = source.stream_events(spark, sf_dir)
+    feed = source.subscribe_feed(spark, sf_dir, events)
+    sent = live_bids.accepted_updates(_live_bids(spark, sf_dir, events)).select(
         "id", "auction_id", F.col("created_at").alias("ts"))
     reached = live_rooms.stream_audience(rooms.parse_subscribe(feed), sent)
     return run_batches(reached, "audience", live_rooms.audience).drop("batch_id")

@@ -9,13 +9,14 @@ in a micro-batch reach the counters in the same one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gavel.operators.rooms import ALL_ROOM
-from gavel.streaming.bids import LATENESS
+from gavel.streaming.bids import LATENESS, bucket
 
 # kind 0: a step into or out of the room. kind 1: an update sent to it.
 _STEPS = "room string, ts timestamp, kind int, id long, auction_id long, step int"
@@ -40,76 +41,85 @@ def stream_rooms(subscriptions: DataFrame) -> DataFrame:
 
 
 class RoomMoves(StatefulProcessor):
-    """Per client: the steps that its subscriptions make between rooms.
+    """Per client of a bucket: the steps that its subscriptions make between rooms.
 
     A subscription at or before the last one heard of the client changes nothing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("room", "room string, ts timestamp, id long")
+        self.state = handle.getValueState(
+            "rooms", "clients array<struct<client_id:bigint,room:string,t:bigint,id:bigint>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        room, last, changed = None, None, False
-        if self.state.exists():
-            room, ts, id_ = self.state.get()
-            last = (ts.replace(tzinfo=None), id_)
-        for row in sorted(rows, key=lambda r: (r.ts, r.id)):
-            at = (row.ts.replace(tzinfo=None), row.id)
-            if last is not None and at <= last:
-                continue
-            last, changed = at, True
-            if row.room == room:
-                continue
-            yield Row(room=row.room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=1)
-            if room is not None:
-                yield Row(room=room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=-1)
-            room = row.room
+        clients = {client_id: last for client_id, *last in (self.state.get() or ([],))[0]}
+        changed = False
+        in_order = sorted(rows, key=lambda r: (r.client_id, r.t, r.id))
+        for client_id, mine in groupby(in_order, key=lambda r: r.client_id):
+            room, *last = clients.get(client_id, (None, None, None))
+            for row in mine:
+                if last[0] is not None and (row.t, row.id) <= tuple(last):
+                    continue
+                last, changed = [row.t, row.id], True
+                if row.room != room:
+                    yield Row(room=row.room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=1)
+                    if room is not None:
+                        yield Row(room=room, ts=row.ts, kind=0, id=row.id, auction_id=None, step=-1)
+                    room = row.room
+            clients[client_id] = (room, *last)
         if changed:
-            self.state.update((room, *last))
+            self.state.update(([(client_id, *last) for client_id, last in clients.items()],))
 
     def close(self) -> None:
         pass
 
 
 class RoomCounts(StatefulProcessor):
-    """Per room: how many clients each update sent to it reaches.
+    """Per room of a bucket: how many clients each update sent to it reaches.
 
     Of things at the same instant steps come first. A step that comes late counts from
     then on.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("clients", "clients long")
+        self.state = handle.getValueState("clients", "rooms array<struct<room:string,clients:bigint>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = clients = self.state.get()[0] if self.state.exists() else 0
+        before = dict(tuple(r) for r in (self.state.get() or ([],))[0])
+        rooms = dict(before)
         for row in sorted(rows, key=lambda r: (r.ts, r.kind, r.id)):
+            clients = rooms.get(row.room, 0)
             if row.kind:
                 yield Row(id=row.id, auction_id=row.auction_id, room=row.room, clients=clients, ts=row.ts)
             else:
-                clients += row.step
-        if clients != before:
-            self.state.update((clients,))
+                rooms[row.room] = clients + row.step
+        # An empty room needs no state.
+        rooms = {room: clients for room, clients in rooms.items() if clients}
+        if rooms != before:
+            self.state.update((list(rooms.items()),))
 
     def close(self) -> None:
         pass
 
 
-def stream_audience(subscriptions: DataFrame, updates: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def stream_audience(subscriptions: DataFrame, updates: DataFrame) -> DataFrame:
     """(id, auction_id, room, clients, ts): how many clients each update finds in the room of
     its auction and in the room of those who watch everything; see ``audience``.
 
     ``subscriptions`` (id, client_id, ts, room) and ``updates`` (id, auction_id, ts) are
     streams. As each micro-batch is judged with what had come until then, the result is
-    that of the batch operator for feeds that keep their order across micro-batches.
+    that of the batch operator for feeds that keep their order across micro-batches; two
+    sources must therefore be cut at the same instants, or come from one. ``updates`` may be
+    those of the bid stream itself. No row is dropped as late. Clients and rooms are keyed by
+    buckets, as the auctions of the bid stream are.
     """
-    steps = (subscriptions.where("client_id is not null").withWatermark("ts", lateness).groupBy("client_id")
-             .transformWithState(RoomMoves(), _STEPS, "Append", "EventTime", eventTimeColumnName="ts"))
-    sent = updates.withWatermark("ts", lateness).select(
+    steps = (subscriptions.where("client_id is not null").withColumns({
+        "key": bucket("client_id"), "t": F.unix_micros("ts")}).groupBy("key")
+             .transformWithState(RoomMoves(), _STEPS, "Append", "None"))
+    sent = updates.select(
         F.explode(F.array(F.col("auction_id").cast("string"), F.lit(ALL_ROOM))).alias("room"), "ts",
         F.lit(1).alias("kind"), "id", "auction_id", F.lit(0).alias("step"))
-    return (steps.unionByName(sent).groupBy("room")
-            .transformWithState(RoomCounts(), _REACHED, "Append", "EventTime", eventTimeColumnName="ts"))
+    return (steps.unionByName(sent).withColumn("key", bucket("room")).groupBy("key")
+            .transformWithState(RoomCounts(), _REACHED, "Append", "None"))
 
 
 def audience(reached: DataFrame) -> DataFrame:

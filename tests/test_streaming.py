@@ -354,3 +354,32 @@ def test_live_audience_equals_the_batch_over_several_batches(spark, tmp_path):
     batch = update_audience(spark.createDataFrame(heard, SUBSCRIPTION), spark.createDataFrame(sent, SENT))
     assert ({r.id: (r.room_clients, r.all_clients) for r in got}
             == {r.id: (r.room_clients, r.all_clients) for r in batch.collect()})
+
+
+def test_audiences_of_the_bid_stream_over_several_batches(spark, tmp_path, monkeypatch):
+    """However often the feed is cut, an update finds the rooms of its own instant."""
+    import shutil
+    from functools import partial
+
+    import duckdb
+
+    from gavel.checks import catalog, oracle
+
+    given, home = "/root/testdata/sf0.001", f"{tmp_path}/tables"
+    (tmp_path / "tables" / "events.parquet").mkdir(parents=True)
+    for name in ("customer", "part"):
+        shutil.copy(f"{given}/{name}.parquet", home)
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE e AS SELECT *, ntile(3) OVER (ORDER BY ts, event_id) AS nth FROM '{given}/events.parquet'")
+    for nth in (1, 2, 3):
+        con.sql(f"COPY (SELECT * EXCLUDE nth FROM e WHERE nth = {nth}) "
+                f"TO '{home}/events.parquet/{nth}.parquet' (FORMAT parquet)")
+    for name in ("customer", "part", "events"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet("
+                f"'{home}/{name}.parquet{'/*.parquet' if name == 'events' else ''}')")
+    for module in (catalog, catalog.source):
+        monkeypatch.setattr(module, "read_stream", partial(read_stream, files_per_trigger=1))
+    got = catalog.QUERIES["stream_audience"](spark, home)
+    expected = con.sql(oracle.oracle_sql()["stream_audience"])
+    columns = expected.columns
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(expected.fetchall())
