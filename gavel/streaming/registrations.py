@@ -1,7 +1,8 @@
-"""Live registration: one small state per address, ids in blocks per micro-batch.
+"""Live registration: taken addresses as state, ids in blocks per micro-batch.
 
-The state of an address says that it is taken; it starts from the stored users, so no
-micro-batch joins or reads them again. Forms that are refused by their own values meet no
+The state holds the addresses that are taken, dealt to buckets by their hash, as a key of
+its own would cost each address several calls between Python and the state store. It
+starts from the stored users, so no micro-batch joins or reads them again. Forms that are refused by their own values meet no
 Python worker and no state. An id is the last one given before the micro-batch plus the
 form's place in it, and the last one given is kept as a mark per micro-batch: a micro-batch
 that is run again finds the same mark and gives the same ids.
@@ -20,6 +21,7 @@ from gavel.operators.ingest import max_id, with_next_ids
 from gavel.operators.validate import judge_registrations
 from gavel.schemas import USERS, empty
 from gavel.sources.versions import _folder
+from gavel.streaming.bids import bucket
 from gavel.streaming.runtime import prepare_state_store
 
 FORM_SCHEMA = """feed_id long, email string, first_name string, last_name string, phone string,
@@ -28,23 +30,24 @@ _FORM = ["feed_id", "email", "first_name", "last_name", "phone", "role"]
 
 
 class EmailProcessor(StatefulProcessor):
-    """Gives an address to its first form, in order of feed id within a micro-batch (forms
+    """Gives each address of a bucket to its first form, in order of feed id within a micro-batch (forms
     without one last), and refuses all others."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "taken boolean")
+        self.taken = handle.getValueState("taken", "emails array<string>")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.taken.update((True,))
+        self.taken.update((initialState.emails,))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = taken = self.taken.exists()
+        known = (self.taken.get() or ([],))[0]
+        taken = set(known)
         for row in sorted(rows, key=lambda r: (r.feed_id is None, r.feed_id or 0, r.text)):
             yield Row(**{c: row[c] for c in _FORM}, first_error=None,
-                      outcome="TAKEN" if taken else "REGISTERED")
-            taken = True
-        if not before:
-            self.taken.update((True,))
+                      outcome="TAKEN" if row.email in taken else "REGISTERED")
+            taken.add(row.email)
+        if len(taken) > len(known):
+            self.taken.update((sorted(taken),))
 
     def close(self) -> None:
         pass
@@ -62,8 +65,9 @@ def stream_registrations(feed: DataFrame, users: DataFrame) -> DataFrame:
     invalid = judged.where(F.size("errors") > 0).select(
         *columns, F.lit("INVALID").alias("outcome"), F.col("errors")[0].alias("first_error"))
     valid = judged.where(F.size("errors") == 0).select(*columns).withColumns({
-        "key": F.col("email"), "text": F.to_json(F.struct(*_FORM))})
-    known = users.select(F.lower("email").alias("key")).distinct()
+        "key": bucket("email"), "text": F.to_json(F.struct(*_FORM))})
+    known = users.select(F.lower("email").alias("email")).groupBy(bucket("email").alias("key")).agg(
+        F.collect_set("email").alias("emails"))
     settled = valid.groupBy("key").transformWithState(
         EmailProcessor(), FORM_SCHEMA, "Append", "None", initialState=known.groupBy("key"))
     return settled.unionByName(invalid)

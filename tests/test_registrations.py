@@ -103,3 +103,20 @@ def test_forms_without_number_and_without_any_value(spark, tmp_path, users):
     forms = spark.read.schema(live.FORM_SCHEMA).parquet(f"{tmp_path}/home/forms")
     assert {r.outcome: r.n for r in forms.groupBy("outcome").agg(F.count("*").alias("n")).collect()} == {
         "REGISTERED": 2, "TAKEN": 1, "INVALID": 1}
+
+
+def test_addresses_share_the_keys_of_the_state(spark, tmp_path, users, monkeypatch):
+    """Keys don't grow with the addresses, of stored users or new ones."""
+    from gavel.streaming import bids
+
+    monkeypatch.setattr(bids, "BUCKETS", 2)
+    arrive(spark, f"{tmp_path}/in", [form(n, f"{n % 25}{'@x.test' if n % 2 else '@X.test'}") for n in range(1, 40)])
+    new, outcomes = run(spark, tmp_path, users)
+    state = spark.read.format("statestore").option("stateVarName", "taken").load(f"{tmp_path}/home/checkpoint")
+    assert state.count() <= 2
+    emails = {e for r in state.collect() for e in r["value"]["emails"]}
+    assert set(new) <= emails and {r.email.lower() for r in users.collect()} <= emails
+    valid, _ = validate_registrations(spark.createDataFrame(
+        [form(n, f"{n % 25}@x.test") for n in range(1, 40)], schemas.REGISTRATION_FEED))
+    assert new == {r.email: r.id for r in ingest_users(users, valid, NOW).collect()}
+    assert sorted(outcomes.values()).count("REGISTERED") == len(new)
