@@ -7,7 +7,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavel.operators.ordered import lookup
 from gavel.sources.tables import Tables
 
 
@@ -29,12 +28,14 @@ def erase_cascade(t: Tables, user_ids: DataFrame) -> Tables:
     users = user_ids.select("id")
     items = _only(t.items, "seller_id", users).select("id")
     auctions = _only(t.auctions, "item_id", items).select("id")
-    kept = _without(t.auctions, "id", auctions)
-    winners = users.distinct().select(F.col("id").alias("_key"), F.lit(True).alias("_gone"))
-    # Auctions without a winner would all meet at the null key.
-    kept = kept.withColumn("_key", F.coalesce("winner_id", -F.col("id") - 1))
-    kept = lookup(kept, winners, ["_key"]).withColumn(
-        "winner_id", F.when(F.col("_gone").isNull(), F.col("winner_id")))
+    # Only auctions with a winner are looked up by it; all others meet just their own mark.
+    unwon = _only(t.auctions.where(F.col("winner_id").isNotNull()), "winner_id", users)
+    marks = auctions.withColumn("_erased", F.lit(True)).unionByName(
+        unwon.select("id", F.lit(False).alias("_erased"))).groupBy("id").agg(
+        F.max("_erased").alias("_erased"))
+    kept = (t.auctions.join(marks, "id", "left")
+            .where(~F.coalesce("_erased", F.lit(False)))
+            .withColumn("winner_id", F.when(F.col("_erased").isNull(), F.col("winner_id"))))
     return replace(
         t,
         users=_without(t.users, "id", users),

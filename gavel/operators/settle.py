@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.clock import as_of_column
@@ -51,10 +51,9 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Several incoming rows for one auction leave one of those with the lowest id, nulls
     last. Rows without an auction are left out.
     """
-    incoming = incoming.where(F.col("auction_id").isNotNull())
-    least = incoming.groupBy("auction_id").agg(F.min("id").alias("_least"))
-    first = (incoming.join(least, "auction_id").where(F.col("id").eqNullSafe(F.col("_least")))
-             .dropDuplicates(["auction_id"]))
+    lowest = Window.partitionBy("auction_id").orderBy(F.asc_nulls_last("id"))
+    first = (incoming.where(F.col("auction_id").isNotNull())
+             .withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") == 1))
     return first.join(existing.select("auction_id"), "auction_id", "left_anti").select(
         *incoming.columns)
 

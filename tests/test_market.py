@@ -323,3 +323,19 @@ def test_a_listing_batch_written_twice_counts_once(spark, tmp_path):
     got_items, got_auctions = read_listing_batches(spark, str(tmp_path))
     assert sorted(r.id for r in got_items.collect()) == [1, 2, 3, 4]
     assert got_auctions.count() == 4
+
+
+def test_erasure_plans_without_a_job(spark, seeded):
+    gone, sc = spark.createDataFrame([(1,), (5,)], "id long"), spark.sparkContext
+    sc.setJobGroup("plan of the erasure", "")
+    try:
+        erase_cascade(seeded, gone)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not sc.statusTracker().getJobIdsForGroup("plan of the erasure")
+
+
+def test_new_invoices_are_derived_once(spark):
+    some = spark.createDataFrame([(1, 7, 10)], "id long, auction_id long, buyer_id long")
+    plan = insert_or_ignore(some, some)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2  # the existing and the incoming ones
