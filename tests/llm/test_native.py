@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gavel.llm import mixing, quality, url_filter
 
@@ -186,3 +187,17 @@ def test_mixing_keeps_columns_of_any_name(spark):
     out = mixing.mix_sources(frame)
     assert out.columns == [*frame.columns, "n_tokens", "epoch", "block", "order_key"]
     assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(8))}
+
+
+def test_boilerplate_is_looked_for_only_where_it_may_be(spark):
+    """The cheap look at a whole text misses no phrase, whatever its letters' case."""
+    phrases = [p for some in quality.PHRASES.values() for p in some]
+    odd = [p.replace("i", "İ").replace("s", "ſ") for p in phrases] + [
+        p.upper().replace("I", "ı").replace("K", "K") for p in phrases]
+    texts = [*phrases, *map(str.upper, phrases), *odd, "a plain line, read with care", "", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.rlike("t", F.lit(f"(?iu){quality.BOILERPLATE}")).alias("phrase"),
+        quality.may_have_boilerplate(F.col("t")).alias("maybe")).collect()
+    assert sum(bool(r.phrase) for r in found) == 4 * len(phrases)
+    assert all(r.maybe for r in found if r.phrase)
+    assert [r.maybe for r in found[-3:]] == [False, False, None]
