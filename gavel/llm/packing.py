@@ -22,7 +22,7 @@ import zlib
 from array import array
 from bisect import insort
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import partial
 
 import numpy as np
@@ -40,27 +40,46 @@ END_ID = 1
 #: far is taken; every piece is packed in any case.
 FILL_STEPS = 500
 BRANCHES = 8
-#: Words kept with their ids in a worker, and the longest such word.
+#: Pieces and words kept with their ids in a worker, and the longest such one.
 CACHED_WORDS, CACHED_CHARS = 450_000, 48
 #: Pieces that a worker holds before it sends them on.
 SENT_PIECES = 2048
 
 #: Words of these characters need no normalisation but lower case, and split alike.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-# The tokenizer's pieces of a word, here of plain characters.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ \n\t\r]*")
+# The tokenizer's pieces of a text, here of plain characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \n\t\r]+")
 #: Byte-level BPE writes bytes as letters: printable Latin-1 as itself, others from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
+class _Pieces(dict[str, bytes]):
+    """Ids of pieces of plain characters, merged by the tokenizer's model when first met."""
+
+    def __init__(self, merge: Callable):
+        super().__init__()
+        self._merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("I", [t.id for t in self._merge(shown)]).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class WordTokenizer:
-    """A tokenizer whose words end at spaces, with the ids of words kept as bytes.
+    """A tokenizer whose words end at spaces, with the ids of pieces kept as bytes.
 
     Its splitting drops white space and joins nothing across it, so a text's ids are
-    those of its space-separated parts in turn. Parts of plain characters are lowered
-    and split here and only merged by the tokenizer's model, piece by piece; any other
-    part, and any that may hold a special token, goes through the whole tokenizer.
+    those of its space-separated words in turn, and of their pieces. Texts of plain
+    characters are lowered and split into pieces here, and only merged by the tokenizer's
+    model, which is done once for each piece kept: there are fewer of them than of words,
+    which differ by case and marks. Other texts are split into words. Those of plain
+    characters are treated alike; any other, and any that may hold a special token, goes
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -68,35 +87,27 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._merge = self._tokenizer.model.tokenize
+        self._pieces = _Pieces(self._tokenizer.model.tokenize)
         self._ids: dict[str, bytes] = {}
-        self._of_piece: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self._merge(shown)]).tobytes()
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word) or "<|" in word:
             ids = self._tokenizer.encode(word, add_special_tokens=False).ids
             return array("I", ids).tobytes()
-        parts = []
-        for piece in _PIECES.findall(word.lower()):
-            ids = self._of_piece.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= CACHED_CHARS:
-                    self._of_piece[piece] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        return self._plain(word)
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self._ids
-        if len(known) + len(self._of_piece) > CACHED_WORDS:
+        if len(known) + len(self._pieces) > CACHED_WORDS:
             known.clear()
-            self._of_piece.clear()
+            self._pieces.clear()
+        if _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         missing = set(words).difference(known)
         if not missing:
             return b"".join(map(known.__getitem__, words))

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,38 @@ def test_cache_is_bounded(monkeypatch, plain):
             text, add_special_tokens=False).ids
 
 
+def test_piece_is_merged_once(monkeypatch, plain):
+    # Words that differ by case and marks share their piece, and don't crowd it out.
+    monkeypatch.setattr(packing, "CACHED_WORDS", 100)
+    merged = Counter()
+
+    def tokenize(piece):
+        merged[piece] += 1
+        return plain.model.tokenize(piece)
+
+    counting = SimpleNamespace(model=SimpleNamespace(tokenize=tokenize), encode=plain.encode)
+    monkeypatch.setattr("tokenizers.Tokenizer", SimpleNamespace(from_file=lambda path: counting))
+    words = packing.WordTokenizer(PATH)
+    pick = random.Random(5)
+    stems = ["".join(pick.choice("abcé") for _ in range(7)) + "x" for _ in range(60)]
+    texts = ["\n".join(form.format(w) for w in stems) for form in ("{}", "{}.", "({},", "{}'s\t7", "é '{}'\r")]
+    for text in [*texts, *map(str.title, texts), *texts]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == plain.encode(
+            text, add_special_tokens=False).ids
+    assert len(merged) > 60 and set(merged.values()) == {1}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pieces_are_those_of_the_tokenizer(plain, seed):
+    pick = random.Random(seed)
+    words = packing.WordTokenizer(PATH)
+    signs = [*"aZéÀßÿ7''.,&<|> \n\t\r", "'S", "'ll", "…", "ſ", "\x0c", "\xa0", "÷", "́"]
+    for upto in (15, len(signs)):
+        text = "".join(pick.choice(signs[:upto]) for _ in range(300))
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == plain.encode(
+            text, add_special_tokens=False).ids
+
+
 def fewest(lengths, capacity):
     """Least number of bins, by trying all placements."""
     best, lengths = len(lengths), sorted(lengths, reverse=True)
