@@ -196,23 +196,29 @@ def completions(stock: Stock, room: int, keep: int, steps: int = FILL_STEPS) ->
     dominated and left out.
     """
     best: list[tuple[int, tuple[int, ...]]] = []
-    used = 0
-
-    def visit(space: int, bound: int, taken: tuple[int, ...]) -> None:
-        nonlocal used
-        used += 1
-        length = stock.largest(min(space, bound))
-        if not length and not stock.largest(space):
-            if len(best) < keep or space < best[-1][0]:
-                insort(best, (space, taken))
-                del best[keep:]
-        while length and not (best and (used > steps or len(best) == keep and not best[-1][0])):
+    taken: list[int] = []
+    space, length, used = room, stock.largest(room), 1
+    if not length:
+        best.append((space, ()))
+    # A loop, since a filling of short documents has more pieces than calls may nest.
+    while length or taken:
+        if length and not (best and (used > steps or len(best) == keep and not best[-1][0])):
             stock.take(length)
-            visit(space - length, length, (*taken, length))
+            taken.append(length)
+            space -= length
+            used += 1
+            length = stock.largest(min(space, length))
+            if not length and not stock.largest(space):
+                if len(best) < keep or space < best[-1][0]:
+                    insort(best, (space, tuple(taken)))
+                    del best[keep:]
+        elif taken:
+            length = taken.pop()
             stock.put(length)
+            space += length
             length = stock.largest(length - 1)
-
-    visit(room, room, ())
+        else:
+            break
     return [taken for _, taken in best]
 
 

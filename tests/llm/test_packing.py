@@ -110,6 +110,15 @@ def test_large_counts_make_few_fillings():
     assert len(fillings) < 20_000
 
 
+def test_fillings_of_many_short_pieces():
+    # More pieces in a sequence than Python nests calls.
+    for counts in ({1: 9000}, {1: 5000, 2: 4000, 3: 3000, 4095: 2, 4000: 1}, {3: 10 ** 6, 90: 7}):
+        fillings = packing.complete_bins(counts)
+        used = sum((Counter({x: n * k for x, n in Counter(f).items()}) for f, k in fillings), Counter())
+        assert used == Counter(counts) and all(sum(f) <= 4096 for f, _ in fillings)
+        assert sum(k for _, k in fillings) <= packing.least_sequences(counts, 4096) * 1.001
+
+
 def check(rows, docs, plain, capacity):
     expected = []
     for d, text in docs:
@@ -149,6 +158,12 @@ def test_documents(spark, plain):
         assert by_sequence[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]] == r["ids"]
 
 
+def test_many_short_documents(spark, plain):
+    docs = [(i, ("", None, "a", "ab cd")[i % 4]) for i in range(6000)]
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert check(rows, docs, plain, 4096) == packing.least_sequences(Counter(r["length"] for r in rows), 4096)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(frame).collect() == []
