@@ -356,6 +356,60 @@ def test_live_audience_equals_the_batch_over_several_batches(spark, tmp_path):
             == {r.id: (r.room_clients, r.all_clients) for r in batch.collect()})
 
 
+def test_counters_of_a_crowded_room_get_sums(spark, tmp_path, monkeypatch):
+    """Steps and updates of a room don't meet one by one in a call, and none is lost."""
+    class Noting(rooms.RoomCounts):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with open(f"{tmp_path}/noted", "a") as noted:
+                noted.write(f"{len(rows)}\n")
+            yield from super().handleInputRows(key, iter(rows), timerValues)
+
+    monkeypatch.setattr(rooms, "RoomCounts", Noting)
+    prepare_state_store(spark)
+    hour = 3_600_000
+    # Some leave the room of all for one of three auctions, at times that hold an update, too.
+    heard = [(i, i % 700, at(1 + i * 2_000), "all" if i // 700 % 2 == 0 else str(1 + i % 3)) for i in range(5_000)]
+    sent = [(10_000 + i, 1 + i % 4, at(1 + i * 5_000)) for i in range(1_900)] + [(20_000, None, at(hour)), (None, 1, at(hour + 3))]
+    batches = 2
+    for name, rows, schema in (("heard", heard, SUBSCRIPTION), ("sent", sent, SENT)):
+        for n in range(batches):
+            lo, hi = at(n * 5_000_000), at((n + 1) * 5_000_000)
+            spark.createDataFrame([r for r in rows if lo <= r[2] < hi], schema).coalesce(1).write.mode(
+                "append").parquet(f"{tmp_path}/{name}")
+    reached = rooms.stream_audience(read_stream(spark, f"{tmp_path}/heard", SUBSCRIPTION, files_per_trigger=1),
+                                    read_stream(spark, f"{tmp_path}/sent", SENT, files_per_trigger=1))
+    assert reached.columns == ["id", "auction_id", "room", "clients", "ts"]
+    got = run_batches(reached, "audience", lambda batch: batch).collect()
+    inside, expected = {}, []
+    events = sorted([(r[2], 0, r) for r in heard] + [(r[2], 1, r) for r in sent], key=lambda e: e[:2])
+    for when, is_update, row in events:
+        if is_update:
+            for room in (None if row[1] is None else str(row[1]), "all"):
+                expected.append((row[0], row[1], room, sum(r == room for r in inside.values()), millis(when)))
+        else:
+            inside[row[1]] = row[3]
+    assert (sorted(((r.id, r.auction_id, r.room, r.clients, millis(r.ts)) for r in got), key=repr)
+            == sorted(expected, key=repr))
+    # A row per room and hour that a micro-batch touches; five rooms, one of them of nobody.
+    noted = [int(n) for n in (tmp_path / "noted").read_text().split()]
+    assert max(noted) <= 5 * 3 and sum(noted) <= 5 * 4 * batches
+
+
+def test_slices_of_many_updates_take_several_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(rooms, "CARRIED", 3)
+    rows = [{"room": "all", "slice": 0, "t": t, "kind": t % 2, "id": t, "auction_id": 1, "step": 1 - t % 2} for t in range(20)]
+    rows += [{"room": "7", "slice": 0, "t": 5, "kind": 0, "id": 1, "auction_id": None, "step": s} for s in (1, -1)]
+    made = pa.Table.from_batches(list(rooms._sliced(pa.Table.from_pylist(rows).to_batches(max_chunksize=4)))).to_pylist()
+    assert [r["steps"] for r in made] == [10, 0, 0, 0] and {r["room"] for r in made} == {"all"}
+    counted = pa.RecordBatch.from_pylist([{"room": r["room"], "before": 100, "updates": r["updates"]} for r in made])
+    opened = pa.Table.from_batches(list(rooms._opened([counted]))).to_pylist()
+    assert [(r["id"], r["clients"], r["t"]) for r in opened] == [(t, 101 + t // 2, t) for t in range(1, 20, 2)]
+    assert list(rooms._sliced(iter([]))) == []
+
+
 def test_audiences_of_the_bid_stream_over_several_batches(spark, tmp_path, monkeypatch):
     """However often the feed is cut, an update finds the rooms of its own instant."""
     import shutil
